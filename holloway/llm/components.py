@@ -1,0 +1,39 @@
+"""Connected components as iterated star contractions over a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, join_keyed
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of ``links`` (a, b long): root is the smallest node that is reachable.
+
+    Each round sends a node's larger neighbours to its smallest one, then its smaller neighbours, until nothing
+    changes; the number of rounds grows with the logarithm of the longest path. A node with very many neighbours
+    is reduced to one row a task before the shuffle, and its links are joined with that by join_keyed.
+    """
+    now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = _state(now)
+    for _ in range(max_rounds):
+        if not before[0]:
+            break
+        both = cut(now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = cut(join_keyed(both, least, "a", "n").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join_keyed(large, least, "a", "n").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = cut(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct())
+        after = _state(now)
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
