@@ -24,7 +24,7 @@ from .common import cut, read
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 16
-DOCS, WINDOWS, LANGUAGES = 800, 8, 100
+DOCS, WINDOWS, LANGUAGES, BUCKETS = 800, 8, 100, 32
 EPOCHS, BATCH, RATE, SEED = 3, 64, 0.01, 7
 #: Bytes of text that are predicted at once.
 PART = 1 << 22
@@ -145,8 +145,11 @@ def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> l
     """Windows of the sampled documents: ids are chosen without reading texts, then their texts are cut in Spark."""
     # A label's frequency comes from partial sums; the sample is the first DOCS by hash, limited in each task before the shuffle.
     top = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).select(lang_col)
-    by_hash = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = labelled.select(id_col, lang_col).join(F.broadcast(top), lang_col, "left_semi").withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= DOCS)
+    # First in BUCKETS parts of a label, as one label may have most rows, then among what these leave.
+    order, part = [F.xxhash64(id_col), F.col(id_col)], F.pmod(F.xxhash64(id_col), F.lit(BUCKETS))
+    ids = labelled.select(id_col, lang_col).join(F.broadcast(top), lang_col, "left_semi")
+    for w in (Window.partitionBy(lang_col, part), Window.partitionBy(lang_col)):
+        ids = ids.withColumn("r", F.row_number().over(w.orderBy(*order))).where(F.col("r") <= DOCS).drop("r")
     ids = cut(ids.select(id_col).distinct())
     step = F.greatest(F.lit(1), F.floor((F.length(text_col) - WINDOW) / (WINDOWS - 1)).cast("int"))
     n = F.least(F.lit(WINDOWS), F.greatest(F.lit(1), F.ceil(F.length(text_col) / WINDOW).cast("int")))
