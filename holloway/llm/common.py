@@ -1,63 +1,19 @@
-"""What the training-data operators share: the shared folder, lineage cuts, skew-safe joins."""
+"""What the training-data operators share: tables, row keys and the library's lineage helpers."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds more than this share of all rows, so at most 1 / HOT_SHARE keys are hot.
-HOT_SHARE = 1 / 500
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        own = tempfile.mkdtemp(prefix="holloway-shared-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(own)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there: no lineage, safe when executors are lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..lineage import cut, join_keyed, shared_dir, unique_name
 
-
-def unique_name(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex[:12]}"
+__all__ = ["cut", "join_keyed", "keep_rows", "read", "row_key", "shared_dir", "unique_name"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
-    """Join ``rows`` with ``keyed``, which has one row for each key and in ``size`` the number of rows with that key.
-
-    Keys with more than HOT_SHARE of all rows are at most 1 / HOT_SHARE, so these few are broadcast and their
-    rows stay where they are; all other rows are joined by shuffling. Both inputs should be cut or cheap to read.
-    ``how`` is ``inner`` or ``left``; of a left join, rows whose key is missing from ``keyed`` get nulls.
-    """
-    total = keyed.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    limit = max(1000, int(total * HOT_SHARE))
-    values = [c for c in keyed.columns if c != key]
-    hot = keyed.where(F.col(size) > limit).select(key, F.struct(*values).alias("__hot"))
-    marked = rows.join(F.broadcast(hot), key, "left")
-    near = marked.where(F.col("__hot").isNotNull()).select(*rows.columns, *[F.col(f"__hot.{c}").alias(c) for c in values])
-    far = marked.where(F.col("__hot").isNull()).drop("__hot").join(keyed.where(F.col(size) <= limit), key, how)
-    return near.unionByName(far.select(*rows.columns, *values))
-
-
 def row_key(id_col: str, text_col: str):
     """A key of a row made of its id and text; rows with equal keys are copies of one another."""
     return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.hex(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))

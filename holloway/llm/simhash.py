@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import cut, join_keyed, keep_rows, read, row_key
-from .components import components
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 #: Shingles whose bits are counted at once; a longer text is counted in parts.
