@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import criteria, terrain
+from .plans import criteria, networks, terrain, views
 
-_MODULES = (terrain, criteria)
+_MODULES = (terrain, criteria, networks, views)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "suitability_weighted"
