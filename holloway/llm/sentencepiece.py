@@ -14,19 +14,23 @@ not valid UTF-8 decode to U+FFFD. Texts of any length are encoded whole: parts o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import read
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters that are encoded at once, and those of a part above which it is relaxed alone.
-BLOCK, LONG = 4_000_000, 400
+BLOCK, LONG = 2_000_000, 400
 _END, _UNKNOWN = 0, 1
 _START = -1
 
@@ -57,6 +61,9 @@ class PieceModel:
         self.pieces = {sp.id_to_piece(i): i for i in normal}
         self.raw = [b"" if sp.is_control(i) else bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
         self.raw[sp.unk_id()] = " ⁇ ".encode()
+        self.raw_size = np.array([len(x) for x in self.raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         alphabet = sorted({c for p in self.pieces for c in p})
         self.code = {c: k + 2 for k, c in enumerate(alphabet)}
         if len(alphabet) + 2 >= 1 << 16:
@@ -337,10 +344,15 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         """The text of an id list; the space that encoding puts in front is taken away."""
-        if ids is None or not len(ids):
-            return ""
-        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.asarray([] if ids is None else ids, np.int64), np.array([0 if ids is None else len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, count: np.ndarray) -> list[str]:
+        """The texts of flat ids; ``count`` has the number of ids of each."""
+        size = self.raw_size[ids]
+        flat = self.raw_bytes[_ragged(self.raw_start[ids], size)].tobytes()
+        ends = np.r_[0, np.cumsum(size, dtype=np.int64)][np.r_[0, np.cumsum(count)]]
+        texts = [flat[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def encoder(spark: SparkSession, path: str | None = None):
@@ -367,10 +379,29 @@ def decoder(spark: SparkSession, path: str | None = None):
 
 
 def tokenize(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with token_ids (array of int) and decoded (the text that these give)."""
-    spark = docs.sparkSession
-    coded = docs.withColumn("token_ids", encoder(spark, path)(F.col(text_col)))
-    return coded.withColumn("decoded", decoder(spark, path)(F.col("token_ids")))
+    """``docs`` with token_ids (array of int) and decoded (the text that these ids give), in one pass.
+
+    Arrow batches are handled in slices of about BLOCK bytes, in and out, so a task's memory is bounded by that and its longest text.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(PieceModel(path or public_tokenizers.path(MODEL)))
+    keep = [c for c in docs.columns if c not in ("token_ids", "decoded")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index(text_col))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            lo = 0
+            while lo < len(ends):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK, "right")))
+                ids, n = model.value.encode(text.slice(lo, hi - lo).to_pylist())
+                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids, pa.int32()))
+                decoded = pa.array(model.value.decode_all(ids, n), pa.string())
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in keep], tokens, decoded], names=[*keep, "token_ids", "decoded"])
+                lo = hi
+
+    schema = StructType([*[docs.schema[c] for c in keep], StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+    return docs.mapInArrow(run, schema)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
