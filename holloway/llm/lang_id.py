@@ -222,7 +222,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """``docs`` with held_out, lang_pred and score; learned from its labelled rows that are not held out."""
     model = train(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
     found = docs.withColumn("__p", predictor(docs.sparkSession, model)(F.col(text_col)))
-    return found.select(*docs.columns, held_out(id_col).alias("held_out"), "__p.lang_pred", "__p.score")
+    rest = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    return found.select(*rest, held_out(id_col).alias("held_out"), "__p.lang_pred", "__p.score")
 
 
 def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
