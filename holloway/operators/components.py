@@ -1,12 +1,39 @@
-"""Connected components as iterated star contractions over a table of links."""
+"""Connected components over a table of links: contraction inside tasks, then iterated star contractions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut, join_keyed
 
+#: Links that one task contracts at most.
+LINKS_A_TASK = 250_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links from each node to the smallest node that it reaches by this task's links."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        top = v
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[v] != top:
+            root[v], v = top, root[v]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    pairs = [(v, r) for v in root if (r := find(v)) != v]
+    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
 
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -15,12 +42,15 @@ def _state(links: DataFrame) -> tuple:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b long): root is the smallest node that is reachable.
 
-    Each round sends a node's larger neighbours to its smallest one, then its smaller neighbours, until nothing
-    changes; the number of rounds grows with the logarithm of the longest path. A node with very many neighbours
-    is reduced to one row a task before the shuffle, and its links are joined with that by join_keyed.
+    Tasks first contract at most LINKS_A_TASK links each; one task's result is final. Otherwise each round sends a node's larger
+    neighbours to its smallest one, then its smaller neighbours, until nothing changes; the number of rounds
+    grows with the logarithm of the longest path. A node with very many neighbours is reduced to one row a task before the
+    shuffle, and its links are joined with that by join_keyed.
     """
-    now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _state(now)
+    clean = cut(links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
+    tasks = max(1, -(-clean.count() // LINKS_A_TASK))
+    now = cut(clean.repartition(tasks).mapInArrow(_contract, "a long, b long"))
+    before = _state(now) if tasks > 1 else (0,)
     for _ in range(max_rounds):
         if not before[0]:
             break

@@ -2,6 +2,7 @@
 
 import heapq
 import math
+import sys
 
 import numpy as np
 import pytest
@@ -82,6 +83,8 @@ def test_nearest(spark):
 @pytest.mark.parametrize("few", [100_000, 0])
 def test_spanning_tree_and_components(spark, monkeypatch, few):
     monkeypatch.setattr(graph, "FEW_LINKS", few)
+    if few:  # the rounds of components()
+        monkeypatch.setattr(sys.modules["holloway.operators.components"], "LINKS_A_TASK", 15)
     rows, t = random_sites(spark, 40, 2)
     links = sorted(((x - p) ** 2 + (y - q) ** 2, i, j) for i, x, y in rows for j, p, q in rows if i < j and (x - p) ** 2 + (y - q) ** 2 <= 100)
     root = list(range(len(rows)))
