@@ -33,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As cut(), but as a compressed table in the shared folder: for wide rows, of which later steps read a few columns."""
+    path = f"{shared_dir(df.sparkSession)}/{unique_name('stored')}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def unique_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
 

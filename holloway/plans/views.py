@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classes
-from ..operators import surfaces
+from ..operators import graph, routes, surfaces
 from .tables import CELL, DEM_SQL, dem, read
 
 QUERIES: dict = {}
@@ -118,3 +118,39 @@ def lcp_corridor(spark, sf_dir):
     there = surfaces.accumulated_cost(cells, _start(spark, 2, 3), CELL)
     back = surfaces.accumulated_cost(cells, _start(spark, 12, 90), CELL, reverse=True)
     return surfaces.corridor(there, back, 5.0)
+
+
+def _neighbours(spark, sf_dir):
+    """Supplier pairs one after the other, with their cells."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey")
+    at = lambda k, p: s.selectExpr(f"s_suppkey AS {k}", f"s_suppkey * 37 % 149 AS r{k}", f"s_suppkey * 53 % 97 AS c{k}", f"s_suppkey + {p} AS next")
+    return at("a", 1).join(at("b", 0), "next").drop("next")
+
+
+@query(f"""WITH {DEM_SQL}, p AS (SELECT *, sqrt((rb - ra) ** 2 + (cb - ca) ** 2) * 30 AS length FROM ({PAIRS})), q AS (SELECT *, CAST(greatest(1, floor(length / 30)) AS INT) AS n FROM p),
+s AS (SELECT q.*, i, CAST(floor(ra + (rb - ra) * (i / n) + 0.5) AS BIGINT) AS r, CAST(floor(ca + (cb - ca) * (i / n) + 0.5) AS BIGINT) AS c FROM q, range(0, 2001) x(i) WHERE i <= n),
+l AS (SELECT a, b, i, length / n AS h, z / 20 AS z FROM s LEFT JOIN dem USING (r, c)), k AS (SELECT *, z - lag(z) OVER (PARTITION BY a, b ORDER BY i) AS dz FROM l)
+SELECT a, b, CASE WHEN count(z) = count(*) THEN round(sum(h / greatest(0.05, 6.0 * exp(-3.5 * abs(dz / h + 0.05)) / 3.6)) FILTER (i > 0), 5) END AS cost FROM k GROUP BY a, b""")
+def straight_line_cost(spark, sf_dir):
+    """Walking time along the straight line between neighbouring suppliers."""
+    return routes.straight_cost(_neighbours(spark, sf_dir), _ground(spark, sf_dir), CELL, CELL).select("a", "b", F.round("cost", 5).alias("cost"))
+
+
+@query(f"""WITH {DEM_SQL}, o AS (SELECT s_suppkey AS a, s_suppkey * 37 % 149 AS ra, s_suppkey * 53 % 97 AS ca FROM supplier), k AS (SELECT o.*, CAST(b AS INT) AS b, CAST(floor(ra - cos(b * (2 * pi() / 37)) * 10 + 0.5) AS BIGINT) AS rb, CAST(floor(ca + sin(b * (2 * pi() / 37)) * 10 + 0.5) AS BIGINT) AS cb FROM o, range(0, 37) x(b)),
+s AS (SELECT k.*, i, i / 10 AS t, CAST(floor(ra + (rb - ra) * (i / 10) + 0.5) AS BIGINT) AS r, CAST(floor(ca + (cb - ca) * (i / 10) + 0.5) AS BIGINT) AS c FROM k, range(0, 11) y(i)), l AS (SELECT a, b, i, t, z FROM s LEFT JOIN dem USING (r, c)),
+e AS (SELECT a, b, max(z) FILTER (i = 0) AS za, max(z) FILTER (i = 10) AS zb FROM l GROUP BY a, b)
+SELECT l.a, l.b, CASE WHEN max(za) IS NULL OR max(zb) IS NULL THEN NULL ELSE NOT coalesce(max((i > 0 AND i < 10 AND z > za + 1.6 + (zb - za - 1.6) * t)::INT) = 1, false) END AS visible FROM l JOIN e USING (a, b) GROUP BY l.a, l.b""")
+def ring_visibility(spark, sf_dir):
+    """Which points of a circle of 300 m round each supplier can be seen from it."""
+    return routes.ring_visibility(observers(spark, sf_dir), dem(spark, sf_dir), CELL, 300.0, 50.0)
+
+
+@query()
+def cost_network(spark, sf_dir):
+    """Least-cost links between the suppliers on the raster: tree and cheapest partners of near pairs; searches are tested apart."""
+    cells = _ground(spark, sf_dir)
+    s = observers(spark, sf_dir).select(F.col("obs").alias("id"), F.col("c").alias("x"), F.col("r").alias("y"))
+    on = s.join(cells.select(F.col("r").alias("y"), F.col("c").alias("x")), ["x", "y"], "left_semi")
+    near = graph.undirected(graph.nearest(on, on, 3, same=True))
+    end = lambda k: on.select(F.col("id").alias(k), F.col("y").alias(f"r{k}"), F.col("x").alias(f"c{k}"))
+    return routes.network(routes.pair_costs(near.join(end("a"), "a").join(end("b"), "b").drop("d2"), cells, CELL, 5), 2)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from holloway.operators import graph, profile, raster, surfaces
+from holloway.operators import graph, profile, raster, routes, surfaces
 from holloway.operators.components import components
 
 
@@ -164,3 +164,17 @@ def test_fill(spark):
     z = np.full((5, 5), 4.0)
     z[2, 2] = np.nan
     assert raster.fill(raster_of(spark, z), 1).where("r = 2 AND c = 2").first().z == pytest.approx(4.0)
+
+
+def test_pair_costs(spark):
+    z = np.random.default_rng(6).normal(0, 5, (20, 20))
+    cells = raster_of(spark, z)
+    ends = [(0, 1, 2, 2, 15, 12), (1, 2, 15, 12, 3, 17)]
+    got = {(r.a, r.b): (r.forth, r.back) for r in routes.pair_costs(spark.createDataFrame(ends, "a long, b long, ra long, ca long, rb long, cb long"), cells, 10.0, 30).collect()}
+    for a, b, ra, ca, rb, cb in ends:
+        start = spark.createDataFrame([(ra, ca)], "r long, c long")
+        for k, reverse in enumerate((False, True)):
+            want = surfaces.accumulated_cost(cells, start, 10.0, reverse=reverse).where((F.col("r") == rb) & (F.col("c") == cb)).first().cost
+            assert got[a, b][k] == pytest.approx(want)
+    costs = spark.createDataFrame([(1, 2, 5.0, 7.0), (2, 3, 1.0, 1.0), (1, 3, 2.0, 2.0), (3, 4, math.inf, 1.0)], "a long, b long, forth double, back double")
+    assert sorted(map(tuple, routes.network(costs, 1).collect())) == [(1, 3, "knn"), (1, 3, "mst"), (2, 3, "knn"), (2, 3, "mst"), (3, 4, "knn")]
