@@ -188,3 +188,11 @@ def outcome_decision(spark, sf_dir):
 
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("marker"), (F.col("event_type") == "signup").alias("diagnostic"), (F.col("event_type") == "error").alias("fatal"))
     return outcome(e).select(F.col("run").alias("user_id"), "succeeded", "reason")
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """Events by day and type; the function also takes a stream."""
+    from ..streaming.events import activity
+
+    return activity(read(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
