@@ -61,9 +61,11 @@ def _fingerprints(words: int):
 
 
 def segment_plan(n: int, distance: int = DISTANCE) -> list[tuple[int, int, int]]:
-    """(shift, bits, radius) of each segment. As in multi-index hashing, a segment has about log2(n) bits: the more
-    fingerprints there are, the fewer and longer the segments; any plan finds every link."""
-    parts = 3 if n <= 1 << 22 else 2
+    """(shift, bits, radius) of each segment. As in multi-index hashing, segments grow with log2(n): the more fingerprints
+    there are, the fewer and longer the segments and the wider the balls; any plan finds every link."""
+    parts = max(2, (distance + 2) // 2)
+    while parts > 2 and 64 // parts < n.bit_length() - 7:
+        parts -= 1
     radii = [(distance + 1) // parts + (i < (distance + 1) % parts) - 1 for i in range(parts)]
     plan, at = [], 0
     for i, r in enumerate(radii):

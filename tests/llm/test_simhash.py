@@ -10,14 +10,14 @@ from holloway.llm.simhash import fingerprint, keep_one, links, near_groups, op8_
 from .cases import TEXTS, documents, empty
 
 
-def plain(text):
+def plain(text, n=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    shingles = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] if len(words) >= 4 else [" ".join(words)] if words else []
+    shingles = [" ".join(words[k : k + n]) for k in range(len(words) - n + 1)] if len(words) >= n else [" ".join(words)] if words else []
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def groups(rows):
+def groups(rows, bits=4):
     """Smallest id that each row reaches, by comparing all pairs."""
     root = list(range(len(rows)))
 
@@ -28,7 +28,7 @@ def groups(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (rows[i][1] ^ rows[j][1]).bit_count() <= 4:
+            if (rows[i][1] ^ rows[j][1]).bit_count() <= bits:
                 root[find(i)] = find(j)
     ids = {}
     for k, (i, _) in enumerate(rows):
@@ -43,9 +43,10 @@ def test_fingerprints():
 
 
 def test_plan_covers_every_link():
-    for n in (10, 1 << 23):
-        plan = segment_plan(n)
-        assert sum(b for _, b, _ in plan) == 64 and sum(r + 1 for *_, r in plan) > 4
+    for n in (10, 1 << 23, 1 << 35):
+        for d in (4, 6):
+            plan = segment_plan(n, d)
+            assert sum(b for _, b, _ in plan) == 64 and sum(r + 1 for *_, r in plan) > d
 
 
 @pytest.mark.parametrize("parts", [3, 2])
