@@ -24,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_keyed, read
+from .common import cut, join_keyed, read, stored
 
 HEAD, MIDDLE, TAIL, ESCAPE, LOSS_ROLE = "### ", ": ", "</turn>", "\\", "assistant"
 #: Paths in a block of the running sum over a tree, as bits.
@@ -123,16 +123,16 @@ def forest(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     first token), loss_from and loss_to (tokens of the node under the loss mask), ancestors (array of intervals of
     the sequence, in order). Members: conv_id, leaf, n_turns, path (its nodes in order).
     """
-    rows = cut(turns(conversations))
+    rows = stored(turns(conversations))
     nodes = rows.groupBy("node").agg(F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"), F.count(F.lit(1)).alias("n_conversations"))
-    nodes = cut(nodes.select("*", _turn_tokens()("role", "text").alias("t")).select("node", "parent", "depth", "role", "n_conversations", "t.*", F.size("t.tokens").cast("long").alias("n")))
+    nodes = stored(nodes.select("*", _turn_tokens()("role", "text").alias("t")).select("node", "parent", "depth", "role", "n_conversations", "t.*", F.size("t.tokens").cast("long").alias("n")))
     members = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("p")).select("conv_id", F.col("p.node").alias("path"))
     members = cut(members.select("conv_id", F.element_at("path", -1).alias("leaf"), F.size("path").cast("long").alias("n_turns"), "path"))
     # Depth-first order: distinct paths sorted; equal conversations are one path.
     paths = cut(members.groupBy("leaf").agg(F.first("path").alias("path")).orderBy("path").select("path", F.monotonically_increasing_id().alias("rank")))
     steps = paths.select("rank", F.element_at("path", 1).alias("tree"), F.posexplode("path").alias("depth", "node"))
     owners = steps.groupBy("node").agg(F.min("rank").alias("owner"), F.first("tree").alias("tree"), F.count(F.lit(1)).alias("paths"))
-    placed = cut(nodes.join(owners, "node"))
+    placed = cut(nodes.drop("tokens").join(owners, "node"))
     sums = placed.groupBy("tree", "owner").agg(F.sum("n").alias("n")).withColumn("block", F.shiftright("owner", BLOCK_BITS))
     blocks = sums.groupBy("tree", "block").agg(F.sum("n").alias("n")).selectExpr("tree", "block", "sum(n) OVER (PARTITION BY tree ORDER BY block) - n AS before")
     begins = sums.selectExpr("tree", "block", "owner", "sum(n) OVER (PARTITION BY tree, block ORDER BY owner) - n AS inside").join(blocks, ["tree", "block"]).select("owner", (F.col("inside") + F.col("before")).alias("begin"))
@@ -147,8 +147,8 @@ def forest(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = along.where("rank = owner").join(runs, "rank")
     ancestors = F.expr("transform(filter(runs, r -> r.run < run OR r.run = run AND r.a < start), r -> named_struct('start', r.a, 'stop', CASE WHEN r.run = run THEN start ELSE r.b END))")
     own = own.select("node", "position", ancestors.alias("ancestors"))
-    out = placed.join(own, "node").select("tree", "node", "parent", "depth", "role", "tokens", "n_conversations", "start", "position", "loss_from", "loss_to", "ancestors", "paths")
-    return cut(out), members
+    out = placed.join(own, "node").join(nodes.select("node", "tokens"), "node").select("tree", "node", "parent", "depth", "role", "tokens", "n_conversations", "start", "position", "loss_from", "loss_to", "ancestors", "paths")
+    return stored(out), members
 
 
 def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
