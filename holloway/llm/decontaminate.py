@@ -8,8 +8,8 @@ then confirms or drops. With two bins for each shingle a contained shingle is it
 0.79 at least, so an item of m shingles is missed with probability under 0.22 ** (0.8 m); items under TINY shingles
 are therefore looked up with all shingles of the document instead of a sketch.
 
-Items are sent to the tasks in blocks of at most ITEM_BYTES of text; each block scans all documents, with no shuffle of
-texts and no state that grows with the documents.
+Items are sent to the tasks in blocks of about ITEM_BYTES of text, one block at a time, so neither the driver nor a task ever
+holds more than one; each block scans all documents, with no shuffle of texts and no state that grows with the documents.
 
 Defined cases: words are runs of letters and digits of the lower-cased text; a text of one to four words has its whole
 sequence as only shingle; null, empty and wordless texts and items match nothing; repeated documents each get
@@ -19,6 +19,7 @@ their rows, repeated (item_id, text) rows count once, and items that share an id
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read, stored
 
 WORDS, THRESHOLD = 5, 0.8
 #: Bytes of item text that are sent to the tasks at once.
@@ -141,14 +142,6 @@ class ItemIndex:
         return [x for x in out if x[1] >= self.threshold * x[2]]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // ITEM_BYTES))
-    filed = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
-    return [[(r.id, r.text) for r in filed.where(F.col("block") == b).orderBy("id", "text").collect()] for b in range(n)]
-
-
 def _finder(index):
     @F.pandas_udf(MATCHES)
     def find(texts: pd.Series) -> pd.Series:
@@ -157,28 +150,41 @@ def _finder(index):
     return find
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text",
-            k: int = WORDS, threshold: float = THRESHOLD):
-    """A function from a text column to its matches: array of (item_id, n_shared, n_item)."""
-    sc = docs.sparkSession.sparkContext
-    found = [_finder(sc.broadcast(ItemIndex(block, k, threshold))) for block in _blocks(benchmark, item_col, item_text)]
+def finders(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", k: int = WORDS, threshold: float = THRESHOLD) -> Iterator[tuple[Callable[[Column], Column], bool]]:
+    """For each block of items a function from a text column to its matches (array of item_id, n_shared, n_item), and whether it is the only one.
 
-    def apply(text: Column) -> Column:
-        return F.concat(*[f(text) for f in found])
-
-    return apply
+    A block is read and sent when its turn comes and dropped after it: the caller must have cut what it made of a block that is not the only one.
+    """
+    sc = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-total // ITEM_BYTES))
+    filed = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
+    filed = filed if n == 1 else cut(filed)
+    for b in range(n):
+        sent = sc.broadcast(ItemIndex([(r.id, r.text) for r in filed.where(F.col("block") == b).orderBy("id", "text").collect()], k, threshold))
+        yield _finder(sent), n == 1
+        if n > 1:
+            sent.destroy()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """A row (id, item_id, n_shared, n_item, containment) for each document and each item that it contains."""
-    find = matches(docs, benchmark, **options)
-    return docs.select(F.col(id_col), F.explode(find(F.col(text_col))).alias("m")).select(
-        id_col, "m.item_id", "m.n_shared", "m.n_item", (F.col("m.n_shared") / F.col("m.n_item")).alias("containment"))
+    out = None
+    for find, only in finders(benchmark, **options):
+        found = docs.select(F.col(id_col), F.explode(find(F.col(text_col))).alias("m")).select(
+            id_col, "m.item_id", "m.n_shared", "m.n_item", (F.col("m.n_shared") / F.col("m.n_item")).alias("containment"))
+        found = found if only else cut(found)
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that contain no item."""
-    return docs.where(F.size(matches(docs, benchmark, **options)(F.col(text_col))) == 0)
+    for find, only in finders(benchmark, **options):
+        left = docs.where(F.size(find(F.col(text_col))) == 0)
+        docs = left if only else stored(left)
+    return docs
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
