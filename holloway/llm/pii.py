@@ -136,26 +136,33 @@ def _scanner():
 
 
 def _confidence(edges: DataFrame, values: DataFrame) -> DataFrame:
-    """(pattern, kind, confidence) of the patterns with enough seeds; ``values`` has (kind, value, score, n)."""
+    """(mark, confidence, n, rows) of the marks (a pattern and a kind) with enough seeds; ``values`` has (node, score, n)."""
     scored = join_keyed(edges, values.select("node", "score", "n"), "node", "n")
     total = scored.groupBy("pattern").agg(F.count_distinct("value").alias("values"))
-    by_kind = scored.where("kind >= 0").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count_if("seed").alias("seeds"))
-    return by_kind.where(F.col("seeds") >= SEEDS).join(total, "pattern").select("pattern", "kind", (F.col("mass") / F.col("values")).alias("confidence"))
+    by_kind = scored.where("kind >= 0").groupBy("pattern", "mark").agg(F.sum("score").alias("mass"), F.count_if("seed").alias("seeds"), F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    return by_kind.where(F.col("seeds") >= SEEDS).join(total, "pattern").select("mark", (F.col("mass") / F.col("values")).alias("confidence"), "n", "rows")
 
 
 def bootstrap(slots: DataFrame) -> DataFrame:
-    """The slots, of those that are no seeds, that confident patterns mark; ``slots`` has one row for each slot."""
-    long = slots.select("*", F.explode("patterns").alias("pattern"), F.concat_ws(" ", F.col("kind").cast("string"), F.col("value")).alias("node"))
-    edges = cut(long.groupBy("pattern", "kind", "value", "node").agg(F.max("seed").alias("seed")))
-    values = cut(edges.groupBy("node").agg(F.max("seed").cast("double").alias("score"), F.count(F.lit(1)).alias("n")))
+    """The slots, of those that are no seeds, that confident patterns mark; ``slots`` has one row for each slot.
+
+    A pattern or value may stand in most rows: joins on them take the number of rows that they have and spare hot ones the shuffle.
+    """
+    of_kind = lambda c: F.concat_ws(" ", F.col("kind").cast("string"), F.col(c))
+    long = slots.select("*", F.explode("patterns").alias("pattern")).select("*", of_kind("value").alias("node"), of_kind("pattern").alias("mark"))
+    edges = cut(long.groupBy("pattern", "kind", "value", "node", "mark").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("rows")))
+    values = cut(edges.groupBy("node").agg(F.max("seed").cast("double").alias("score"), F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")))
     sure = None
     for _ in range(ROUNDS):
         sure = cut(_confidence(edges, values))
-        doubt = edges.join(sure, ["pattern", "kind"]).groupBy("node").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))).alias("gain"))
-        values = cut(values.join(doubt, "node", "left").select("node", F.greatest("score", F.coalesce("gain", F.lit(0.0))).alias("score"), "n"))
-    marks = sure.where(F.col("confidence") >= PATTERN_SURE).select("pattern", "kind")
-    known = values.where(F.col("score") >= VALUE_SURE).select("node")
-    hits = long.where("NOT seed AND kind >= 0").join(marks, ["pattern", "kind"], "left_semi").join(known, "node", "left_semi")
+        held = join_keyed(edges.select("node", "mark"), sure.select("mark", "confidence", "n"), "mark", "n")
+        doubt = held.groupBy("node").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))).alias("gain"))
+        values = cut(values.join(doubt, "node", "left").select("node", F.greatest("score", F.coalesce("gain", F.lit(0.0))).alias("score"), "n", "rows"))
+    marks = sure.where(F.col("confidence") >= PATTERN_SURE).select("mark", "rows")
+    known = values.where(F.col("score") >= VALUE_SURE).select("node", "rows")
+    hits = long.where("NOT seed AND kind >= 0").select("row", "start", "stop", "kind", "node", "mark")
+    hits = join_keyed(hits, marks, "mark", "rows").drop("rows", "mark")
+    hits = join_keyed(hits, known, "node", "rows")
     return hits.groupBy("row", "start", "stop").agg(F.min("kind").alias("kind"))
 
 
