@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, surfaces
+from ..operators import graph, surfaces, triangulation
+from ..sources.grid import Grid
 from .tables import SITES_SQL, read, sites
 
 QUERIES: dict = {}
@@ -112,6 +113,32 @@ def centrality_weighted(spark, sf_dir):
     return graph.centrality(graph.within(s, 12).withColumn("d", F.sqrt("d2")), s, "d")
 
 
+HEIGHTS_SQL = "h AS (SELECT s_suppkey AS id, s_suppkey * 37 % 1009 + s_acctbal / 1000 AS x, s_suppkey * 53 % 997 - s_acctbal / 700 AS y, s_acctbal AS z FROM supplier)"
+TRIANGLES_SQL = HEIGHTS_SQL + """, k AS (SELECT a.id AS a, b.id AS b, c.id AS c, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, a.z AS az, b.z AS bz, c.z AS cz,
+  2 * ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) AS d, (b.x - a.x) ** 2 + (b.y - a.y) ** 2 AS p, (c.x - a.x) ** 2 + (c.y - a.y) ** 2 AS q FROM h a JOIN h b ON a.id < b.id JOIN h c ON b.id < c.id),
+o AS (SELECT *, ((cy - ay) * p - (by_ - ay) * q) / d AS u, ((bx - ax) * q - (cx - ax) * p) / d AS v FROM k WHERE d <> 0),
+t AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.id <> o.a AND h.id <> o.b AND h.id <> o.c AND (h.x - ax - u) ** 2 + (h.y - ay - v) ** 2 < u * u + v * v))"""
+
+
+def _heights(spark, sf_dir):
+    """Suppliers at uneven places, with heights."""
+    return read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_suppkey * 37 % 1009 + s_acctbal / 1000 AS x", "s_suppkey * 53 % 997 - s_acctbal / 700 AS y", "s_acctbal AS z")
+
+
+@query(f"WITH {TRIANGLES_SQL} SELECT DISTINCT l.a, l.b, round((p.x - q.x) ** 2 + (p.y - q.y) ** 2, 6) AS d2 FROM (SELECT a, b FROM t UNION ALL SELECT b, c FROM t UNION ALL SELECT a, c FROM t) l JOIN h p ON p.id = l.a JOIN h q ON q.id = l.b")
+def delaunay_edges(spark, sf_dir):
+    return triangulation.delaunay(_heights(spark, sf_dir)).select("a", "b", F.round("d2", 6).alias("d2"))
+
+
+@query(f"""WITH {TRIANGLES_SQL}, w AS (SELECT r, c AS col, c * 20 + 10.0 AS x, 1000 - (r * 20 + 10.0) AS y FROM range(0, 50) g(r), range(0, 50) f(c)),
+i AS (SELECT r, col, az, bz, cz, (cx - bx) * (w.y - by_) - (cy - by_) * (w.x - bx) AS wa, (ax - cx) * (w.y - cy) - (ay - cy) * (w.x - cx) AS wb, (bx - ax) * (w.y - ay) - (by_ - ay) * (w.x - ax) AS wc
+  FROM w JOIN t ON w.x BETWEEN least(ax, bx, cx) AND greatest(ax, bx, cx) AND w.y BETWEEN least(ay, by_, cy) AND greatest(ay, by_, cy))
+SELECT r, col AS c, round(min((wa * az + wb * bz + wc * cz) / (wa + wb + wc)), 4) AS z FROM i WHERE wa >= 0 AND wb >= 0 AND wc >= 0 OR wa <= 0 AND wb <= 0 AND wc <= 0 GROUP BY r, col""")
+def tin_linear(spark, sf_dir):
+    """Heights carried linearly over the triangles of the sites."""
+    return triangulation.linear_surface(_heights(spark, sf_dir), Grid(0.0, 1000.0, 20.0, 50, 50)).select("r", "c", F.round("z", 4).alias("z"))
+
+
 GRID_SQL = "g AS (SELECT r * 25 + c AS id, c * 40 + 20 AS x, r * 40 + 20 AS y FROM range(0, 25) a(r), range(0, 25) b(c))"
 
 

@@ -43,6 +43,31 @@ def polygon_cells(spark, sf_dir):
     return inside.groupBy("id").agg(F.count("*").alias("cells"), F.min("r").alias("r0"), F.max("c").alias("c1"))
 
 
+RING_SQL = """t AS (SELECT p_partkey AS id, 200000 + p_partkey * 37 % 2900 AS x, 599900 - p_partkey * 53 % 400 AS y, sin(radians(p_size * 7.0::DOUBLE)) AS dx, cos(radians(p_size * 7.0::DOUBLE)) AS dy FROM part),
+v AS (SELECT 0 AS side, id, k, x + dx * (i * 60) + dy * (j * 22.5) AS x, y + dy * (i * 60) - dx * (j * 22.5) AS y FROM t, (VALUES (0, 1, 1), (1, -1, 1), (2, -1, -1), (3, 1, -1)) w(k, i, j)
+  UNION ALL SELECT 1, s_suppkey, k, 200000.0 + s_suppkey * 41 % 2900 + i, 599500.0 + s_suppkey * 59 % 380 + j FROM supplier, (VALUES (0, 0, 0), (1, 90, 0), (2, 90, 80), (3, 45, 20), (4, 0, 80)) w(k, i, j)),
+e AS (SELECT side, id, x - 200000 AS x, y - 599000 AS y, coalesce(lead(x) OVER w, first(x) OVER w) - 200000 AS qx, coalesce(lead(y) OVER w, first(y) OVER w) - 599000 AS qy FROM v WINDOW w AS (PARTITION BY side, id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+m AS (SELECT a.id AS a, b.id AS b, sign(a.qx - a.x) * sign(b.qx - b.x) AS s, greatest(least(a.x, a.qx), least(b.x, b.qx)) AS lo, least(greatest(a.x, a.qx), greatest(b.x, b.qx)) AS hi,
+  a.x AS ax, a.y AS ay, (a.qy - a.y) / (a.qx - a.x) AS fs, b.x AS bx, b.y AS by_, (b.qy - b.y) / (b.qx - b.x) AS gs
+  FROM e a JOIN e b ON a.side = 0 AND b.side = 1 AND a.x <> a.qx AND b.x <> b.qx AND greatest(least(a.x, a.qx), least(b.x, b.qx)) < least(greatest(a.x, a.qx), greatest(b.x, b.qx))),
+h AS (SELECT *, ay + fs * (lo - ax) AS f0, ay + fs * (hi - ax) AS f1, by_ + gs * (lo - bx) AS g0, by_ + gs * (hi - bx) AS g1 FROM m WHERE hi > lo),
+q AS (SELECT a, b, abs(sum(s * (hi - lo) * (f0 + f1 + g0 + g1 - CASE WHEN (f0 - g0) * (f1 - g1) >= 0 THEN abs(f0 - g0 + f1 - g1) ELSE ((f0 - g0) ** 2 + (f1 - g1) ** 2) / (abs(f0 - g0) + abs(f1 - g1)) END) / 4)) AS shared FROM h GROUP BY a, b)"""
+
+
+def pits(spark, sf_dir):
+    """Five-sided areas, one corner of which points inwards: one for each supplier."""
+    s = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "200000.0D + s_suppkey * 41 % 2900 AS x", "599500.0D + s_suppkey * 59 % 380 AS y")
+    corner = lambda i, j: F.struct((F.col("x") + float(i)).alias("x"), (F.col("y") + float(j)).alias("y"))
+    return s.select("id", F.array(corner(0, 0), corner(90, 0), corner(90, 80), corner(45, 20), corner(0, 80)).alias("ring"))
+
+
+@query(f"WITH {RING_SQL} SELECT a, b, round(shared, 2) AS shared, round(5400 - shared, 2) AS outside FROM q WHERE shared > 0.01")
+def polygon_overlay(spark, sf_dir):
+    """Area that each trench shares with each pit, and what is left of it."""
+    found = vector.overlay(trenches(spark, sf_dir), pits(spark, sf_dir)).where("shared > 0.01")
+    return found.select("a", "b", F.round("shared", 2).alias("shared"), F.round("outside", 2).alias("outside"))
+
+
 @query()
 def class_regions(spark, sf_dir):
     """Connected areas of equal class; tested against a flood fill."""
