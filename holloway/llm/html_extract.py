@@ -6,13 +6,15 @@ Short blocks stay open; in the second pass they inherit the label of the nearest
 their region (the article, or the page if it has none), the one after them for headings.
 
 Defined cases: null, empty and markup-only pages give the empty text; raw text of scripts and styles is skipped up to its end
-tag, or to the end of the page; unclosed tags end with their container; a page is handled as a whole, whatever its
+tag, or to the end of the page; unclosed tags end with their container, list items and table cells, rows and parts also where the next one begins; a page is handled as a whole, whatever its
 length; repeated pages give repeated rows; an empty table gives an empty result; further columns stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import defaultdict
 from html import unescape
 
 import pandas as pd
@@ -36,13 +38,19 @@ BAD_WORDS = set("ad ads adv advert adverts advertisement advertising banner brea
                 "promo promoted promotion recommended related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
                 "tagcloud teaser toolbar warning widget widgets".split())
 BAD_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+_ITEM_ENDS = CONTAINERS - {"li", "dd", "dt", "div"}
+_TABLE = {"table"}
+#: Tags that end open ones when they begin: which, and the open tags that they do not look beyond.
+IMPLIED = {"li": ({"li"}, _ITEM_ENDS | {"dd", "dt"}), "dd": ({"dd", "dt"}, _ITEM_ENDS | {"li"}), "dt": ({"dd", "dt"}, _ITEM_ENDS | {"li"}),
+           "td": ({"td", "th"}, _TABLE | {"tr"}), "th": ({"td", "th"}, _TABLE | {"tr"}), "tr": ({"tr", "td", "th"}, _TABLE),
+           **dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot", "tr", "td", "th"}, _TABLE))}
 STOP_WORDS = set("a an and are as at be been but by for from had has have he her his i if in into is it its not of on or she so that the their there they this to was we were "
                  "which who will with would you der die das den dem des ein eine einer und oder ist sind war nicht mit von zu im auf für als auch sich es er sie wir ich "
                  "le la les un une des du de et ou est sont dans par pour pas que qui sur avec ce cette il elle au aux en el los las y o es son del al se lo como más pero sus su "
                  "con no una por para".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW_TAGS})\b[^<>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW_TAGS})(?=[\s/>])[^<>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*>|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -79,6 +87,7 @@ def blocks(html: str) -> list[tuple[str, int, bool, int, bool]]:
     """(text, characters of link text, boilerplate, number of the article or 0, heading) of each block in page order."""
     out: list[_Block] = []
     stack: list[tuple[str, bool, int]] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where each tag stands in the stack
     bad, main, articles, links = False, 0, 0, 0
     now = _Block(False, 0, False)
 
@@ -88,6 +97,13 @@ def blocks(html: str) -> list[tuple[str, int, bool, int, bool]]:
             out.append(now)
         now = _Block(bad, main, heading)
 
+    def close(k: int) -> None:
+        nonlocal bad, main
+        bad, main = stack[k][1:]
+        for tag, *_ in stack[k:]:
+            places[tag].pop()
+        del stack[k:]
+
     for m in _TOKEN.finditer(html):
         text = m["text"]
         if text is not None:
@@ -105,20 +121,24 @@ def blocks(html: str) -> list[tuple[str, int, bool, int, bool]]:
             links = 0 if m["end"] else 1
         elif m["end"]:
             if tag in BLOCK_TAGS or stack and stack[-1][0] == tag:
-                for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                    if stack[k][0] == tag:
-                        bad, main = stack[k][1:]
-                        del stack[k:]
-                        break
+                if places[tag]:
+                    close(places[tag][-1])
                 links = 0
                 turn()
         else:
             own_bad, own_main = _attributes(m["rest"]) if m["rest"].strip(" /") else (False, False)
             if tag in BLOCK_TAGS:
                 if stack and stack[-1][0] == "p":  # a paragraph ends where a block begins
-                    bad, main = stack.pop()[1:]
+                    close(len(stack) - 1)
+                if tag in IMPLIED:
+                    ended, within = IMPLIED[tag]
+                    limit = max((places[t][-1] for t in within if places[t]), default=-1)
+                    over = [p[at] for t in ended if (at := bisect(p := places[t], limit)) < len(p)]
+                    if over:
+                        close(min(over))
                 links = 0
             if tag in CONTAINERS or own_bad:
+                places[tag].append(len(stack))
                 stack.append((tag, bad, main))
                 bad = bad or own_bad or tag in BAD_TAGS or tag == "header" and not main
                 if not bad and not main and (tag in ("article", "main") or own_main):

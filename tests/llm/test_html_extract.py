@@ -40,3 +40,20 @@ def test_query(spark, sf):
     for r in op6_html_extract(spark, sf).collect():
         inside = re.search("<article>(.*?)</article>", pages[r.page_id], re.S)[1]
         assert r.text == " ".join(html.unescape(re.sub("<[^>]*>", " ", inside)).split()) and r.n_chars == len(r.text)
+
+
+def test_unclosed_items_of_a_menu():
+    story = "<p>This is the story of the day and it has quite a lot of the usual words in it.</p>"
+    text = re.sub("<.*?>", "", story)
+    for menu in ("<ul>" + "<li><a>x</a>" * 500 + "</ul>", "<table>" + "<tr><td>x" * 500 + "</table>", "<dl>" + "<dt>x<dd>y" * 500 + "</dl>", "<div>" * 300, "<ul><li><ul>" * 300):
+        assert main_text(f"<nav>{menu}</nav>{story}") == text
+    for items in ("<ul><li class='ad'>Buy<li>{}</ul>", "<dl><dt class='ad'>Buy<dd>{}</dl>", "<table><tr><td class='ad'>Buy<td>{}</table>", "<table><tr class='ad'><td>Buy<tr><td>{}</table>"):
+        assert main_text(items.format(story)) == text
+    assert main_text(f"<ul class='menu'><li>x<ul><li>y<li>z</ul>w<li>v</ul>{story}") == text
+
+
+def test_custom_elements_are_no_raw_text():
+    story = "<p>This is the story of the day and it has quite a lot of the usual words in it.</p>"
+    for tag in ("video-js", "audio-player", "object-view", "svg-icon"):
+        assert main_text(f"<{tag} x=1></{tag}>{story}") == re.sub("<.*?>", "", story)
+    assert main_text(f"<video src=x>no</video>{story}<script\n>a</script>") == re.sub("<.*?>", "", story)
