@@ -1,13 +1,19 @@
 """Main text of raw HTML pages by two-pass block rules.
 
-A page is cut into blocks at its block-level tags. In the first pass a block is decided by where it stands (menus, footers,
-forms, adverts, comments and what is hidden are boilerplate), by its link density, its length and its density of stop words.
-Short blocks stay open; in the second pass they inherit the label of the nearest decided block of
-their region (the article, or the page if it has none), the one after them for headings.
+A page is cut into blocks at its block-level tags. The first pass decides by a block's own features. Full of links: boilerplate. Long
+with many stop words: main text. Long with few stop words: boilerplate, if the page has main text elsewhere and the block is in no
+article. Short blocks, headings and stopless blocks of an article stay open. In the second pass these inherit the
+label of the nearest decided block of their region, headings of the one after them; of two equally near ones main text counts.
+
+Where a block stands is a further feature. Menus, footers, forms and hidden parts are boilerplate. Class and id names mark adverts,
+side bars or comments by their last word (``cookie-notice`` is one, ``social-history`` is not); they are disregarded on a page
+without article elements that has nothing else. Article elements are a region each: those with main text win over those
+without (teaser cards), and none of them counts if there is more main text beside them than they have words.
 
 Defined cases: null, empty and markup-only pages give the empty text; raw text of scripts and styles is skipped up to its end
-tag, or to the end of the page; unclosed tags end with their container, list items and table cells, rows and parts also where the next one begins; a page is handled as a whole, whatever its
-length; repeated pages give repeated rows; an empty table gives an empty result; further columns stay.
+tag, or to the end of the page; unclosed tags end with their container, list items and table cells, rows and parts also where the next
+one begins; a tag with an open quote ends at the next ``>``; a page is handled as a whole, whatever its length; repeated pages give
+repeated rows; an empty table gives an empty result; further columns stay, those named text or n_chars are replaced.
 """
 
 from __future__ import annotations
@@ -24,8 +30,8 @@ from pyspark.sql.types import StringType
 
 from .common import read
 
-#: Words of a long block; shares of stop words and of link text.
-LONG_WORDS, STOP_SHARE, LINK_SHARE = 10, 0.12, 0.5
+#: Words of a long block; shares of stop words and of link text; how many times an article's words the main text beside it must have to count.
+LONG_WORDS, STOP_SHARE, LINK_SHARE, BESIDE = 10, 0.12, 0.5, 2
 
 # Tags by their role, class and id words of boilerplate, frequent words of four languages.
 BLOCK_TAGS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -37,6 +43,11 @@ BAD_WORDS = set("ad ads adv advert adverts advertisement advertising banner brea
                 "footer gdpr hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup "
                 "promo promoted promotion recommended related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
                 "tagcloud teaser toolbar warning widget widgets".split())
+#: Last words of names whose word before tells what they hold.
+HOLDERS = set("area banners bar block body box btn button buttons card cards col column container content cta entry form frame group holder icon icons inner item items label "
+              "link links list module outer panel posts row section slot stories text title unit wrap wrapper zone".split())
+#: First words of names that tell a state, and tags whose names do.
+STATES, STATE_TAGS = set("has is no not show toggle with without".split()), {"html", "body"}
 BAD_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _ITEM_ENDS = CONTAINERS - {"li", "dd", "dt", "div"}
 _TABLE = {"table"}
@@ -51,45 +62,56 @@ STOP_WORDS = set("a an and are as at be been but by for from had has have he her
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW_TAGS})(?=[\s/>])[^<>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^<>]*>|(?P<text>[^<]+|<)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<open>/?[a-zA-Z][^<>]*)>|<[!?/][^<>]*>|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NOTICE = re.compile(r"(?:©|\(c\) |copyright\b|all rights reserved)", re.IGNORECASE)
+#: How sure it is that a place is boilerplate.
+CLEAR, NAMED, PLACED = 0, 1, 2
 
 
 class _Block:
     __slots__ = ("parts", "link", "bad", "main", "heading")
 
-    def __init__(self, bad: bool, main: int, heading: bool):
+    def __init__(self, bad: int, main: int, heading: bool):
         self.parts: list[str] = []
         self.link, self.bad, self.main, self.heading = 0, bad, main, heading
 
 
-def _attributes(rest: str) -> tuple[bool, bool]:
-    """(boilerplate, main) by a tag's attributes."""
-    bad = main = False
+def _bad_name(name: str) -> bool:
+    """Whether one class or id tells boilerplate: by its last word, or by the one before a word that only holds."""
+    words = [w.lower() for w in _NAME.findall(name)]
+    while len(words) > 1 and words[-1] in HOLDERS:
+        words.pop()
+    return bool(words) and words[-1] in BAD_WORDS and words[0] not in STATES
+
+
+def _attributes(rest: str) -> tuple[int, bool]:
+    """How sure a tag's attributes tell boilerplate, and whether they tell main text."""
+    bad, main = CLEAR, False
     for name, a, b, c in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = {w.lower() for w in _NAME.findall(value)}
-            bad |= bool(words & BAD_WORDS)
+            if any(map(_bad_name, value.split())):
+                bad = max(bad, NAMED)
         elif name == "role":
-            bad |= value.lower() in BAD_ROLES
+            bad = PLACED if value.lower() in BAD_ROLES else bad
             main |= value.lower() == "main"
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            bad = True
+            bad = PLACED
         elif name == "itemprop":
             main |= value == "articleBody"
     return bad, main
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, int, bool]]:
-    """(text, characters of link text, boilerplate, number of the article or 0, heading) of each block in page order."""
+def blocks(html: str) -> list[tuple[str, int, int, int, bool]]:
+    """(text, characters of link text, CLEAR, NAMED or PLACED, number of the article or 0, heading) of each block in page order."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, int, int]] = []
     places: defaultdict[str, list[int]] = defaultdict(list)  # where each tag stands in the stack
-    bad, main, articles, links = False, 0, 0, 0
-    now = _Block(False, 0, False)
+    bad, main, articles, links = CLEAR, 0, 0, 0
+    now = _Block(CLEAR, 0, False)
 
     def turn(heading: bool = False) -> None:
         nonlocal now
@@ -104,29 +126,34 @@ def blocks(html: str) -> list[tuple[str, int, bool, int, bool]]:
             places[tag].pop()
         del stack[k:]
 
+    last = html.rfind(">")
     for m in _TOKEN.finditer(html):
         text = m["text"]
+        if text == "<" and m.start() > last and html[m.end() : m.end() + 1].isalpha():
+            break  # a tag that never ends
         if text is not None:
             now.parts.append(text)
             if links:
                 now.link += len(text.strip())
             continue
-        tag = m["tag"]
+        tag, end, rest = m["tag"], m["end"], m["rest"]
+        if m["open"]:
+            end, tag, rest = re.match(r"(/?)([^\s/]*)(.*)", m["open"], re.DOTALL).groups()
         if tag is None:
             continue
         tag = tag.lower()
         if tag == "br":
             now.parts.append(" ")
         elif tag == "a":
-            links = 0 if m["end"] else 1
-        elif m["end"]:
+            links = 0 if end else 1
+        elif end:
             if tag in BLOCK_TAGS or stack and stack[-1][0] == tag:
                 if places[tag]:
                     close(places[tag][-1])
                 links = 0
                 turn()
         else:
-            own_bad, own_main = _attributes(m["rest"]) if m["rest"].strip(" /") else (False, False)
+            own_bad, own_main = _attributes(rest) if rest.strip(" /") and tag not in STATE_TAGS else (CLEAR, False)
             if tag in BLOCK_TAGS:
                 if stack and stack[-1][0] == "p":  # a paragraph ends where a block begins
                     close(len(stack) - 1)
@@ -140,7 +167,7 @@ def blocks(html: str) -> list[tuple[str, int, bool, int, bool]]:
             if tag in CONTAINERS or own_bad:
                 places[tag].append(len(stack))
                 stack.append((tag, bad, main))
-                bad = bad or own_bad or tag in BAD_TAGS or tag == "header" and not main
+                bad = max(bad, own_bad, PLACED if tag in BAD_TAGS or tag == "header" and not main else CLEAR)
                 if not bad and not main and (tag in ("article", "main") or own_main):
                     articles += 1
                     main = articles
@@ -155,50 +182,69 @@ def blocks(html: str) -> list[tuple[str, int, bool, int, bool]]:
     return found
 
 
-def classify(found: list[tuple[str, int, bool, int, bool]]) -> list[bool]:
-    """Whether each block is main text."""
-    has_main = any(main for _, _, bad, main, _ in found if not bad)
-    label: list[bool | None] = []
-    for text, link, bad, main, heading in found:
-        words = text.split()
-        if bad or link > LINK_SHARE * len(text) or has_main and not main:
-            label.append(False)
-        elif heading or len(words) < LONG_WORDS:
-            label.append(None)
-        else:
-            share = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
-            label.append(True if share >= STOP_SHARE or main else False if len(words) > 3 * LONG_WORDS else None)
-    # Nearest decided blocks of the same region, before and after each open one.
-    region = [main if has_main else 0 for _, _, _, main, _ in found]
-    same = [not (has_main and (bad or not main)) for _, _, bad, main, _ in found]
-    n = len(found)
-    before: list[int | None] = [None] * n
-    after: list[int | None] = [None] * n
-    seen: dict[int, int] = {}
-    for k in range(n):
-        before[k] = seen.get(region[k])
-        if label[k] is not None and same[k]:
-            seen[region[k]] = k
-    seen = {}
-    for k in reversed(range(n)):
-        after[k] = seen.get(region[k])
-        if label[k] is not None and same[k]:
-            seen[region[k]] = k
+def _density(words: list[str]) -> float:
+    return sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / len(words)
+
+
+def inherit(label: list[bool | None], region: list[int], same: list[bool], heading: list[bool]) -> list[bool]:
+    """The second pass: open blocks take the label of the nearest decided block of their region, before or after them."""
+    def nearest(places) -> list[int | None]:
+        seen: dict[int, int] = {}
+        out: list[int | None] = [None] * len(label)
+        for k in places:
+            out[k] = seen.get(region[k])
+            if label[k] is not None and same[k]:
+                seen[region[k]] = k
+        return out
+
+    before, after = nearest(range(len(label))), nearest(reversed(range(len(label))))
     out = []
-    for k in range(n):
-        got = label[k]
+    for k, got in enumerate(label):
         if got is None:
             a, b = before[k], after[k]
-            if a is None and b is None:
-                got = True
-            elif a is None or b is None:
-                got = bool(label[b if a is None else a])
+            if a is None or b is None:
+                got = True if a is b else bool(label[b if a is None else a])
             else:
-                got = bool(label[b if found[k][4] or b - k <= k - a else a])
+                got = bool(label[b] if heading[k] or b - k < k - a else label[a] or b - k == k - a and label[b])
         out.append(got)
     return out
 
 
+def classify(found: list[tuple[str, int, int, int, bool]]) -> list[bool]:
+    """Whether each block is main text."""
+    words = [text.split() for text, *_ in found]
+    dense = [not heading and len(w) >= LONG_WORDS and link <= LINK_SHARE * len(text) and _density(w) >= STOP_SHARE for w, (text, link, _, _, heading) in zip(words, found, strict=True)]
+    sure = CLEAR
+    if not any(main for *_, main, _ in found) and not any(bad == CLEAR and link <= LINK_SHARE * len(text) for text, link, bad, _, _ in found):
+        sure = NAMED  # nothing but what names tell against: they are disregarded
+    named = [bad <= sure for _, _, bad, _, _ in found]
+    open_ = [ok and link <= LINK_SHARE * len(text) for ok, (text, link, *_) in zip(named, found, strict=True)]
+    # Regions: the articles with main text, or all if none has any; none if more main text stands beside them than they have words.
+    articles = {main for ok, (*_, main, _) in zip(open_, found, strict=True) if ok and main}
+    chosen = {main for ok, d, (*_, main, _) in zip(open_, dense, found, strict=True) if ok and d and main} or articles
+    inside = sum(len(w) for w, ok, (*_, main, _) in zip(words, open_, found, strict=True) if ok and main in chosen)
+    beside = sum(len(w) for w, ok, d, (*_, main, _) in zip(words, open_, dense, found, strict=True) if ok and d and not main)
+    teasers = beside > BESIDE * inside
+    if teasers:
+        chosen = set()
+    region = [main if main in chosen else 0 for *_, main, _ in found]
+    candidate = [ok and (not chosen or r in chosen) and (not teasers or d or not main) for ok, d, r, (*_, main, _) in zip(open_, dense, region, found, strict=True)]
+    any_dense = any(d and ok for d, ok in zip(dense, candidate, strict=True))
+    # First pass.
+    label: list[bool | None] = []
+    for w, ok, d, r, (text, _, _, _, heading) in zip(words, candidate, dense, region, found, strict=True):
+        if not ok or len(w) < LONG_WORDS and not r and _NOTICE.match(text):
+            label.append(False)
+        elif d:
+            label.append(True)
+        elif heading or len(w) < LONG_WORDS or r or not any_dense:
+            label.append(None)
+        else:
+            label.append(False)
+    same = [not chosen or r in chosen and ok for r, ok in zip(region, named, strict=True)]
+    return inherit(label, region, same, [heading for *_, heading in found])
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: its blocks in order, joined by single spaces."""
     found = blocks(html or "")
@@ -211,7 +257,7 @@ def _main_text(pages: pd.Series) -> pd.Series:
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` without the html, with text and n_chars (its code points)."""
+    """``pages`` without the html, with text and n_chars (its code points); columns of these two names are replaced."""
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     return pages.select(*rest, _main_text(F.col(html_col)).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

@@ -1,7 +1,11 @@
+import difflib
 import html
 import re
 import time
 
+import pytest
+
+from holloway.llm import html_extract
 from holloway.llm.html_extract import extract, main_text, op6_html_extract
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies on the site and more of that.</div>
@@ -57,3 +61,54 @@ def test_custom_elements_are_no_raw_text():
     for tag in ("video-js", "audio-player", "object-view", "svg-icon"):
         assert main_text(f"<{tag} x=1></{tag}>{story}") == re.sub("<.*?>", "", story)
     assert main_text(f"<video src=x>no</video>{story}<script\n>a</script>") == re.sub("<.*?>", "", story)
+
+
+A = "The river rose in the night and it was over the road by the time that we had left the house on the hill."
+B = "It is not known who has built the wall, but the stones are from the quarry and they were cut with great care."
+C = "In the spring the people of the village came with their carts, and the market was held on the old square."
+KEYS = "lens tripod strap battery charger filter memory card backpack drone gimbal microphone monitor cable adapter mount light reflector"
+LINKS = "<ul>" + "".join(f"<li><a href='/{k}'>{k}</a></li>" for k in KEYS.split()) + "</ul>"
+CODE = "int x = 3; for (k = 0; k < n; k++) sum += v[k]; return sum / n; }"
+
+#: Pages without an article element, or with a misleading one: html, and its main text.
+LABELLED = [
+    (f"<div><p>Home</p><p>News</p>{LINKS}</div><h1>Flood</h1><p>{A}<p>So it went.<p>{B}<div>{LINKS}<p>Follow us</p></div>", f"Flood {A} So it went. {B}"),
+    (f"<div class='wrap social-history'><h2>Walls</h2><p>{B}</p><p>{C}</p></div><div>{LINKS}</div>", f"Walls {B} {C}"),
+    (f"<article class='card'><h3>Ten lenses</h3>Read more</article><div><h1>Market</h1><p>{C}</p><p>{A}</p></div>", f"Market {C} {A}"),
+    (f"<article><h3>Ten lenses</h3></article><article><h1>Flood</h1><p>{A}</p><p>Soon.</p></article><article>More</article>", f"Flood {A} Soon."),
+    (f"<p>{KEYS}</p><p>{A}</p><p>{B}</p><p>{KEYS}</p>", f"{A} {B}"),
+    (f"<table><tr><td>{LINKS}<td><h1>Market</h1>{C}<br>{A}<td>{LINKS}</table>", f"Market {C} {A}"),
+    (f"<body class='no-sidebar'><div id='main-content'><p>{A}</p><blockquote>{C}</blockquote></div><div id='sidebar'><p>{B}</p></div></body>", f"{A} {C}"),
+    (f"<div class='post'><p>{A}</p><div class='ad-slot'>{B}</div><p>{C}</p></div><div class='comments-list'><p>{A}</p></div>", f"{A} {C}"),
+    (f"<main><h1>Walls</h1><p>{B}</p><pre>{CODE}</pre><p>{C}</p></main><div><p>{A}</p></div>", f"Walls {B} {CODE} {C}"),
+    (f"<div><p>{A}</p></div><div>{LINKS}<p>Sign up</p><p>Press</p>{LINKS}</div><p>Copyright 2020, all rights reserved</p>", A),
+    (f"<div role=banner><p>{A}</p></div><p>{B}</p><h2>Market day</h2><p>{C}</p><form><p>{A}</p></form>", f"{B} Market day {C}"),
+    (f"<div><a href=x>{A}</a></div><div><p>{C}</p><p>By the lake</p></div><section class=recommended><p>{B}</p></section>", f"{C} By the lake"),
+]
+
+
+def words_f1(pages):
+    """F1 over the words of all pages, in order of place."""
+    hit = got_n = want_n = 0
+    for page, want in pages:
+        got, want = main_text(page).split(), want.split()
+        hit += sum(b.size for b in difflib.SequenceMatcher(None, got, want, autojunk=False).get_matching_blocks())
+        got_n, want_n = got_n + len(got), want_n + len(want)
+    return 2 * hit / (got_n + want_n)
+
+
+def test_labelled_pages():
+    assert words_f1(LABELLED) > 0.95
+
+
+@pytest.mark.parametrize("name, value", [("STOP_WORDS", set()), ("LINK_SHARE", 2), ("LONG_WORDS", 500), ("inherit", lambda label, *_: list(map(bool, label)))])
+def test_every_feature_decides(monkeypatch, name, value):
+    before = words_f1(LABELLED)
+    monkeypatch.setattr(html_extract, name, value)
+    assert words_f1(LABELLED) < before
+
+
+def test_open_quotes_and_long_pages():
+    assert main_text(f'<div class="a><p title="x>{A}</p>') == A
+    page = f"<article><p>{A}</p>" + f"<p>{C}</p><p>Short.</p>" * 20_000 + "</article>"
+    assert main_text(page) == " ".join([A, *[C, "Short."] * 20_000])
