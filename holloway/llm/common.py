@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, join_keyed, shared_dir, stored, unique_name
 
-__all__ = ["cut", "join_keyed", "keep_rows", "read", "row_key", "shared_dir", "stored", "unique_name"]
+__all__ = ["cut", "free_name", "join_keyed", "keep_rows", "read", "row_key", "shared_dir", "stored", "unique_name"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    name, taken = "__own", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def row_key(id_col: str, text_col: str):
     """A key of a row made of its id and text; rows with equal keys are copies of one another."""
     return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.hex(F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
@@ -24,6 +32,7 @@ def keep_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> D
 
     The semi-join and the removal of repeats share one shuffle and one sort.
     """
-    tagged = docs.withColumn("__key", row_key(id_col, text_col))
-    found = tagged.join(keys.select(F.col("key").alias("__key")), "__key", "left_semi")
-    return found.dropDuplicates(["__key"]).select(*docs.columns)
+    name = free_name(docs)
+    tagged = docs.withColumn(name, row_key(id_col, text_col))
+    found = tagged.join(keys.select(F.col("key").alias(name)), name, "left_semi")
+    return found.dropDuplicates([name]).select(*docs.columns)
