@@ -2,35 +2,39 @@
 
 Texts are cut into windows of WINDOW bytes. Filters of several widths slide over a window's byte classes, each keeps
 its largest response, and a softmax layer turns these into probabilities; a text's probabilities are the mean
-over all its windows. The network is trained in numpy on the driver with a bounded sample: at most DOCS documents
-of each of the LANGUAGES most frequent labels and WINDOWS windows of each document. Prediction covers whole texts.
-
-Defined cases: a text that is null or has no letter is ``und`` with score 0; the last window is padded; equal
-probabilities go to the label that sorts first; a null id counts as the empty string when rows are held out; without labelled rows every text is
-``und``; repeated rows are predicted alike; an empty table gives an empty result.
+over all its windows. The network is trained in numpy on the driver with a bounded sample of the labelled rows: BUCKETS hash buckets
+of ids for each label, the first ``docs // BUCKETS`` ids of each, and WINDOWS windows of each document. ``docs`` is DOCS, less where
+there are so many labels that DOCS of each would be over ROWS documents; every label keeps BUCKETS documents, so all labels are learned.
+Prediction covers whole texts.
+
+Defined cases: a text that is null or has no letter (of any script; digits, signs and numerals are none) is ``und`` with score 0; the last
+window is padded; equal probabilities go to the label that sorts first; a null id counts as the empty string when rows are held out; rows that repeat an id and label share one place in the sample, by
+the text that sorts first; without labelled rows every text is ``und``; repeated rows are predicted alike; an empty table gives an empty result; columns named held_out,
+lang_pred or score are replaced, all others stay.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, free_name, read
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 16
-DOCS, WINDOWS, LANGUAGES, BUCKETS = 800, 8, 100, 32
+#: Sampled documents of a label and of all labels, windows of a document, hash buckets of a label.
+DOCS, ROWS, WINDOWS, BUCKETS = 800, 80_000, 8, 32
 EPOCHS, BATCH, RATE, SEED = 3, 64, 0.01, 7
 #: Bytes of text that are predicted at once.
 PART = 1 << 22
 RESULT = "struct<lang_pred: string, score: double>"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _byte_classes() -> np.ndarray:
@@ -143,18 +147,17 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
     """Windows of the sampled documents: ids are chosen without reading texts, then their texts are cut in Spark."""
-    # A label's frequency comes from partial sums; the sample is the first DOCS by hash, limited in each task before the shuffle.
-    top = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).select(lang_col)
-    # First in BUCKETS parts of a label, as one label may have most rows, then among what these leave.
-    order, part = [F.xxhash64(id_col), F.col(id_col)], F.pmod(F.xxhash64(id_col), F.lit(BUCKETS))
-    ids = labelled.select(id_col, lang_col).join(F.broadcast(top), lang_col, "left_semi")
-    for w in (Window.partitionBy(lang_col, part), Window.partitionBy(lang_col)):
-        ids = ids.withColumn("r", F.row_number().over(w.orderBy(*order))).where(F.col("r") <= DOCS).drop("r")
-    ids = cut(ids.select(id_col).distinct())
+    labels = labelled.select(lang_col).distinct().count()
+    each = max(1, min(DOCS, ROWS // max(1, labels)) // BUCKETS)
+    # A label may have most rows: each of its buckets has its own quota, and tasks limit theirs before the shuffle.
+    order, part = [F.xxhash64(id_col), F.col(id_col)], F.pmod(F.xxhash64(id_col, F.lit(SEED)), F.lit(BUCKETS))
+    ids = labelled.select(lang_col, id_col).withColumn("r", F.row_number().over(Window.partitionBy(lang_col, part).orderBy(*order))).where(F.col("r") <= each).drop("r")
+    ids = cut(ids.distinct())  # ROWS in all, or BUCKETS a label, so it may be broadcast
     step = F.greatest(F.lit(1), F.floor((F.length(text_col) - WINDOW) / (WINDOWS - 1)).cast("int"))
     n = F.least(F.lit(WINDOWS), F.greatest(F.lit(1), F.ceil(F.length(text_col) / WINDOW).cast("int")))
     cuts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text_col, i * step + 1, F.lit(WINDOW)))
-    return labelled.join(F.broadcast(ids), id_col, "left_semi").select(lang_col, cuts.alias("w")).limit(2 * DOCS * LANGUAGES).collect()
+    found = labelled.join(F.broadcast(ids), [lang_col, id_col], "left_semi").select(lang_col, id_col, cuts.alias("w"))
+    return found.groupBy(lang_col, id_col).agg(F.min("w").alias("w")).select(lang_col, "w").collect()
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
@@ -221,9 +224,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with held_out, lang_pred and score; learned from its labelled rows that are not held out."""
     model = train(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
-    found = docs.withColumn("__p", predictor(docs.sparkSession, model)(F.col(text_col)))
-    rest = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
-    return found.select(*rest, held_out(id_col).alias("held_out"), "__p.lang_pred", "__p.score")
+    name = free_name(docs)
+    found = docs.withColumn(name, predictor(docs.sparkSession, model)(F.col(text_col)))
+    rest = [c for c in docs.columns if c.lower() not in ("held_out", "lang_pred", "score")]
+    return found.select(*rest, held_out(id_col).alias("held_out"), f"{name}.lang_pred", f"{name}.score")
 
 
 def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from holloway.llm.lang_id import ByteCNN, identify, op7_lang_id, predict_texts, windows
+from holloway.llm.lang_id import ByteCNN, identify, op7_lang_id, predict_texts, train, windows
 
 from .cases import TEXTS, documents, empty
 
@@ -19,7 +19,8 @@ def test_whole_texts_count():
     model = ByteCNN.new(["a", "b"])
     short, long = "abc def " * 32, "abc def " * 32 + "xyz uvw " * 3200
     assert predict_texts(model, [short])[0][1] != predict_texts(model, [long])[0][1]
-    assert predict_texts(model, [None, "", "123 !?", "é"])[:3] == [("und", 0.0)] * 3
+    assert predict_texts(model, [None, "", "123 !?", "² ½ ① Ⅷ", "é"])[:4] == [("und", 0.0)] * 4
+    assert all(x[0] != "und" for x in predict_texts(model, ["é", "ª", "日", "x²"]))
 
 
 def test_cases(spark):
@@ -32,6 +33,16 @@ def test_cases(spark):
     assert {r.lang_pred for r in identify(documents(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_sample_is_fixed_and_keeps_rare_labels(spark):
+    texts = {"aa": "zo zi zu za ", "bb": "pek pok pak ", "cc": "lirum larum "}
+    rows = [(k, texts[v] * 30, v) for k, v in enumerate(["aa"] * 300 + ["bb"] * 40 + ["cc"] * 3)] + [(5, "other text for id five", "aa")] * 2
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [train(x) for x in (t, t.orderBy(F.desc("doc_id")).repartition(7))]
+    assert models[0].languages == ["aa", "bb", "cc"] and (models[0].out == models[1].out).all()
+    out = identify(spark.createDataFrame([(1, texts["bb"] * 9, "x", "y")], "doc_id long, text string, score string, __own string").withColumn("lang", F.lit("bb")))
+    assert sorted(out.columns) == sorted(["doc_id", "text", "__own", "lang", "held_out", "lang_pred", "score"]) and out.first()["__own"] == "y"
+
+
 def test_held_out_accuracy(spark, sf):
     big = sf.replace("sf0.001", "sf0.01")
     out = op7_lang_id(spark, big).join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
