@@ -1,14 +1,19 @@
 """Personal data: fixed base patterns, and contextual extraction bootstrapped from what these find.
 
-Base spans (emails, IP addresses, payment cards, phone numbers) are the seeds. The words beside a seed make lexical patterns; the same
-patterns are read beside every other identifier-like phrase of the corpus. Spark scores the graph of patterns and values
-in rounds: a pattern's confidence in a kind is the mean score of the distinct values that it stands beside, if enough
-distinct seeds support it; a value's score is one minus the product of its patterns' doubts. Confident patterns then
-mark unseen values of a fitting form, as kinds found_email, found_ip, found_card and found_phone. Base spans always stay, and no
-found span overlaps one.
+Base spans (emails, IP addresses, payment cards, phone numbers) are seeds, and so are strings that no text has by chance: long runs of mixed
+digits and letters, for secrets. The words and signs beside a seed make lexical patterns; the same patterns are read beside every
+other identifier-like phrase of the corpus. Spark scores the graph of patterns and values in rounds: a pattern's confidence
+in a kind is the mean score of the distinct values that it stands beside, if enough distinct seeds support it; a value's score is one
+minus the product of its patterns' doubts. Confident patterns then mark values of a fitting form, as kinds found_email, found_ip,
+found_card, found_phone and found_secret; a secret needs a confident pattern too, its form alone marks nothing. Base spans always
+stay, and no found span overlaps one.
+
+Forms of found values: masked or undotted mails (local parts to 64 and labels to 63 characters, as mail has them), IPv6 addresses,
+digit phrases of 7 to 19 digits, and words of 8 or more letters, digits, ``_``, ``+``, ``/`` or ``-`` that have both letters and digits.
 
 Defined cases: null and empty texts have no spans; each row keeps its own spans, also when ids repeat; patterns and scores
-come from all rows; texts of any length are read whole, in linear time; an empty table gives an empty result.
+come from all rows; texts of any length are read whole, contexts in whole words, in linear time; an empty table gives an empty
+result; further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +28,9 @@ from pyspark.sql import functions as F
 from .common import cut, join_keyed, read
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of found spans; the last has no base pattern.
+FOUND = (*KINDS, "secret")
+SECRET = len(KINDS)
 #: Rounds of scoring, distinct seeds that a pattern needs, and the confidence of patterns and values that mark new spans.
 ROUNDS, SEEDS, PATTERN_SURE, VALUE_SURE = 3, 3, 0.8, 0.8
 
@@ -38,6 +46,11 @@ _MASKED = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}\s?[\[(]at[\])]\s?[\w-]{1,63}(
 _AT = re.compile(r"[\[(]at[\])]", re.IGNORECASE)
 _V6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:])")
 _DIGIT = re.compile(r"[0-9]")
+_KEY = re.compile(r"(?<![\w+/-])[A-Za-z0-9_+/-]{8,}+(?![\w+/-])")
+_LETTER, _CAPITAL, _SMALL = re.compile(r"[A-Za-z]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")
+_HEX = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
+#: Signs and words of a context: a run of letters, a run of digits (all alike), or any other character that is no space.
+_WORD = re.compile(r"[^\W\d_]+|\d+|[^\s\w]|_")
 
 RESULT = "struct<base: array<struct<kind: int, start: int, stop: int>>, slots: array<struct<kind: int, start: int, stop: int, seed: boolean, value: string, patterns: array<string>>>>"
 
@@ -79,18 +92,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _words_before(text: str, stop: int, n: int) -> list[str]:
+    """The last n whole words before a place. The slice that is read grows until it holds one more, so none is cut."""
+    size = 64
+    while True:
+        start = max(0, stop - size)
+        words = _WORD.findall(text[start:stop])
+        if start == 0 or len(words) > n:
+            return words[-n:]
+        size *= 4
+
+
 def _patterns(text: str, start: int, stop: int) -> list[str]:
-    """The lexical patterns round a span: two words before it, and one before with one after."""
-    before = _DIGIT.sub("0", text[max(0, start - 80) : start].lower()).split()[-2:]
-    after = _DIGIT.sub("0", text[stop : stop + 40].lower()).split()[:1]
+    """The lexical patterns round a span: three words before it, and one before with one after."""
+    before = [_shape(w) for w in _words_before(text, start, 3)]
+    m = _WORD.search(text, stop)
     out = []
-    if len(before) == 2:
+    if len(before) == 3:
         out.append("L " + " ".join(before))
-    if before and after:
-        out.append(f"M {before[-1]} _ {after[0]}")
+    if before and m:
+        out.append(f"M {before[-1]} _ {_shape(m.group())}")
     return out
 
 
+def _shape(word: str) -> str:
+    return "0" if word[0].isdigit() else word.lower()
+
+
+def _key_kind(value: str) -> tuple[bool, bool]:
+    """Whether a word may be a secret, and whether its form is a seed: 32 hexadecimal digits, or 20 characters with capitals, small letters and digits."""
+    if not (_DIGIT.search(value) and _LETTER.search(value)):
+        return False, False
+    return True, bool(_HEX.fullmatch(value)) or len(value) >= 20 and bool(_CAPITAL.search(value) and _SMALL.search(value))
+
+
 def scan(text: str | None) -> tuple[list[tuple], list[tuple]]:
     """Base spans, and slots (kind, start, end, seed, value, patterns): seeds and other identifier-like phrases with
     each kind that their form allows, or kind -1."""
@@ -99,6 +134,7 @@ def scan(text: str | None) -> tuple[list[tuple], list[tuple]]:
     taken = sorted((s, e) for _, s, e in base)
     slots = [(k, s, e, True, text[s:e], _patterns(text, s, e)) for k, s, e in base]
     found: list[tuple[int, int, list[int]]] = []
+    seeds: set[int] = set()
     if "@" in text:
         found += [(m.start(), m.end(), [0]) for m in re.finditer(r"(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]{2,63}", text)]
     if _AT.search(text):
@@ -106,6 +142,11 @@ def scan(text: str | None) -> tuple[list[tuple], list[tuple]]:
     if text.count(":") >= 3:
         found += [(m.start(), m.end(), [1]) for m in _V6.finditer(text)]
     if _DIGIT.search(text):
+        for m in _KEY.finditer(text):
+            fits, sure = _key_kind(m.group())
+            if fits:
+                found.append((m.start(), m.end(), [SECRET]))
+                seeds |= {m.start()} if sure else set()
         for m in _PHRASE.finditer(text):
             n = len(_DIGIT.findall(m.group()))
             kinds = [3] * (7 <= n <= 15) + [2] * (13 <= n <= 19)
@@ -118,7 +159,7 @@ def scan(text: str | None) -> tuple[list[tuple], list[tuple]]:
             continue
         last = e
         patterns = _patterns(text, s, e)
-        slots += [(k, s, e, False, text[s:e], patterns) for k in kinds]
+        slots += [(k, s, e, k == SECRET and s in seeds, text[s:e], patterns) for k in kinds]
     return base, [x for x in slots if x[5]]
 
 
@@ -144,7 +185,7 @@ def _confidence(edges: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def bootstrap(slots: DataFrame) -> DataFrame:
-    """The slots, of those that are no seeds, that confident patterns mark; ``slots`` has one row for each slot.
+    """The slots, of those that are no base spans, that confident patterns mark; ``slots`` has one row for each slot.
 
     A pattern or value may stand in most rows: joins on them take the number of rows that they have and spare hot ones the shuffle.
     """
@@ -160,19 +201,19 @@ def bootstrap(slots: DataFrame) -> DataFrame:
         values = cut(values.join(doubt, "node", "left").select("node", F.greatest("score", F.coalesce("gain", F.lit(0.0))).alias("score"), "n", "rows"))
     marks = sure.where(F.col("confidence") >= PATTERN_SURE).select("mark", "rows")
     known = values.where(F.col("score") >= VALUE_SURE).select("node", "rows")
-    hits = long.where("NOT seed AND kind >= 0").select("row", "start", "stop", "kind", "node", "mark")
+    hits = long.where(f"(NOT seed OR kind = {SECRET}) AND kind >= 0").select("row", "start", "stop", "kind", "node", "mark")
     hits = join_keyed(hits, marks, "mark", "rows").drop("rows", "mark")
     hits = join_keyed(hits, known, "node", "rows")
     return hits.groupBy("row", "start", "stop").agg(F.min("kind").alias("kind"))
 
 
 def _joined(spans) -> F.Column:
-    names = F.array(*[F.lit(k) for k in (*KINDS, *(f"found_{k}" for k in KINDS))])
+    names = F.array(*[F.lit(k) for k in (*KINDS, *(f"found_{k}" for k in FOUND))])
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: id, base and spans (arrays of kind, start, stop; kinds 4 to 7 are found ones). Positions are code points."""
+    """For each row: id, base and spans (arrays of kind, start, stop; kinds from 4 are found ones). Positions are code points."""
     scanned = docs.select(F.col(id_col), _scanner()(F.col(text_col)).alias("r")).select(id_col, F.monotonically_increasing_id().alias("row"), "r.base", "r.slots")
     rows = cut(scanned)
     slots = cut(rows.where(F.size("slots") > 0).select("row", F.inline("slots")))
@@ -181,7 +222,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of documents: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and found)."""
+    """All rows of documents: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and found), and how many these are (n_spans)."""
     found = find(read(spark, sf_dir, "documents"))
     counts = [F.size(F.filter(F.col("base.kind"), F.lit(k).eqNullSafe)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
