@@ -59,3 +59,15 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, size: str, how: str
     near = marked.where(F.col("__hot").isNotNull()).select(*rows.columns, *[F.col(f"__hot.{c}").alias(c) for c in values])
     far = marked.where(F.col("__hot").isNull()).drop("__hot").join(keyed.where(F.col(size) <= limit), key, how)
     return near.unionByName(far.select(*rows.columns, *values))
+
+
+def join_salted(rows: DataFrame, keyed: DataFrame, key: str, size: str, spread: str) -> DataFrame:
+    """As join_keyed(), for wide ``keyed`` rows, which are never broadcast: a hot key's row is copied once for each part of
+    its rows, which are dealt by a hash of ``spread``. Only hot keys and their numbers of parts are broadcast, 1 / HOT_SHARE at most."""
+    total = keyed.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    limit = max(1000, int(total * HOT_SHARE))
+    parts = F.ceil(F.col(size) / limit).cast("int")
+    hot = keyed.where(F.col(size) > limit).select(key, parts.alias("__parts"))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    right = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return left.join(right, [key, "__part"]).drop("__part")
