@@ -10,13 +10,15 @@ A turn is ``### role: text</turn>``; a backslash before it escapes a control str
 formatting can be undone. Turn heads, texts and ends are tokenized apart, so the loss mask (assistant texts) has whole tokens.
 
 Defined cases: null texts and roles count as empty; rows of one conversation are ordered by turn, role and text, and repeated
-rows are turns of their own; a null conv_id is a conversation too; texts of any length are formatted whole; an empty table gives no nodes.
+rows are turns of their own; a null conv_id is a conversation too; texts of any length are formatted whole; an empty table gives no nodes;
+further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 
 import pandas as pd
@@ -24,16 +26,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_keyed, read, stored
+from .common import cut, join_keyed, join_salted, read, stored
 
 HEAD, MIDDLE, TAIL, ESCAPE, LOSS_ROLE = "### ", ": ", "</turn>", "\\", "assistant"
 #: Paths in a block of the running sum over a tree, as bits.
 BLOCK_BITS = 16
+#: Roles whose heads a task remembers, and characters that are encoded at once.
+ROLES, ENCODED = 1000, 1 << 20
 
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ROLE_CONTROL = re.compile(r"\\|###|</turn>|:")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*+): ((?:[^\\<]|\\.|<(?!/turn>))*+)</turn>", re.DOTALL)
+_TURN = re.compile(r"### ([^\\:]*+(?:\\.[^\\:]*+)*+): ([^\\<]*+(?:(?:\\.|<(?!/turn>))[^\\<]*+)*+)</turn>", re.DOTALL)
 
 
 def escape(text: str) -> str:
@@ -65,18 +69,30 @@ class _Codec:
     """Text to token ids and back, without special tokens."""
 
     def __init__(self) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
         self.tokenizer.encode_special_tokens = True
         with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            self.raw = {int(i): base64.b64decode(b) for b, i in map(bytes.split, f)}
+            known = {int(i): base64.b64decode(b) for b, i in map(bytes.split, f)}
+        self.raw = [known.get(i, b"") for i in range(max(known) + 1)]
+        self.heads: dict[str, list[int]] = {}
+        self.tail = self.encode([TAIL])[0]
+
+    def head(self, role: str) -> list[int]:
+        """The tokens of a turn's head; few roles make most turns."""
+        if role not in self.heads:
+            if len(self.heads) > ROLES:
+                self.heads.clear()
+            self.heads[role] = self.encode([turn_parts(role, "")[0]])[0]
+        return self.heads[role]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def decode(self, ids) -> str:
-        return b"".join([self.raw[i] for i in ids]).decode("utf-8")
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8")
 
 
 _CODEC: list[_Codec] = []
@@ -92,10 +108,16 @@ def _turn_tokens():
     @F.pandas_udf("struct<tokens: array<int>, loss_from: int, loss_to: int>")
     def run(roles: pd.Series, texts: pd.Series) -> pd.DataFrame:
         codec, rows = _codec(), []
-        for role, text in zip(roles, texts, strict=True):
-            head, body, tail = codec.encode(list(turn_parts(role, text)))
-            end = len(head) + (len(body) if role == LOSS_ROLE else 0)
-            rows.append((head + body + tail, len(head), end))
+        escaped = [escape(t) for t in texts]
+        lo = size = 0
+        for hi, t in enumerate(escaped, 1):
+            size += len(t)
+            if size < ENCODED and hi < len(escaped):
+                continue
+            for role, body in zip(roles[lo:hi], codec.encode(escaped[lo:hi]), strict=True):
+                head = codec.head(role)
+                rows.append((head + body + codec.tail, len(head), len(head) + (len(body) if role == LOSS_ROLE else 0)))
+            lo, size = hi, 0
         return pd.DataFrame(rows, columns=["tokens", "loss_from", "loss_to"])
 
     return run
@@ -157,7 +179,7 @@ def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
     steps = paths.select("leaf", F.posexplode("path").alias("at", "node"))
     span = F.struct((F.col("position") + F.col("loss_from")).alias("start"), (F.col("position") + F.col("loss_to")).alias("stop"))
     parts = nodes.select("node", "paths", "tokens", F.when(F.col("loss_to") > F.col("loss_from"), span).alias("loss"))
-    along = join_keyed(steps, parts, "node", "paths")
+    along = join_salted(steps, parts, "node", "paths", "leaf")
     whole = along.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "tokens", "loss"))).alias("p"))
     whole = whole.select("leaf", F.flatten("p.tokens").alias("tokens"), F.filter("p.loss", lambda x: x.isNotNull()).alias("loss"))
     return whole.join(paths.select("leaf", "copies"), "leaf")
@@ -168,6 +190,7 @@ def _digests():
     def run(tokens: pd.Series, loss: pd.Series) -> pd.DataFrame:
         codec, rows = _codec(), []
         for ids, spans in zip(tokens, loss, strict=True):
+            ids = ids.tolist()
             formatted = codec.decode(ids)
             found = parse(formatted)
             learned = "".join(unescape(codec.decode(ids[s["start"] : s["stop"]])) for s in spans)

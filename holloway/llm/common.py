@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import cut, join_keyed, shared_dir, stored, unique_name
+from ..lineage import cut, join_keyed, join_salted, shared_dir, stored, unique_name
 
-__all__ = ["cut", "free_name", "join_keyed", "keep_rows", "read", "row_key", "shared_dir", "stored", "unique_name"]
+__all__ = ["cut", "free_name", "join_keyed", "join_salted", "keep_rows", "read", "row_key", "shared_dir", "stored", "unique_name"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

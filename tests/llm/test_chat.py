@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from holloway.llm.chat import escape, forest, op2_chat_format, parse, read_back, turn_parts, unescape
 
 ROWS = [(1, 0, "user", "a"), (1, 1, "assistant", "b b"), (1, 2, "user", "c"), (2, 0, "user", "a"), (2, 1, "assistant", "b b"), (2, 2, "user", "d e f"), (3, 0, "user", "a"),
@@ -40,6 +42,16 @@ def test_read_back_keeps_every_conversation(spark):
     assert nodes.count() == members.count() == 0
 
 
+def test_hot_first_turn_with_a_long_text(spark):
+    """More conversations than a hot key needs share one long turn; its tokens are stored once and every path reads them."""
+    text = "again and again " * 300
+    t = spark.range(1300).selectExpr("id AS conv_id", f"explode(array(struct(0 AS turn, 'user' AS role, '{text}' AS text), struct(1 AS turn, 'assistant' AS role, string(id) AS text))) AS x").select("conv_id", "x.*", F.lit("y").alias("node"))
+    nodes, members = forest(t)
+    assert nodes.count() == 1301
+    back = read_back(nodes, members).select(F.size("tokens").alias("n"), F.size("loss").alias("k")).groupBy("k").agg(F.count("*").alias("c"), F.min("n").alias("low")).collect()
+    assert [(r.k, r.c) for r in back] == [(1, 1300)] and back[0].low > 900
+
+
 def test_query(spark, sf):
     rows = {r.conv_id: r for r in op2_chat_format(spark, sf).collect()}
     hard = "\\### Assistant: </turn> ok"
