@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 # Random consistency index for 1 to 15 criteria.
 RANDOM_INDEX = (0.0, 0.0, 0.58, 0.90, 1.12, 1.24, 1.32, 1.41, 1.45, 1.49, 1.51, 1.48, 1.56, 1.57, 1.59)
 LEAST, MOST = 1 / 9, 9.0
@@ -99,19 +101,40 @@ def trench_score(slope: Column, reference: Column, suitability: Column, weights:
     return F.when(total > 0, sum(F.coalesce(p * w, F.lit(0.0)) for p, w in zip(parts, weights, strict=True)) / total)
 
 
-def spaced(candidates: DataFrame, most: int, spacing: float, coverage: float) -> DataFrame:
-    """``candidates`` (id, x, y, score) chosen with ``rank``: the best of each coverage square in turn, none nearer than ``spacing`` to another.
+def spaced(candidates: DataFrame, most: int, spacing: float, coverage: float, block: int = 5000) -> DataFrame:
+    """(id, rank, x, y, score): up to ``most`` of the ``candidates`` (id, x, y, score), none nearer than ``spacing`` to another. Coverage squares take
+    turns, the one with the best candidate first; in its turn a square gives its best candidate that fits with all chosen before.
 
-    Only the best ``most`` of each square can be chosen, and squares take turns by their best; so the choice, which is
-    sequential, is made on the driver from that bounded list of the best squares' best.
+    The choice is sequential, so rows come to the driver in blocks: those of the next places in their squares. Before each block Spark drops what does not fit
+    with the chosen ones (a list of at most ``most``); blocks go on until enough are chosen or no candidate is left, so none is overlooked.
     """
-    square = Window.partitionBy(F.floor(F.col("x") / coverage), F.floor(F.col("y") / coverage)).orderBy(F.desc("score"), "id")
-    ranked = candidates.withColumn("turn", F.row_number().over(square)).where(F.col("turn") <= most)
-    rows = ranked.orderBy("turn", F.desc("score"), "id").limit(most * 200).collect()
+    bx, by = F.floor(F.col("x") / coverage), F.floor(F.col("y") / coverage)
+    left = cut(candidates.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("score").cast("double").alias("score"), bx.alias("bx"), by.alias("by")))
+    squares = left.groupBy("bx", "by").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("top"))
+    left = cut(left.join(squares, ["bx", "by"]))
     kept: list = []
-    for r in rows:
-        if len(kept) == most:
+    while len(kept) < most:
+        # A turn: every square's best that fits. Squares come in blocks, as those chosen first may rule out the rest's best.
+        before, chosen = None, len(kept)
+        while len(kept) < most:
+            open_ = left if before is None else left.where((F.col("top.s") > before[0]) | (F.col("top.s") == before[0]) & (F.col("top.id") > before[1]))
+            for k in kept:
+                open_ = open_.where((F.col("x") - k.x) * (F.col("x") - k.x) + (F.col("y") - k.y) * (F.col("y") - k.y) >= spacing * spacing)
+            best = open_.groupBy("bx", "by", "top").agg(F.max(F.struct("score", (-F.col("id")).alias("i"), "x", "y")).alias("b"))
+            rows = best.orderBy("top").limit(block).collect()
+            got = None
+            for row in rows:
+                if all((row.b.x - k.x) ** 2 + (row.b.y - k.y) ** 2 >= spacing * spacing for k in kept):
+                    got = Row(id=-row.b.i, x=row.b.x, y=row.b.y, score=row.b.score)
+                    kept.append(got)
+                    before = (row.top.s, row.top.id)
+                    if len(kept) == most:
+                        break
+                elif got is not None:
+                    break  # this square's best does not fit any more: ask for its next ones
+            else:
+                if len(rows) < block:
+                    break
+        if len(kept) == chosen:
             break
-        if all((r.x - k.x) ** 2 + (r.y - k.y) ** 2 >= spacing * spacing for k in kept):
-            kept.append(r)
-    return candidates.sparkSession.createDataFrame([(k.id, i, float(k.x), float(k.y), float(k.score)) for i, k in enumerate(kept, 1)], "id long, rank int, x double, y double, score double")
+    return candidates.sparkSession.createDataFrame([(k.id, i, k.x, k.y, k.score) for i, k in enumerate(kept, 1)], "id long, rank int, x double, y double, score double")

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from .components import components
 
-#: Above this number of nodes centrality is not computed, so a graph that is sent to the tasks has a known bound.
-MOST_NODES = 500
+#: Links and sites of a graph that is sent whole to the tasks (some 100 MB there), and rows of a block of searches over larger ones.
+SENT, SEARCH_ROWS = 500_000, 50_000_000
 #: Up to this number of links a spanning tree is found on the driver.
 FEW_LINKS = 100_000
+#: Distances that differ by no more than this are equal.
+EQUAL = 1e-12
 _AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
@@ -175,9 +177,15 @@ def spanning_tree(links: DataFrame, weight: str = "d2") -> DataFrame:
     return (out if out is not None else links.limit(0)).withColumnRenamed("w", weight)
 
 
-def hub_links(sites: DataFrame) -> DataFrame:
-    """(a, b, d2): each other site with its nearest hub (column ``hub``)."""
-    return nearest(sites.where("NOT hub"), sites.where("hub"), 1)
+def hub_links(sites: DataFrame, k: int = 1) -> DataFrame:
+    """(a, b, d2): each other site with its k nearest hubs (column ``hub``)."""
+    return nearest(sites.where("NOT hub"), sites.where("hub"), k)
+
+
+def hub_candidates(sites: DataFrame, k: int) -> DataFrame:
+    """(a, b, d2), a < b: each other site with its k nearest hubs, and each hub with its k nearest other hubs."""
+    hubs = sites.where("hub")
+    return undirected(hub_links(sites, k).unionByName(nearest(hubs, hubs, k, same=True)))
 
 
 def shortest(adjacent: list[list[tuple[int, float]]], start: int, weighted: bool) -> tuple[list[float], list[float], list[list[int]], list[int]]:
@@ -197,26 +205,81 @@ def shortest(adjacent: list[list[tuple[int, float]]], start: int, weighted: bool
             if not (w > 0 and math.isfinite(w)) or done[u]:
                 continue
             new = d + w
-            if new < dist[u] - 1e-12:
+            if new < dist[u] - EQUAL:
                 dist[u], paths[u], before[u] = new, paths[v], [v]
                 heapq.heappush(heap, (new, u))
-            elif abs(new - dist[u]) <= 1e-12:
+            elif abs(new - dist[u]) <= EQUAL:
                 paths[u] += paths[v]
                 before[u].append(v)
     return dist, paths, before, order
 
 
+def _fixed(step, first: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The sum over ``first``, step(first), step(step(first)), ... until nothing is left: what flows along links without cycles."""
+    total, now = first, first
+    while True:
+        now = cut(step(now))
+        if now.isEmpty():
+            return total
+        total = cut(total.unionByName(now).groupBy(*keys).agg(F.sum(value).alias(value)))
+
+
+def _searches(links: DataFrame, sources: DataFrame, hops: bool) -> DataFrame:
+    """(s, v, close, share) for a block of sources: rounds of joins over (source, site), for graphs of any size.
+
+    Distances fall by relaxation; numbers of shortest paths flow along the links that lie on shortest paths, shares flow back.
+    """
+    both = links.select("a", "b", "w").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).where("w > 0 AND w < double('inf')")
+    both = cut(both.withColumn("w", F.lit(1.0)) if hops else both)
+    known = cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0.0).alias("d")))
+    front = known
+    while True:
+        reached = front.join(both, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
+        front = cut(reached.join(known, ["s", "v"], "left").where(f"d IS NULL OR new < d - {EQUAL}").select("s", "v", F.col("new").alias("d")))
+        if front.isEmpty():
+            break
+        known = cut(known.unionAll(front).groupBy("s", "v").agg(F.min("d").alias("d")))
+    on = known.join(both, F.col("v") == F.col("a")).select("s", F.col("a").alias("u"), F.col("b").alias("v"), (F.col("d") + F.col("w")).alias("via"))
+    on = cut(on.join(known, ["s", "v"]).where(F.abs(F.col("via") - F.col("d")) <= EQUAL).select("s", "u", "v"))
+    step = lambda now: now.withColumnRenamed("v", "u").join(on, ["s", "u"]).groupBy("s", "v").agg(F.sum("n").alias("n"))
+    paths = _fixed(step, cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("n"))), ["s", "v"], "n")
+    part = on.join(paths.withColumnsRenamed({"v": "u", "n": "nu"}), ["s", "u"]).join(paths, ["s", "v"]).select("s", "u", "v", (F.col("nu") / F.col("n")).alias("p"))
+    part = cut(part)
+    back = lambda now: now.join(part, ["s", "v"]).groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("x") * F.col("p")).alias("x"))
+    ones = cut(known.select("s", "v", F.lit(1.0).alias("x")))
+    share = _fixed(back, ones, ["s", "v"], "x").where("s <> v").select("s", "v", (F.col("x") - 1).alias("share"))
+    return known.join(share, ["s", "v"], "left").select("s", "v", "d", F.coalesce("share", F.lit(0.0)).alias("share"))
+
+
 def centrality(links: DataFrame, sites: DataFrame, weight: str | None = None) -> DataFrame:
-    """(id, closeness, betweenness) of each site; nulls if there are more than MOST_NODES sites.
+    """(id, closeness, betweenness) of each site.
 
-    Closeness is scaled by the share of sites that are reached. The searches from single sites are dealt over the tasks.
+    Closeness is scaled by the share of sites that are reached. A graph of at most SENT sites and links is sent to the tasks, which deal the searches among
+    them; for a larger one blocks of searches run as rounds of joins. Both give the same values.
     """
-    ids = [r[0] for r in sites.select("id").distinct().orderBy("id").limit(MOST_NODES + 1).collect()]
-    if len(ids) > MOST_NODES:
-        return sites.select("id", F.lit(None).cast("double").alias("closeness"), F.lit(None).cast("double").alias("betweenness"))
+    ids = cut(sites.select(F.col("id").cast("long").alias("id")).distinct())
+    links = cut(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")))
+    n = ids.count()
+    if max(n, links.count()) <= SENT:
+        return _centrality_sent(links, ids, weight is not None)
+    blocks = max(1, -(-n * n // SEARCH_ROWS))
+    out = None
+    for k in range(blocks):
+        found = _searches(links, ids.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k), weight is None)
+        near = found.groupBy("s").agg((F.count(F.lit(1)) - 1).alias("reach"), F.sum("d").alias("total"))
+        close = F.when((F.col("reach") > 0) & (F.col("total") > 0) & F.lit(n > 1), F.col("reach") / F.col("total") * F.col("reach") / max(1, n - 1)).otherwise(0.0)
+        rows = near.select(F.col("s").alias("id"), close.alias("closeness"), F.lit(0.0).alias("betweenness")).unionAll(
+            found.groupBy("v").agg(F.sum("share").alias("x")).select(F.col("v").alias("id"), F.lit(0.0).alias("closeness"), (F.col("x") / 2).alias("betweenness")))
+        rows = cut(rows)
+        out = rows if out is None else out.unionAll(rows)
+    return out.groupBy("id").agg(F.sum("closeness").alias("closeness"), F.sum("betweenness").alias("betweenness"))
+
+
+def _centrality_sent(links: DataFrame, sites: DataFrame, weighted: bool) -> DataFrame:
+    ids = [r[0] for r in sites.orderBy("id").collect()]
     at = {v: k for k, v in enumerate(ids)}
     adjacent: list[list[tuple[int, float]]] = [[] for _ in ids]
-    for a, b, w in links.select("a", "b", (F.col(weight) if weight else F.lit(1.0)).cast("double")).collect():
+    for a, b, w in links.collect():
         adjacent[at[a]].append((at[b], w))
         adjacent[at[b]].append((at[a], w))
     graph = sites.sparkSession.sparkContext.broadcast((ids, adjacent))
@@ -224,19 +287,42 @@ def centrality(links: DataFrame, sites: DataFrame, weight: str | None = None) ->
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, adjacent = graph.value
         at = {v: k for k, v in enumerate(ids)}
+        close, between = [0.0] * len(ids), [0.0] * len(ids)
         for batch in batches:
-            rows = []
             for source in batch["id"]:
-                dist, paths, before, order = shortest(adjacent, at[source], weight is not None)
+                dist, paths, before, order = shortest(adjacent, at[source], weighted)
                 reach, total = len(order) - 1, sum(dist[v] for v in order)
-                close = reach / total * reach / (len(ids) - 1) if reach and total > 0 and len(ids) > 1 else 0.0
+                close[at[source]] = reach / total * reach / (len(ids) - 1) if reach and total > 0 and len(ids) > 1 else 0.0
                 share = [0.0] * len(ids)
                 for v in reversed(order):
                     for u in before[v]:
                         share[u] += paths[u] / paths[v] * (1 + share[v])
-                rows.append((source, close, 0.0))
-                rows += [(ids[v], 0.0, share[v] / 2) for v in order if v != at[source] and share[v]]
-            yield pd.DataFrame(rows, columns=["id", "closeness", "betweenness"])
+                    if v != at[source]:
+                        between[v] += share[v] / 2
+        yield pd.DataFrame({"id": ids, "closeness": close, "betweenness": between})  # one row a site and task
 
-    parts = sites.select(F.col("id").cast("long")).distinct().mapInPandas(search, "id long, closeness double, betweenness double")
+    tasks = max(1, min(len(ids) // 50, sites.sparkSession.sparkContext.defaultParallelism))
+    parts = sites.repartition(tasks, "id").mapInPandas(search, "id long, closeness double, betweenness double")
     return parts.groupBy("id").agg(F.sum("closeness").alias("closeness"), F.sum("betweenness").alias("betweenness"))
+
+
+def node_table(links: DataFrame, sites: DataFrame, weight: str | None = None) -> DataFrame:
+    """(id, degree, component, comp_size, closeness, betweenness) of every site."""
+    parts = labelled(links, sites).select("id", "component", F.col("size").alias("comp_size"))
+    return parts.join(degree(links), "id", "left").join(centrality(links, sites, weight), "id").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), "component", "comp_size", "closeness", "betweenness")
+
+
+def proximity(kind: str, sites: DataFrame, k: int = 3, reach: float | None = None) -> DataFrame:
+    """(a, b, d2) of the proximity graph ``kind``: knn, mutual, threshold, delaunay, gabriel or rng; the last three are thinned by ``reach`` if it is given."""
+    if kind in ("knn", "mutual"):
+        near = nearest(sites, sites, k, same=True, most=math.inf if reach is None else reach)
+        return mutual(near) if kind == "mutual" else undirected(near)
+    if kind == "threshold":
+        if reach is None:
+            raise ValueError("a threshold graph needs a reach")
+        return within(sites, reach)
+    from .triangulation import delaunay
+
+    links = delaunay(sites).select("a", "b", "d2") if reach is None or kind == "delaunay" else within(sites, reach)
+    links = links if reach is None else links.where(F.col("d2") <= reach * reach)
+    return {"delaunay": lambda: links, "gabriel": lambda: gabriel(links, sites), "rng": lambda: relative_neighbours(links, sites)}[kind]()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Radius of the earth in metres.
+EARTH = 6_371_000.0
+
 
 def smoothed(t: DataFrame, keys: list[str], order: str, value: str, half: int = 3) -> DataFrame:
     """A moving average over ``half`` rows to each side, fewer at the ends."""
@@ -48,6 +51,11 @@ def thinned(values: Column, gap: float = 0.5) -> Column:
     return F.aggregate(F.array_sort(values), F.array().cast("array<double>"), lambda kept, x: F.when(F.size(kept) == 0, F.array(x)).when(x - F.element_at(kept, -1) > gap, F.concat(kept, F.array(x))).otherwise(kept))
 
 
+def bent(lines: DataFrame, cc: float) -> DataFrame:
+    """sight_lines() whose ground is lowered by the earth's curvature, of which refraction leaves the share ``cc``."""
+    return lines.withColumn("z", F.col("z") - F.lit(cc) * F.col("d") * F.col("d") / (2 * EARTH))
+
+
 def sight_segments(lines: DataFrame, observer: float) -> DataFrame:
     """(a, b, run, seen, from_m, to_m) of sight_lines(): ground is seen when no ground before it stands steeper."""
     first = lines.where("i = 0 AND z IS NOT NULL").select("a", "b", F.col("z").alias("z0"))
@@ -57,6 +65,48 @@ def sight_segments(lines: DataFrame, observer: float) -> DataFrame:
     return islands(t, ["a", "b"], "i", F.col("seen")).groupBy("a", "b", "run").agg(F.max("seen").alias("seen"), F.min("d").alias("from_m"), F.max("d").alias("to_m"))
 
 
+def first_obstruction(lines: DataFrame, observer: float, target: float = 0.0) -> DataFrame:
+    """(a, b, visible, hit_m, hit_z): whether ground stands over the straight line to the target, and where it first rises through that line.
+
+    Samples without data are skipped; the first and last that are left are the observer and the target.
+    """
+    w = Window.partitionBy("a", "b").orderBy("i")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = lines.where("z IS NOT NULL").withColumns({"eye": F.first("z").over(whole) + observer, "goal": F.last("z").over(whole) + target, "length": F.last("d").over(whole), "i0": F.first("i").over(whole), "i1": F.last("i").over(whole)})
+    t = t.withColumn("over", F.col("z") - (F.col("eye") + F.col("d") / F.col("length") * (F.col("goal") - F.col("eye"))))
+    t = t.withColumns({"d0": F.lag("d").over(w), "z0": F.lag("z").over(w), "over0": F.when(F.lag("i").over(w) == F.col("i0"), F.lag("z").over(w) - F.col("eye")).otherwise(F.lag("over").over(w))})
+    t = t.withColumn("hit", (F.col("i") > F.col("i0")) & (F.col("i") < F.col("i1")) & (F.col("over") > 0))
+    share = F.when(F.col("over0") <= 0, F.col("over0") / (F.col("over0") - F.col("over"))).otherwise(F.lit(1.0))
+    at = F.struct("i", (F.col("d0") + share * (F.col("d") - F.col("d0"))).alias("m"), (F.col("z0") + share * (F.col("z") - F.col("z0"))).alias("z"))
+    return t.groupBy("a", "b").agg((~F.max("hit")).alias("visible"), F.min(F.when(F.col("hit"), at)).alias("x")).select("a", "b", "visible", F.col("x.m").alias("hit_m"), F.col("x.z").alias("hit_z"))
+
+
+def milestones(t: DataFrame, keys: list[str], distance: str, interval: float) -> DataFrame:
+    """``t`` reduced to the row nearest to each multiple of ``interval`` that the profile reaches (the earlier of two), with ``mark`` (its multiple).
+
+    A row is nearest to the multiple below or above it or to none, so each looks at these two: no product of rows and marks.
+    """
+    whole = Window.partitionBy(*keys)
+    t = t.withColumn("__last", F.floor(F.max(distance).over(whole) / interval))
+    order = Window.partitionBy(*keys).orderBy(distance)
+    below, above = F.col(distance), F.coalesce(F.lead(distance).over(order), F.col(distance))
+    marks = F.when(F.floor(above / interval) >= F.ceil(below / interval), F.sequence(F.ceil(below / interval), F.floor(above / interval)))
+    pairs = t.withColumn("__marks", marks).withColumn("__after", F.lead(F.struct(*[c for c in t.columns if c != "__last"])).over(order)).where("__marks IS NOT NULL")
+    pairs = pairs.select("*", F.explode("__marks").alias("mark")).where("mark >= 1 AND mark <= __last")
+    own = F.struct(*[c for c in t.columns if c != "__last"])
+    chosen = F.when(F.col("__after").isNull() | (F.abs(F.col(distance) - F.col("mark") * interval) <= F.abs(F.col("__after")[distance] - F.col("mark") * interval)), own).otherwise(F.col("__after"))
+    found = pairs.select("mark", chosen.alias("x"))
+    return found.select("mark", "x.*").dropDuplicates([*keys, "mark"])
+
+
+def turning_points(t: DataFrame, keys: list[str], order: str, x: str = "x", y: str = "y") -> DataFrame:
+    """The rows where the direction of a line, as signs of its steps, changes; both ends stay."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    step = lambda c, by: F.signum(F.lead(c, by).over(w) - F.lead(c, by - 1).over(w))
+    t = t.withColumns({"__in": F.struct(step(x, 0), step(y, 0)), "__out": F.struct(step(x, 1), step(y, 1)), "__first": F.row_number().over(w) == 1, "__last": F.lead(F.lit(1)).over(w).isNull()})
+    return t.where(F.col("__first") | F.col("__last") | (F.col("__in") != F.col("__out"))).drop("__in", "__out", "__first", "__last")
+
+
 def densified(lines: DataFrame, step: float) -> DataFrame:
     """Points (id, i, x, y) at most ``step`` apart along segments (id, x1, y1, x2, y2), both ends included."""
     n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / step).cast("int"))

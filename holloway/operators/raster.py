@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..sources.grid import Grid
+from .components import components
 
 NEIGHBOURS = {"nw": (-1, -1), "n": (-1, 0), "ne": (-1, 1), "w": (0, -1), "e": (0, 1), "sw": (1, -1), "s": (1, 0), "se": (1, 1)}
 
@@ -201,3 +203,20 @@ def marching_squares(cells: DataFrame, levels: list[float]) -> DataFrame:
     for k, v in table.items():
         lines = lines.when(F.col("code").isin(k, 15 - k), v)
     return at.withColumn("code", code).select("level", "r", "c", F.posexplode(lines).alias("part", "s")).select("level", "r", "c", "part", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+
+
+def contour_lines(segments: DataFrame) -> DataFrame:
+    """``segments`` of marching_squares() with ``line`` (the same for pieces that hang together), ``closed`` and ``length`` (in cells) of it.
+
+    A line crosses each side of a square of centres once, so a side names the point; pieces are joined by links between their two sides.
+    """
+    # The side of a point: where x is whole it is the side below (x, floor y), else the one to the right of (floor x, y).
+    name = lambda x, y: F.xxhash64(F.col("level"), F.floor(F.col(x)), F.floor(F.col(y)), F.col(x) == F.floor(F.col(x)), F.col(y) == F.floor(F.col(y)))
+    ends = cut(segments.withColumns({"a": name("x1", "y1"), "b": name("x2", "y2")}))
+    # Points that fall on a centre belong to several sides: such pieces are joined by the point itself.
+    roots = components(ends.select("a", "b"))
+    named = ends.join(roots, F.col("a") == F.col("node"), "left").withColumn("line", F.coalesce("root", "a"))
+    single = named.select("line", F.explode(F.array("a", "b")).alias("p")).groupBy("line", "p").agg(F.count(F.lit(1)).alias("n")).groupBy("line").agg(F.min("n").alias("least"))
+    size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    whole = named.groupBy("line").agg(F.sum(size).alias("length"), F.count(F.lit(1)).alias("pieces")).join(single, "line")
+    return named.join(whole, "line").select("level", "line", "r", "c", "part", "x1", "y1", "x2", "y2", "length", "pieces", (F.col("least") > 1).alias("closed"))

@@ -1,20 +1,20 @@
-"""Straight-line costs, visibility of rings, and least-cost networks between sites."""
+"""Straight-line costs, what sites and rings see, and least-cost networks between sites."""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.movement import step_cost
-from .graph import spanning_tree
-from .surfaces import _tile_costs, in_sight, sight_lines, tobler_seconds
+from ..functions.movement import JOULES_PER_KCAL, SECONDS_PER_MINUTE, step_cost
+from ..lineage import cut
+from .cost import Movement, costs_at, spread, tiles_of
+from .graph import nearest, spanning_tree, undirected, within
+from .surfaces import in_sight, sight_lines
 
-#: Cells of the window of a pair that one task may search.
-WINDOW_CELLS = 4_000_000
-TILE = 64
+#: Width of the squares, in cells, by which cells and boxes meet.
+SQUARE = 64
 
 
 def straight_cost(pairs: DataFrame, cells: DataFrame, cell: float, step: float, model: str = "tobler", least: int = 1, **params) -> DataFrame:
@@ -35,32 +35,26 @@ def ring_visibility(observers: DataFrame, cells: DataFrame, cell: float, radius:
     return in_sight(sight_lines(ring, cells, cell, cell, 10, 10), height, target)
 
 
-def pair_costs(pairs: DataFrame, cells: DataFrame, cell: float, margin: int, cost=tobler_seconds) -> DataFrame:
+def pair_costs(pairs: DataFrame, cells: DataFrame, cell: float, margin: int, model: str = "tobler", mode: str = "time", tile: int = 512, **params) -> DataFrame:
     """(a, b, forth, back): the least costs both ways between the ends of each pair (a, b, ra, ca, rb, cb), inside the box round them and
     ``margin`` cells; infinity if there is no way.
 
-    Cells reach the pairs by an equi-join on tiles; each pair is then a search of its own, and pairs run side by side.
+    Cells reach the pairs by an equi-join on squares; each pair is a search of its own in tiles of its box, and pairs run side by side.
     """
-    def search(box: pd.DataFrame) -> pd.DataFrame:
-        if len(box) > WINDOW_CELLS:
-            raise ValueError(f"the window of a pair has {len(box)} cells; {WINDOW_CELLS} at most")
-        p = box.iloc[0]
-        start = (box["r"] == p["ra"]) & (box["c"] == p["ca"])
-        end = (box["r"] == p["rb"]) & (box["c"] == p["cb"])
-        out = []
-        for reverse in (False, True):
-            tile = pd.DataFrame({"r": box["r"], "c": box["c"], "z": box["z"], "friction": 1.0, "own": True, "cost": start.map({True: 0.0, False: math.inf})})
-            got = _tile_costs(cell, cost, reverse)(tile)["cost"][end.to_numpy()]
-            out.append(float(got.iloc[0]) if len(got) and start.any() else math.inf)
-        return pd.DataFrame([(p["a"], p["b"], *out)], columns=["a", "b", "forth", "back"])
-
+    numbered = cut(pairs.select(*[F.col(k).cast("long").alias(k) for k in ("a", "b", "ra", "ca", "rb", "cb")])).withColumn("job", F.monotonically_increasing_id())
     low, high = (lambda k: F.least(f"{k}a", f"{k}b") - margin), (lambda k: F.greatest(f"{k}a", f"{k}b") + margin)
-    span = lambda k: F.explode(F.sequence(F.floor(low(k) / TILE), F.floor(high(k) / TILE)))
-    filed = pairs.select("*", span("r").alias("tr")).select("*", span("c").alias("tc"))
-    tiled = cells.select("r", "c", "z", F.floor(F.col("r") / TILE).alias("tr"), F.floor(F.col("c") / TILE).alias("tc"))
-    inside = filed.join(tiled, ["tr", "tc"]).where(F.col("r").between(low("r"), high("r")) & F.col("c").between(low("c"), high("c")))
-    wide = inside.select(*[F.col(k).cast("long").alias(k) for k in ("a", "b", "ra", "ca", "rb", "cb", "r", "c")], F.col("z").cast("double").alias("z"))
-    return wide.groupBy("a", "b").applyInPandas(search, "a long, b long, forth double, back double")
+    span = lambda k: F.explode(F.sequence(F.floor(low(k) / SQUARE), F.floor(high(k) / SQUARE)))
+    filed = numbered.select("*", span("r").alias("sr")).select("*", span("c").alias("sc"))
+    squares = cells.select("r", "c", "z", F.floor(F.col("r") / SQUARE).alias("sr"), F.floor(F.col("c") / SQUARE).alias("sc"))
+    inside = filed.join(squares, ["sr", "sc"]).where(F.col("r").between(low("r"), high("r")) & F.col("c").between(low("c"), high("c"))).select("job", "r", "c", "z")
+    tiles, out = None, numbered
+    for name, reverse in (("forth", False), ("back", True)):
+        move = Movement(cell, model, mode, reverse, tile, params)
+        tiles = tiles_of(inside, move) if tiles is None else tiles
+        done = spread(tiles, numbered.select("job", F.col("ra").alias("r"), F.col("ca").alias("c")), move)
+        found = costs_at(done, numbered.select("job", F.col("rb").alias("r"), F.col("cb").alias("c")), move).select("job", F.col("cost").alias(name))
+        out = cut(out.join(found, "job", "left"))
+    return out.select("a", "b", *[F.coalesce(k, F.lit(math.inf)).alias(k) for k in ("forth", "back")])
 
 
 def symmetric(costs: DataFrame, how: str = "avg") -> DataFrame:
@@ -76,7 +70,73 @@ def cheapest(costs: DataFrame, k: int) -> DataFrame:
     return first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def network(costs: DataFrame, k: int = 3) -> DataFrame:
-    """(a, b, kind): the links of the least spanning tree (mst) and of the k cheapest partners (knn); a link can be both."""
-    tree = spanning_tree(symmetric(costs), "w").select("a", "b", F.lit("mst").alias("kind"))
-    return tree.unionAll(cheapest(costs, k).select("a", "b", F.lit("knn").alias("kind")))
+def hub_edges(costs: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(a, b, kind): each other site's cheapest hub by the cost of going there (hub_link), and the least spanning tree of the hubs (hub_mst)."""
+    marked = costs.join(hubs.select(F.col("id").alias("a"), F.lit(True).alias("ha")).distinct(), "a", "left").join(hubs.select(F.col("id").alias("b"), F.lit(True).alias("hb")).distinct(), "b", "left")
+    one = marked.where("coalesce(ha, false) <> coalesce(hb, false)")
+    going = one.select(F.when(F.col("ha"), F.col("b")).otherwise(F.col("a")).alias("site"), F.when(F.col("ha"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(F.col("ha"), F.col("back")).otherwise(F.col("forth")).alias("w")).where(F.col("w") < math.inf)
+    best = going.groupBy("site").agg(F.min(F.struct("w", "hub")).alias("m"))
+    links = best.select(F.least("site", "m.hub").alias("a"), F.greatest("site", "m.hub").alias("b"), F.lit("hub_link").alias("kind")).distinct()
+    tree = spanning_tree(symmetric(marked.where("ha AND hb").select("a", "b", "forth", "back")), "w")
+    return links.unionAll(tree.select("a", "b", F.lit("hub_mst").alias("kind")))
+
+
+def network(costs: DataFrame, k: int = 3, hubs: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
+    """(a, b, kind): the links of the least spanning tree (mst), of the k cheapest partners (knn) and, with ``hubs`` (id), of hub_edges(); a link can be of several kinds.
+
+    With ``sites`` (id) the tree has to join all of them; it is an error if it does not.
+    """
+    tree = cut(spanning_tree(symmetric(costs), "w").select("a", "b", F.lit("mst").alias("kind")))
+    if sites is not None and tree.count() + 1 < sites.select("id").distinct().count():
+        raise ValueError("the sites are not joined: some cannot be reached from others")
+    out = tree.unionAll(cheapest(costs, k).select("a", "b", F.lit("knn").alias("kind")))
+    return out if hubs is None else out.unionAll(hub_edges(costs, hubs))
+
+
+def edge_table(edges: DataFrame, costs: DataFrame, sites: DataFrame, model: str, cell: float, how: str = "avg") -> DataFrame:
+    """The links with names, straight distance and minutes: kind, from_id, to_id, from_nm, to_nm, dist_m, time_ab, time_ba, time_sym, model."""
+    end = lambda k, p: sites.select(F.col("id").alias(k), F.coalesce(F.col("name"), F.col("id").cast("string")).alias(f"{p}_nm"), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    timed = edges.join(costs, ["a", "b"]).join(symmetric(costs, how), ["a", "b"], "left").join(end("a", "from"), "a").join(end("b", "to"), "b")
+    minutes = lambda k: F.when(F.col(k) < math.inf, F.col(k) / SECONDS_PER_MINUTE)
+    dx, dy = (F.col(f"a{v}") - F.col(f"b{v}") for v in "xy")
+    return timed.select("kind", F.col("a").alias("from_id"), F.col("b").alias("to_id"), "from_nm", "to_nm", (F.sqrt(dx * dx + dy * dy) * cell).alias("dist_m"),
+                        minutes("forth").alias("time_ab"), minutes("back").alias("time_ba"), minutes("w").alias("time_sym"), F.lit(model).alias("model"))
+
+
+def weights_of(edges: DataFrame) -> DataFrame:
+    """(a, b, w): one weight a link for network measures: its time, or else its length, or else 1; the least of repeated links."""
+    w = F.coalesce(F.when(F.col("time_sym") > 0, F.col("time_sym")), F.when(F.col("dist_m") > 0, F.col("dist_m")), F.lit(1.0))
+    return edges.groupBy(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).agg(F.min(w).alias("w"))
+
+
+def along(t: DataFrame, keys: list[str], order: str, cell: float, model: str = "tobler", **params) -> DataFrame:
+    """``t`` (r, c, z in order) with dist_m, time_min and energy_kcal (Pandolf's) so far."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    dr, dc = (F.col(k) - F.lag(k).over(w) for k in "rc")
+    steps = t.withColumns({"__h": F.sqrt(dr * dr + dc * dc) * cell, "__dz": F.col("z") - F.lag("z").over(w)})
+    so_far = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0.0))
+    time, energy = step_cost(model, F.col("__h"), F.col("__dz"), **params), step_cost("pandolf", F.col("__h"), F.col("__dz"), "energy")
+    steps = steps.withColumns({"__t": time, "__e": energy})
+    return steps.withColumns({"dist_m": so_far("__h"), "time_min": so_far("__t") / SECONDS_PER_MINUTE, "energy_kcal": so_far("__e") / JOULES_PER_KCAL}).drop("__h", "__dz", "__t", "__e")
+
+
+def visibility_links(sites: DataFrame, cells: DataFrame, cell: float, k: int = 10, most: float = 2500.0, observer: float = 1.6, target: float = 0.0) -> DataFrame:
+    """(from_id, to_id, dist_m, vis_ab, vis_ba, status): whether sites (id, x, y in cells) see each other, among the ``k`` nearest within ``most`` metres (all of these if ``k`` is 0)."""
+    near = within(sites, most / cell) if not k else undirected(nearest(sites, sites, k, same=True, most=most / cell))
+    near = cut(near.select("a", "b"))
+    end = lambda k: sites.select(F.col("id").alias(k), F.col("y").alias(f"r{k}"), F.col("x").alias(f"c{k}"))
+    both = near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lines = cut(sight_lines(both.join(end("a"), "a").join(end("b"), "b"), cells, cell, cell))
+    seen = in_sight(lines, observer, target).join(lines.groupBy("a", "b").agg(F.max("d").alias("dist_m")), ["a", "b"])
+    seen = cut(seen)
+    there = seen.where("a < b")
+    back = seen.where("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("visible").alias("back"))
+    status = F.when(F.col("visible").isNull() | F.col("back").isNull(), "no data").when(F.col("visible") & F.col("back"), "mutual").when(F.col("visible") | F.col("back"), "one way").otherwise("hidden")
+    flag = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0))
+    return there.join(back, ["a", "b"]).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), "dist_m", flag("visible").alias("vis_ab"), flag("back").alias("vis_ba"), status.alias("status"))
+
+
+def visibility_degrees(links: DataFrame) -> DataFrame:
+    """(id, out_deg, in_deg, vis_total, mutual) of visibility_links()."""
+    sides = links.select(F.inline(F.array(F.struct(F.col("from_id").alias("id"), F.col("vis_ab").alias("o"), F.col("vis_ba").alias("i")), F.struct(F.col("to_id").alias("id"), F.col("vis_ba").alias("o"), F.col("vis_ab").alias("i")))))
+    return sides.groupBy("id").agg(F.sum("o").alias("out_deg"), F.sum("i").alias("in_deg"), F.sum(F.col("o") + F.col("i")).alias("vis_total"), F.sum(F.col("o") * F.col("i")).alias("mutual"))

@@ -1,8 +1,7 @@
-"""Visibility, accumulated movement cost and interpolation over rasters."""
+"""Visibility and interpolation over rasters."""
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -13,8 +12,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut
 from .graph import nearest
-
-EARTH = 6_371_000.0
+from .profile import EARTH
 
 
 def bend(curvature: bool = True, refraction: bool = True, k: float = 0.13) -> float:
@@ -22,29 +20,48 @@ def bend(curvature: bool = True, refraction: bool = True, k: float = 0.13) -> fl
     return 0.0 if not (curvature or refraction) else max(0.0, min(1.0, 1 - k)) if refraction else 1.0
 
 
-def rays(observers: DataFrame, reach: int) -> DataFrame:
-    """(obs, h, r0, c0, r, c, m, k): the steps k = 1 .. m of the ray from each observer's cell to each cell within ``reach`` cells."""
-    offsets = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if 0 < i * i + j * j <= reach * reach]
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
-    targets = observers.select("obs", "h", F.col("r").alias("r0"), F.col("c").alias("c0"), F.inline(around)).withColumn("m", F.greatest(F.abs("i"), F.abs("j")))
-    return targets.select("*", F.explode(F.sequence(F.lit(1), "m")).alias("k"))
+def _sweep(reach: int, cell: float, target_height: float, cc: float):
+    """Kernel: what one observer sees of the cells round it. Rays are walked side by side, one step of all at a time."""
+    i, j = (a.ravel() for a in np.mgrid[-reach : reach + 1, -reach : reach + 1])
+    round_ = (i * i + j * j > 0) & (i * i + j * j <= reach * reach)
+    i, j = i[round_], j[round_]
+    m, away = np.maximum(np.abs(i), np.abs(j)), np.sqrt((i * i + j * j).astype(float)) * cell
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        obs, r0, c0, h = (part[k].iloc[0] for k in ("obs", "r0", "c0", "h"))
+        z = np.full((2 * reach + 1, 2 * reach + 1), np.nan)
+        z[part["r"] - r0 + reach, part["c"] - c0 + reach] = part["z"]
+        z0 = z[reach, reach]
+        before, own = np.full(len(i), -np.inf), np.full(len(i), np.nan)
+        for k in range(1, reach + 1):
+            at = np.flatnonzero(m >= k)
+            share = k / m[at]
+            y = z[reach + np.floor(i[at] * share + 0.5).astype(int), reach + np.floor(j[at] * share + 0.5).astype(int)]
+            d, last = away[at] * share, m[at] == k
+            angle = (y + np.where(last, target_height, 0.0) - cc * d * d / (2 * EARTH) - z0 - h) / d
+            own[at[last]] = angle[last]
+            before[at] = np.where(last, before[at], np.fmax(before[at], angle))
+        ok = ~np.isnan(own)
+        return pd.DataFrame({"obs": obs, "r": r0 + i[ok], "c": c0 + j[ok], "distance": away[ok], "visible": own[ok] >= before[ok]})
+
+    return run
 
 
 def viewsheds(cells: DataFrame, observers: DataFrame, reach: int, cell: float, target_height: float = 0.0, cc: float = 0.87) -> DataFrame:
     """(obs, r, c, distance, visible) of the cells with data within ``reach`` cells of each observer (obs, r, c, h).
 
-    A cell is seen when no cell on the ray to it stands at a steeper angle; elevations are lowered by the bent earth's curvature.
+    A cell is seen when no cell on the ray to it stands at a steeper angle; elevations are lowered by the bent earth's curvature. Cells meet observers by
+    an equi-join on squares as wide as the reach; a task holds one observer's surroundings.
     """
-    steps = rays(observers, reach)
-    share = F.col("k") / F.col("m")
-    steps = steps.select("obs", "h", "r0", "c0", "i", "j", "m", "k", (F.col("r0") + F.floor(F.col("i") * share + 0.5)).alias("r"), (F.col("c0") + F.floor(F.col("j") * share + 0.5)).alias("c"),
-                         (F.sqrt(F.col("i") * F.col("i") + F.col("j") * F.col("j")) * cell * share).alias("d"))
-    base = cells.select("r", "c", "z")
-    seen = steps.join(base, ["r", "c"]).join(base.select(F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("z").alias("z0")), ["r0", "c0"]).where("z IS NOT NULL AND z0 IS NOT NULL")
-    angle = (F.col("z") + F.when(F.col("k") == F.col("m"), F.lit(target_height)).otherwise(0.0) - cc * F.col("d") * F.col("d") / (2 * EARTH) - F.col("z0") - F.col("h")) / F.col("d")
-    rayed = seen.withColumn("angle", angle).groupBy("obs", "r0", "c0", "i", "j").agg(
-        F.max(F.when(F.col("k") < F.col("m"), F.col("angle"))).alias("before"), F.max(F.when(F.col("k") == F.col("m"), F.col("angle"))).alias("own"), F.max("d").alias("distance"))
-    return rayed.where("own IS NOT NULL").select("obs", (F.col("r0") + F.col("i")).alias("r"), (F.col("c0") + F.col("j")).alias("c"), "distance", F.coalesce(F.col("own") >= F.col("before"), F.lit(True)).alias("visible"))
+    o = observers.select("obs", F.col("h").cast("double").alias("h"), F.col("r").cast("long").alias("r0"), F.col("c").cast("long").alias("c0"))
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    filed = o.select("*", F.explode(F.transform(around, lambda i: F.floor(F.col("r0") / reach) + i)).alias("sr")).select("*", F.explode(F.transform(around, lambda i: F.floor(F.col("c0") / reach) + i)).alias("sc"))
+    base = cells.where("z IS NOT NULL").select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("z").cast("double").alias("z"), F.floor(F.col("r") / reach).alias("sr"), F.floor(F.col("c") / reach).alias("sc"))
+    dr, dc = F.col("r") - F.col("r0"), F.col("c") - F.col("c0")
+    near = filed.join(base, ["sr", "sc"]).where(dr * dr + dc * dc <= reach * reach)
+    kind = observers.schema["obs"].dataType.simpleString()
+    seen = near.groupBy("obs", "r0", "c0", "h").applyInPandas(_sweep(reach, cell, target_height, cc), f"obs {kind}, r long, c long, distance double, visible boolean")
+    return seen
 
 
 def cumulative(seen: DataFrame, weights: DataFrame) -> DataFrame:
@@ -78,77 +95,6 @@ def in_sight(lines: DataFrame, observer: float = 1.6, target: float = 0.0) -> Da
     return inside.groupBy("a", "b").agg(F.when(F.max("za").isNotNull() & F.max("zb").isNotNull(), ~F.coalesce(F.max("over"), F.lit(False))).alias("visible"))
 
 
-# Accumulated cost
-
-
-def _tile_costs(cell: float, cost, reverse: bool):
-    """Kernel: the least costs inside one tile and its rim, from the costs known so far."""
-    moves = [(i, j, cell * math.hypot(i, j)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
-
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        r, c = tile["r"].to_numpy(), tile["c"].to_numpy()
-        r0, c0 = r.min(), c.min()
-        z = np.full((r.max() - r0 + 1, c.max() - c0 + 1), np.nan)
-        g, f = np.full(z.shape, np.inf), np.ones(z.shape)
-        z[r - r0, c - c0], g[r - r0, c - c0], f[r - r0, c - c0] = tile["z"], tile["cost"], tile["friction"]
-        heap = [(g[p], *p) for p in zip(*np.nonzero(np.isfinite(g)), strict=True)]
-        heapq.heapify(heap)
-        h, w = z.shape
-        while heap:
-            d, i, j = heapq.heappop(heap)
-            if d > g[i, j]:
-                continue
-            for a, b, length in moves:
-                k, m = i + a, j + b
-                if 0 <= k < h and 0 <= m < w and not math.isnan(z[k, m]) and not math.isnan(z[i, j]):
-                    climb = z[k, m] - z[i, j]
-                    new = d + cost(length, -climb if reverse else climb) * (f[i, j] + f[k, m]) / 2
-                    if new < g[k, m]:
-                        g[k, m] = new
-                        heapq.heappush(heap, (new, k, m))
-        own = tile[tile["own"]]
-        return pd.DataFrame({"r": own["r"], "c": own["c"], "z": own["z"], "friction": own["friction"], "cost": g[own["r"] - r0, own["c"] - c0], "was": own["cost"]})
-
-    return run
-
-
-def tobler_seconds(length: float, climb: float) -> float:
-    return length / max(0.05, 6.0 * math.exp(-3.5 * abs(climb / length + 0.05)) / 3.6)
-
-
-def friction(values: Column, scale: float = 1.0) -> Column:
-    """A multiplier of cost: missing or not positive is 1, kept within 0.0001 and a million."""
-    return F.least(F.greatest(F.coalesce(F.when(values > 0, values), F.lit(1.0)) * scale, F.lit(1e-4)), F.lit(1e6))
-
-
-def accumulated_cost(cells: DataFrame, starts: DataFrame, cell: float, cost=tobler_seconds, reverse: bool = False, tile: int = 64) -> DataFrame:
-    """(r, c, cost): the least cost from the starts (r, c) to each cell with data, infinity if there is no way;
-    ``reverse``: from each cell to the starts. ``cells`` may have a friction column.
-
-    The raster is cut into tiles with a rim of one cell. Each round finds the least costs inside every tile and hands them
-    on through the rims, until no cost falls: a task holds one tile, whatever the raster's size.
-    """
-    base = cells if "friction" in cells.columns else cells.withColumn("friction", F.lit(1.0))
-    seeds = starts.select("r", "c", F.lit(0.0).alias("s")).distinct()
-    now = cut(base.join(seeds, ["r", "c"], "left").select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("z").cast("double").alias("z"), F.col("friction").cast("double").alias("friction"),
-                                                         F.coalesce(F.when(F.col("z").isNotNull(), F.col("s")), F.lit(math.inf)).alias("cost")))
-    edge = lambda k: F.array_distinct(F.array(*[F.floor((F.col(k) + i) / tile) for i in (-1, 0, 1)]))
-    while True:
-        rimmed = now.select("*", F.explode(edge("r")).alias("tr")).select("*", F.explode(edge("c")).alias("tc"))
-        own = (F.floor(F.col("r") / tile) == F.col("tr")) & (F.floor(F.col("c") / tile) == F.col("tc"))
-        done = cut(rimmed.withColumn("own", own).groupBy("tr", "tc").applyInPandas(_tile_costs(cell, cost, reverse), "r long, c long, z double, friction double, cost double, was double"))
-        now = done.drop("was")
-        if done.where("cost < was").isEmpty():
-            return now.select("r", "c", "cost")
-
-
-def corridor(there: DataFrame, back: DataFrame, over_pct: float = 5.0) -> DataFrame:
-    """(r, c, total): the cells on ways that cost at most ``over_pct`` percent more than the best; with 0 the best ways themselves."""
-    both = cut(there.join(back.withColumnRenamed("cost", "rest"), ["r", "c"]).withColumn("total", F.col("cost") + F.col("rest")).where(F.col("total") < math.inf))
-    best = both.agg(F.min("total").alias("best"))
-    return both.crossJoin(F.broadcast(best)).where(F.col("total") <= F.col("best") * (1 + over_pct / 100) + 1e-9).select("r", "c", "cost", "total")
-
-
 # Interpolation
 
 

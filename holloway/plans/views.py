@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import classes
-from ..operators import graph, routes, surfaces
+from ..functions import classes, movement
+from ..operators import cost, graph, profile, raster, routes, surfaces
 from .tables import CELL, DEM_SQL, dem, read
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-REACH = 8
+#: Cells to 1,000 m, the usual limit of a view, and to beyond the last zone's 2,500 m.
+REACH, FAR = 33, 90
 
 
 def query(sql: str | None = None):
@@ -27,9 +28,9 @@ def observers(spark, sf_dir):
     return read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS obs", "s_suppkey * 37 % 149 AS r", "s_suppkey * 53 % 97 AS c", "1.6D AS h", "CAST(s_suppkey % 31 AS INT) AS flag", "1.0D + s_nationkey AS weight")
 
 
-def _seen(spark, sf_dir, target=0.0, observer=None):
+def _seen(spark, sf_dir, target=0.0, observer=None, reach=REACH):
     o = observers(spark, sf_dir)
-    return surfaces.viewsheds(dem(spark, sf_dir), o if observer is None else o.withColumn("h", F.lit(observer)), REACH, CELL, target)
+    return surfaces.viewsheds(dem(spark, sf_dir), o if observer is None else o.withColumn("h", F.lit(observer)), reach, CELL, target)
 
 
 def _seen_sql(name: str, h: float, t: float) -> str:
@@ -38,9 +39,13 @@ def _seen_sql(name: str, h: float, t: float) -> str:
   GROUP BY obs, r0, c0, i, j HAVING count(*) FILTER (k = m) > 0)"""
 
 
-RAYS_SQL = f"""{DEM_SQL}, o AS (SELECT s_suppkey AS obs, s_suppkey * 37 % 149 AS r0, s_suppkey * 53 % 97 AS c0, CAST(s_suppkey % 31 AS INT) AS flag, 1.0 + s_nationkey AS weight FROM supplier),
-off AS (SELECT i, j, greatest(abs(i), abs(j)) AS m FROM range(-{REACH}, {REACH + 1}) x(i), range(-{REACH}, {REACH + 1}) y(j) WHERE i * i + j * j BETWEEN 1 AND {REACH * REACH}),
-q AS (SELECT o.*, i, j, m, k, r0 + CAST(floor(i * (k / m) + 0.5) AS BIGINT) AS r, c0 + CAST(floor(j * (k / m) + 0.5) AS BIGINT) AS c, sqrt(i * i + j * j) * 30 * (k / m) AS d FROM o, off, range(1, {REACH + 1}) z(k) WHERE k <= m), {_seen_sql('seen', 1.6, 0.0)}"""
+def _rays_sql(reach: int) -> str:
+    return f"""{DEM_SQL}, o AS (SELECT s_suppkey AS obs, s_suppkey * 37 % 149 AS r0, s_suppkey * 53 % 97 AS c0, CAST(s_suppkey % 31 AS INT) AS flag, 1.0 + s_nationkey AS weight FROM supplier),
+goal AS (SELECT o.*, dem.r - r0 AS i, dem.c - c0 AS j, greatest(abs(dem.r - r0), abs(dem.c - c0)) AS m FROM o JOIN dem ON dem.r BETWEEN r0 - {reach} AND r0 + {reach} WHERE (dem.r - r0) ** 2 + (dem.c - c0) ** 2 BETWEEN 1 AND {reach * reach}),
+q AS (SELECT goal.*, k, r0 + CAST(floor(i * (k / m) + 0.5) AS BIGINT) AS r, c0 + CAST(floor(j * (k / m) + 0.5) AS BIGINT) AS c, sqrt(i * i + j * j) * 30 * (k / m) AS d FROM goal, range(1, {reach + 1}) z(k) WHERE k <= m), {_seen_sql('seen', 1.6, 0.0)}"""
+
+
+RAYS_SQL = _rays_sql(REACH)
 
 
 @query(f"WITH {RAYS_SQL} SELECT obs, r, c, round(distance, 6) AS distance, visible FROM seen")
@@ -54,9 +59,9 @@ def viewshed_cumulative(spark, sf_dir):
     return out.select("r", "c", "seen_any", "n_seen", "flags", "weighted", F.round("weighted_pct", 6).alias("weighted_pct"))
 
 
-@query(f"WITH {RAYS_SQL} SELECT CASE WHEN NOT visible THEN 0 WHEN distance <= 500 THEN 85 WHEN distance <= 2500 THEN 170 ELSE 255 END AS zone, count(*) AS cells FROM seen GROUP BY ALL")
+@query(f"WITH {_rays_sql(FAR)} SELECT CASE WHEN NOT visible THEN 0 WHEN distance <= 500 THEN 85 WHEN distance <= 2500 THEN 170 ELSE 255 END AS zone, count(*) AS cells FROM seen GROUP BY ALL")
 def higuchi_zones(spark, sf_dir):
-    return _seen(spark, sf_dir).groupBy(classes.higuchi_zone(F.col("distance"), F.col("visible")).alias("zone")).agg(F.count("*").alias("cells"))
+    return _seen(spark, sf_dir, reach=FAR).groupBy(classes.higuchi_zone(F.col("distance"), F.col("visible")).alias("zone")).agg(F.count("*").alias("cells"))
 
 
 @query(f"WITH {RAYS_SQL}, {_seen_sql('back', 0.0, 1.6)}, f AS (SELECT r, c, max(visible::INT) = 1 AS f FROM seen GROUP BY r, c), b AS (SELECT r, c, max(visible::INT) = 1 AS b FROM back GROUP BY r, c) SELECT r, c, CASE WHEN f AND NOT b THEN 1 WHEN b AND NOT f THEN 2 ELSE 0 END AS imbalance FROM f JOIN b USING (r, c)")
@@ -105,19 +110,106 @@ def _start(spark, r, c):
     return spark.range(1).select(F.lit(r).cast("long").alias("r"), F.lit(c).cast("long").alias("c"))
 
 
-@query()
+TOBLER = "h / greatest(0.05, 6.0 * exp(-3.5 * abs(dz / h + 0.05)) / 3.6)"
+PANDOLF = "greatest(105.0, 105.0 + 70.0 * (1.5 * pow(5 / 3.6, 2) + 0.35 * (5 / 3.6) * (dz / h * 100))) * h / (5 / 3.6)"
+GROUND_SQL = "dem AS (SELECT o_orderkey // 100 AS r, o_orderkey % 100 AS c, o_totalprice / 1000 / 20 AS z FROM orders), moves AS (SELECT i, j, 30 * sqrt(i * i + j * j) AS h FROM range(-1, 2) a(i), range(-1, 2) b(j) WHERE i <> 0 OR j <> 0)"
+
+
+def _edges_sql(name: str, step: str, reverse: bool = False) -> str:
+    return f"{name} AS (SELECT r, c, tr, tc, {step} AS w FROM (SELECT d.r, d.c, e.r AS tr, e.c AS tc, h, {'d.z - e.z' if reverse else 'e.z - d.z'} AS dz FROM dem d, moves m, dem e WHERE e.r = d.r + i AND e.c = d.c + j))"
+
+
+def _spread_sql(name: str, edges: str, r: int, c: int) -> str:
+    """Costs from a cell: each round lowers the cells beside those that the last one lowered."""
+    return f"""{name}(r, c, cost) USING KEY (r, c) AS (SELECT r, c, 0.0::DOUBLE FROM dem WHERE r = {r} AND c = {c} UNION SELECT e.tr, e.tc, min(s.cost + e.w) FROM {name} s JOIN {edges} e ON e.r = s.r AND e.c = s.c
+  LEFT JOIN recurring.{name} k ON k.r = e.tr AND k.c = e.tc GROUP BY e.tr, e.tc HAVING min(s.cost + e.w) < min(coalesce(k.cost, 'inf'::DOUBLE)))"""
+
+
+def _finite(t):
+    return t.where(F.col("cost") < float("inf"))
+
+
+@query(f"WITH RECURSIVE {GROUND_SQL}, {_edges_sql('edges', TOBLER)}, {_spread_sql('s', 'edges', 5, 5)} SELECT r, c, round(cost / 60, 5) AS minutes FROM s")
 def lcp_time_surface(spark, sf_dir):
-    """Walking time from one cell to all; tested against a search over the whole raster."""
-    return surfaces.accumulated_cost(_ground(spark, sf_dir), _start(spark, 5, 5), CELL)
+    """Walking time in minutes from one cell to all that can be reached."""
+    return _finite(cost.accumulated_cost(_ground(spark, sf_dir), _start(spark, 5, 5), CELL)).select("r", "c", F.round(F.col("cost") / movement.SECONDS_PER_MINUTE, 5).alias("minutes"))
 
 
-@query()
+@query(f"WITH RECURSIVE {GROUND_SQL}, {_edges_sql('edges', PANDOLF)}, {_spread_sql('s', 'edges', 5, 5)} SELECT r, c, round(cost / 4184, 5) AS kcal FROM s")
+def lcp_energy_surface(spark, sf_dir):
+    """Energy of walking in kcal from one cell to all."""
+    t = cost.accumulated_cost(_ground(spark, sf_dir), _start(spark, 5, 5), CELL, "pandolf", "energy")
+    return _finite(t).select("r", "c", F.round(F.col("cost") / movement.JOULES_PER_KCAL, 5).alias("kcal"))
+
+
+@query(f"WITH RECURSIVE {GROUND_SQL}, {_edges_sql('e1', TOBLER)}, {_edges_sql('e2', TOBLER, True)}, {_spread_sql('s', 'e1', 2, 3)}, {_spread_sql('t', 'e2', 12, 90)}, b AS (SELECT r, c, s.cost + t.cost AS total FROM s JOIN t USING (r, c)) SELECT r, c, round(total, 4) AS total FROM b WHERE total <= (SELECT min(total) FROM b) * 1.05 + 1e-9")
 def lcp_corridor(spark, sf_dir):
-    """Cells on ways within 5 % of the best one between two cells; 0 % gives the path."""
+    """Cells on ways within 5 % of the best one between two cells."""
     cells = _ground(spark, sf_dir)
-    there = surfaces.accumulated_cost(cells, _start(spark, 2, 3), CELL)
-    back = surfaces.accumulated_cost(cells, _start(spark, 12, 90), CELL, reverse=True)
-    return surfaces.corridor(there, back, 5.0)
+    there = cost.accumulated_cost(cells, _start(spark, 2, 3), CELL)
+    back = cost.accumulated_cost(cells, _start(spark, 12, 90), CELL, reverse=True)
+    return cost.corridor(there, back, 5.0).select("r", "c", F.round("total", 4).alias("total"))
+
+
+TARGETS = "SELECT DISTINCT r_regionkey AS path, r_regionkey * 3 % 15 AS r, 99 - r_regionkey * 13 AS c FROM region"
+PATH_SQL = f"""{GROUND_SQL}, {_edges_sql('edges', TOBLER)}, {_spread_sql('s', 'edges', 5, 5)}, prior AS (SELECT e.tr AS r, e.tc AS c, arg_min(e.r, s.cost + e.w) AS pr, arg_min(e.c, s.cost + e.w) AS pc FROM s JOIN edges e ON e.r = s.r AND e.c = s.c GROUP BY e.tr, e.tc),
+p(path, n, r, c) AS (SELECT path, 0, r, c FROM ({TARGETS}) UNION ALL SELECT path, n + 1, pr, pc FROM p JOIN prior q ON q.r = p.r AND q.c = p.c WHERE p.r <> 5 OR p.c <> 5),
+way AS (SELECT path, CAST(max(n) OVER (PARTITION BY path) - n AS INT) AS seq, p.r, p.c, s.cost FROM p JOIN s ON s.r = p.r AND s.c = p.c)"""
+
+
+def _ways(spark, sf_dir):
+    move = cost.Movement(CELL)
+    tiles = cost.spread(cost.tiles_of(_ground(spark, sf_dir), move), _start(spark, 5, 5), move)
+    return cost.paths(tiles, read(spark, sf_dir, "region").selectExpr("r_regionkey AS path", "r_regionkey * 3 % 15 AS r", "99 - r_regionkey * 13 AS c"), move)
+
+
+@query(f"WITH RECURSIVE {PATH_SQL} SELECT path, seq, r, c, round(cost, 4) AS cost FROM way")
+def lcp_paths(spark, sf_dir):
+    """The least-cost ways from one cell to five others, cell by cell."""
+    return _ways(spark, sf_dir).select("path", "seq", "r", "c", F.round("cost", 4).alias("cost"))
+
+
+PROFILE_SQL = f"""{PATH_SQL}, k AS (SELECT path, seq, way.r, way.c, z, sqrt((way.r - lag(way.r) OVER w) ** 2 + (way.c - lag(way.c) OVER w) ** 2) * 30 AS h, z - lag(z) OVER w AS dz FROM way JOIN dem ON dem.r = way.r AND dem.c = way.c WINDOW w AS (PARTITION BY path ORDER BY seq)),
+run AS (SELECT path, seq, z, coalesce(sum(h) OVER w, 0) AS dist_m, coalesce(sum({TOBLER}) OVER w, 0) / 60 AS time_min, coalesce(sum({PANDOLF}) OVER w, 0) / 4184 AS energy_kcal FROM k WINDOW w AS (PARTITION BY path ORDER BY seq))"""
+
+
+def _profiles(spark, sf_dir):
+    at = _ways(spark, sf_dir).join(_ground(spark, sf_dir), ["r", "c"])
+    return routes.along(at, ["path"], "seq", CELL)
+
+
+@query(f"WITH RECURSIVE {PROFILE_SQL} SELECT path, seq, z, round(dist_m, 4) AS dist_m, round(time_min, 4) AS time_min, round(energy_kcal, 4) AS energy_kcal FROM run")
+def path_profiles(spark, sf_dir):
+    """Distance, time and energy so far along each way."""
+    return _profiles(spark, sf_dir).select("path", "seq", "z", *[F.round(k, 4).alias(k) for k in ("dist_m", "time_min", "energy_kcal")])
+
+
+@query(f"WITH RECURSIVE {PROFILE_SQL}, last AS (SELECT path, floor(max(dist_m) / 250) AS n FROM run GROUP BY path) SELECT path, CAST(m AS BIGINT) AS mark, round(min(dist_m), 4) AS dist_m, round(arg_min(time_min, dist_m), 4) AS time_min FROM (SELECT run.*, m FROM run JOIN last USING (path), range(1, 200) x(m) WHERE m <= n QUALIFY row_number() OVER (PARTITION BY path, m ORDER BY round(abs(dist_m - m * 250), 6), dist_m) = 1) GROUP BY path, m")
+def path_milestones(spark, sf_dir):
+    """The place nearest to every 250 m of each way, with the time to it."""
+    return profile.milestones(_profiles(spark, sf_dir).withColumn("dist_m", F.round("dist_m", 6)), ["path"], "dist_m", 250.0).select("path", "mark", F.round("dist_m", 4).alias("dist_m"), F.round("time_min", 4).alias("time_min"))
+
+
+@query(f"WITH RECURSIVE {PATH_SQL} SELECT path, seq, r, c FROM (SELECT *, sign(r - lag(r) OVER w) AS ir, sign(c - lag(c) OVER w) AS ic, sign(lead(r) OVER w - r) AS orr, sign(lead(c) OVER w - c) AS oc FROM way WINDOW w AS (PARTITION BY path ORDER BY seq)) WHERE ir IS NULL OR orr IS NULL OR ir <> orr OR ic <> oc")
+def path_turns(spark, sf_dir):
+    """The corners of each way."""
+    return profile.turning_points(_ways(spark, sf_dir), ["path"], "seq", "r", "c").select("path", "seq", "r", "c")
+
+
+@query(f"WITH RECURSIVE {GROUND_SQL}, {_edges_sql('edges', TOBLER)}, {_spread_sql('s', 'edges', 5, 5)}, lv AS (SELECT unnest({movement.isochrone_levels(600.0)!r}) AS level) SELECT level AS minutes, count(*) FILTER (cost / 60 <= level) AS cells, count(*) FILTER (cost / 60 <= level) * 0.09::DOUBLE AS area_ha FROM s, lv GROUP BY level")
+def isochrone_areas(spark, sf_dir):
+    """Cells and hectares within each level of walking time."""
+    t = _finite(cost.accumulated_cost(_ground(spark, sf_dir), _start(spark, 5, 5), CELL))
+    levels = F.explode(F.array(*[F.lit(float(x)) for x in movement.isochrone_levels(600.0)])).alias("minutes")
+    n = F.count_if(F.col("cost") / movement.SECONDS_PER_MINUTE <= F.col("minutes"))
+    return t.select("cost", levels).groupBy("minutes").agg(n.alias("cells"), (n * F.lit(CELL * CELL / movement.M2_PER_HA)).alias("area_ha"))
+
+
+@query()
+def isochrones(spark, sf_dir):
+    """Lines of equal walking time, as contours with a line number; contours are tested apart."""
+    t = cost.accumulated_cost(_ground(spark, sf_dir), _start(spark, 5, 5), CELL).withColumn("z", F.when(F.col("cost") < float("inf"), F.col("cost") / movement.SECONDS_PER_MINUTE))
+    return raster.contour_lines(raster.marching_squares(t.select("r", "c", "z"), [float(x) for x in movement.isochrone_levels(600.0)]))
 
 
 def _neighbours(spark, sf_dir):
@@ -145,12 +237,78 @@ def ring_visibility(spark, sf_dir):
     return routes.ring_visibility(observers(spark, sf_dir), dem(spark, sf_dir), CELL, 300.0, 50.0)
 
 
+#: Nearest candidates of a site, metres round a pair that ways may use, and cheapest partners kept.
+CANDIDATES, MARGIN, PARTNERS = 10, 1000.0, 3
+
+
+def _network_sites(spark, sf_dir):
+    """Suppliers on cells with data; those of every fifth nation are hubs."""
+    s = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_name AS name", "s_suppkey * 53 % 97 AS x", "s_suppkey * 37 % 149 AS y", "s_nationkey % 5 = 0 AS hub")
+    return s.join(dem(spark, sf_dir).select(F.col("r").alias("y"), F.col("c").alias("x")), ["x", "y"], "left_semi").select("id", "name", "x", "y", "hub")
+
+
+@query(f"WITH {DEM_SQL} SELECT s_suppkey AS id, s_name AS name, s_nationkey % 5 = 0 AS hub FROM supplier WHERE EXISTS (SELECT 1 FROM dem WHERE r = s_suppkey * 37 % 149 AND c = s_suppkey * 53 % 97)")
+def network_sites(spark, sf_dir):
+    """The sites that stand on a cell with data."""
+    return _network_sites(spark, sf_dir).select("id", "name", "hub")
+
+
+def _candidate_costs(spark, sf_dir):
+    on, cells = _network_sites(spark, sf_dir), _ground(spark, sf_dir)
+    near = graph.undirected(graph.nearest(on, on, CANDIDATES, same=True)).unionAll(graph.hub_candidates(on, CANDIDATES)).distinct()
+    end = lambda k: on.select(F.col("id").alias(k), F.col("y").alias(f"r{k}"), F.col("x").alias(f"c{k}"))
+    return routes.pair_costs(near.join(end("a"), "a").join(end("b"), "b").drop("d2"), cells, CELL, int(MARGIN // CELL))
+
+
 @query()
 def cost_network(spark, sf_dir):
-    """Least-cost links between the suppliers on the raster: tree and cheapest partners of near pairs; searches are tested apart."""
-    cells = _ground(spark, sf_dir)
+    """Least-cost links between the suppliers on the raster: tree, cheapest partners and hub links of near pairs, with times; searches are tested apart."""
+    costs, on = _candidate_costs(spark, sf_dir), _network_sites(spark, sf_dir)
+    return routes.edge_table(routes.network(costs, PARTNERS, on.where("hub")), costs, on, "tobler", CELL)
+
+
+@query()
+def cost_network_nodes(spark, sf_dir):
+    """Degree, part and centrality of the sites over the links of cost_network; its parts are tested apart."""
+    costs, on = _candidate_costs(spark, sf_dir), _network_sites(spark, sf_dir)
+    links = routes.weights_of(routes.edge_table(routes.network(costs, PARTNERS, on.where("hub")), costs, on, "tobler", CELL))
+    return graph.node_table(links, on, "w")
+
+
+VIEW_PAIRS_SQL = f"""{DEM_SQL}, st AS (SELECT s_suppkey AS id, s_suppkey * 37 % 149 AS r, s_suppkey * 53 % 97 AS c FROM supplier), cand AS (SELECT DISTINCT least(p.id, q.id) AS a, greatest(p.id, q.id) AS b FROM st p, st q WHERE p.id <> q.id AND ((p.r - q.r) ** 2 + (p.c - q.c) ** 2) * 900 <= 2500 * 2500
+  QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY (p.r - q.r) ** 2 + (p.c - q.c) ** 2, q.id) <= 10),
+dir AS (SELECT a, b FROM cand UNION ALL SELECT b, a FROM cand), p AS (SELECT dir.a, dir.b, x.r AS ra, x.c AS ca, y.r AS rb, y.c AS cb, sqrt((x.r - y.r) ** 2 + (x.c - y.c) ** 2) * 30 AS length FROM dir JOIN st x ON x.id = a JOIN st y ON y.id = b),
+q AS (SELECT *, CAST(greatest(80, least(2000, floor(length / 30))) AS INT) AS n FROM p), s AS (SELECT q.*, i, i / n AS t, CAST(floor(ra + (rb - ra) * (i / n) + 0.5) AS BIGINT) AS r, CAST(floor(ca + (cb - ca) * (i / n) + 0.5) AS BIGINT) AS c FROM q, range(0, 2001) x(i) WHERE i <= n),
+l AS (SELECT a, b, i, n, t, length, z FROM s LEFT JOIN dem USING (r, c)), e AS (SELECT a, b, max(z) FILTER (i = 0) AS za, max(z) FILTER (i = n) AS zb FROM l GROUP BY a, b),
+v AS (SELECT l.a, l.b, max(length) AS dist_m, CASE WHEN max(za) IS NULL OR max(zb) IS NULL THEN NULL ELSE NOT coalesce(max((i > 0 AND i < n AND z > za + 1.6 + (zb - za - 1.6) * t)::INT) = 1, false) END AS seen FROM l JOIN e USING (a, b) GROUP BY l.a, l.b),
+f AS (SELECT x.a AS from_id, x.b AS to_id, round(x.dist_m, 6) AS dist_m, coalesce(x.seen::INT, 0) AS vis_ab, coalesce(y.seen::INT, 0) AS vis_ba, CASE WHEN x.seen IS NULL OR y.seen IS NULL THEN 'no data' WHEN x.seen AND y.seen THEN 'mutual' WHEN x.seen OR y.seen THEN 'one way' ELSE 'hidden' END AS status FROM v x JOIN v y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b)"""
+
+
+def _view_links(spark, sf_dir):
     s = observers(spark, sf_dir).select(F.col("obs").alias("id"), F.col("c").alias("x"), F.col("r").alias("y"))
-    on = s.join(cells.select(F.col("r").alias("y"), F.col("c").alias("x")), ["x", "y"], "left_semi")
-    near = graph.undirected(graph.nearest(on, on, 3, same=True))
-    end = lambda k: on.select(F.col("id").alias(k), F.col("y").alias(f"r{k}"), F.col("x").alias(f"c{k}"))
-    return routes.network(routes.pair_costs(near.join(end("a"), "a").join(end("b"), "b").drop("d2"), cells, CELL, 5), 2)
+    return routes.visibility_links(s, dem(spark, sf_dir), CELL, 10, 2500.0)
+
+
+@query(f"WITH {VIEW_PAIRS_SQL} SELECT * FROM f")
+def visibility_network(spark, sf_dir):
+    """Who sees whom, both ways, among the ten nearest within 2,500 m."""
+    return _view_links(spark, sf_dir).select("from_id", "to_id", F.round("dist_m", 6).alias("dist_m"), "vis_ab", "vis_ba", "status")
+
+
+@query(f"WITH {VIEW_PAIRS_SQL}, w AS (SELECT from_id AS id, vis_ab AS o, vis_ba AS i, vis_ab * vis_ba AS both FROM f UNION ALL SELECT to_id, vis_ba, vis_ab, vis_ab * vis_ba FROM f) SELECT id, CAST(sum(o) AS BIGINT) AS out_deg, CAST(sum(i) AS BIGINT) AS in_deg, CAST(sum(o) + sum(i) AS BIGINT) AS vis_total, CAST(sum(both) AS BIGINT) AS mutual FROM w GROUP BY id")
+def visibility_degrees(spark, sf_dir):
+    return routes.visibility_degrees(_view_links(spark, sf_dir))
+
+
+HIT_SQL = f"""WITH {LINES_SQL.replace('greatest(80, least(2000,', 'greatest(200, least(5000,').replace('range(0, 2001)', 'range(0, 5001)')}, k AS (SELECT a, b, i, d, z - 0.87 * d * d / (2 * 6371000.0) AS z FROM l WHERE z IS NOT NULL),
+g AS (SELECT *, first(z) OVER w + 1.6 AS eye, last(z) OVER w AS goal, last(d) OVER w AS length, first(i) OVER w AS i0, last(i) OVER w AS i1 FROM k WINDOW w AS (PARTITION BY a, b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+h AS (SELECT *, z - (eye + d / length * (goal - eye)) AS over FROM g), o AS (SELECT *, lag(d) OVER w AS d0, lag(z) OVER w AS z0, CASE WHEN lag(i) OVER w = i0 THEN lag(z) OVER w - eye ELSE lag(over) OVER w END AS over0 FROM h WINDOW w AS (PARTITION BY a, b ORDER BY i)),
+y AS (SELECT *, i > i0 AND i < i1 AND over > 0 AS hit, CASE WHEN over0 <= 0 THEN over0 / (over0 - over) ELSE 1 END AS share FROM o)
+SELECT a, b, NOT coalesce(bool_or(hit), false) AS visible, round(arg_min(d0 + share * (d - d0), i) FILTER (hit), 4) AS hit_m, round(arg_min(z0 + share * (z - z0), i) FILTER (hit), 4) AS hit_z FROM y GROUP BY a, b"""
+
+
+@query(HIT_SQL)
+def los_obstruction(spark, sf_dir):
+    """Where the line between neighbouring suppliers first meets the ground, on the bent earth."""
+    lines = profile.bent(surfaces.sight_lines(_neighbours(spark, sf_dir), dem(spark, sf_dir), CELL, CELL, 200, 5000), surfaces.bend())
+    return profile.first_obstruction(lines, 1.6).select("a", "b", "visible", F.round("hit_m", 4).alias("hit_m"), F.round("hit_z", 4).alias("hit_z"))

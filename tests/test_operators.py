@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from holloway.operators import graph, profile, raster, routes, surfaces
+from holloway.functions.movement import TIME, step_cost
+from holloway.operators import cost, graph, profile, raster, routes, surfaces
 from holloway.operators.components import components
 
 
@@ -63,7 +64,21 @@ def test_weights_divert(spark):
     assert [r.betweenness for r in sorted(graph.centrality(t, spark.range(3), "w").collect())] == [0, 1, 0]
     t = spark.createDataFrame([(0, 1, 0.0), (0, 2, -3.0)], "a long, b long, w double")
     assert all(r.closeness == 0 for r in graph.centrality(t, spark.range(3), "w").collect())
-    assert all(r.closeness is None for r in graph.centrality(t, spark.range(graph.MOST_NODES + 1), "w").collect())
+
+
+def test_centrality_by_joins_equals_that_of_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    links = sorted({tuple(sorted(map(int, rng.integers(0, 25, 2)))) for _ in range(45)})
+    t = spark.createDataFrame([(a, b, float(rng.integers(1, 4))) for a, b in links if a != b], "a long, b long, w double")
+    for weight in (None, "w"):
+        want = sorted(graph.centrality(t, spark.range(27), weight).collect())
+        monkeypatch.setattr(graph, "SENT", 5)
+        monkeypatch.setattr(graph, "SEARCH_ROWS", 27 * 14)
+        got = sorted(graph.centrality(t, spark.range(27), weight).collect())
+        monkeypatch.undo()
+        assert [r.id for r in got] == [r.id for r in want] and sum(r.betweenness for r in want) > 0
+        for k in ("closeness", "betweenness"):
+            assert [r[k] for r in got] == pytest.approx([r[k] for r in want])
 
 
 def random_sites(spark, n, seed):
@@ -105,13 +120,55 @@ def test_spanning_tree_and_components(spark, monkeypatch, few):
         assert {r.node: r.root for r in components(table).collect()} == {v: find(v) for e in links for v in e[1:]}
 
 
+def tobler(length, climb):
+    return length / max(0.05, 6.0 * math.exp(-3.5 * abs(climb / length + 0.05)) / 3.6)
+
+
+@pytest.mark.parametrize("model, mode", [*((m, "time") for m in (*TIME, "unknown")), ("pandolf", "energy")])
+def test_step_costs_equal_the_columns(spark, model, mode):
+    dz = np.array([-60.0, -8.0, -0.5, 0.0, 0.3, 5.0, 12.0, 70.0])
+    t = spark.createDataFrame([(float(x),) for x in dz], "dz double")
+    want = [r[0] for r in t.select(step_cost(model, F.lit(30.0), F.col("dz"), mode)).collect()]
+    assert list(cost.step_costs(model, 30.0, dz, mode)) == pytest.approx(want)
+
+
+def test_paths_over_tiles(spark):
+    z = np.random.default_rng(9).normal(0, 6, (30, 26))
+    cells, move = raster_of(spark, z), cost.Movement(10.0, tile=7)
+    start = spark.createDataFrame([(2, 3)], "r long, c long")
+    tiles = cost.spread(cost.tiles_of(cells, move), start, move)
+    by = {(r.r, r.c): r.cost for r in cost.costs(tiles, move).collect()}
+    targets = spark.createDataFrame([(1, 28, 25), (2, 0, 0), (3, 29, 1)], "path long, r long, c long")
+    rows = sorted(cost.paths(tiles, targets, move).collect())
+    for path, end in ((1, (28, 25)), (2, (0, 0)), (3, (29, 1))):
+        way = [(r.r, r.c) for r in rows if r.path == path]
+        assert way[0] == (2, 3) and way[-1] == end and [r.seq for r in rows if r.path == path] == list(range(len(way)))
+        spent = 0.0
+        for (i, j), (k, m) in zip(way, way[1:]):
+            assert max(abs(i - k), abs(j - m)) == 1
+            spent += tobler(10.0 * math.hypot(i - k, j - m), z[k, m] - z[i, j])
+            assert by[k, m] == pytest.approx(spent)
+
+
+def test_several_searches_side_by_side(spark):
+    z = np.random.default_rng(10).normal(0, 6, (12, 12))
+    cells = raster_of(spark, z)
+    both = cells.withColumn("job", F.explode(F.array(F.lit(4), F.lit(9)))).where("job = 4 OR c < 8")
+    move = cost.Movement(10.0, tile=5)
+    starts = spark.createDataFrame([(4, 0, 0), (9, 6, 6)], "job long, r long, c long")
+    got = {(r.job, r.r, r.c): r.cost for r in cost.costs(cost.spread(cost.tiles_of(both, move), starts, move), move).collect()}
+    for job, start, part in ((4, (0, 0), cells), (9, (6, 6), cells.where("c < 8"))):
+        want = {(job, r.r, r.c): r.cost for r in cost.accumulated_cost(part, spark.createDataFrame([start], "r long, c long"), 10.0).collect()}
+        assert {k: v for k, v in got.items() if k[0] == job} == pytest.approx(want)
+
+
 def test_accumulated_cost(spark):
     z = np.random.default_rng(4).normal(0, 8, (23, 31))
     z[5:20, 12] = np.nan
     cells = raster_of(spark, z)
     start = spark.createDataFrame([(3, 4)], "r long, c long")
     for reverse in (False, True):
-        got = {(r.r, r.c): r.cost for r in surfaces.accumulated_cost(cells, start, 10.0, reverse=reverse, tile=8).collect()}
+        got = {(r.r, r.c): r.cost for r in cost.accumulated_cost(cells, start, 10.0, reverse=reverse, tile=8).collect()}
         want, heap = {}, [(0.0, 3, 4)]
         while heap:
             d, i, j = heapq.heappop(heap)
@@ -123,7 +180,7 @@ def test_accumulated_cost(spark):
                     k, m = i + a, j + b
                     if (a or b) and 0 <= k < 23 and 0 <= m < 31 and not math.isnan(z[k, m]):
                         climb = z[k, m] - z[i, j]
-                        heapq.heappush(heap, (d + surfaces.tobler_seconds(10.0 * math.hypot(a, b), -climb if reverse else climb), k, m))
+                        heapq.heappush(heap, (d + tobler(10.0 * math.hypot(a, b), -climb if reverse else climb), k, m))
         for p, d in got.items():
             assert d == pytest.approx(want.get(p, math.inf))
 
@@ -131,9 +188,20 @@ def test_accumulated_cost(spark):
 def test_corridor(spark):
     cells = raster_of(spark, np.zeros((5, 9)))
     place = lambda r, c: spark.createDataFrame([(r, c)], "r long, c long")
-    there, back = surfaces.accumulated_cost(cells, place(2, 0), 10.0), surfaces.accumulated_cost(cells, place(2, 8), 10.0, reverse=True)
-    assert [(r.r, r.c) for r in surfaces.corridor(there, back, 0.0).orderBy("cost").collect()] == [(2, c) for c in range(9)]
-    assert surfaces.corridor(there, back, 30.0).count() > 9
+    there, back = cost.accumulated_cost(cells, place(2, 0), 10.0), cost.accumulated_cost(cells, place(2, 8), 10.0, reverse=True)
+    assert [(r.r, r.c) for r in cost.corridor(there, back, 0.0).orderBy("cost").collect()] == [(2, c) for c in range(9)]
+    assert cost.corridor(there, back, 30.0).count() > 9
+
+
+def test_contour_lines(spark):
+    y, x = np.mgrid[0:21, 0:21]
+    z = np.minimum((x - 5.0) ** 2 + (y - 5.3) ** 2, (x - 15.2) ** 2 + (y - 14.0) ** 2)
+    rows = raster.contour_lines(raster.marching_squares(raster_of(spark, z), [9.5, 400.0])).collect()
+    lines = {r.line: r for r in rows}
+    assert len(lines) == 2 and all(r.closed for r in rows)
+    assert all(r.length == pytest.approx(2 * math.pi * 9.5**0.5, rel=0.03) for r in rows)
+    slope = raster.contour_lines(raster.marching_squares(raster_of(spark, x * 1.0), [3.5, 7.5])).collect()
+    assert len({r.line for r in slope}) == 2 and not any(r.closed for r in slope) and {r.length for r in slope} == {20.0}
 
 
 def test_kriging(spark):
@@ -174,7 +242,7 @@ def test_pair_costs(spark):
     for a, b, ra, ca, rb, cb in ends:
         start = spark.createDataFrame([(ra, ca)], "r long, c long")
         for k, reverse in enumerate((False, True)):
-            want = surfaces.accumulated_cost(cells, start, 10.0, reverse=reverse).where((F.col("r") == rb) & (F.col("c") == cb)).first().cost
+            want = cost.accumulated_cost(cells, start, 10.0, reverse=reverse).where((F.col("r") == rb) & (F.col("c") == cb)).first().cost
             assert got[a, b][k] == pytest.approx(want)
     costs = spark.createDataFrame([(1, 2, 5.0, 7.0), (2, 3, 1.0, 1.0), (1, 3, 2.0, 2.0), (3, 4, math.inf, 1.0)], "a long, b long, forth double, back double")
     assert sorted(map(tuple, routes.network(costs, 1).collect())) == [(1, 3, "knn"), (1, 3, "mst"), (2, 3, "knn"), (2, 3, "mst"), (3, 4, "knn")]

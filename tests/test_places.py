@@ -93,6 +93,30 @@ def test_spaced_choice(spark):
     assert got[0].score == max(r[3] for r in rows)
 
 
+@pytest.mark.parametrize("block, spacing", [(5000, 9.0), (3, 9.0), (2, 30.0)])
+def test_spaced_choice_overlooks_nothing(spark, block, spacing):
+    """Against the plain loop over squares in turns, with a clustered surface whose best candidates conflict."""
+    rng = np.random.default_rng(4)
+    rows = [(i, float(x), float(y), float(round(100 - abs(x - 50) - abs(y - 50), 3))) for i, (x, y) in enumerate(rng.normal(50, 14, (400, 2)))]
+    squares = {}
+    for r in sorted(rows, key=lambda r: (-r[3], r[0])):
+        squares.setdefault((r[1] // 20, r[2] // 20), []).append(r)
+    order, kept, at = sorted(squares, key=lambda k: (-squares[k][0][3], squares[k][0][0])), [], dict.fromkeys(squares, 0)
+    progress = True
+    while progress and len(kept) < 25:
+        progress = False
+        for k in order:
+            while at[k] < len(squares[k]) and len(kept) < 25:
+                r = squares[k][at[k]]
+                at[k] += 1
+                if all((r[1] - q[1]) ** 2 + (r[2] - q[2]) ** 2 >= spacing**2 for q in kept):
+                    kept.append(r)
+                    progress = True
+                    break
+    got = decision.spaced(spark.createDataFrame(rows, "id long, x double, y double, score double"), 25, spacing, 20.0, block).orderBy("rank").collect()
+    assert [r.id for r in got] == [r[0] for r in kept]
+
+
 def test_inflation(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(2, 200))
