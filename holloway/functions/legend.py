@@ -32,19 +32,26 @@ def value_of_colour(r: Column, g: Column, b: Column, points: Points, snap: float
     if len(points) < 2:
         raise ValueError("a legend needs two points at least")
     snap = snap if snap is not None and 0 <= snap <= 1 else None
-    options = []
+    # One array of segments, walked with two transforms, so the place on a segment is an expression of its own and not repeated.
+    segments = []
     for k, ((v1, c1), (v2, c2)) in enumerate(zip(points, points[1:], strict=False)):
         d = [float(q - p) for p, q in zip(c1, c2, strict=True)]
-        length = sum(x * x for x in d)
-        if length <= 0:
-            continue
-        t = sum((x - p) * e for x, p, e in zip((r, g, b), c1, d, strict=True)) / length
-        t = F.greatest(F.least(t, F.lit(1.0)), F.lit(0.0))
-        if snap is not None and k == len(points) - 2:
-            t = F.when(t > snap, F.lit(1.0)).otherwise(t)
-        apart = sum((x - (F.lit(float(p)) + t * e)) * (x - (F.lit(float(p)) + t * e)) for x, p, e in zip((r, g, b), c1, d, strict=True))
-        options.append(F.struct(apart.alias("apart"), F.lit(k).alias("segment"), (F.lit(v1) + t * (v2 - v1)).alias("value")))
-    best = F.least(*options) if len(options) > 1 else options[0]
+        if any(d):
+            end = snap if snap is not None and k == len(points) - 2 else 2.0
+            segments.append(F.struct(F.lit(k).alias("segment"), F.lit(v1).alias("v"), F.lit(v2 - v1).alias("dv"), F.lit(end).alias("end"), F.lit(sum(x * x for x in d)).alias("length"),
+                                     *[F.lit(float(p)).alias(f"p{i}") for i, p in enumerate(c1)], *[F.lit(e).alias(f"d{i}") for i, e in enumerate(d)]))
+    colour = (r, g, b)
+
+    def placed(s: Column) -> Column:
+        t = sum((x - s[f"p{i}"]) * s[f"d{i}"] for i, x in enumerate(colour)) / s["length"]
+        return F.struct(s.alias("s"), F.greatest(F.least(t, F.lit(1.0)), F.lit(0.0)).alias("t"))
+
+    def measured(x: Column) -> Column:
+        s, t = x["s"], F.when(x["t"] > x["s"]["end"], F.lit(1.0)).otherwise(x["t"])
+        apart = sum((c - (s[f"p{i}"] + t * s[f"d{i}"])) * (c - (s[f"p{i}"] + t * s[f"d{i}"])) for i, c in enumerate(colour))
+        return F.struct(apart.alias("apart"), s["segment"].alias("segment"), (s["v"] + t * s["dv"]).alias("value"))
+
+    best = F.array_min(F.transform(F.transform(F.array(*segments), placed), measured))
     return F.when(r.isNotNull() & g.isNotNull() & b.isNotNull(), best["value"])
 
 

@@ -1,8 +1,9 @@
-"""Lineage cuts and skew-safe joins for iterative jobs, and run metadata."""
+"""Lineage cuts, skew-safe joins and numbering for jobs of many steps, and the log of runs."""
 
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -15,11 +16,13 @@ HOT_SHARE = 1 / 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode a folder of our own where it is unset."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir")
     if told:
         return told
+    if sc._jsc.sc().getCheckpointDir().isEmpty() and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         own = tempfile.mkdtemp(prefix="holloway-shared-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -71,3 +74,30 @@ def join_salted(rows: DataFrame, keyed: DataFrame, key: str, size: str, spread:
     left = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
     right = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
     return left.join(right, [key, "__part"]).drop("__part")
+
+
+def numbered(df: DataFrame, *order, out: str = "n") -> DataFrame:
+    """``df`` with the place of each row (from 0) in an order that has no ties: rows are dealt by ranges, numbered in each, and moved up by the counts of those before."""
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    sizes = {r[0]: r[1] for r in ranged.groupBy("__part").agg(F.count(F.lit(1))).collect()}  # one row a partition
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part] = total
+        total += sizes[part]
+    offsets = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else None
+    place = F.col("__at") if offsets is None else F.col("__at") + offsets[F.col("__part")]
+    return ranged.withColumn(out, place.cast("long")).drop("__part", "__at")
+
+
+RUN = "tool_id string, run_id string, kind string, units string, params_json string, created_at timestamp"
+
+
+def log_run(spark: SparkSession, path: str, tool: str, run: str, kind: str, units: str = "", params: dict | None = None) -> None:
+    """Append what made a result to the run log, a Parquet table."""
+    spark.createDataFrame([(tool, run, kind, units, json.dumps(params or {}, sort_keys=True, ensure_ascii=False))], RUN.rsplit(", ", 1)[0]).withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The latest entry of each run and kind in a run log."""
+    last = F.max_by(F.struct("tool_id", "units", "params_json", "created_at"), "created_at").alias("x")
+    return spark.read.schema(RUN).parquet(path).groupBy("run_id", "kind").agg(last).select("x.tool_id", "run_id", "kind", "x.units", "x.params_json", "x.created_at")

@@ -5,26 +5,50 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..lineage import cut
+from .quantile import quantile
 
 # Random consistency index for 1 to 15 criteria.
 RANDOM_INDEX = (0.0, 0.0, 0.58, 0.90, 1.12, 1.24, 1.32, 1.41, 1.45, 1.49, 1.51, 1.48, 1.56, 1.57, 1.59)
 LEAST, MOST = 1 / 9, 9.0
 
 
-def clean_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b, ratio) for each pair of keys in their order: given (a, b, ratio) rows are turned to it and clamped, the rest are 1."""
+def clean_pairs(pairs: DataFrame, keys: list[str], by: str | None = None) -> DataFrame:
+    """(a, b, ratio) for each pair of keys in their order, for each value of ``by``: given (a, b, ratio) rows are turned to it and clamped, the rest are 1.
+
+    Of several rows for one pair the greatest ratio counts.
+    """
     order = {k: i for i, k in enumerate(keys)}
-    spark = pairs.sparkSession
-    every = spark.createDataFrame([(a, b) for a in keys for b in keys if order[a] < order[b]] or [], "a string, b string")
+    own = [by] * bool(by)
+    every = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in keys for b in keys if order[a] < order[b]])
+    whole = (pairs.select(by).distinct() if by else pairs.sparkSession.range(1).select()).select(*own, F.inline(every))
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
     turned = rank[F.col("a")] > rank[F.col("b")]
     valid = pairs.where(F.col("ratio") > 0)
-    given = valid.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(turned, 1 / F.col("ratio")).otherwise(F.col("ratio")).alias("ratio"))
-    return every.join(given, ["a", "b"], "left").select("a", "b", F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce("ratio", F.lit(1.0)))).alias("ratio"))
+    given = valid.select(*own, F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(turned, 1 / F.col("ratio")).otherwise(F.col("ratio")).alias("ratio"))
+    given = given.groupBy(*own, "a", "b").agg(F.max("ratio").alias("ratio"))
+    return whole.join(given, [*own, "a", "b"], "left").select(*own, "a", "b", F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce("ratio", F.lit(1.0)))).alias("ratio"))
+
+
+def pair_weights(pairs: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """(by, criterion, weight, lambda_max, consistency): the weights of each judge's pair ratios (by, a, b, ratio); a task holds one judge's matrix."""
+    kind = pairs.schema[by].dataType.simpleString()
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        w, top, ratio = weights(matrix(keys, {(r.a, r.b): r.ratio for r in part.itertuples()}))
+        return pd.DataFrame({by: part[by].iloc[0], "criterion": keys, "weight": w, "lambda_max": top, "consistency": ratio})
+
+    return clean_pairs(pairs, keys, by).groupBy(by).applyInPandas(solve, f"{by} {kind}, criterion string, weight double, lambda_max double, consistency double")
+
+
+def hierarchy_weights(outer: DataFrame, inner: DataFrame, by: str) -> DataFrame:
+    """(by, criterion, weight): the weight of each judge's groups (by, grp, weight) times that of the criteria in them (by, grp, criterion, weight), summing to one."""
+    both = inner.join(outer.select(by, "grp", F.col("weight").alias("w")), [by, "grp"]).select(by, "criterion", (F.col("weight") * F.col("w")).alias("weight"))
+    return both.join(both.groupBy(by).agg(F.sum("weight").alias("total")), by).select(by, "criterion", (F.col("weight") / F.col("total")).alias("weight"))
 
 
 def matrix(keys: list[str], ratios: dict[tuple[str, str], float]) -> np.ndarray:
@@ -50,18 +74,6 @@ def weights(m: np.ndarray) -> tuple[np.ndarray, float, float]:
     return w / w.sum(), top, ratio
 
 
-def hierarchy(groups: dict[str, list[str]], group_ratios: dict, local_ratios: dict) -> dict[str, float]:
-    """Weight of each criterion: its group's weight times its weight in the group, summing to one."""
-    names = [g for g, members in groups.items() if members]
-    outer, _, _ = weights(matrix(names, group_ratios))
-    out = {}
-    for g, w in zip(names, outer, strict=True):
-        inner, _, _ = weights(matrix(groups[g], local_ratios))
-        out |= {c: float(w * x) for c, x in zip(groups[g], inner, strict=True)}
-    total = sum(out.values())
-    return {c: v / total for c, v in out.items()} if total else out
-
-
 def correlations(t: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) of all column pairs, in one aggregation over rows with all values."""
     full = t.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
@@ -138,3 +150,45 @@ def spaced(candidates: DataFrame, most: int, spacing: float, coverage: float, bl
         if len(kept) == chosen:
             break
     return candidates.sparkSession.createDataFrame([(k.id, i, k.x, k.y, k.score) for i, k in enumerate(kept, 1)], "id long, rank int, x double, y double, score double")
+
+
+def checked(t: DataFrame, value: Column, limits: tuple[float, ...]) -> DataFrame:
+    """One row: n, least, most, mean, middle (median) of a surface at known places, and the per cent of them at or over each limit (over_50 for 0.5)."""
+    v = t.select(value.cast("double").alias("v")).where("v IS NOT NULL")
+    middle = quantile(v, F.col("v"), 0.5)
+    shares = [(100.0 * F.count_if(F.col("v") >= x) / F.count("*")).alias(f"over_{round(100 * x)}") for x in limits]
+    return v.agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean"), F.lit(middle).cast("double").alias("middle"), *shares)
+
+
+def view_mode(points: int, weighted: bool = False, counted: bool = False, line: bool = False) -> str:
+    """How views of several observers are put together: weighted, count, union (a line or over 20 points) or flags."""
+    return "weighted" if weighted else "count" if counted else "union" if line or points > 20 else "flags"
+
+
+def preferences(mode: str, low: float, high: float, target: float | None = None, span: tuple[float | None, float | None] = (None, None), ranges: list | None = None) -> dict:
+    """Valid preferences of a criterion with values from ``low`` to ``high``: a missing or outlying target is the middle, a span the middle half, ranges one of score 1."""
+    low, high = min(low, high), max(low, high)
+    ok = lambda v: v is not None and math.isfinite(v) and low <= v <= high
+    if mode == "target":
+        return {"target": target if ok(target) else (low + high) / 2}
+    if mode == "range":
+        good = ok(span[0]) and ok(span[1]) and span[0] < span[1]
+        return {"span": tuple(span) if good else (low + (high - low) / 4, low + (high - low) * 3 / 4)}
+    return {"ranges": list(ranges) if ranges else [(low, high, 1.0)]} if mode == "reclass" else {}
+
+
+def grouped(criteria: list[str], groups: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Groups with known criteria only, each in one group; a criterion without a group is a group of its own."""
+    left, out = list(criteria), {}
+    for name, members in groups.items():
+        own = [m for m in dict.fromkeys(members) if m in left]
+        left = [c for c in left if c not in own]
+        if own:
+            out[name] = own
+    return out | {c: [c] for c in left}
+
+
+def snapped(ratio: float) -> float:
+    """The nearest ratio of the scale 1/9, ..., 1/2, 1, 2, ..., 9."""
+    scale = [1 / k for k in range(9, 1, -1)] + [float(k) for k in range(1, 10)]
+    return min(scale, key=lambda v: abs(v - ratio))

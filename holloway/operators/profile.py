@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import numbered
+
 #: Radius of the earth in metres.
 EARTH = 6_371_000.0
 
@@ -119,6 +121,24 @@ def evenly(t: DataFrame, order: str, most: int) -> DataFrame:
     n = t.count()
     if n <= most:
         return t
-    places = sorted({round(i * (n - 1) / (most - 1)) for i in range(most)}) if most > 1 else [0]
-    numbered = t.withColumn("__n", F.row_number().over(Window.orderBy(order)) - 1)
-    return numbered.where(F.col("__n").isin(places)).drop("__n")
+    places = F.bround(F.col("id") * (n - 1) / max(1, most - 1)).cast("long").alias("__n") if most > 1 else F.lit(0).cast("long").alias("__n")
+    return numbered(t, order, out="__n").join(t.sparkSession.range(max(1, most)).select(places).distinct(), "__n", "left_semi").drop("__n")
+
+
+def end_point(x: Column, y: Column, tx: Column, ty: Column, length: float) -> dict[str, Column]:
+    """The point ``length`` from (x, y) towards (tx, ty); that point itself if both are one."""
+    d = F.hypot(tx - x, ty - y)
+    return {"x": F.when(d > 0, x + (tx - x) * length / d).otherwise(tx), "y": F.when(d > 0, y + (ty - y) * length / d).otherwise(ty)}
+
+
+def length_of(points: Column) -> Column:
+    """Length of a line given as an array of structs x, y."""
+    pairs = F.arrays_zip(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))).alias("p"), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))).alias("q"))
+    return F.aggregate(F.transform(pairs, lambda s: F.hypot(s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"])), F.lit(0.0), lambda a, d: a + d)
+
+
+def saved_lines(t: DataFrame, key: str, distance: str, z: str, palette: list[tuple[int, int, int]]) -> DataFrame:
+    """A row for each profile: its number, length, least and greatest height, samples, and a colour of the palette in turn."""
+    rows = t.groupBy(key).agg((F.max(distance) - F.min(distance)).alias("distance"), F.min(z).alias("min_elev"), F.max(z).alias("max_elev"), F.count(z).alias("samples"))
+    colours = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("rgb", c, strict=True)]) for c in palette])
+    return numbered(rows, key, out="__n").withColumn("no", F.col("__n") + 1).withColumn("__c", F.element_at(colours, (F.col("__n") % len(palette) + 1).cast("int"))).select("no", key, "distance", "min_elev", "max_elev", "samples", "__c.*")

@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from .graph import nearest
 from .profile import EARTH
+from .quantile import quantile
+
+
+#: Systems that are solved at once.
+STACKED = 1024
 
 
 def bend(curvature: bool = True, refraction: bool = True, k: float = 0.13) -> float:
@@ -116,7 +121,7 @@ def kriging_parameters(points: DataFrame) -> tuple[float, float, float]:
     """(nugget, partial sill, range): 5 % and the rest of the sample variance, three times the median distance of nearest points."""
     var = points.agg(F.var_samp("z")).first()[0] or 0.0
     var = var if var > 0 else 1e-6
-    gap = nearest(points, points, 1, same=True).where("d2 > 0").agg(F.percentile(F.sqrt("d2"), F.lit(0.5))).first()[0]
+    gap = quantile(cut(nearest(points, points, 1, same=True).where("d2 > 0").select("d2")), F.sqrt("d2"), 0.5)
     return var * 0.05, max(1e-6, var * 0.95), max(1e-6, 3 * (gap or 1.0))
 
 
@@ -131,23 +136,25 @@ def kriging(targets: DataFrame, points: DataFrame, k: int = 16, parameters: tupl
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for a, tx, ty, p in zip(batch["a"], batch["tx"], batch["ty"], batch["p"], strict=True):
-                if len(p) < 3:
-                    continue
-                x, y, z = (np.array([q[f] for q in p], float) for f in ("px", "py", "z"))
-                n = len(x)
-                m = np.ones((n + 1, n + 1))
-                m[:n, :n] = sill * np.exp(-np.hypot(x[:, None] - x, y[:, None] - y) / reach)
-                m[np.arange(n), np.arange(n)] = sill + nugget
-                m[n, n] = 0
-                right = np.r_[sill * np.exp(-np.hypot(x - tx, y - ty) / reach), 1.0]
-                try:
-                    w = np.linalg.solve(m, right)
-                except np.linalg.LinAlgError:
-                    m[np.arange(n), np.arange(n)] += max(1e-12, sill * 1e-10)
-                    w = np.linalg.solve(m, right)
-                out.append((a, float(w[:n] @ z), max(0.0, float(sill + nugget - w[:n] @ right[:n] - w[n]))))
-            yield pd.DataFrame(out, columns=["id", "z", "variance"])
+            sizes = batch["p"].map(len)
+            for n in sorted(set(sizes[sizes >= 3])):  # systems of one size are solved at once
+                part = batch[sizes == n]
+                for lo in range(0, len(part), STACKED):
+                    own = part.iloc[lo : lo + STACKED]
+                    x, y, z = (np.array([[q[f] for q in p] for p in own["p"]], float) for f in ("px", "py", "z"))
+                    m = np.ones((len(own), n + 1, n + 1))
+                    m[:, :n, :n] = sill * np.exp(-np.hypot(x[:, :, None] - x[:, None, :], y[:, :, None] - y[:, None, :]) / reach)
+                    at = np.arange(n)
+                    m[:, at, at] = sill + nugget
+                    m[:, n, n] = 0
+                    right = np.ones((len(own), n + 1))
+                    right[:, :n] = sill * np.exp(-np.hypot(x - own["tx"].to_numpy()[:, None], y - own["ty"].to_numpy()[:, None]) / reach)
+                    try:
+                        w = np.linalg.solve(m, right[:, :, None])[:, :, 0]
+                    except np.linalg.LinAlgError:
+                        m[:, at, at] += max(1e-12, sill * 1e-10)
+                        w = np.linalg.solve(m, right[:, :, None])[:, :, 0]
+                    variance = sill + nugget - (w[:, :n] * right[:, :n]).sum(axis=1) - w[:, n]
+                    yield pd.DataFrame({"id": own["a"].to_numpy(), "z": (w[:, :n] * z).sum(axis=1), "variance": np.maximum(0.0, variance)})
 
     return near.mapInPandas(solve, "id long, z double, variance double")

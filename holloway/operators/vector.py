@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.grid import Grid
@@ -81,14 +81,111 @@ def overlay(left: DataFrame, right: DataFrame) -> DataFrame:
     return shared.where("shared > 1e-9 * whole").select("a", "b", "shared", F.greatest(F.lit(0.0), F.col("whole") - F.col("shared")).alias("outside"))
 
 
-def rasterized(polygons: DataFrame, grid: Grid, key: str = "id") -> DataFrame:
-    """(key, r, c) of the cells whose centre is inside each polygon (column ``ring``): only cells of its box are looked at."""
+def _crosses(p: Column, q: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """Whether the straight line from p to q has a point in a box: the part of it that each side of the box leaves is not empty."""
+    dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+    enter, leave = [F.lit(0.0)], [F.lit(1.0)]
+    for d, at, lo, hi in ((dx, p["x"], x0, x1), (dy, p["y"], y0, y1)):
+        a, b = (lo - at) / F.nullif(d, F.lit(0.0)), (hi - at) / F.nullif(d, F.lit(0.0))
+        flat = F.when((d == 0) & ((at < lo) | (at > hi)), F.lit(2.0)).otherwise(F.lit(0.0))
+        enter += [F.coalesce(F.least(a, b), F.lit(0.0)), flat]
+        leave.append(F.coalesce(F.greatest(a, b), F.lit(1.0)))
+    return F.greatest(*enter) <= F.least(*leave)
+
+
+def length_in_box(p: Column, q: Column, box: tuple[float, float, float, float]) -> Column:
+    """The length of a straight line that lies in a box (xmin, xmax, ymin, ymax)."""
+    dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+    enter, leave = [F.lit(0.0)], [F.lit(1.0)]
+    for d, at, lo, hi in ((dx, p["x"], *box[:2]), (dy, p["y"], *box[2:])):
+        a, b = (lo - at) / F.nullif(d, F.lit(0.0)), (hi - at) / F.nullif(d, F.lit(0.0))
+        outside = F.when((d == 0) & ((at < lo) | (at > hi)), F.lit(2.0)).otherwise(F.lit(0.0))
+        enter += [F.coalesce(F.least(a, b), F.lit(0.0)), outside]
+        leave.append(F.coalesce(F.greatest(a, b), F.lit(1.0)))
+    return F.greatest(F.lit(0.0), F.least(*leave) - F.greatest(*enter)) * F.hypot(dx, dy)
+
+
+def line_crossings(lines: DataFrame, features: DataFrame, size: float) -> DataFrame:
+    """(id, other, t, x, y): where each line (id, x1, y1, x2, y2) crosses the features' lines (id, x1, y1, x2, y2), at the share ``t`` of its length.
+
+    Lines meet in the squares of width ``size`` that their boxes touch; a crossing counts in the square where it lies.
+    """
+    def filed(t: DataFrame, p: str) -> DataFrame:
+        span = lambda k: F.explode(F.sequence(F.floor(F.least(f"{p}{k}1", f"{p}{k}2") / size), F.floor(F.greatest(f"{p}{k}1", f"{p}{k}2") / size)))
+        return t.select(F.col("id").alias(p), *[F.col(k).cast("double").alias(f"{p}{k}") for k in ("x1", "y1", "x2", "y2")]).withColumn("bx", span("x")).withColumn("by", span("y"))
+
+    both = filed(lines, "a").join(filed(features, "b"), ["bx", "by"]).selectExpr("*", "(ax2 - ax1) * (by2 - by1) - (ay2 - ay1) * (bx2 - bx1) AS cross").where("cross <> 0")
+    at = both.selectExpr("*", "((bx1 - ax1) * (by2 - by1) - (by1 - ay1) * (bx2 - bx1)) / nullif(cross, 0) AS t", "((bx1 - ax1) * (ay2 - ay1) - (by1 - ay1) * (ax2 - ax1)) / nullif(cross, 0) AS u").where("t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1")
+    at = at.selectExpr("a AS id", "b AS other", "t", "ax1 + t * (ax2 - ax1) AS x", "ay1 + t * (ay2 - ay1) AS y", "bx", "by")
+    return at.where((F.floor(F.col("x") / size) == F.col("bx")) & (F.floor(F.col("y") / size) == F.col("by"))).drop("bx", "by")
+
+
+def long_axis(ring: Column) -> Column:
+    """The bearing (0 to 180 degrees) of the long side of the least rectangle round a polygon; of equally small ones the first.
+
+    One side of that rectangle lies along a side of the convex hull, which joins two vertices; so the directions between all pairs of vertices are tried.
+    """
+    pairs = F.flatten(F.transform(ring, lambda p: F.transform(F.filter(ring, lambda q: (q["x"] != p["x"]) | (q["y"] != p["y"])), lambda q: F.struct((q["x"] - p["x"]).alias("x"), (q["y"] - p["y"]).alias("y")))))
+
+    def box(d: Column) -> Column:
+        n = F.hypot(d["x"], d["y"])
+        along = F.transform(ring, lambda p: (p["x"] * d["x"] + p["y"] * d["y"]) / n)
+        over = F.transform(ring, lambda p: (p["x"] * d["y"] - p["y"] * d["x"]) / n)
+        length, width = F.array_max(along) - F.array_min(along), F.array_max(over) - F.array_min(over)
+        bearing = F.degrees(F.atan2(d["x"], d["y"])) + F.when(length >= width, 0.0).otherwise(90.0)
+        return F.struct(F.round(length * width, 6).alias("area"), F.round(F.pmod(F.round(bearing, 9), F.lit(180.0)), 6).alias("bearing"))
+
+    return F.array_min(F.transform(pairs, box))["bearing"]
+
+
+def representative(ring: Column) -> Column:
+    """A point that is inside the polygon: its centroid, or else the middle of the widest inner stretch at half its height."""
+    y = (F.array_min(F.transform(ring, lambda p: p["y"])) + F.array_max(F.transform(ring, lambda p: p["y"]))) / 2 + 1e-7
+    hits = F.array_sort(F.transform(F.filter(_sides(ring), lambda s: (s["p"]["y"] > y) != (s["q"]["y"] > y)), lambda s: s["p"]["x"] + (y - s["p"]["y"]) / (s["q"]["y"] - s["p"]["y"]) * (s["q"]["x"] - s["p"]["x"])))
+    runs = F.transform(F.sequence(F.lit(1), F.size(hits) - 1, F.lit(2)), lambda k: F.struct((F.element_at(hits, k + 1) - F.element_at(hits, k)).alias("w"), ((F.element_at(hits, k + 1) + F.element_at(hits, k)) / 2).alias("x")))
+    middle = centroid(ring)
+    return F.when(contains(ring, middle["x"], middle["y"]), middle).otherwise(F.struct(F.array_max(runs)["x"].alias("x"), y.alias("y")))
+
+
+def repaired(ring: Column) -> Column:
+    """A ring without repeated vertices in a row and without the first one again at its end; null if fewer than three are left."""
+    kept = F.aggregate(ring, F.slice(ring, 1, 0), lambda a, p: F.when(F.size(a) == 0, F.array(p)).when(F.element_at(a, -1) == p, a).otherwise(F.concat(a, F.array(p))))
+    open_ = F.when((F.size(kept) > 1) & (F.element_at(kept, -1) == F.element_at(kept, 1)), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    return F.when(F.size(open_) >= 3, open_)
+
+
+def boundary_points(polygons: DataFrame, step: float, most: int = 0, key: str = "id") -> DataFrame:
+    """(key, i, x, y): points along each ring ``step`` apart, both ends of it; ``most`` widens the step. Points equal to a millimetre are one."""
+    whole = polygons.select(key, "ring", perimeter(F.col("ring")).alias("length"))
+    width = F.greatest(F.lit(step), F.col("length") / most) if most else F.lit(step)
+    sides = whole.select(key, "length", width.alias("step"), F.posexplode(_sides(F.col("ring"))).alias("k", "s")).withColumn("own", F.hypot(F.col("s.q.x") - F.col("s.p.x"), F.col("s.q.y") - F.col("s.p.y")))
+    w = Window.partitionBy(key).orderBy("k")
+    sides = sides.withColumn("upto", F.sum("own").over(w)).withColumn("from", F.col("upto") - F.col("own")).withColumn("last", F.lead("k").over(w).isNull())
+    n = F.floor(F.col("length") / F.col("step")) + 1
+    places = F.filter(F.sequence(F.ceil(F.col("from") / F.col("step")), F.least(n, F.ceil(F.col("upto") / F.col("step")))), lambda i: (F.least(F.col("length"), i * F.col("step")) >= F.col("from")) & ((F.least(F.col("length"), i * F.col("step")) < F.col("upto")) | F.col("last")))
+    at = sides.where("own > 0").select("*", F.explode(places).alias("i")).withColumn("t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.least("length", F.col("i") * F.col("step")) - F.col("from")) / F.col("own"))))
+    points = at.select(key, "i", (F.col("s.p.x") + F.col("t") * (F.col("s.q.x") - F.col("s.p.x"))).alias("x"), (F.col("s.p.y") + F.col("t") * (F.col("s.q.y") - F.col("s.p.y"))).alias("y"))
+    return points.groupBy(key, F.round(F.col("x") * 1000).alias("u"), F.round(F.col("y") * 1000).alias("v")).agg(F.min(F.struct("i", "x", "y")).alias("m")).select(key, "m.*")
+
+
+def rasterized(polygons: DataFrame, grid: Grid, key: str = "id", touched: bool = False) -> DataFrame:
+    """(key, r, c) of the cells whose centre is inside each polygon (column ``ring``), with ``touched`` also of those that its sides cross: only cells of its box are looked at."""
     low, high = (lambda k: F.array_min(F.col(f"ring.{k}"))), (lambda k: F.array_max(F.col(f"ring.{k}")))
     clip = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(v)))
     box = polygons.select(key, "ring", clip((F.lit(grid.ymax) - high("y")) / grid.res, grid.height).alias("r0"), clip((F.lit(grid.ymax) - low("y")) / grid.res, grid.height).alias("r1"),
                           clip((low("x") - grid.xmin) / grid.res, grid.width).alias("c0"), clip((high("x") - grid.xmin) / grid.res, grid.width).alias("c1"))
     cells = box.select("*", F.explode(F.sequence("r0", "r1")).alias("r")).select("*", F.explode(F.sequence("c0", "c1")).alias("c"))
-    return cells.where(contains(F.col("ring"), grid.x("c"), grid.y("r"))).select(key, "r", "c")
+    inside = contains(F.col("ring"), grid.x("c"), grid.y("r"))
+    if touched:
+        half = grid.res / 2
+        inside = inside | F.exists(_sides(F.col("ring")), lambda s: _crosses(s["p"], s["q"], grid.x("c") - half, grid.x("c") + half, grid.y("r") - half, grid.y("r") + half))
+    return cells.where(inside).select(key, "r", "c")
+
+
+def attribute_raster(polygons: DataFrame, grid: Grid, value: str, order: str, touched: bool = True) -> DataFrame:
+    """(r, c, value): of overlapping polygons the one that comes last in ``order`` decides."""
+    marked = polygons.select(F.struct(F.col(order).alias("o"), F.col(value).alias("v")).alias("id"), "ring")
+    return rasterized(marked, grid, "id", touched).groupBy("r", "c").agg(F.max("id").alias("m")).select("r", "c", F.col("m.v").alias(value))
 
 
 def regions(cells: DataFrame, width: int) -> DataFrame:

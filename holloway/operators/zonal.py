@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantile import quantile
+
 
 def zone_cells(zones: DataFrame, zone: str = "zone") -> DataFrame:
     """(zone, r, c) of rectangular zones (r0, r1, c0, c1)."""
@@ -47,8 +49,7 @@ def weighted_centre(cells: DataFrame, rule: str = "value", top_share: float = 0.
     """(r, c, weight): the centre of the cells by a weight rule; ``top_pct`` takes the values over a percentile."""
     valid = cells.where("z IS NOT NULL")
     if rule == "top_pct":
-        least = valid.agg(F.percentile("z", F.lit(1 - top_share)).alias("least"))
-        valid, w = valid.crossJoin(F.broadcast(least)).where("z >= least"), F.col("z")
+        valid, w = valid.where(F.col("z") >= F.lit(quantile(valid, F.col("z"), 1 - top_share))), F.col("z")
     else:
         w = weight(rule, **options)
     return valid.select("r", "c", w.alias("w")).agg((F.sum(F.col("w") * F.col("r")) / F.sum("w")).alias("r"), (F.sum(F.col("w") * F.col("c")) / F.sum("w")).alias("c"), F.sum("w").alias("weight"))
@@ -75,3 +76,12 @@ def overlay_rectangles(a: DataFrame, b: DataFrame, bucket: int) -> DataFrame:
     own = (F.floor(low("x") / bucket) == F.col("bx")) & (F.floor(low("y") / bucket) == F.col("by"))
     area = (F.col("a_xmax") - F.col("a_xmin")) * (F.col("a_ymax") - F.col("a_ymin"))
     return both.where((side("x") > 0) & (side("y") > 0) & own).select("a_id", "b_id", area.alias("a_m2"), (side("x") * side("y")).alias("in_m2"), (100.0 * side("x") * side("y") / area).alias("in_pct"))
+
+
+def decorated(cells: DataFrame, breaks: list[float], cell_area: float) -> DataFrame:
+    """What the polygons of each class carry: v_min, v_max, v_mid, pix_n, area_m2, area_ha, area_pct, val_mean, val_std."""
+    at = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("class"))
+    own = cells.where("class > 0").groupBy("class").agg(F.count("*").alias("pix_n"), F.avg("z").alias("val_mean"), F.stddev_pop("z").alias("val_std"))
+    total = own.agg(F.sum("pix_n").alias("total"))
+    return own.crossJoin(F.broadcast(total)).select("class", at(breaks[:-1]).alias("v_min"), at(breaks[1:]).alias("v_max"), at([(a + b) / 2 for a, b in zip(breaks, breaks[1:], strict=False)]).alias("v_mid"), "pix_n",
+                                                    (F.col("pix_n") * F.lit(float(cell_area))).alias("area_m2"), (F.col("pix_n") * F.lit(cell_area / 10_000.0)).alias("area_ha"), (100.0 * F.col("pix_n") / F.col("total")).alias("area_pct"), "val_mean", "val_std")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import classes
+from ..lineage import numbered
 from ..operators import decision, graph, profile, raster
 from .tables import CELL, NEAR_SQL, SITES_SQL, SLOPE_SQL, dem, read, sites
 
@@ -84,34 +84,48 @@ def vif_report(spark, sf_dir):
     return decision.inflation(read(spark, sf_dir, "lineitem"), MEASURES[:3]).select("column", F.round("vif", 6).alias("vif"), "level")
 
 
-RATIOS = [("slope", "view", 3.0), ("water", "slope", 20.0), ("view", "water", 0.5)]
+#: Each supplier judges three criteria: slope against view, water against slope, view against water.
+JUDGED_SQL = "j AS (SELECT s_suppkey AS judge, 0.5 + s_suppkey % 23 AS sv, 0.2 + s_nationkey AS ws, CASE WHEN s_suppkey % 4 <> 0 THEN (1 + s_suppkey % 7) / 3.0::DOUBLE END AS vw FROM supplier), k AS (SELECT judge, greatest(1 / 9.0::DOUBLE, least(9, sv)) AS sv, greatest(1 / 9.0::DOUBLE, least(9, 1 / ws)) AS sw, greatest(1 / 9.0::DOUBLE, least(9, coalesce(vw, 1))) AS vw FROM j)"
 
 
-@query("SELECT * FROM (VALUES ('slope', 'view', 3.0::DOUBLE), ('slope', 'water', round(1 / 9.0::DOUBLE, 9)), ('slope', 'soil', 1.0::DOUBLE), ('view', 'water', 0.5::DOUBLE), ('view', 'soil', 1.0::DOUBLE), ('water', 'soil', 1.0::DOUBLE)) t(a, b, ratio)")
+def _judged(spark, sf_dir):
+    t = read(spark, sf_dir, "supplier")
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.expr(v).cast("double").alias("ratio")) for a, b, v in (("slope", "view", "0.5D + s_suppkey % 23"), ("water", "slope", "0.2D + s_nationkey"), ("view", "water", "CASE WHEN s_suppkey % 4 <> 0 THEN (1 + s_suppkey % 7) / 3.0D END"))])
+    return t.select(F.col("s_suppkey").alias("judge"), F.inline(rows)).where("ratio IS NOT NULL")
+
+
+KEYS = ["slope", "view", "water"]
+
+
+@query(f"WITH {JUDGED_SQL} SELECT judge, a, b, round(ratio, 9) AS ratio FROM (SELECT judge, 'slope' AS a, 'view' AS b, sv AS ratio FROM k UNION ALL SELECT judge, 'slope', 'water', sw FROM k UNION ALL SELECT judge, 'view', 'water', vw FROM k)")
 def pair_sanitize(spark, sf_dir):
-    given = spark.createDataFrame(RATIOS, "a string, b string, ratio double")
-    return decision.clean_pairs(given, ["slope", "view", "water", "soil"]).select("a", "b", F.round("ratio", 9).alias("ratio"))
+    return decision.clean_pairs(_judged(spark, sf_dir), KEYS, "judge").select("judge", "a", "b", F.round("ratio", 9).alias("ratio"))
+
+
+WEIGHED_SQL = JUDGED_SQL + ", g AS (SELECT judge, pow(sv * sw, 1 / 3.0::DOUBLE) AS s, pow(vw / sv, 1 / 3.0::DOUBLE) AS v, pow(1 / (sw * vw), 1 / 3.0::DOUBLE) AS w, pow(sw / (sv * vw), 1 / 3.0::DOUBLE) AS t FROM k), u AS (SELECT judge, unnest([{'c': 'slope', 'x': s}, {'c': 'view', 'x': v}, {'c': 'water', 'x': w}]) AS p, s + v + w AS total, 1 + t + 1 / t AS top FROM g)"
 
 
-@query("SELECT * FROM (VALUES ('slope', 0.6::DOUBLE, 3.0::DOUBLE, 0.0::DOUBLE), ('view', 0.3::DOUBLE, 3.0::DOUBLE, 0.0::DOUBLE), ('water', 0.1::DOUBLE, 3.0::DOUBLE, 0.0::DOUBLE)) t(criterion, weight, lambda_max, consistency)")
+@query(f"WITH {WEIGHED_SQL} SELECT judge, p.c AS criterion, round(p.x / total, 6) AS weight, round(top, 6) AS lambda_max, round(abs((top - 3) / 2 / 0.58), 6) AS consistency FROM u")
 def ahp_weights(spark, sf_dir):
-    """Weights of a consistent matrix: 0.6, 0.3 and 0.1."""
-    keys = ["slope", "view", "water"]
-    w, top, ratio = decision.weights(decision.matrix(keys, {("slope", "view"): 2.0, ("slope", "water"): 6.0, ("view", "water"): 3.0}))
-    return spark.createDataFrame([(k, round(float(x), 9), round(top, 9), abs(round(ratio, 9))) for k, x in zip(keys, w, strict=True)], "criterion string, weight double, lambda_max double, consistency double")
+    """Weights of each judge's criteria. Of three criteria the eigenvector is the geometric mean of the rows, which the SQL takes."""
+    t = decision.pair_weights(_judged(spark, sf_dir), KEYS, "judge")
+    return t.select("judge", "criterion", F.round("weight", 6).alias("weight"), F.round("lambda_max", 6).alias("lambda_max"), F.abs(F.round("consistency", 6)).alias("consistency"))
 
 
-@query("SELECT * FROM (VALUES ('height', 0.5::DOUBLE), ('slope', round(1 / 6.0::DOUBLE, 9)), ('water', round(1 / 3.0::DOUBLE, 9))) t(criterion, weight)")
+@query(f"WITH {JUDGED_SQL}, {WEIGHED_SQL.split(', ', 0)[0][len(JUDGED_SQL) + 2:]}, o AS (SELECT judge, sv / (1 + sv) AS terrain, 1 / (1 + sv) AS access FROM k), l AS (SELECT judge, p.c AS criterion, p.x / total AS w FROM u) SELECT judge, criterion, round(w * CASE WHEN criterion = 'water' THEN access ELSE terrain END / sum(w * CASE WHEN criterion = 'water' THEN access ELSE terrain END) OVER (PARTITION BY judge), 6) AS weight FROM l JOIN o USING (judge)")
 def ahp_hierarchy(spark, sf_dir):
-    w = decision.hierarchy({"terrain": ["height", "slope"], "access": ["water"]}, {("terrain", "access"): 2.0}, {("height", "slope"): 3.0})
-    return spark.createDataFrame([(k, round(v, 9)) for k, v in w.items()], "criterion string, weight double")
+    """Criteria in two groups: a group's weight times a criterion's."""
+    inner = decision.pair_weights(_judged(spark, sf_dir), KEYS, "judge").select("judge", "criterion", "weight", F.when(F.col("criterion") == "water", "access").otherwise("terrain").alias("grp"))
+    groups = _judged(spark, sf_dir).where("a = 'slope'").select("judge", F.lit("terrain").alias("a"), F.lit("access").alias("b"), "ratio")
+    outer = decision.pair_weights(groups, ["terrain", "access"], "judge").select("judge", F.col("criterion").alias("grp"), "weight")
+    return decision.hierarchy_weights(outer, inner, "judge").select("judge", "criterion", F.round("weight", 6).alias("weight"))
 
 
 @query("SELECT p_type AS code, CAST(dense_rank() OVER (ORDER BY first) AS INT) AS int_value, feature_count FROM (SELECT p_type, min(p_partkey) AS first, count(*) AS feature_count FROM part GROUP BY p_type)")
 def category_mapping(spark, sf_dir):
-    """Classes numbered as they first appear; the numbering runs over one row a class."""
+    """Classes numbered as they first appear; the numbering needs no single task."""
     t = read(spark, sf_dir, "part").groupBy("p_type").agg(F.min("p_partkey").alias("first"), F.count("*").alias("feature_count"))
-    return t.select(F.col("p_type").alias("code"), F.row_number().over(Window.orderBy("first")).cast("int").alias("int_value"), "feature_count")
+    return numbered(t, "first").select(F.col("p_type").alias("code"), (F.col("n") + 1).cast("int").alias("int_value"), "feature_count")
 
 
 @query(r"WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '[ \n]([A-Z][a-z]{7,8})[ .,\n]', 1)) AS code FROM documents) SELECT code, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM c GROUP BY code")
@@ -159,12 +173,12 @@ ref AS (SELECT c.id, min(sqrt((c.x - s.x) ** 2 + (c.y - s.y) ** 2)) AS near FROM
 def _candidates(spark, sf_dir):
     slopes = raster.neighbourhood(dem(spark, sf_dir)).select((F.col("r") * 100 + F.col("c")).alias("id"), (F.col("c") * 10 + 5).alias("x"), (F.col("r") * 10 + 5).alias("y"), raster.slope(CELL).alias("slope")).where("slope IS NOT NULL")
     near = graph.nearest(slopes, sites(spark, sf_dir), 1, most=60.0).select(F.col("a").alias("id"), F.sqrt("d2").alias("near"))
-    return slopes.join(near, "id", "left").select("id", "x", "y", decision.trench_score(F.col("slope"), F.col("near"), F.lit(None).cast("double"), steepest=90.0, radius=60.0).alias("score"))
+    return slopes.join(near, "id", "left").select("id", "x", "y", decision.trench_score(F.col("slope"), F.col("near"), F.when(F.col("id") % 3 != 0, (F.col("id") % 101) / 100.0), steepest=90.0, radius=60.0).alias("score"))
 
 
-@query(f"WITH {TRENCH_SQL} SELECT id, x, y, round(CASE WHEN near IS NULL THEN greatest(0, least(1, 1 - slope / 90)) ELSE (0.55 * greatest(0, least(1, 1 - slope / 90)) + 0.25 * greatest(0, least(1, 1 - near / 60))) / 0.8 END, 6) AS score FROM cand JOIN ref USING (id)")
+@query(f"WITH {TRENCH_SQL}, p AS (SELECT id, x, y, greatest(0, least(1, 1 - slope / 90)) AS s, CASE WHEN near IS NOT NULL THEN greatest(0, least(1, 1 - near / 60)) END AS n, CASE WHEN id % 3 <> 0 THEN (id % 101) / 100.0::DOUBLE END AS q FROM cand JOIN ref USING (id)) SELECT id, x, y, round((0.55 * s + coalesce(0.25 * n, 0) + coalesce(0.2 * q, 0)) / (0.55 + CASE WHEN n IS NULL THEN 0 ELSE 0.25 END + CASE WHEN q IS NULL THEN 0 ELSE 0.2 END), 6) AS score FROM p")
 def trench_candidates(spark, sf_dir):
-    """Scores of candidate trenches by slope and the nearest known site within 60 m."""
+    """Scores of candidate trenches by slope, the nearest known site within 60 m, and suitability where it is known."""
     return _candidates(spark, sf_dir).select("id", "x", "y", F.round("score", 6).alias("score"))
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators import graph, surfaces, triangulation
+from ..operators.quantile import quantile
 from ..sources.grid import Grid
 from .tables import SITES_SQL, read, sites
 
@@ -72,9 +74,12 @@ def degree(spark, sf_dir):
     return graph.degree(_links(spark, sf_dir))
 
 
-@query()
+PARTS_SQL = f"""{REACH_SQL}, lk AS (SELECT a, b FROM ln UNION ALL SELECT b, a FROM ln), cc(id, component) USING KEY (id) AS (SELECT id, id FROM sites UNION SELECT l.b, min(c.component) FROM cc c JOIN lk l ON l.a = c.id LEFT JOIN recurring.cc k ON k.id = l.b GROUP BY l.b HAVING min(c.component) < min(k.component))"""
+
+
+@query(f"WITH RECURSIVE {PARTS_SQL} SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM cc")
 def components(spark, sf_dir):
-    """Connected parts of the sites' graph; tested against a union-find."""
+    """Connected parts of the sites' graph."""
     return graph.labelled(_links(spark, sf_dir), sites(spark, sf_dir))
 
 
@@ -84,6 +89,13 @@ def mst_edges(spark, sf_dir):
     return graph.spanning_tree(_links(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {PARTS_SQL} SELECT c.component, count(*) - 1 AS links FROM cc c GROUP BY c.component HAVING count(*) > 1")
+def mst_sizes(spark, sf_dir):
+    """How many links the forest has in each part: one less than the part has sites."""
+    parts = graph.labelled(_links(spark, sf_dir), sites(spark, sf_dir))
+    return graph.spanning_tree(_links(spark, sf_dir)).join(parts, F.col("a") == F.col("id")).groupBy("component").agg(F.count("*").alias("links"))
+
+
 @query(f"WITH {SITES_SQL} SELECT a.id AS a, b.id AS b, CAST((a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS DOUBLE) AS d2 FROM sites a, sites b WHERE NOT a.hub AND b.hub QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.id) = 1")
 def hub_links(spark, sf_dir):
     return _whole(graph.hub_links(sites(spark, sf_dir)))
@@ -93,7 +105,8 @@ def hub_links(spark, sf_dir):
 def median_gap(spark, sf_dir):
     """The median distance to the nearest other site, of sites that have none in the same place."""
     s = sites(spark, sf_dir)
-    return graph.nearest(s, s, 1, same=True).where("d2 > 0").agg(F.round(F.percentile(F.sqrt("d2"), F.lit(0.5)), 6).alias("gap"))
+    gap = quantile(cut(graph.nearest(s, s, 1, same=True).where("d2 > 0").select("d2")), F.sqrt("d2"), 0.5)
+    return spark.range(1).select(F.round(F.lit(gap).cast("double"), 6).alias("gap"))
 
 
 def _hubs(spark, sf_dir):

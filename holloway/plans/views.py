@@ -151,7 +151,7 @@ def lcp_corridor(spark, sf_dir):
     return cost.corridor(there, back, 5.0).select("r", "c", F.round("total", 4).alias("total"))
 
 
-TARGETS = "SELECT DISTINCT r_regionkey AS path, r_regionkey * 3 % 15 AS r, 99 - r_regionkey * 13 AS c FROM region"
+TARGETS = "SELECT DISTINCT r_regionkey::BIGINT AS path, (r_regionkey * 3 % 15)::BIGINT AS r, (99 - r_regionkey * 13)::BIGINT AS c FROM region"
 PATH_SQL = f"""{GROUND_SQL}, {_edges_sql('edges', TOBLER)}, {_spread_sql('s', 'edges', 5, 5)}, prior AS (SELECT e.tr AS r, e.tc AS c, arg_min(e.r, s.cost + e.w) AS pr, arg_min(e.c, s.cost + e.w) AS pc FROM s JOIN edges e ON e.r = s.r AND e.c = s.c GROUP BY e.tr, e.tc),
 p(path, n, r, c) AS (SELECT path, 0, r, c FROM ({TARGETS}) UNION ALL SELECT path, n + 1, pr, pc FROM p JOIN prior q ON q.r = p.r AND q.c = p.c WHERE p.r <> 5 OR p.c <> 5),
 way AS (SELECT path, CAST(max(n) OVER (PARTITION BY path) - n AS INT) AS seq, p.r, p.c, s.cost FROM p JOIN s ON s.r = p.r AND s.c = p.c)"""
@@ -196,7 +196,7 @@ def path_turns(spark, sf_dir):
     return profile.turning_points(_ways(spark, sf_dir), ["path"], "seq", "r", "c").select("path", "seq", "r", "c")
 
 
-@query(f"WITH RECURSIVE {GROUND_SQL}, {_edges_sql('edges', TOBLER)}, {_spread_sql('s', 'edges', 5, 5)}, lv AS (SELECT unnest({movement.isochrone_levels(600.0)!r}) AS level) SELECT level AS minutes, count(*) FILTER (cost / 60 <= level) AS cells, count(*) FILTER (cost / 60 <= level) * 0.09::DOUBLE AS area_ha FROM s, lv GROUP BY level")
+@query(f"WITH RECURSIVE {GROUND_SQL}, {_edges_sql('edges', TOBLER)}, {_spread_sql('s', 'edges', 5, 5)}, lv AS (SELECT unnest({movement.isochrone_levels(600.0)!r})::DOUBLE AS level) SELECT level AS minutes, count(*) FILTER (cost / 60 <= level) AS cells, count(*) FILTER (cost / 60 <= level) * 0.09::DOUBLE AS area_ha FROM s, lv GROUP BY level")
 def isochrone_areas(spark, sf_dir):
     """Cells and hectares within each level of walking time."""
     t = _finite(cost.accumulated_cost(_ground(spark, sf_dir), _start(spark, 5, 5), CELL))
@@ -295,7 +295,7 @@ def visibility_network(spark, sf_dir):
     return _view_links(spark, sf_dir).select("from_id", "to_id", F.round("dist_m", 6).alias("dist_m"), "vis_ab", "vis_ba", "status")
 
 
-@query(f"WITH {VIEW_PAIRS_SQL}, w AS (SELECT from_id AS id, vis_ab AS o, vis_ba AS i, vis_ab * vis_ba AS both FROM f UNION ALL SELECT to_id, vis_ba, vis_ab, vis_ab * vis_ba FROM f) SELECT id, CAST(sum(o) AS BIGINT) AS out_deg, CAST(sum(i) AS BIGINT) AS in_deg, CAST(sum(o) + sum(i) AS BIGINT) AS vis_total, CAST(sum(both) AS BIGINT) AS mutual FROM w GROUP BY id")
+@query(f"WITH {VIEW_PAIRS_SQL}, w AS (SELECT from_id AS id, vis_ab AS o, vis_ba AS i, vis_ab * vis_ba AS m FROM f UNION ALL SELECT to_id, vis_ba, vis_ab, vis_ab * vis_ba FROM f) SELECT id, CAST(sum(o) AS BIGINT) AS out_deg, CAST(sum(i) AS BIGINT) AS in_deg, CAST(sum(o) + sum(i) AS BIGINT) AS vis_total, CAST(sum(m) AS BIGINT) AS mutual FROM w GROUP BY id")
 def visibility_degrees(spark, sf_dir):
     return routes.visibility_degrees(_view_links(spark, sf_dir))
 

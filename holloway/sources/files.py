@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import io
+import json
+import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import numbered
 from .grid import Grid
 
 NODATA = -9999.0
@@ -23,17 +27,17 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
     head = {k.lower(): float(v) for k, v in (r[0].split()[:2] for r in lines.limit(6).collect())}
     grid = Grid(head["xllcorner"], head["yllcorner"] + head["nrows"] * head["cellsize"], head["cellsize"], int(head["ncols"]), int(head["nrows"]))
     body = lines.where("NOT value RLIKE '^[A-Za-z]' AND trim(value) <> ''").select(F.monotonically_increasing_id().alias("line"), F.split(F.trim("value"), r"\s+").alias("v"))
-    numbered = body.withColumn("r", F.row_number().over(Window.orderBy("line")) - 1)  # one row a raster row
-    cells = numbered.select(F.col("r").cast("long"), F.posexplode("v").alias("c", "z")).select("r", F.col("c").cast("long"), F.col("z").cast("double").alias("z"))
+    rows = numbered(body, "line", out="r")  # one row a raster row
+    cells = rows.select(F.col("r").cast("long"), F.posexplode("v").alias("c", "z")).select("r", F.col("c").cast("long"), F.col("z").cast("double").alias("z"))
     return cells.withColumn("z", F.when((F.col("z") != head.get("nodata_value", NODATA)) & ~F.isnan("z"), F.col("z"))), grid
 
 
 def write_ascii_grid(cells: DataFrame, grid: Grid, path: str) -> None:
-    """An ASCII grid in one text file; each raster row is gathered to one line, and only lines are ordered."""
+    """An ASCII grid as text parts in order: each task writes a range of raster rows, the head comes first. Read in name order, the parts are the file."""
     head = [f"ncols {grid.width}", f"nrows {grid.height}", f"xllcorner {grid.xmin!r}", f"yllcorner {grid.ymin!r}", f"cellsize {grid.res!r}", f"NODATA_value {NODATA!r}"]
     lines = cells.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", F.coalesce("z", F.lit(NODATA)).alias("z")))).alias("v")).select("r", F.array_join(F.transform("v.z", lambda z: z.cast("string")), " ").alias("value"))
     first = cells.sparkSession.createDataFrame([(k - len(head), v) for k, v in enumerate(head)], "r long, value string")
-    first.unionByName(lines.select(F.col("r").cast("long"), "value")).coalesce(1).sortWithinPartitions("r").select("value").write.mode("errorifexists").text(path)
+    first.unionByName(lines.select(F.col("r").cast("long"), "value")).repartitionByRange("r").sortWithinPartitions("r").select("value").write.mode("errorifexists").text(path)
 
 
 def read_legend(spark: SparkSession, path: str) -> DataFrame:
@@ -82,11 +86,73 @@ def manifest(layers: list[dict], spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "variable string, file string, source string, kind string, units string, resampling string")
 
 
+def _store(spark: SparkSession, *paths: str):
+    """The store of some paths, and the paths on it."""
+    jvm = spark.sparkContext._jvm
+    found = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return found[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+MARK, STAGED = "_staged.json", ".staged-"
+
+
+def stage_folder(spark: SparkSession, parent: str, run: str, purpose: str) -> str:
+    """A new folder beside the final one, with a mark that says whose it is."""
+    path = f"{parent.rstrip('/')}/{STAGED}{run}-{uuid.uuid4().hex[:8]}"
+    store, (folder, mark) = _store(spark, path, f"{path}/{MARK}")
+    if not store.mkdirs(folder, spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission("700")):
+        raise OSError(f"could not make {path}")
+    out = store.create(mark, False)
+    out.write(bytearray(json.dumps({"run": run, "purpose": purpose}).encode()))
+    out.close()
+    return path
+
+
+def drop_stage(spark: SparkSession, path: str) -> bool:
+    """Remove a folder made by stage_folder(); what has no mark or another name is left alone. Whether it was removed."""
+    store, (folder, mark) = _store(spark, path, f"{path}/{MARK}")
+    if not folder.getName().startswith(STAGED) or not store.exists(mark) or store.getFileLinkStatus(folder).isSymlink():
+        return False
+    return bool(store.delete(folder, True))
+
+
+def publish_all(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
+    """Rename several staged files or folders; all are looked at before the first is moved, and none overwrites."""
+    finals = [f for _, f in moves]
+    if len(set(finals)) < len(finals):
+        raise FileExistsError("two results have one name")
+    for staged, final in moves:
+        store, (source, target) = _store(spark, staged, final)
+        if not store.exists(source):
+            raise FileNotFoundError(staged)
+        if store.exists(target):
+            raise FileExistsError(final)
+    for staged, final in moves:
+        publish(spark, staged, final)
+
+
+def write_raster(cells: DataFrame, grid: Grid, path: str, parent: str | None = None) -> None:
+    """Cells and grid (grid.json) of one raster as a folder that appears whole or not at all: staged beside its place, checked, then renamed."""
+    if not {"r", "c", "z"} <= set(cells.columns):
+        raise ValueError("a raster has cells r, c and z")
+    spark = cells.sparkSession
+    staged = stage_folder(spark, parent or path.rstrip("/").rsplit("/", 1)[0], "raster", "write_raster")
+    try:
+        cells.select("r", "c", "z").where(grid.inside("r", "c")).write.parquet(f"{staged}/out/cells")
+        spark.createDataFrame([(json.dumps(asdict(grid)),)], "value string").coalesce(1).write.text(f"{staged}/out/grid.json")
+        publish(spark, f"{staged}/out", path)
+    finally:
+        drop_stage(spark, staged)
+
+
+def read_raster(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
+    """Cells and grid of write_raster()."""
+    return spark.read.parquet(f"{path}/cells"), Grid(**json.loads(spark.read.text(f"{path}/grid.json").first()[0]))
+
+
 def publish(spark: SparkSession, staged: str, final: str) -> None:
     """Rename a staged folder to its final name, on whatever store it is; never overwrites."""
-    jvm = spark.sparkContext._jvm
-    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, final))
-    store = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store, (source, target) = _store(spark, staged, final)
     if not store.exists(source):
         raise FileNotFoundError(staged)
     if store.exists(target):
