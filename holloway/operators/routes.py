@@ -36,24 +36,26 @@ def ring_visibility(observers: DataFrame, cells: DataFrame, cell: float, radius:
 
 
 def pair_costs(pairs: DataFrame, cells: DataFrame, cell: float, margin: int, model: str = "tobler", mode: str = "time", tile: int = 512, **params) -> DataFrame:
-    """(a, b, forth, back): the least costs both ways between the ends of each pair (a, b, ra, ca, rb, cb), inside the box round them and
-    ``margin`` cells; infinity if there is no way.
+    """(a, b, forth, back): the least costs both ways between the ends of each pair (a, b, ra, ca, rb, cb), on ways that stay inside the box round ``a``
+    and all its partners and ``margin`` cells; infinity if there is no way.
 
-    Cells reach the pairs by an equi-join on squares; each pair is a search of its own in tiles of its box, and pairs run side by side.
+    Cells reach the sites by an equi-join on squares. Each first site is one search of its own for all its partners, in tiles of its box, and sites run side by side.
     """
-    numbered = cut(pairs.select(*[F.col(k).cast("long").alias(k) for k in ("a", "b", "ra", "ca", "rb", "cb")])).withColumn("job", F.monotonically_increasing_id())
-    low, high = (lambda k: F.least(f"{k}a", f"{k}b") - margin), (lambda k: F.greatest(f"{k}a", f"{k}b") + margin)
+    pairs = cut(pairs.select(*[F.col(k).cast("long").alias(k) for k in ("a", "b", "ra", "ca", "rb", "cb")]))
+    ends = [f(g(f"{k}a", f"{k}b")).alias(f"{k}{n}") for k in "rc" for n, f, g in ((0, F.min, F.least), (1, F.max, F.greatest))]
+    boxes = cut(pairs.groupBy(F.col("a").alias("job")).agg(F.first("ra").alias("r"), F.first("ca").alias("c"), *ends))
+    low, high = (lambda k: F.col(f"{k}0") - margin), (lambda k: F.col(f"{k}1") + margin)
     span = lambda k: F.explode(F.sequence(F.floor(low(k) / SQUARE), F.floor(high(k) / SQUARE)))
-    filed = numbered.select("*", span("r").alias("sr")).select("*", span("c").alias("sc"))
+    filed = boxes.drop("r", "c").select("*", span("r").alias("sr")).select("*", span("c").alias("sc"))
     squares = cells.select("r", "c", "z", F.floor(F.col("r") / SQUARE).alias("sr"), F.floor(F.col("c") / SQUARE).alias("sc"))
     inside = filed.join(squares, ["sr", "sc"]).where(F.col("r").between(low("r"), high("r")) & F.col("c").between(low("c"), high("c"))).select("job", "r", "c", "z")
-    tiles, out = None, numbered
+    tiles, out = None, pairs
     for name, reverse in (("forth", False), ("back", True)):
         move = Movement(cell, model, mode, reverse, tile, params)
         tiles = tiles_of(inside, move) if tiles is None else tiles
-        done = spread(tiles, numbered.select("job", F.col("ra").alias("r"), F.col("ca").alias("c")), move)
-        found = costs_at(done, numbered.select("job", F.col("rb").alias("r"), F.col("cb").alias("c")), move).select("job", F.col("cost").alias(name))
-        out = cut(out.join(found, "job", "left"))
+        done = spread(tiles, boxes.select("job", "r", "c"), move)
+        found = costs_at(done, pairs.select(F.col("a").alias("job"), F.col("rb").alias("r"), F.col("cb").alias("c")).distinct(), move)
+        out = cut(out.join(found.select(F.col("job").alias("a"), F.col("r").alias("rb"), F.col("c").alias("cb"), F.col("cost").alias(name)), ["a", "rb", "cb"], "left"))
     return out.select("a", "b", *[F.coalesce(k, F.lit(math.inf)).alias(k) for k in ("forth", "back")])
 
 
