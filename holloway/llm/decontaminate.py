@@ -13,7 +13,8 @@ holds more than one; each block scans all documents, with no shuffle of texts an
 
 Defined cases: words are runs of letters and digits of the lower-cased text; a text of one to four words has its whole
 sequence as only shingle; null, empty and wordless texts and items match nothing; repeated documents each get
-their rows, repeated (item_id, text) rows count once, and items that share an id are searched apart; empty tables give empty results.
+their rows, repeated (item_id, text) rows count once, and items that share an id are searched apart; empty tables give empty results; further columns, whatever their names,
+are not looked at, and clean() returns them.
 """
 
 from __future__ import annotations

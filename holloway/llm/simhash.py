@@ -12,7 +12,7 @@ not all pairs, so a large group of near copies costs as many rows as it has memb
 Defined cases: null, empty and blank texts have no words and fingerprint zero, linked like any other; with fewer
 words than the shingle has, the whole sequence is the only shingle; rows that repeat an id are separate rows with
 one id; rows with a null id take the component of their fingerprint, whose id is null if all its ids are null;
-an empty table gives an empty result.
+an empty table gives an empty result; further columns are not looked at, and keep_one() returns them whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ counted in parts, and a part that repeats is encoded once: each batch encodes it
 bounded table keeps their lengths for the next batches. Only lengths leave the task.
 
 Defined cases: null and empty texts have no tokens; special strings inside texts are special tokens, as is the library's
-default; nothing is added, cut or padded; repeated rows are counted alike; an empty table gives an empty result.
+default; nothing is added, cut or padded; repeated rows are counted alike; an empty table gives an empty result; columns named n_bytes, n_tokens or
+over_limit are replaced, all others stay.
 """
 
 from __future__ import annotations

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -41,6 +43,18 @@ def test_order_is_shuffled_and_repeatable(spark):
     assert abs(np.corrcoef(ids, np.arange(len(ids)))[0, 1]) < 0.06
 
 
+def test_rows_of_the_query(spark, sf):
+    """Size and checksum of every row, and gapless slots in shards whose counts are at most one apart."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = op1_sharding(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert r["size"] == len(raw) + 1 and r.text_crc32 == zlib.crc32(raw) and r.law == "rows" and r.grown_shard is None
+    counts = [sorted(r.slot for r in rows if r.shard == s) for s in range(8)]
+    assert all(c == list(range(len(c))) for c in counts) and max(map(len, counts)) - min(map(len, counts)) <= 1
+
+
 def test_query_and_files(spark, sf, tmp_path):
     out = op1_sharding(spark, sf)
     assert out.columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
