@@ -74,6 +74,18 @@ def weights(m: np.ndarray) -> tuple[np.ndarray, float, float]:
     return w / w.sum(), top, ratio
 
 
+def hierarchy(groups: dict[str, list[str]], group_ratios: dict, local_ratios: dict) -> dict[str, float]:
+    """Weight of each criterion for one judge: its group's weight times its weight in the group, summing to one."""
+    names = [g for g, members in groups.items() if members]
+    outer, _, _ = weights(matrix(names, group_ratios))
+    out = {}
+    for g, w in zip(names, outer, strict=True):
+        inner, _, _ = weights(matrix(groups[g], local_ratios))
+        out |= {c: float(w * x) for c, x in zip(groups[g], inner, strict=True)}
+    total = sum(out.values())
+    return {c: v / total for c, v in out.items()} if total else out
+
+
 def correlations(t: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) of all column pairs, in one aggregation over rows with all values."""
     full = t.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()

@@ -33,6 +33,21 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert rows(got.select(*columns).collect()) == rows(want.select(*[f'"{c}"' for c in columns]).fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+#: Queries without SQL and their columns; their rows are tested elsewhere by brute force or known answers. On the smallest tables
+#: the network has one site and so no links.
+COLUMNS = {
+    "contours": None, "kriging": "id variance z", "mst_edges": "a b d2", "centrality_unweighted": "betweenness closeness id", "centrality_weighted": "betweenness closeness id",
+    "isochrones": "c closed length level line part pieces r x1 x2 y1 y2", "cost_network": "dist_m from_id from_nm kind model time_ab time_ba time_sym to_id to_nm",
+    "cost_network_nodes": "betweenness closeness comp_size component degree id", "trench_select": "id rank score x y", "class_regions": "area_ha cells class region", "aoi_sentences": "layer sentence",
+}
+
+
+def test_queries_without_sql_are_known():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == set(COLUMNS)
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_query_without_sql_runs(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).count() >= 0
+    out = catalog.QUERIES[name](spark, sf)
+    assert COLUMNS[name] is None or sorted(out.columns) == COLUMNS[name].split()
+    assert name == "cost_network" or out.count() > 0
