@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes, records
 from ..lineage import numbered
-from ..operators import decision, graph, profile, raster, sampling, vector
+from ..operators import decision, graph, profile, raster, sampling, surveys, vector
 from ..operators.quantile import quantile
 from ..sources import layers
 from ..sources.grid import Grid
@@ -360,3 +360,42 @@ def friction_surface(spark, sf_dir):
 
     v = F.when(~((F.col("r") % 3 == 0) & (F.col("c") % 4 != 0)), F.col("z") / 100)
     return dem(spark, sf_dir).select("r", "c", F.round(cost.friction(v), 9).alias("friction"))
+
+
+SURFACE_SQL = f"""{SITES_SQL}, {CODED_SQL}, h AS (SELECT sites.id, x % 400 AS x, y % 400 AS y, sites.z, code FROM sites JOIN coded ON coded.id = sites.id % 200), p AS (SELECT x, y, avg(z) AS z FROM h WHERE code IN ('F0017111', 'F0017114', 'F0027217', '7111', '2121') GROUP BY x, y),
+g AS (SELECT r, c, c * 20 + 10.0 AS gx, 400 - (r * 20 + 10.0) AS gy FROM range(0, 20) a(r), range(0, 20) b(c)), k AS (SELECT r, c, z, (gx - x) ** 2 + (gy - y) ** 2 AS d2, dense_rank() OVER (PARTITION BY r, c ORDER BY (gx - x) ** 2 + (gy - y) ** 2) AS n FROM g, p)"""
+
+
+def _drawing(spark, sf_dir):
+    h = sites(spark, sf_dir).withColumn("code_id", F.col("id") % 200).join(coded(spark, sf_dir).select(F.col("id").alias("code_id"), "code"), "code_id")
+    return h.select("id", (F.col("x") % 400).alias("x"), (F.col("y") % 400).alias("y"), "z", F.col("code").alias("Layer"))
+
+
+@query(f"WITH {SURFACE_SQL} SELECT r, c, round(coalesce(avg(z) FILTER (d2 = 0), sum(z / d2) FILTER (d2 > 0) / sum(1 / d2) FILTER (d2 > 0)), 4) AS z FROM k GROUP BY r, c")
+def drawn_surface(spark, sf_dir):
+    """A raster of heights from two layers of a drawing, by their codes; here all samples count for every cell."""
+    t = _drawing(spark, sf_dir)
+    found = surveys.surface([t.where("id < 1000000"), t.where("id >= 1000000")], Grid(0.0, 400.0, 20.0, 20, 20), "idw", ("F0017111", "F0017114", "F0027217", "7111", "2121"), k=1_000_000)
+    return found.select("r", "c", F.round("z", 4).alias("z"))
+
+
+@query("WITH s AS (SELECT s_suppkey AS line, 200000 + s_suppkey * 37 % 2900 AS x1, 599600 + s_suppkey * 53 % 390 AS y1, 200000 + s_suppkey * 11 % 2900 AS x2, 599600 + s_suppkey * 29 % 390 AS y2 FROM supplier), n AS (SELECT *, CAST(greatest(1, ceil(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) / 100)) AS INT) AS n FROM s), "
+       "d AS (SELECT line, CAST(floor((600000 - (y1 + (y2 - y1) * (i / n))) / 30) AS BIGINT) AS r, CAST(floor((x1 + (x2 - x1) * (i / n) - 200000) / 30) AS BIGINT) AS c, min(i) AS i FROM n, range(0, 100) t(i) WHERE i <= n GROUP BY 1, 2, 3) SELECT line, CAST(row_number() OVER (PARTITION BY line ORDER BY i) AS INT) AS no, r, c FROM d")
+def line_observers(spark, sf_dir):
+    """Observers every 100 m along lines, as cells."""
+    t = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "200000.0D + s_suppkey * 37 % 2900 AS x1", "599600.0D + s_suppkey * 53 % 390 AS y1", "200000.0D + s_suppkey * 11 % 2900 AS x2", "599600.0D + s_suppkey * 29 % 390 AS y2")
+    return surveys.observers_along(t, 100.0, Grid(XMIN, YMAX, CELL, WIDTH, 20)).select("line", "no", "r", "c")
+
+
+@query("WITH w AS (SELECT user_id, event_id * 10.0::DOUBLE AS d, value AS z FROM events), s AS (SELECT *, d - lag(d) OVER o AS step, z - lag(z) OVER o AS climb FROM w WINDOW o AS (PARTITION BY user_id ORDER BY d)) SELECT user_id, round(d, 3) AS d, round(z, 3) AS z, round(100 * climb / step, 3) AS slope_pct, round(sum(greatest(coalesce(climb, 0), 0)) OVER o, 3) AS ascent, round(sum(greatest(-coalesce(climb, 0), 0)) OVER o, 3) AS descent, CAST(floor(d / 2500) AS BIGINT) AS segment FROM s WINDOW o AS (PARTITION BY user_id ORDER BY d)")
+def profile_export(spark, sf_dir):
+    """The samples of each profile as they are handed on."""
+    t = read(spark, sf_dir, "events").select("user_id", (F.col("event_id") * 10.0).alias("d"), F.col("value").alias("z"))
+    return surveys.profile_table(t, ["user_id"], "d", "z", 2500.0)
+
+
+@query("SELECT 'r' AS section, a, b, printf('%.4f', r) AS value FROM (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_quantity', 1.0 UNION ALL SELECT 'l_extendedprice', 'l_extendedprice', 1.0) UNION ALL SELECT 'vif', unnest(['l_quantity', 'l_extendedprice']), '', printf('%.4f', 1 / (1 - corr(l_quantity, l_extendedprice) ** 2)) FROM lineitem")
+def covariate_export(spark, sf_dir):
+    """Collinearity of two measures as it is handed on."""
+    t, columns = read(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"]
+    return surveys.covariate_table(decision.correlations(t, columns), decision.inflation(t, columns))

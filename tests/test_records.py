@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from holloway import lineage
 from holloway.functions import records
-from holloway.operators import decision, graph, profile, quantile, routes, sampling, vector
+from holloway.operators import decision, graph, profile, quantile, routes, sampling, surveys, vector
 from holloway.sources import files, layers
 from holloway.sources.grid import Grid
 
@@ -86,7 +86,7 @@ def test_fields(spark):
     assert records.of_codes(t, ("a",), "Code") is t
     v = spark.createDataFrame([("1.5",), ("inf",), ("x",), (None,), ("nan",)], "v string").select(records.finite(F.col("v")).alias("v")).collect()
     assert [r.v for r in v] == [1.5, None, None, None, None]
-    assert spark.range(1).select(records.safe_file(F.lit(' a/b: "c"  d '))).first()[0] == "a_b_c_d"
+    assert spark.range(1).select(records.safe_file(F.lit(' a/b: "c"  d '))).first()[0] == "a_b___c__d"
 
 
 def test_small_rules():
@@ -142,3 +142,36 @@ def test_samples(spark):
     t = spark.createDataFrame([(1, 1.00000001, 2.0, 4.0), (2, 1.0, 2.0, 8.0), (3, 5.0, 5.0, None)], "seq long, x double, y double, z double")
     assert [tuple(r) for r in sampling.averaged(t, "seq").collect()] == [(1.0, 2.0, 6.0, 2)]
     assert sampling.even_grid(spark, 0, 100, 0, 50, 50).count() == 50
+
+
+def test_stack(spark, tmp_path):
+    target, fine = Grid(0.0, 40.0, 10.0, 4, 4), Grid(0.0, 40.0, 5.0, 8, 8)
+    coarse = target.cells(spark).withColumn("z", (F.col("r") * 4 + F.col("c")).cast("double"))
+    classes = fine.cells(spark).withColumn("z", (F.col("c") % 3).cast("double"))
+    home = str(tmp_path)
+    surveys.write_stack({"height": (coarse, target, "continuous"), "soil": (classes, fine, "classes")}, target, f"{home}/stack", "r1")
+    assert spark.read.parquet(f"{home}/stack/height").count() == 16
+    soil = {(r.r, r.c): r.z for r in spark.read.parquet(f"{home}/stack/soil").collect()}
+    assert len(soil) == 16 and set(soil.values()) <= {0.0, 1.0, 2.0}
+    rows = spark.read.option("header", True).csv(f"{home}/stack/manifest.csv").collect()
+    assert {(r.variable, r.resampling) for r in rows} == {("height", "bilinear"), ("soil", "nearest")}
+    with pytest.raises(ValueError):
+        surveys.write_stack({"away": (coarse, Grid(900.0, 40.0, 10.0, 4, 4), "continuous")}, target, f"{home}/other", "r2")
+    assert sorted(os.listdir(home)) == ["stack"]
+
+
+def test_surfaces_and_views(spark):
+    grid = Grid(0.0, 100.0, 10.0, 10, 10)
+    t = spark.createDataFrame([(k, float(x), float(y), float(2 * x + y), "7111" if k % 2 else "x") for k, (x, y) in enumerate(np.random.default_rng(6).uniform(-20, 120, (120, 2)))], "id long, x double, y double, z double, Layer string")
+    plane = surveys.surface([t.where("id < 60"), t.where("id >= 60").withColumn("more", F.lit(1))], grid, "tin").collect()
+    assert len(plane) == 100 and all(r.z == pytest.approx(2 * (r.c * 10 + 5) + 100 - (r.r * 10 + 5)) for r in plane)
+    assert surveys.surface([t], grid, "kriging", ("7111",)).count() == 100
+    with pytest.raises(ValueError):
+        surveys.surface([t], grid, "spline")
+    cells = grid.cells(spark).withColumn("z", F.when(F.col("c") == 5, 50.0).otherwise(0.0))
+    square = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((12, 42), (28, 42), (28, 58), (12, 58))])
+    p = spark.range(1).select("id", square.alias("ring"))
+    seen = {(r.r, r.c): r.visible for r in surveys.outline_view(p, cells, grid, 5.0, 12).collect()}
+    assert seen[5, 4] and not seen[5, 8] and len(seen) == 100
+    assert surveys.outline_view(p, cells, grid, 5.0, 12, cut_out=True).count() == 100 - 4
+    assert surveys.covariate_table(spark.createDataFrame([("a", "b", None)], "a string, b string, r double"), spark.createDataFrame([("a", float("inf"), "bad")], "column string, vif double, level string")).collect()[0].value == "inf"
