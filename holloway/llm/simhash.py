@@ -9,6 +9,10 @@ meets there is verified on all 64 bits. Of two segment values the larger looks u
 Equal fingerprints are merged first. Fingerprints that meet under one value give a spanning forest of their links,
 not all pairs, so a large group of near copies costs as many rows as it has members; components are unchanged.
 
+A value under which many fingerprints are filed is split: within it, two linked fingerprints agree in at least one of distance + 1
+pieces of their other bits, so its rows meet under these pieces in its place. A piece that still has too many is dealt into
+blocks; its fingerprints are filed in their own block and look up the earlier ones. No link is lost in either step.
+
 Defined cases: null, empty and blank texts have no words and fingerprint zero, linked like any other; with fewer
 words than the shingle has, the whole sequence is the only shingle; rows that repeat an id are separate rows with
 one id; rows with a null id take the component of their fingerprint, whose id is null if all its ids are null;
@@ -33,8 +37,12 @@ from .common import cut, join_keyed, keep_rows, read, row_key
 WORDS, SEED, DISTANCE = 4, 42, 4
 #: Shingles whose bits are counted at once; a longer text is counted in parts.
 PART = 1 << 16
-#: Pairs that are compared at once.
+#: Pairs that are compared at once, and look-ups that a task holds at once.
 PAIRS = 1 << 20
+#: A segment value with more fingerprints is split; so many are split at most (the limit rises with the input), which bounds what is broadcast.
+GROUP, SPLIT = 1 << 12, 100_000
+#: The bits of a key from here on are its segment's number.
+TAG = 58
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -75,18 +83,58 @@ def segment_plan(n: int, distance: int = DISTANCE) -> list[tuple[int, int, int]]
     return plan
 
 
-def _filed(fps: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
+def _value(shift: int, bits: int):
+    return F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND((1 << bits) - 1)
+
+
+def _segment_keys(i: int, shift: int, bits: int, radius: int):
+    """Structs (key, probe) of a fingerprint in segment i: its value, then the smaller values of the ball round it."""
+    value, tag = _value(shift, bits), i << TAG
+    own = F.array(F.struct(value.bitwiseOR(tag).alias("key"), F.lit(False).alias("probe")))
+    masks = [sum(1 << b for b in c) for r in range(1, radius + 1) for c in combinations(range(bits), r)]
+    if not masks:
+        return own
+    ball = F.filter(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m)), lambda k: k < value)
+    return F.concat(own, F.transform(ball, lambda k: F.struct(k.bitwiseOR(tag).alias("key"), F.lit(True).alias("probe"))))
+
+
+def _filed(fps: DataFrame, plan: list[tuple[int, int, int]], lookups: bool = True) -> DataFrame:
     """Rows (key, probe, fp): a fingerprint filed under its own segment values, and its look-ups of smaller ones."""
-    out = []
-    for i, (shift, bits, radius) in enumerate(plan):
-        value = F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND((1 << bits) - 1)
-        tag = i << 58
-        masks = [sum(1 << b for b in c) for r in range(1, radius + 1) for c in combinations(range(bits), r)]
-        own = F.struct(value.bitwiseOR(tag).alias("key"), F.lit(False).alias("probe"))
-        ball = F.filter(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m)), lambda v: v < value) if masks else None
-        keys = F.array(own) if ball is None else F.concat(F.array(own), F.transform(ball, lambda v: F.struct(v.bitwiseOR(tag).alias("key"), F.lit(True).alias("probe"))))
-        out.append(keys)
-    return fps.select("fp", F.explode(F.concat(*out)).alias("k")).select("k.key", "k.probe", "fp")
+    keys = [_segment_keys(i, shift, bits, radius if lookups else 0) for i, (shift, bits, radius) in enumerate(plan)]
+    return fps.select("fp", F.explode(F.concat(*keys)).alias("k")).select("k.key", "k.probe", "fp")
+
+
+def _pieces(plan: list[tuple[int, int, int]], distance: int):
+    """Finer keys of a row (key, fp): the bits outside its segment, cut into distance + 1 pieces. Equal hashes of
+    different pieces only cost comparisons, for links are verified on all bits."""
+    keys = None
+    for i, (shift, bits, _) in enumerate(plan):
+        low = F.col("fp").bitwiseAND((1 << shift) - 1)
+        rest = low if shift + bits == 64 else F.shiftleft(F.shiftrightunsigned(F.col("fp"), shift + bits), shift).bitwiseOR(low)
+        cuts = [(64 - bits) * j // (distance + 1) for j in range(distance + 2)]
+        here = F.array(*[F.xxhash64("key", F.lit(j), F.shiftrightunsigned(rest, lo).bitwiseAND((1 << hi - lo) - 1)) for j, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
+        mine = F.shiftrightunsigned(F.col("key"), TAG) == i
+        keys = F.when(mine, here) if keys is None else keys.when(mine, here)
+    return keys
+
+
+def _blocks():
+    """Keys of a row in a group of ``parts`` blocks: filed in its own block, it looks up the earlier ones; a look-up goes to all."""
+    own = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    last = F.when(F.col("probe"), F.col("parts") - 1).otherwise(own)
+    return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda b: F.struct(F.xxhash64("key", b).alias("key"), (F.col("probe") | (b < own)).alias("probe")))
+
+
+def _split(fps: DataFrame, plan: list[tuple[int, int, int]], distance: int, most: int) -> DataFrame:
+    """The rows of _filed(), where keys with over ``most`` filed fingerprints have given way to finer keys."""
+    crowded = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("filed")).where(F.col("filed") > most)
+    pieces, filed = _pieces(plan, distance), _filed(fps, plan, lookups=False)
+    hot = F.broadcast(cut(crowded(filed).select("key", F.lit(True).alias("hot"))))
+    finer = crowded(filed.join(hot, "key").select(F.explode(pieces).alias("key")))
+    blocks = F.broadcast(cut(finer.select("key", F.ceil(F.col("filed") / most).alias("parts"))))
+    rows = _filed(fps, plan).join(hot, "key", "left").select("fp", "probe", F.explode(F.when(F.col("hot"), pieces).otherwise(F.array("key"))).alias("key"))
+    dealt = F.when(F.col("parts").isNull(), F.array(F.struct("key", "probe"))).otherwise(_blocks())
+    return rows.join(blocks, "key", "left").select("fp", F.explode(dealt).alias("k")).select("k.key", "k.probe", "fp")
 
 
 def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
@@ -155,6 +203,12 @@ def _matcher(distance: int):
                 rest = [tuple(x[start:] for x in part)]
             elif rest and rest[-1][0][-1] == key[0]:
                 rest.append(part)
+                if probe[-1] and sum(len(x[0]) for x in rest) > PAIRS:  # all filed ones are here: the look-ups so far can go
+                    yield from done(rest)
+                    held = tuple(np.concatenate(x) for x in zip(*rest, strict=True))
+                    stay = ~held[1]
+                    stay[-1] = True
+                    rest = [tuple(x[stay] for x in held)]
             else:
                 if rest:
                     yield from done(rest)
@@ -168,8 +222,9 @@ def _matcher(distance: int):
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) between the distinct fingerprints ``fps`` (fp long) that span every component of the links
     within ``distance`` bits."""
-    plan = segment_plan(fps.count(), distance)
-    filed = _filed(fps, plan).repartition("key").sortWithinPartitions("key", "probe")
+    n = fps.count()
+    plan = segment_plan(n, distance)
+    filed = _split(fps, plan, distance, max(GROUP, len(plan) * n // SPLIT)).repartition("key").sortWithinPartitions("key", "probe")
     return filed.mapInArrow(_matcher(distance), "a long, b long").distinct()
 
 

@@ -49,8 +49,11 @@ def test_plan_covers_every_link():
             assert sum(b for _, b, _ in plan) == 64 and sum(r + 1 for *_, r in plan) > d
 
 
-@pytest.mark.parametrize("parts", [3, 2])
-def test_links_span_the_components(spark, monkeypatch, parts):
+@pytest.mark.parametrize("parts, most, held", [(3, simhash.GROUP, simhash.PAIRS), (2, simhash.GROUP, simhash.PAIRS), (3, 8, simhash.PAIRS), (2, 3, 16), (3, 1, 1)])
+def test_links_span_the_components(spark, monkeypatch, parts, most, held):
+    """Also where nearly all values are split into pieces and blocks, and where few rows are held at once."""
+    monkeypatch.setattr(simhash, "GROUP", most)
+    monkeypatch.setattr(simhash, "PAIRS", held)
     rng = np.random.default_rng(parts)
     centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
     near = [int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for c in centres for _ in range(60 if c == centres[0] else 8)]
@@ -76,6 +79,16 @@ def test_links_span_the_components(spark, monkeypatch, parts):
     assert len({find(v) for v in values}) == len(set(want))
 
 
+def test_crowded_values_are_split(spark):
+    """Thousands of fingerprints share a segment: none of the finer keys holds more than the limit."""
+    rng = np.random.default_rng(5)
+    fps = [(int(v) << 21 | 77,) for v in rng.integers(0, 1 << 41, 3000)] + [((1 << 41 | int(v)) << 21 | 77,) for v in rng.integers(0, 1 << 30, 3000)]
+    table, plan = spark.createDataFrame(sorted(set(fps)), "fp long"), segment_plan(6000)
+    groups = lambda rows: rows.where("NOT probe").groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert groups(simhash._filed(table, plan)) == len(set(fps))
+    assert groups(simhash._split(table, plan, 4, 200)) <= 400  # blocks are dealt by a hash
+
+
 def test_cases(spark):
     rows = near_groups(documents(spark)).collect()
     want = groups([(i, plain(t)) for i, t in TEXTS])
