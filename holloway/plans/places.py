@@ -86,6 +86,10 @@ def _report(spark, sf_dir):
     return report.layer_report({"suppliers": s.where("id < 1000000"), "customers": s.where("id >= 1000000")}, 500.0, 480.0, 250.0)
 
 
-@query()
+@query(f"""WITH {SITES_SQL}, p AS (SELECT CASE WHEN id < 1000000 THEN 'suppliers' ELSE 'customers' END AS layer, sqrt((x - 500) ** 2 + (y - 480) ** 2) AS m, ['N','NE','E','SE','S','SW','W','NW'][CAST(floor(((degrees(atan2(x - 500, y - 480)) + 360) % 360 + 22.5) / 45) AS INT) % 8 + 1] AS way FROM sites),
+t AS (SELECT layer, count(*) AS features, count(*) FILTER (m <= 250) AS inside, min(m) AS nearest FROM p GROUP BY layer),
+w AS (SELECT layer, way FROM p WHERE m <= 250 GROUP BY layer, way QUALIFY row_number() OVER (PARTITION BY layer ORDER BY count(*) DESC, way) = 1),
+f AS (SELECT *, CASE WHEN nearest <= 0.5 THEN 'touching' WHEN nearest < 1000 THEN printf('%.0f m', nearest) ELSE printf('%.1f km', nearest / 1000) END AS phrase FROM t LEFT JOIN w USING (layer))
+SELECT layer, CASE WHEN inside > 0 THEN layer || ': ' || inside || ' of ' || features || ' inside, mostly ' || way || '; the nearest ' || phrase || '.' ELSE layer || ': none inside; the nearest ' || phrase || '.' END AS sentence FROM f""")
 def aoi_sentences(spark, sf_dir):
     return report.sentences(_report(spark, sf_dir))
