@@ -47,15 +47,15 @@ def unique_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
 
 
-def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, size: str, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
     """Join ``rows`` with ``keyed``, which has one row for each key and in ``size`` the number of rows with that key.
 
-    Keys with more than HOT_SHARE of all rows are at most 1 / HOT_SHARE, so these few are broadcast and their
+    Keys with more than ``share`` of all rows are at most 1 / share, so these few are broadcast and their
     rows stay where they are; all other rows are joined by shuffling. Both inputs should be cut or cheap to read.
     ``how`` is ``inner`` or ``left``; of a left join, rows whose key is missing from ``keyed`` get nulls.
     """
     total = keyed.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    limit = max(1000, int(total * HOT_SHARE))
+    limit = max(1000, int(total * share))
     values = [c for c in keyed.columns if c != key]
     hot = keyed.where(F.col(size) > limit).select(key, F.struct(*values).alias("__hot"))
     marked = rows.join(F.broadcast(hot), key, "left")
