@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, html_extract, lang_id, pii, sentencepiece, sharding, simhash, token_counts
+from . import alignment, chat, decontaminate, exact_dedup, html_extract, lang_id, pii, sentencepiece, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_alignment": alignment.op11_alignment,
 }
 
 ORACLES = {
