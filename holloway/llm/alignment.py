@@ -35,7 +35,9 @@ from .common import free_name, join_keyed, read, stored
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters that are labelled at once, parts that are remembered, and characters above which a part is cut further.
-CHUNK, KNOWN, LONG = 1 << 21, 250_000, 4_000
+CHUNK, KNOWN, LONG = 1 << 21, 300_000, 4_000
+#: Words that A encodes as one string.
+RUN = 500
 #: A pair of ids is joined by broadcast when it holds more than this share of all (document, pair) rows.
 PAIR_SHARE = 1 / 50_000
 SUMS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -85,6 +87,7 @@ class Aligner:
             raise ValueError("models with pieces over line ends are not supported")
         self.beside_a = {(t[k], t[k + 1]) for t in self.a_bytes for k in range(len(t) - 1)}
         self.beside_b = {(p[k], p[k + 1]) for _, p in pieces for k in range(len(p) - 1)}
+        self.a_names, self.b_names = ([str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         self.forget()
 
@@ -119,33 +122,49 @@ class Aligner:
                 wanted = at + 1
         yield (part[last:],) if last else part
 
+    def _encoded(self, keys: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of A and of B: flat ids of the keys' strings and how many each has. Words go to A in runs of RUN, which it cuts between them itself."""
+        texts = [" " + k if isinstance(k, str) else k[0] for k in keys]
+        word = np.array([isinstance(k, str) and bool(k) and not (k[0].isspace() or k[-1].isspace()) for k in keys])
+        words, others = (np.flatnonzero(x).tolist() for x in (word, ~word))
+        runs = [words[k : k + RUN] for k in range(0, len(words), RUN)] + [[k] for k in others]
+        ids = [e.ids for e in self.a.encode_batch_fast(["".join([texts[k] for k in run]) for run in runs], add_special_tokens=False)]
+        flat, order = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids))), np.array(words + others)
+        size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))[order]
+        n = np.diff(np.r_[0, np.searchsorted(np.cumsum(self.a_size[flat]), np.cumsum(size), "right")])
+        first, count = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        first[order], count[order] = np.cumsum(n) - n, n
+        yield flat[_ragged(first, count)], count
+        ids = self.b.encode([k if isinstance(k, str) else "\n" + k[0] for k in keys], num_threads=1)
+        ids = [x if isinstance(k, str) else x[self.lead :] for x, k in zip(ids, keys, strict=True)] if others else ids
+        count = np.fromiter(map(len, ids), np.int64, len(keys))
+        yield np.fromiter(chain.from_iterable(ids), np.int64, count.sum()), count
+
     def learn(self, keys: list) -> None:
         """Labels new parts and remembers what they gave."""
-        texts = [" " + k if isinstance(k, str) else k[0] for k in keys]
-        a_ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b_ids = self.b.encode([k if isinstance(k, str) else "\n" + k[0] for k in keys], num_threads=1)
-        b_ids = [x if isinstance(k, str) else x[self.lead :] for x, k in zip(b_ids, keys, strict=True)]
-        raw = [t.encode() for t in texts]
-        whole = [b"".join(map(names.__getitem__, chain.from_iterable(ids))) == b"".join(raw) for names, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids))]
-        bad = np.zeros(len(keys), bool)
-        if not all(whole):
-            bad[:] = [b"".join(self.a_bytes[i] for i in x) != r or b"".join(self.b_bytes[i] for i in y) != r for x, y, r in zip(a_ids, b_ids, raw, strict=True)]
-            for k in np.flatnonzero(bad):
-                a_ids[k] = b_ids[k] = []
-                raw[k] = b""
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(keys)) for x in (a_ids, b_ids))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((a_ids, n_a), (b_ids, n_b)))
+        (flat_a, n_a), (flat_b, n_b) = self._encoded(keys)
+        raw = [(" " + k if isinstance(k, str) else k[0]).encode() for k in keys]
+        joined, bad = b"".join(raw), np.zeros(len(keys), bool)
+        bytes_of = lambda names, flat: b"".join(map(names.__getitem__, flat.tolist()))
+        if bytes_of(self.a_bytes, flat_a) != joined or bytes_of(self.b_bytes, flat_b) != joined:
+            sides = [(names, np.split(flat, np.cumsum(n)[:-1])) for names, flat, n in ((self.a_bytes, flat_a, n_a), (self.b_bytes, flat_b, n_b))]
+            bad[:] = [any(bytes_of(names, ids[k]) != r for names, ids in sides) for k, r in enumerate(raw)]
+            raw = [b"" if no else r for no, r in zip(bad, raw, strict=True)]
+            flat_a, flat_b = flat_a[~np.repeat(bad, n_a)], flat_b[~np.repeat(bad, n_b)]
+            n_a, n_b = np.where(bad, 0, n_a), np.where(bad, 0, n_b)
         ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
         label = np.zeros(int(ends[-1]), np.uint8)
         label[np.cumsum(self.a_size[flat_a]) - 1] += 1
         label[np.cumsum(self.b_size[flat_b]) - 1] += 2
         spans = _SPAN.findall((label + ord("0")).tobytes())
-        take_a, take_b = [s.count(b"1") + 1 for s in spans], [s.count(b"2") + 1 for s in spans]
-        name_a, name_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        written, i, j = [], 0, 0
-        for p, q in zip(take_a, take_b, strict=True):
-            written.append(f"{name_a[i]}|{name_b[j]}" if p == q == 1 else f"{','.join(name_a[i : i + p])}|{','.join(name_b[j : j + q])}")
-            i, j = i + p, j + q
+        start = np.r_[0, np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)))][:-1]
+        take_a, take_b = (np.add.reduceat(label >> k & 1, start, dtype=np.int64) if len(start) else start for k in (0, 1))
+        first_a, first_b = np.cumsum(take_a) - take_a, np.cumsum(take_b) - take_b
+        name_a, name_b = ([*map(names.__getitem__, flat.tolist())] for names, flat in ((self.a_names, flat_a), (self.b_names, flat_b)))
+        written = [f"{name_a[i]}|{name_b[j]}" for i, j in zip(first_a.tolist(), first_b.tolist(), strict=True)]
+        for g in np.flatnonzero((take_a > 1) | (take_b > 1)).tolist():
+            i, j = first_a[g], first_b[g]
+            written[g] = f"{','.join(name_a[i : i + take_a[g]])}|{','.join(name_b[j : j + take_b[g]])}"
         per_part = lambda places: np.diff(np.r_[0, np.searchsorted(places, ends)])
         at = np.flatnonzero(label)
         n_links, n_groups = per_part(at), per_part(np.flatnonzero(label == 3))
