@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, chat, decontaminate, exact_dedup, fingerprints, html_extract, lang_id, pii, sentencepiece, sharding, simhash, token_counts
+from . import alignment, chat, decontaminate, exact_dedup, fingerprints, html_extract, lang_id, pii, sentencepiece, sharding, simhash, spelling, token_counts
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_alignment": alignment.op11_alignment,
     "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLES = {
