@@ -87,6 +87,43 @@ LABELLED = [
 ]
 
 
+#: Two paragraphs each in languages with and without a list of stop words, with and without spaces.
+SPOKEN = {
+    "zh": ("昨天夜里河水上涨，到我们离开山上的房子的时候，水已经漫过了公路。", "春天，村里的人带着大车来了，集市在老广场上举行。"),
+    "ja": ("夜のうちに川の水が増えて、私たちが丘の上の家を出たときには道路を越えていた。", "春になると村の人々は荷車を引いて来て、古い広場で市が開かれた。"),
+    "ko": ("밤사이 강물이 불어나 우리가 언덕 위의 집을 떠날 무렵에는 이미 길을 넘어 흐르고 있었다.", "봄이 되면 마을 사람들이 수레를 끌고 왔고 오래된 광장에서 장이 열렸다고 한다."),
+    "th": ("ในตอนกลางคืนแม่น้ำเอ่อล้นและท่วมถนนก่อนที่เราจะออกจากบ้านบนเนินเขาในตอนเช้า", "ในฤดูใบไม้ผลิชาวบ้านนำเกวียนมาและตลาดจัดขึ้นที่จัตุรัสเก่าของหมู่บ้านแห่งนี้"),
+    "ru": ("Ночью река поднялась и к тому времени как мы вышли из дома на холме вода уже залила дорогу.", "Весной жители деревни приезжали на своих телегах и рынок проходил на старой площади."),
+    "pl": ("W nocy rzeka wezbrała i zanim wyszliśmy z domu na wzgórzu, droga była już pod wodą.", "Wiosną ludzie ze wsi przyjeżdżali wozami, a targ odbywał się na starym rynku."),
+    "fi": ("Yöllä joki nousi ja tie oli jo veden alla ennen kuin me lähdimme mäen päällä olevasta talosta.", "Keväällä kylän väki tuli kärryineen ja markkinat pidettiin vanhalla torilla koko päivän ajan."),
+    "sw": ("Usiku mto ulifurika na barabara ilikuwa chini ya maji kabla hatujaondoka nyumbani kwetu kilimani asubuhi.", "Wakati wa masika watu wa kijiji walikuja na mikokoteni yao na soko lilifanyika katika uwanja wa zamani."),
+    "it": ("Nella notte il fiume si alzò e la strada era già sotto l'acqua quando lasciammo la casa sulla collina.", "In primavera la gente del villaggio veniva con i carri e il mercato si teneva nella vecchia piazza."),
+    "ar": ("ارتفع النهر في الليل وكان الطريق تحت الماء قبل أن نغادر البيت على التل في الصباح.", "في الربيع جاء أهل القرية مع عرباتهم وأقيم السوق في الساحة القديمة من القرية."),
+    "he": ("בלילה עלה הנהר והכביש היה כבר מתחת למים לפני שיצאנו מן הבית על הגבעה בבוקר.", "באביב באו אנשי הכפר עם העגלות שלהם והשוק התקיים בכיכר הישנה של הכפר."),
+    "de": ("In der Nacht stieg der Fluss und die Straße war schon unter Wasser, als wir das Haus auf dem Hügel verließen.", "Im Frühling kamen die Leute aus dem Dorf mit ihren Karren und der Markt war auf dem alten Platz."),
+}
+FRAMES = [
+    ("<div>{L}</div><h1>{h}</h1><p>{a}</p><p>{b}</p><div>{L}</div>", "{h} {a} {b}"),
+    ("<nav>{L}</nav><article><h1>{h}</h1><p>{a}</p><p><a href=x>{h}</a></p><p>{b}</p></article><footer>{L}</footer>", "{h} {a} {h} {b}"),
+    ("<form method=post action=x><input name=state type=hidden><nav>{L}</nav><div><p>{a}</p><p>{b}</p></div><input type=submit></form>", "{a} {b}"),
+    ("<form method=post><article><p>{a}</p><ul><li><a href=x>1</a><li><a href=y>2</a></ul><p>{b}</p></article></form>", "{a} {b}"),
+]
+SPOKEN_PAGES = [(page.format(L=LINKS, h=a.split()[0][:9], a=a, b=b), want.format(h=a.split()[0][:9], a=a, b=b)) for a, b in SPOKEN.values() for page, want in FRAMES]
+
+
+def test_pages_in_many_languages():
+    assert words_f1(SPOKEN_PAGES) > 0.95 and all(main_text(page) for page, _ in SPOKEN_PAGES)
+    assert [want for page, want in SPOKEN_PAGES if main_text(page) != want] == []
+
+
+def test_forms_buttons_and_linked_paragraphs():
+    assert main_text(f"<form method=post><div><h1>Flood</h1><p>{A}</p></div><select><option>x</select></form>") == f"Flood {A}"
+    assert main_text(f"<article><p>{A}</p><form><p>Your name</p><button>Send</button></form></article>") == A
+    assert main_text(f"<article><p>{A}</p><button>x</button><p class='warning'>Do not go.</p></article>") == f"{A} Do not go."
+    assert main_text(f"<div>Home News Sport</div><p>{A}</p>") == A
+    assert main_text(f"<article><p>{A}</p><p><a href=x>{B}</a></p><p>{C}</p></article>") == f"{A} {B} {C}"
+
+
 def words_f1(pages):
     """F1 over the words of all pages, in order of place."""
     hit = got_n = want_n = 0
