@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, LongType, StructField, StructType
 
 from .common import cut, read, stored
 
@@ -42,7 +43,10 @@ CLASSES = 40
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = 0x9E3779B97F4A7C15
-MATCHES = "array<struct<item_id: long, n_shared: long, n_item: long>>"
+
+
+def matches(id_type: DataType) -> ArrayType:
+    return ArrayType(StructType([StructField("item_id", id_type), StructField("n_shared", LongType()), StructField("n_item", LongType())]))
 
 
 def normalise(text: str | None) -> str:
@@ -143,8 +147,8 @@ class ItemIndex:
         return [x for x in out if x[1] >= self.threshold * x[2]]
 
 
-def _finder(index):
-    @F.pandas_udf(MATCHES)
+def _finder(index, id_type):
+    @F.pandas_udf(matches(id_type))
     def find(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"item_id": i, "n_shared": a, "n_item": b} for i, a, b in index.value.search(t)] for t in texts], dtype=object)
 
@@ -157,14 +161,14 @@ def finders(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "t
     A block is read and sent when its turn comes and dropped after it: the caller must have cut what it made of a block that is not the only one.
     """
     sc = benchmark.sparkSession.sparkContext
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
+    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text).alias("text")).where("text IS NOT NULL").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // ITEM_BYTES))
     filed = items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
     filed = filed if n == 1 else cut(filed)
     for b in range(n):
         sent = sc.broadcast(ItemIndex([(r.id, r.text) for r in filed.where(F.col("block") == b).orderBy("id", "text").collect()], k, threshold))
-        yield _finder(sent), n == 1
+        yield _finder(sent, items.schema["id"].dataType), n == 1
         if n > 1:
             sent.destroy()
 

@@ -10,14 +10,15 @@ first one seen, and reads every row's result from the index.
 
 Defined cases: a null text counts as empty; runs of the six ASCII white-space characters count as one space, and
 nothing else is changed (case, accents and other spaces matter); of equal texts the row with the smallest id
-stays (null ids come last); of rows that repeat the id too, exactly one stays; an empty table gives an empty result; further columns are
-not looked at, whatever their names.
+stays (null ids come last); of rows that repeat the id too, exactly one stays; an empty table gives an empty result; ids may be of any type that can be
+ordered; further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import cut, join_keyed, keep_rows, read, row_key, unique_name
 
@@ -46,19 +47,20 @@ class DigestIndex:
     row if the batch was the first to have it. ``group_size`` of all batches add up.
     """
 
-    def __init__(self, spark: SparkSession, table: str, rows: int = 0):
+    def __init__(self, spark: SparkSession, table: str, rows: int = 0, id_type: str = "bigint"):
         self.spark, self.table = spark, table
         if not spark.catalog.tableExists(table):
-            self._create(max(BUCKETS, -(-rows // BUCKET_ROWS)))
+            self._create(max(BUCKETS, -(-rows // BUCKET_ROWS)), id_type)
+        self.id_type = spark.table(table).schema["keep_id"].dataType
         self.buckets = int(next(r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r.col_name == "Num Buckets"))
 
-    def _create(self, buckets: int) -> None:
-        self.spark.sql(f"CREATE TABLE {self.table} (digest STRING, keep_id BIGINT, row BIGINT, group_size BIGINT, batch BIGINT) USING parquet OPTIONS (partitionOverwriteMode 'dynamic') "
+    def _create(self, buckets: int, id_type: str) -> None:
+        self.spark.sql(f"CREATE TABLE {self.table} (digest STRING, keep_id {id_type}, row BIGINT, group_size BIGINT, batch BIGINT) USING parquet OPTIONS (partitionOverwriteMode 'dynamic') "
                        f"PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS")
 
     def _write(self, df: DataFrame) -> None:
         """Replace the partitions of the batches in ``df`` (the table overwrites dynamically); one file a bucket."""
-        columns = df.select("digest", F.col("keep_id").cast("long"), "row", "group_size", F.col("batch").cast("long"))
+        columns = df.select("digest", F.col("keep_id").cast(self.id_type), "row", "group_size", F.col("batch").cast("long"))
         columns.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.table, overwrite=True)
 
     def seen(self, before: int | None = None) -> DataFrame:
@@ -75,7 +77,7 @@ class DigestIndex:
         groups = rows.groupBy("digest").agg(F.min(order).alias("one"), F.count(F.lit(1)).alias("group_size"))
         known = self.spark.table(self.table).where(F.col("batch") < batch).select("digest")
         novel = groups.join(known.hint("merge"), "digest", "left_anti").select("digest", F.col("one.id").alias("keep_id"), F.col("one.row").alias("row"), "group_size")
-        again = groups.join(known.hint("merge"), "digest", "left_semi").select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("row"), "group_size")
+        again = groups.join(known.hint("merge"), "digest", "left_semi").select("digest", F.lit(None).cast(self.id_type).alias("keep_id"), F.lit(None).cast("long").alias("row"), "group_size")
         self._write(cut(novel.unionByName(again)).withColumn("batch", F.lit(batch)))
 
     def result(self, rows: DataFrame, batch: str | int, id_col: str = "doc_id") -> DataFrame:
@@ -94,7 +96,7 @@ class DigestIndex:
         rows = cut(self.seen().select("digest", "first.keep_id", "first.row", "group_size", F.coalesce("first.batch", F.lit(0)).alias("batch")))
         last = rows.agg(F.max("batch"), F.count(F.lit(1))).first()
         self.drop()
-        self._create(max(BUCKETS, -(-last[1] // BUCKET_ROWS)))
+        self._create(max(BUCKETS, -(-last[1] // BUCKET_ROWS)), self.id_type.simpleString())
         self.__init__(self.spark, self.table)
         self._write(rows.withColumn("batch", F.lit(last[0] or 0)))
 
@@ -105,12 +107,17 @@ class DigestIndex:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False, batches: int = BATCHES) -> DataFrame:
     """Every row of ``docs`` through a new index, in batches of ascending ids: id, keep_id, group_size, kept, text_sha256, with ``keyed`` also key."""
     rows = digest_rows(docs, id_col, text_col, keyed)
-    total, cuts = rows.agg(F.count(F.lit(1)), F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000)).first()
+    kind = rows.schema["id"].dataType
+    if isinstance(kind, NumericType):
+        total, cuts = rows.agg(F.count(F.lit(1)), F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000)).first()
+    else:  # where the ranges begin that Spark samples from the ids
+        starts = [r.id for r in rows.select("id").where("id IS NOT NULL").repartitionByRange(batches, "id").groupBy(F.spark_partition_id()).agg(F.min("id").alias("id")).orderBy("id").collect()]
+        total, cuts = rows.count(), starts[1:]
     number = F.lit(0)
     for at in cuts or []:
-        number = number + F.when(F.col("id") <= at, 0).otherwise(1)
+        number = number + F.when(F.col("id") <= F.lit(at), 0).otherwise(1)
     rows = rows.withColumn("batch", number.cast("long"))
-    index = DigestIndex(docs.sparkSession, unique_name("digests"), total)
+    index = DigestIndex(docs.sparkSession, unique_name("digests"), total, kind.simpleString())
     for k in range(batches):
         index.add(rows.where(F.col("batch") == k), k)
     out = index.result(rows, "batch", id_col)

@@ -63,3 +63,9 @@ def test_query(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     assert sorted(tuple(r)[:4] for r in op10_decontaminate(spark, sf).collect()) == brute(docs, items)
+
+
+def test_item_ids_of_other_types(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs, items = spark.createDataFrame([("d", f"x {text} y")], "doc string, text string"), spark.createDataFrame([("i", text), (None, "no such words are in there at all")], "item string, text string")
+    assert [(r.doc, r.item_id, r.containment) for r in contaminated(docs, items, "doc", item_col="item").collect()] == [("d", "i", 1.0)]

@@ -65,3 +65,10 @@ def test_hot_group(spark):
     t = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('t', id) END AS text")
     rows = deduplicate(t)
     assert rows.where("kept").count() == 4001 and rows.where("group_size = 2000 AND keep_id = 0").count() == 2000
+
+
+def test_ids_of_other_types(spark):
+    t = spark.createDataFrame([(f"id{k:02d}", "same" if k % 3 else f"t{k}") for k in range(30)] + [(None, "same"), (None, "x")], "name string, text string")
+    rows = deduplicate(t, "name", batches=3).collect()
+    assert {r.name: r.keep_id for r in rows if r.text_sha256 == digest("same")} == {**{f"id{k:02d}": "id01" for k in range(30) if k % 3}, None: "id01"}
+    assert sum(r.kept for r in rows) == 12 and keep_first(t, "name").count() == 12
