@@ -52,11 +52,17 @@ def safe_file(name: Column, other: str = "layer") -> Column:
 
 
 def numbered_names(t: DataFrame, name: Column, order: str, out: str = "key") -> DataFrame:
-    """``t`` with the safe names, the second and later of one name with _2, _3, ... A name that a suffix makes may meet a given one; the
-    given one keeps it, as suffixes go on from the number of rows that bear the name."""
+    """``t`` with the safe names, the second and later of one name with the next free of _2, _3, ... A suffix is free if no other row's own
+    safe name has it, so no two rows get the same name and the first of each name keeps it."""
     t = t.withColumn("__base", safe_name(name))
+    # Own names that end like a suffix: they take a number from the name before it.
+    ending = F.regexp_extract("__base", r"^(.*)_([1-9][0-9]{0,8})$", 2)
+    taken = t.select("__base").distinct().where(ending != "").select(F.regexp_extract("__base", r"^(.*)_([1-9][0-9]{0,8})$", 1).alias("__base"), ending.cast("int").alias("k"))
+    taken = taken.where("k >= 2").groupBy("__base").agg(F.array_sort(F.collect_set("k")).alias("__taken"))
     n = F.row_number().over(Window.partitionBy("__base").orderBy(order))
-    return t.withColumn(out, F.when(n == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("_"), n.cast("string")))).drop("__base")
+    numbered = t.withColumn("__n", n).join(taken, "__base", "left")
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<int>")), F.col("__n"), lambda s, k: F.when(k <= s, s + 1).otherwise(s))
+    return numbered.withColumn(out, F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("_"), free.cast("string")))).select(*t.drop("__base").columns, out)
 
 
 def code_era(code: Column) -> Column:

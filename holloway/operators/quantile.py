@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def _at_rank(t: DataFrame, low: float, high: float, below: int, rank: int) -> fl
     """The value at a rank (from 0) of t.v, which lies in [low, high]; ``below`` values are less than low."""
     while True:
         inside = t.where(F.col("v").between(low, high))
-        width = (high - low) / RANGES
+        width = high / RANGES - low / RANGES
         if width <= 0 or low + width <= low:
             return low
         k = F.least(F.floor((F.col("v") - low) / width), F.lit(RANGES - 1)).alias("k")
@@ -22,6 +24,8 @@ def _at_rank(t: DataFrame, low: float, high: float, below: int, rank: int) -> fl
             if below + n > rank:
                 break
             below += n
+        if (least, most) == (low, high) and n > FEW:
+            raise ArithmeticError(f"{n} values between {low} and {high} could not be told apart")
         low, high = least, most
         if low == high:
             return low
@@ -30,16 +34,21 @@ def _at_rank(t: DataFrame, low: float, high: float, below: int, rank: int) -> fl
 
 
 def quantile(t: DataFrame, value, share: float) -> float | None:
-    """The value at a share (0 to 1) of the sorted values, between neighbours in proportion; nulls and nan are left out.
+    """The value at a share (0 to 1) of the sorted values, between neighbours in proportion; nulls and nan are left out, and infinite
+    values are the least and the greatest: between one of them and a finite value it is the infinite one.
 
     Each round counts the values in RANGES ranges in one aggregation and goes on in the one that holds the rank, so neither a task nor the
     driver ever has more than FEW values.
     """
     v = t.select(value.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    n, low, high = v.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    infinite = F.col("v").isin(float("inf"), float("-inf"))
+    finite = v.where(~infinite)
+    n, under, over, low, high = v.agg(F.count(F.lit(1)), F.count_if(infinite & (F.col("v") < 0)), F.count_if(infinite & (F.col("v") > 0)), *[f(F.when(~infinite, F.col("v"))) for f in (F.min, F.max)]).first()
     if not n:
         return None
+    value_at = lambda rank: -math.inf if rank < under else math.inf if rank >= n - over else _at_rank(finite, low, high, under, rank)
     at = share * (n - 1)
-    first = _at_rank(v, low, high, 0, int(at))
-    part = at - int(at)
-    return first if part == 0 else first + part * (_at_rank(v, low, high, 0, int(at) + 1) - first)
+    first, part = value_at(int(at)), at - int(at)
+    if part == 0 or math.isinf(first):
+        return first
+    return first + part * (value_at(int(at) + 1) - first)

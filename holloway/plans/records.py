@@ -126,10 +126,13 @@ def listed_values(spark, sf_dir):
     return t.select("id", F.size(records.text_list(F.col("t"))).cast("long").alias("parts"), F.aggregate(records.number_list(F.col("t")), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query("WITH b AS (SELECT p_partkey AS id, CASE WHEN trim(regexp_replace(p_type, '[^\\p{L}\\p{N}_-]', '_', 'g'), '_') = '' THEN 'layer' ELSE trim(regexp_replace(p_type, '[^\\p{L}\\p{N}_-]', '_', 'g'), '_') END AS base FROM part) SELECT id, CASE WHEN n = 1 THEN base ELSE concat(base, '_', n) END AS key FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM b)")
+@query("WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN concat(p_type, '_', p_size) ELSE p_type END AS name FROM part), b AS (SELECT id, CASE WHEN trim(regexp_replace(name, '[^\\p{L}\\p{N}_-]', '_', 'g'), '_') = '' THEN 'layer' ELSE trim(regexp_replace(name, '[^\\p{L}\\p{N}_-]', '_', 'g'), '_') END AS base FROM p), "
+       "r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM b), own AS (SELECT DISTINCT base FROM b), g AS (SELECT own.base, k FROM own, range(2, (SELECT max(n) + 60 FROM r)) t(k)), f AS (SELECT g.base, k, 1 + row_number() OVER (PARTITION BY g.base ORDER BY k) AS n FROM g LEFT JOIN own ON own.base = concat(g.base, '_', k) WHERE own.base IS NULL) "
+       "SELECT id, CASE WHEN r.n = 1 THEN r.base ELSE concat(r.base, '_', k) END AS key FROM r LEFT JOIN f ON f.base = r.base AND f.n = r.n")
 def safe_names(spark, sf_dir):
-    """Names that files and fields can bear, repeated ones numbered."""
-    return records.numbered_names(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_type"), F.col("p_type"), "id").select("id", "key")
+    """Names that files and fields can bear, repeated ones numbered; some names end like a number."""
+    t = read(spark, sf_dir, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 10 = 0 THEN concat(p_type, '_', p_size) ELSE p_type END AS name")
+    return records.numbered_names(t, F.col("name"), "id").select("id", "key")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN a IS NULL OR b IS NULL THEN a IS NULL AND b IS NULL WHEN isnan(a) OR isnan(b) THEN isnan(a) AND isnan(b) ELSE abs(a - b) <= 1e-9 END AS same FROM (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE ELSE -9999 END AS a, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN -9999 ELSE -9998.5 END AS b FROM part)")

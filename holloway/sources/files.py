@@ -33,9 +33,11 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
 
 
 def write_ascii_grid(cells: DataFrame, grid: Grid, path: str) -> None:
-    """An ASCII grid as text parts in order: each task writes a range of raster rows, the head comes first. Read in name order, the parts are the file."""
+    """An ASCII grid as text parts in order: each task writes a range of raster rows, the head comes first. Read in name order, the parts are the file.
+    Every cell of the grid is written; those without a row or a value have no data, those outside the grid are left out."""
     head = [f"ncols {grid.width}", f"nrows {grid.height}", f"xllcorner {grid.xmin!r}", f"yllcorner {grid.ymin!r}", f"cellsize {grid.res!r}", f"NODATA_value {NODATA!r}"]
-    lines = cells.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", F.coalesce("z", F.lit(NODATA)).alias("z")))).alias("v")).select("r", F.array_join(F.transform("v.z", lambda z: z.cast("string")), " ").alias("value"))
+    whole = grid.cells(cells.sparkSession).join(cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.when(~F.isnan("z"), F.col("z")).alias("z")), ["r", "c"], "left")
+    lines = whole.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", F.coalesce("z", F.lit(NODATA)).alias("z")))).alias("v")).select("r", F.array_join(F.transform("v.z", lambda z: z.cast("string")), " ").alias("value"))
     first = cells.sparkSession.createDataFrame([(k - len(head), v) for k, v in enumerate(head)], "r long, value string")
     first.unionByName(lines.select(F.col("r").cast("long"), "value")).repartitionByRange("r").sortWithinPartitions("r").select("value").write.mode("errorifexists").text(path)
 

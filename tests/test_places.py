@@ -127,3 +127,13 @@ def test_inflation(spark):
     others = np.c_[np.ones(200), x[:, 1:]]
     fit = others @ np.linalg.lstsq(others, x[:, 0], rcond=None)[0]
     assert got["a"].vif == pytest.approx(1 / (1 - np.corrcoef(fit, x[:, 0])[0, 1] ** 2))
+
+
+def test_ascii_grid_with_gaps(spark, tmp_path):
+    """Cells without a row keep their place; so do rows of the grid without any cell."""
+    grid = Grid(0.0, 40.0, 10.0, 3, 4)
+    have = {(0, 0): 1.0, (0, 2): 3.0, (2, 0): 7.0, (2, 1): float("nan")}
+    files.write_ascii_grid(spark.createDataFrame([(r, c, z) for (r, c), z in have.items()], "r long, c long, z double"), grid, str(tmp_path / "gaps"))
+    back, again = files.read_ascii_grid(spark, str(tmp_path / "gaps"))
+    assert again == grid
+    assert {(r.r, r.c): r.z for r in back.collect()} == {(r, c): {(0, 0): 1.0, (0, 2): 3.0, (2, 0): 7.0}.get((r, c)) for r in range(4) for c in range(3)}

@@ -175,3 +175,23 @@ def test_surfaces_and_views(spark):
     assert seen[5, 4] and not seen[5, 8] and len(seen) == 100
     assert surveys.outline_view(p, cells, grid, 5.0, 12, cut_out=True).count() == 100 - 4
     assert surveys.covariate_table(spark.createDataFrame([("a", "b", None)], "a string, b string, r double"), spark.createDataFrame([("a", float("inf"), "bad")], "column string, vif double, level string")).collect()[0].value == "inf"
+
+
+def test_quantiles_of_infinite_values(spark, monkeypatch):
+    inf = float("inf")
+    monkeypatch.setattr(quantile, "FEW", 10)
+    for values in ([inf, *range(50)], [-inf, inf, *range(49)], [inf] * 30 + [1.0], [1e308, -1e308, *range(50)], [-inf] * 3):
+        t = spark.createDataFrame([(float(v),) for v in values], "v double")
+        order = sorted(map(float, values))
+        for share in (0, 0.25, 0.5, 0.99, 1):
+            at = share * (len(order) - 1)
+            a, b = order[int(at)], order[min(int(at) + 1, len(order) - 1)]
+            want = a if at == int(at) or a in (inf, -inf) else a + (at - int(at)) * (b - a)
+            assert quantile.quantile(t, F.col("v"), share) == pytest.approx(want)
+
+
+def test_numbered_names_are_free(spark):
+    names = ["a", "a", "a_2", "a", "a_4", "a_2", "a_2_2", "a_02", "", None, "layer_2", "a_99999999999"]
+    t = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    got = [r.key for r in records.numbered_names(t, F.col("name"), "id").orderBy("id").collect()]
+    assert got == ["a", "a_3", "a_2", "a_5", "a_4", "a_2_3", "a_2_2", "a_02", "layer", "layer_3", "layer_2", "a_99999999999"]
