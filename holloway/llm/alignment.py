@@ -35,7 +35,7 @@ from .common import free_name, join_keyed, read, stored
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters that are labelled at once, parts that are remembered, and characters above which a part is cut further.
-CHUNK, KNOWN, LONG = 1 << 21, 300_000, 4_000
+CHUNK, KNOWN, LONG = 1 << 20, 200_000, 4_000
 #: Words that A encodes as one string.
 RUN = 500
 #: A pair of ids is joined by broadcast when it holds more than this share of all (document, pair) rows.
