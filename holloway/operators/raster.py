@@ -181,10 +181,10 @@ def edges(cells: DataFrame, cell: float, diagonal: bool = True) -> DataFrame:
 
 
 def marching_squares(cells: DataFrame, levels: list[float]) -> DataFrame:
-    """Contour segments (level, r, c, part, x1, y1, x2, y2) in cell units: a row for each piece of line between four cell centres.
+    """Contour segments (level, r, c, part, x1, y1, x2, y2, from, to) in cell units: a row for each piece of line between four cell centres, and the sides on which it begins and ends.
 
     A square of four centres is crossed on the sides whose ends lie on different sides of the level; a saddle is
-    split by the mean of its corners.
+    split by the mean of its corners. The higher ground is on the right of each piece.
     """
     a = Window.partitionBy("r").orderBy("c")
     pairs = cells.withColumn("e", F.when(F.lead("c").over(a) == F.col("c") + 1, F.lead("z").over(a)))
@@ -195,14 +195,14 @@ def marching_squares(cells: DataFrame, levels: list[float]) -> DataFrame:
     point = {"top": F.struct((F.col("c") + cross("z", "e")).alias("x"), F.col("r").cast("double").alias("y")), "right": F.struct((F.col("c") + 1).cast("double").alias("x"), (F.col("r") + cross("e", "se")).alias("y")),
              "bottom": F.struct((F.col("c") + cross("s", "se")).alias("x"), (F.col("r") + 1).cast("double").alias("y")), "left": F.struct(F.col("c").cast("double").alias("x"), (F.col("r") + cross("z", "s")).alias("y"))}
     code = sum(F.when(F.col(k) >= F.col("level"), v).otherwise(0) for k, v in (("z", 8), ("e", 4), ("se", 2), ("s", 1)))
-    line = lambda *names: F.array(*[F.struct(point[p].alias("a"), point[q].alias("b")) for p, q in names])
+    line = lambda *names: F.array(*[F.struct(point[p].alias("a"), point[q].alias("b"), F.lit(p).alias("from"), F.lit(q).alias("to")) for p, q in names])
     middle = (F.col("z") + F.col("e") + F.col("s") + F.col("se")) / 4 >= F.col("level")
-    two, other = line(("left", "top"), ("bottom", "right")), line(("left", "bottom"), ("top", "right"))
-    table = {1: line(("left", "bottom")), 2: line(("bottom", "right")), 3: line(("left", "right")), 4: line(("top", "right")), 6: line(("top", "bottom")), 7: line(("left", "top"))}
-    lines = F.when(F.col("code") == 5, F.when(middle, two).otherwise(other)).when(F.col("code") == 10, F.when(middle, other).otherwise(two))
-    for k, v in table.items():
-        lines = lines.when(F.col("code").isin(k, 15 - k), v)
-    return at.withColumn("code", code).select("level", "r", "c", F.posexplode(lines).alias("part", "s")).select("level", "r", "c", "part", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
+    table = {1: ("left", "bottom"), 2: ("bottom", "right"), 3: ("left", "right"), 4: ("right", "top"), 6: ("bottom", "top"), 7: ("left", "top")}
+    lines = F.when(F.col("code") == 5, F.when(middle, line(("left", "top"), ("right", "bottom"))).otherwise(line(("left", "bottom"), ("right", "top"))))
+    lines = lines.when(F.col("code") == 10, F.when(middle, line(("bottom", "left"), ("top", "right"))).otherwise(line(("top", "left"), ("bottom", "right"))))
+    for k, (p, q) in table.items():
+        lines = lines.when(F.col("code") == k, line((p, q))).when(F.col("code") == 15 - k, line((q, p)))
+    return at.withColumn("code", code).select("level", "r", "c", F.posexplode(lines).alias("part", "s")).select("level", "r", "c", "part", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"), "s.from", "s.to")
 
 
 def contour_lines(segments: DataFrame) -> DataFrame:

@@ -188,12 +188,17 @@ def attribute_raster(polygons: DataFrame, grid: Grid, value: str, order: str, to
     return rasterized(marked, grid, "id", touched).groupBy("r", "c").agg(F.max("id").alias("m")).select("r", "c", F.col("m.v").alias(value))
 
 
-def regions(cells: DataFrame, width: int) -> DataFrame:
-    """(region, class, cells): the connected areas of one class (cells that touch, corners too); named by their first cell."""
+def labelled_regions(cells: DataFrame, width: int, corners: bool = True) -> DataFrame:
+    """(r, c, class, region) of the cells that have a class: connected areas of one class, named by their first cell; with ``corners`` cells that touch at one hang together."""
     near = neighbourhood(cells.withColumn("z", F.col("class")))
-    steps = {"e": 1, "sw": width - 1, "s": width, "se": width + 1}
+    steps = {"e": 1, "s": width} | ({"sw": width - 1, "se": width + 1} if corners else {})
     here = F.col("r") * width + F.col("c")
     links = near.select("r", "c", "class", F.explode(F.array(*[F.when(F.col(k) == F.col("class"), here + d) for k, d in steps.items()])).alias("b"), here.alias("a")).where("b IS NOT NULL").select("a", "b")
     roots = components(links)
-    named = cells.where("class IS NOT NULL").select(here.alias("id"), "class").join(roots, F.col("id") == F.col("node"), "left")
-    return named.groupBy(F.coalesce("root", "id").alias("region"), "class").agg(F.count("*").alias("cells"))
+    named = cells.where("class IS NOT NULL").select("r", "c", here.alias("id"), "class").join(roots, F.col("id") == F.col("node"), "left")
+    return named.select("r", "c", "class", F.coalesce("root", "id").alias("region"))
+
+
+def regions(cells: DataFrame, width: int, corners: bool = True) -> DataFrame:
+    """(region, class, cells): the connected areas of one class (cells that touch, corners too); named by their first cell."""
+    return labelled_regions(cells, width, corners).groupBy("region", "class").agg(F.count("*").alias("cells"))
