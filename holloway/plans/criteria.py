@@ -48,14 +48,22 @@ for _m, (_mode, _p, _sql) in COSTS.items():
     query(f"WITH {STEPS_SQL}, k AS (SELECT *, abs(dz) / h AS s FROM st) SELECT r, c, dr, dc, round({_sql}, 8) AS cost FROM k", f"cost_{_m}")(_cost(_m, _mode, _p))
 
 
-@query("SELECT unnest([15,30,45,60,90,120,150,180,240,300,360,420]::DOUBLE[]) AS minutes")
+def _levels(spark, sf_dir, levels, per: float, out: str):
+    """The levels that each row of the raster reaches, its heights taken as minutes or kcal."""
+    tops = dem(spark, sf_dir).groupBy("r").agg((F.max("z") * per).alias("top"))
+    most = tops.agg(F.coalesce(F.max("top"), F.lit(0.0))).first()[0]
+    every = F.array(*[F.lit(float(x)) for x in levels(most)]).cast("array<double>")
+    return tops.select("r", F.explode(F.filter(every, lambda x: x <= F.col("top") + 1e-6)).alias(out))
+
+
+@query(f"WITH {DEM_SQL}, t AS (SELECT r, max(z) AS top FROM dem GROUP BY r), v AS (SELECT CAST(unnest([15, 30, 45]) AS DOUBLE) AS m UNION ALL SELECT CAST(unnest(range(60, 181, 30)) AS DOUBLE) UNION ALL SELECT CAST(unnest(range(240, 3000, 60)) AS DOUBLE)) SELECT r, m AS minutes FROM t JOIN v ON m <= top + 1e-6")
 def isochrone_levels(spark, sf_dir):
-    return spark.createDataFrame([(float(v),) for v in movement.isochrone_levels(450)], "minutes double")
+    return _levels(spark, sf_dir, movement.isochrone_levels, 1.0, "minutes")
 
 
-@query("SELECT CAST(x AS DOUBLE) AS kcal FROM (SELECT unnest(range(50, 601, 50)) AS x UNION ALL SELECT unnest(range(800, 2001, 200)) UNION ALL SELECT unnest(range(2500, 6001, 500)))")
+@query(f"WITH {DEM_SQL}, t AS (SELECT r, max(z) * 10 AS top FROM dem GROUP BY r), v AS (SELECT CAST(unnest(range(50, 601, 50)) AS DOUBLE) AS k UNION ALL SELECT CAST(unnest(range(800, 2001, 200)) AS DOUBLE) UNION ALL SELECT CAST(unnest(range(2500, 20000, 500)) AS DOUBLE)) SELECT r, k AS kcal FROM t JOIN v ON k <= top + 1e-6")
 def isoenergy_levels(spark, sf_dir):
-    return spark.createDataFrame([(float(v),) for v in movement.isoenergy_levels(6200)], "kcal double")
+    return _levels(spark, sf_dir, movement.isoenergy_levels, 10.0, "kcal")
 
 
 SCORES = {

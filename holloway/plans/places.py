@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import legend
-from ..operators import report, vector
+from ..operators import outlines, report, vector
 from ..sources.grid import Grid
-from .tables import CELL, SITES_SQL, WIDTH, XMIN, YMAX, dem, read, sites
+from .rings import outlined, quads_sql
+from .tables import CELL, DEM_SQL, SITES_SQL, WIDTH, XMIN, YMAX, dem, read, sites
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +76,29 @@ def class_regions(spark, sf_dir):
     return vector.regions(cells.select("r", "c", "class"), WIDTH).withColumn("area_ha", F.round(F.col("cells") * F.lit(0.09), 6))
 
 
+def _classes(spark, sf_dir):
+    return dem(spark, sf_dir).select("r", "c", legend.class_of(F.col("z"), [0.0, 120.0, 240.0, 480.0]).alias("class"))
+
+
+@query(f"WITH {DEM_SQL}, k AS (SELECT r, c, 1 + (z >= 120)::INT + (z >= 240)::INT AS class FROM dem), {quads_sql('k', 'n')}, t AS (SELECT class, count(*) AS cells FROM k GROUP BY class) "
+       "SELECT class, CAST((one - three - 2 * opposite) / 4 AS BIGINT) AS shells_less_holes, cells, one + two + three + 2 * opposite AS sides, one + three + 2 * opposite AS points FROM n JOIN t USING (class)")
+def region_outlines(spark, sf_dir):
+    """Outlines of the areas of each class, with holes; cells that touch at a corner hang together. The rings themselves are tested against a tracer."""
+    return outlined(_classes(spark, sf_dir), True)
+
+
+@query()
+def region_rings(spark, sf_dir):
+    """The points of every ring, in order; tested against a tracer."""
+    return outlines.outlines(vector.labelled_regions(_classes(spark, sf_dir), WIDTH)).where("turn").select("region", "ring", "at", "x", "y")
+
+
+@query(f"WITH {DEM_SQL}, k AS (SELECT r, c, 1 AS class FROM dem WHERE z BETWEEN 150 AND 320), {quads_sql('k', 'n')} SELECT class, CAST((one - three + 2 * opposite) / 4 AS BIGINT) AS shells_less_holes, (SELECT count(*) FROM k) AS cells, one + two + three + 2 * opposite AS sides, one + three + 2 * opposite AS points FROM n")
+def mask_outlines(spark, sf_dir):
+    """Outlines of a mask, as of a corridor: only cells with a side in common hang together."""
+    return outlined(dem(spark, sf_dir).select("r", "c", F.when(F.col("z").between(150, 320), 1).alias("class")), False)
+
+
 @query(f"""WITH {SITES_SQL}, p AS (SELECT CASE WHEN id < 1000000 THEN 'suppliers' ELSE 'customers' END AS layer, sqrt((x - 500) ** 2 + (y - 480) ** 2) AS m, z FROM sites)
 SELECT layer, count(*) AS features, count(*) FILTER (m <= 250) AS inside, round(min(m), 6) AS nearest, round(avg(m) FILTER (m <= 250), 6) AS mean, min(z) FILTER (m <= 250) AS z_min, max(z) FILTER (m <= 250) AS z_max, round(avg(z) FILTER (m <= 250), 6) AS z_mean FROM p GROUP BY layer""")
 def aoi_report(spark, sf_dir):

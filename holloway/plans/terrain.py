@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classes
-from ..operators import raster
+from ..operators import outlines, raster
 from ..sources.grid import Grid
+from .rings import outlined, quads_sql
 from .tables import CELL, DEM_SQL, NEAR_SQL, SLOPE_SQL, WIDTH, XMIN, YMAX, dem, dem_grid
 
 QUERIES: dict = {}
@@ -238,3 +239,45 @@ def contour_counts(spark, sf_dir):
 def contours(spark, sf_dir):
     """The pieces themselves; tested against linear interpolation along the sides."""
     return raster.marching_squares(dem(spark, sf_dir), [100.0, 250.0, 400.0])
+
+
+def pieces_sql(cells: str, levels: str) -> str:
+    """The pieces of contours of cells (r, c, z): their level, ends, the sides on which these lie, and lengths."""
+    x = lambda k: f"CASE {k} WHEN 'T' THEN c + (level - z) / (e - z) WHEN 'B' THEN c + (level - s) / (se - s) WHEN 'L' THEN c ELSE c + 1 END"
+    y = lambda k: f"CASE {k} WHEN 'L' THEN r + (level - z) / (s - z) WHEN 'R' THEN r + (level - e) / (se - e) WHEN 'T' THEN r ELSE r + 1 END"
+    side = lambda k: f"(r + ({k} = 'B')::INT, c + ({k} = 'R')::INT, {k} IN ('T', 'B'))"
+    return f"""q AS (SELECT a.r, a.c, a.z, b.z AS e, d.z AS s, f.z AS se FROM {cells} a JOIN {cells} b ON b.r = a.r AND b.c = a.c + 1 JOIN {cells} d ON d.r = a.r + 1 AND d.c = a.c JOIN {cells} f ON f.r = a.r + 1 AND f.c = a.c + 1),
+l AS (SELECT q.*, level, (z >= level)::INT * 8 + (e >= level)::INT * 4 + (se >= level)::INT * 2 + (s >= level)::INT AS code, (z + e + s + se) / 4 >= level AS m FROM q, (SELECT unnest({levels}::DOUBLE[]) AS level)),
+w AS (SELECT *, unnest(CASE WHEN code IN (1, 14) THEN ['LB'] WHEN code IN (2, 13) THEN ['BR'] WHEN code IN (3, 12) THEN ['LR'] WHEN code IN (4, 11) THEN ['RT'] WHEN code IN (6, 9) THEN ['BT'] WHEN code IN (7, 8) THEN ['LT'] WHEN (code = 5) = m THEN ['LT', 'RB'] ELSE ['LB', 'RT'] END) AS p FROM l WHERE code NOT IN (0, 15)),
+pieces AS (SELECT level, {side('p[1]')} AS a, {side('p[2]')} AS b, sqrt((({x('p[1]')}) - ({x('p[2]')})) ** 2 + (({y('p[1]')}) - ({y('p[2]')})) ** 2) AS length FROM w),
+ends AS (SELECT level, k, count(*) AS n FROM (SELECT level, a AS k FROM pieces UNION ALL SELECT level, b FROM pieces) GROUP BY level, k)
+SELECT t.level, t.pieces, coalesce(o.n, 0) // 2 AS open_lines, round(t.length, 4) AS length FROM (SELECT level, count(*) AS pieces, sum(length) AS length FROM pieces GROUP BY level) t LEFT JOIN (SELECT level, count(*) AS n FROM ends WHERE n = 1 GROUP BY level) o USING (level)"""
+
+
+def path_report(points):
+    """Of each level of contour_paths(): pieces between points that follow one another, open lines, and length along them."""
+    after = points.select("level", "line", (F.col("at") - 1).alias("at"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    steps = points.join(after, ["level", "line", "at"]).groupBy("level").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y"))).alias("length"))
+    lines = points.where("at = 0").groupBy("level").agg(F.count_if(~F.col("closed")).alias("open_lines"))
+    return steps.join(lines, "level").select("level", "pieces", "open_lines", F.round("length", 4).alias("length"))
+
+
+@query(f"WITH {DEM_SQL}, {pieces_sql('dem', '[100.0, 250.0, 400.0]')}")
+def contour_order(spark, sf_dir):
+    """Contours as lines of points in order: how many pieces and open lines there are, and how long the lines are."""
+    return path_report(outlines.contour_paths(dem(spark, sf_dir), [100.0, 250.0, 400.0]))
+
+
+@query()
+def contour_paths(spark, sf_dir):
+    """The points of every contour in order; tested against a tracer."""
+    return outlines.contour_paths(dem(spark, sf_dir), [100.0, 250.0, 400.0])
+
+
+@query(f"WITH {NEAR_SQL}, k AS (SELECT r, c, CAST(floor(least(90, greatest(0, round_even({SLOPE_SQL}, 0))) / 5) * 5 AS INT) AS class FROM nb), {quads_sql('k', 'n')}, t AS (SELECT class, count(*) AS cells FROM k GROUP BY class) "
+       "SELECT class, CAST((one - three - 2 * opposite) / 4 AS BIGINT) AS shells_less_holes, cells, one + two + three + 2 * opposite AS sides, one + three + 2 * opposite AS points FROM n JOIN t USING (class)")
+def slope_parts(spark, sf_dir):
+    """The drafting grid dissolved: outlines of the areas whose slopes are in one step of five degrees."""
+    slope = raster.slope(CELL)
+    m = near(spark, sf_dir).select("r", "c", F.when(slope.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(90.0), F.bround(slope)))).alias("deg"))
+    return outlined(m.select("r", "c", (F.floor(F.col("deg") / 5) * 5).cast("int").alias("class")), True)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classes, movement
-from ..operators import cost, graph, profile, raster, routes, surfaces
+from ..operators import cost, graph, outlines, profile, raster, routes, surfaces
 from .tables import CELL, DEM_SQL, dem, read
+from .terrain import path_report, pieces_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -212,6 +213,23 @@ def isochrones(spark, sf_dir):
     return raster.contour_lines(raster.marching_squares(t.select("r", "c", "z"), [float(x) for x in movement.isochrone_levels(600.0)]))
 
 
+LEVELS = [float(x) for x in movement.isochrone_levels(600.0)]
+
+
+@query(f"WITH RECURSIVE {GROUND_SQL}, {_edges_sql('edges', TOBLER)}, {_spread_sql('sp', 'edges', 5, 5)}, times AS (SELECT r, c, round(cost / 60, 6) AS z FROM sp), {pieces_sql('times', repr(LEVELS))}")
+def isochrone_order(spark, sf_dir):
+    """Lines of equal walking time as lines of points in order: pieces, open lines and lengths."""
+    t = _finite(cost.accumulated_cost(_ground(spark, sf_dir), _start(spark, 5, 5), CELL)).select("r", "c", F.round(F.col("cost") / movement.SECONDS_PER_MINUTE, 6).alias("z"))
+    return path_report(outlines.contour_paths(t, LEVELS))
+
+
+@query(f"WITH RECURSIVE {GROUND_SQL}, {_edges_sql('edges', PANDOLF)}, {_spread_sql('sp', 'edges', 5, 5)}, energy AS (SELECT r, c, round(cost / 4184, 6) AS z FROM sp), {pieces_sql('energy', repr([float(x) for x in movement.isoenergy_levels(1000.0)]))}")
+def isoenergy_order(spark, sf_dir):
+    """Lines of equal energy in kcal as lines of points in order."""
+    t = _finite(cost.accumulated_cost(_ground(spark, sf_dir), _start(spark, 5, 5), CELL, "pandolf", "energy")).select("r", "c", F.round(F.col("cost") / movement.JOULES_PER_KCAL, 6).alias("z"))
+    return path_report(outlines.contour_paths(t, [float(x) for x in movement.isoenergy_levels(1000.0)]))
+
+
 def _neighbours(spark, sf_dir):
     """Supplier pairs one after the other, with their cells."""
     s = read(spark, sf_dir, "supplier").select("s_suppkey")

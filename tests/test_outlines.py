@@ -38,7 +38,7 @@ def turned(ring):
 @pytest.mark.parametrize("seed,block", [(1, 1), (1, 7), (2, 1000), (3, 3)])
 def test_ranked(spark, seed, block):
     rng = random.Random(seed)
-    nodes = rng.sample(range(10**9), 400)
+    nodes = rng.sample(range(2**62, 2**62 + 1000), 400)
     after, k = {}, 0
     for size, ring in ((1, False), (1, True), (2, True), (90, True), (150, False), (3, False), (64, True), (89, False)):
         part = nodes[k : k + size]
