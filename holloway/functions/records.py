@@ -78,6 +78,11 @@ def of_codes(t: DataFrame, codes, field: str = "Layer") -> DataFrame:
     return t.where(F.col(field).isin(*codes)) if field in t.columns else t
 
 
+def codes_in(text: Column) -> Column:
+    """The layer codes that a text cites: a capital letter and seven or eight digits, as whole words."""
+    return F.regexp_extract_all(text, F.lit(r"\b([A-Z][0-9]{7,8})\b"), F.lit(1))
+
+
 def speaks_of_graves(text: Column) -> Column:
     """Whether a text has a grave word: Korean ones anywhere, after words that only look so are taken out; English ones as whole words."""
     rest = text

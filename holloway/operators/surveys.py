@@ -30,7 +30,8 @@ def surface(layers: list[DataFrame], grid: Grid, method: str = "idw", codes=None
         raise ValueError(f"no method {method}; there are {', '.join(METHODS)}")
     points = merged(layers)
     points = sampling.averaged(of_codes(points, codes, field) if codes else points, seq)
-    points = points.withColumn("id", F.xxhash64(F.round("x", 6), F.round("y", 6)))
+    place = F.struct(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))  # of equally near samples the western and southern ones count
+    points = points.withColumn("id", F.xxhash64("x", "y") if method == "tin" else place)
     if method == "tin":
         return triangulation.linear_surface(points.select("id", "x", "y", "z"), grid).select("r", "c", "z")
     targets = grid.cells(points.sparkSession).select((F.col("r") * grid.width + F.col("c")).alias("id"), grid.x("c").alias("x"), grid.y("r").alias("y"))

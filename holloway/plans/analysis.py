@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import classes
+from ..functions import classes, records
 from ..lineage import numbered
 from ..operators import decision, graph, profile, raster
 from .tables import CELL, NEAR_SQL, SITES_SQL, SLOPE_SQL, dem, read, sites
@@ -128,16 +128,27 @@ def category_mapping(spark, sf_dir):
     return numbered(t, "first").select(F.col("p_type").alias("code"), (F.col("n") + 1).cast("int").alias("int_value"), "feature_count")
 
 
-@query(r"WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '[ \n]([A-Z][a-z]{7,8})[ .,\n]', 1)) AS code FROM documents) SELECT code, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM c GROUP BY code")
+CITED = "['F0017111', 'E0011111 and F00171112', 'F001711123', 'nof0017111, (A0023001).', '7111', NULL]"
+
+
+@query(rf"WITH t AS (SELECT doc_id, concat(substring(text, 1, 1000), ' ', {CITED}[doc_id % 6 + 1], ' ', substring(text, 1001)) AS text FROM documents), c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b([A-Z][0-9]{{7,8}})\b', 1)) AS code FROM t) SELECT code, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM c GROUP BY code")
 def code_extract(spark, sf_dir):
-    """Codes in texts (here capitalised words of eight or nine letters), with their uses."""
-    t = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[ \n]([A-Z][a-z]{7,8})[ .,\n]"), 1)).alias("code"))
+    """Layer codes that texts cite, with their uses; every document is read whole."""
+    cited = F.expr(f"array{CITED.replace('[', '(').replace(']', ')')}[doc_id % 6]")
+    text = F.concat(F.substring("text", 1, 1000), F.lit(" "), F.coalesce(cited, F.lit("")), F.lit(" "), F.expr("substring(text, 1001)"))
+    t = read(spark, sf_dir, "documents").select("doc_id", F.explode(records.codes_in(text)).alias("code"))
     return t.groupBy("code").agg(F.count("*").alias("uses"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query(r"SELECT doc_id, regexp_matches(lower(text), '\b(the|grave|tomb|burial)\b') AS flagged FROM documents")
+REMARKS = "['고분자 재료', '고분군 조사', 'gravel pit', 'two tombs', 'Cemeteries', '묘목', '묘지', NULL, 'no remark']"
+
+
+@query(f"SELECT doc_id, coalesce(regexp_matches(replace(t, '고분자', ''), '{'|'.join(records.GRAVE_WORDS)}') OR regexp_matches(lower(t), '{records.GRAVE_ENGLISH}'), false) AS flagged FROM (SELECT doc_id, concat(substring(text, 1, 1000), ' ', {REMARKS}[doc_id % 9 + 1], ' ', substring(text, 1001)) AS t FROM documents)")
 def keyword_flag(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.lower("text").rlike(r"\b(the|grave|tomb|burial)\b").alias("flagged"))
+    """Texts with a grave word anywhere in them; every document is read whole."""
+    remark = F.expr(f"array{REMARKS.replace('[', '(').replace(']', ')')}[doc_id % 9]")
+    text = F.concat(F.substring("text", 1, 1000), F.lit(" "), F.coalesce(remark, F.lit("")), F.lit(" "), F.expr("substring(text, 1001)"))
+    return read(spark, sf_dir, "documents").select("doc_id", records.speaks_of_graves(text).alias("flagged"))
 
 
 @query("WITH rules AS (SELECT * FROM (VALUES ('Brand#11', 'road', 2.0::DOUBLE), ('Brand#12', 'river', 1.0::DOUBLE), ('Brand#23', 'building', 0.5::DOUBLE)) t(code, kind, width)) SELECT coalesce(kind, 'other') AS kind, count(*) AS features, CAST(sum(p_size) AS BIGINT) AS total_size, max(coalesce(width, 0.1)) AS width FROM part LEFT JOIN rules ON p_brand = code GROUP BY 1")

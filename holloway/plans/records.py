@@ -12,7 +12,7 @@ from ..operators.quantile import quantile
 from ..sources import layers
 from ..sources.grid import Grid
 from .places import pits, trenches
-from .tables import CELL, DEM_SQL, NEAR_SQL, SITES_SQL, SLOPE_SQL, WIDTH, XMIN, YMAX, dem, read, sites
+from .tables import CELL, DEM_SQL, NEAR_SQL, SITES_SQL, SLOPE_SQL, WIDTH, XMIN, YMAX, dem, dem_grid, read, sites
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -278,13 +278,13 @@ def downslope_bearings(spark, sf_dir):
     return sampling.downslope(p, cells, CELL, 60.0).where("bearing IS NOT NULL").select("id", F.round("bearing", 4).alias("bearing"), F.round("coherence", 6).alias("coherence"))
 
 
-@query(f"WITH {NEAR_SQL}, k AS (SELECT r, c, z, {SLOPE_SQL} AS slope FROM nb), g AS (SELECT 200000 + (i + 0.5) * 3000 / 29 AS x, 600000 - (j + 0.5) * 450 / 4 AS y FROM range(0, 29) a(i), range(0, 4) b(j)), s AS (SELECT z, slope FROM g JOIN k ON k.c = floor((x - 200000) / 30) AND k.r = floor((600000 - y) / 30)) SELECT count(*) AS n, round(corr(z, slope), 6) AS r FROM s")
+@query(f"WITH {NEAR_SQL}, k AS (SELECT r, c, z, {SLOPE_SQL} AS slope FROM nb), h AS (SELECT max(r) + 1 AS height, count(*) // 10 AS target FROM dem), ny AS (SELECT height, target, greatest(2, CAST(round_even(sqrt(target / (100.0 / height)), 0) AS BIGINT)) AS ny FROM h), n AS (SELECT height, ny, greatest(2, CAST(round_even(target / ny, 0) AS BIGINT)) AS nx FROM ny), g AS (SELECT 200000 + (i + 0.5) * (3000.0 / nx) AS x, 600000 - height * 30.0 + (j + 0.5) * (height * 30.0 / ny) AS y FROM n, (SELECT unnest(range(0, (SELECT nx FROM n))) AS i) a, (SELECT unnest(range(0, (SELECT ny FROM n))) AS j) b), s AS (SELECT z, slope FROM g JOIN k ON k.c = floor((x - 200000) / 30) AND k.r = floor((600000 - y) / 30)) SELECT count(*) AS n, round(corr(z, slope), 6) AS r FROM s")
 def sampled_correlation(spark, sf_dir):
-    """Two rasters at one even grid of points over their common extent; only points where both have data count."""
+    """Two rasters at one even grid of points over their common extent, one point for ten cells; only points where both have data count."""
     cells = dem(spark, sf_dir)
+    grid = dem_grid(cells)
     slopes = raster.neighbourhood(cells).select("r", "c", raster.slope(CELL).alias("z"))
-    points = sampling.even_grid(spark, XMIN, XMIN + 3000, YMAX - 450, YMAX, 116)
-    grid = Grid(XMIN, YMAX, CELL, WIDTH, 15)
+    points = sampling.even_grid(spark, grid.xmin, grid.xmax, grid.ymin, grid.ymax, cells.count() // 10)
     t = sampling.matrix(points, {"z": cells, "slope": slopes}, grid)
     return t.agg(F.count("*").alias("n"), F.round(F.corr("z", "slope"), 6).alias("r"))
 
@@ -365,20 +365,21 @@ def friction_surface(spark, sf_dir):
     return dem(spark, sf_dir).select("r", "c", F.round(cost.friction(v), 9).alias("friction"))
 
 
-SURFACE_SQL = f"""{SITES_SQL}, {CODED_SQL}, h AS (SELECT sites.id, x % 400 AS x, y % 400 AS y, sites.z, code FROM sites JOIN coded ON coded.id = sites.id % 200), p AS (SELECT x, y, avg(z) AS z FROM h WHERE code IN ('F0017111', 'F0017114', 'F0027217', '7111', '2121') GROUP BY x, y),
-g AS (SELECT r, c, c * 20 + 10.0 AS gx, 400 - (r * 20 + 10.0) AS gy FROM range(0, 20) a(r), range(0, 20) b(c)), k AS (SELECT r, c, z, (gx - x) ** 2 + (gy - y) ** 2 AS d2, dense_rank() OVER (PARTITION BY r, c ORDER BY (gx - x) ** 2 + (gy - y) ** 2) AS n FROM g, p)"""
+SURFACE_SQL = f"""{SITES_SQL}, {CODED_SQL}, h AS (SELECT sites.id, x % 400 AS x, y % 400 AS y, sites.z, code FROM sites JOIN coded ON coded.id = 1 + sites.id % 1000000 % (SELECT max(p_partkey) FROM part)), p AS (SELECT x, y, avg(z) AS z FROM h WHERE code IN ('F0017111', 'F0017114', 'F0027217', '7111', '2121') GROUP BY x, y),
+g AS (SELECT r, c, c * 20 + 10.0 AS gx, 400 - (r * 20 + 10.0) AS gy FROM range(0, 20) a(r), range(0, 20) b(c)), k AS (SELECT r, c, z, (gx - x) ** 2 + (gy - y) ** 2 AS d2, row_number() OVER (PARTITION BY r, c ORDER BY (gx - x) ** 2 + (gy - y) ** 2, x, y) AS n FROM g, p)"""
 
 
 def _drawing(spark, sf_dir):
-    h = sites(spark, sf_dir).withColumn("code_id", F.col("id") % 200).join(coded(spark, sf_dir).select(F.col("id").alias("code_id"), "code"), "code_id")
+    parts = read(spark, sf_dir, "part").agg(F.max("p_partkey").alias("parts"))
+    h = sites(spark, sf_dir).crossJoin(F.broadcast(parts)).withColumn("code_id", 1 + F.col("id") % 1_000_000 % F.col("parts")).join(coded(spark, sf_dir).select(F.col("id").alias("code_id"), "code"), "code_id")
     return h.select("id", (F.col("x") % 400).alias("x"), (F.col("y") % 400).alias("y"), "z", F.col("code").alias("Layer"))
 
 
-@query(f"WITH {SURFACE_SQL} SELECT r, c, round(coalesce(avg(z) FILTER (d2 = 0), sum(z / d2) FILTER (d2 > 0) / sum(1 / d2) FILTER (d2 > 0)), 4) AS z FROM k GROUP BY r, c")
+@query(f"WITH {SURFACE_SQL} SELECT r, c, round(coalesce(avg(z) FILTER (d2 = 0), sum(z / d2) FILTER (d2 > 0) / sum(1 / d2) FILTER (d2 > 0)), 4) AS z FROM k WHERE n <= 12 GROUP BY r, c")
 def drawn_surface(spark, sf_dir):
-    """A raster of heights from two layers of a drawing, by their codes; here all samples count for every cell."""
+    """A raster of heights from two layers of a drawing, by their codes: the twelve nearest samples count for each cell."""
     t = _drawing(spark, sf_dir)
-    found = surveys.surface([t.where("id < 1000000"), t.where("id >= 1000000")], Grid(0.0, 400.0, 20.0, 20, 20), "idw", ("F0017111", "F0017114", "F0027217", "7111", "2121"), k=1_000_000)
+    found = surveys.surface([t.where("id < 1000000"), t.where("id >= 1000000")], Grid(0.0, 400.0, 20.0, 20, 20), "idw", ("F0017111", "F0017114", "F0027217", "7111", "2121"))
     return found.select("r", "c", F.round("z", 4).alias("z"))
 
 
