@@ -47,10 +47,10 @@ MADE = [*SUMS, "n_best", "count_sum", "groups_sha256"]
 _CUT = re.compile(r" (?<=\S )(?=\S)")
 _SPAN = re.compile(rb"[^3]*3")
 #: Where A always begins a new word: between letters, digits and other characters, and before white space; an apostrophe may go with the letters behind it.
-_WORDS = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}'])(?=[\s\p{L}\p{N}])")
+WORDS = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}'])(?=[\s\p{L}\p{N}])")
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
@@ -75,7 +75,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         with open(a_path, encoding="utf-8") as f:
             vocabulary = json.load(f)
-        letters = _byte_letters()
+        letters = byte_letters()
         ids = {i: bytes(letters[c] for c in t) for t, i in vocabulary["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in vocabulary["added_tokens"]}
         self.a_bytes = [ids.get(i, b"") for i in range(max(ids) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -108,10 +108,10 @@ class Aligner:
     def _cut_long(self, part: str) -> Iterator:
         """A long part in pieces of LONG characters or so; where no cut is safe for both tokenizers it stays whole."""
         last, at, wanted = 0, 0, LONG
-        word = _WORDS.search(part, wanted)
+        word = WORDS.search(part, wanted)
         while wanted < len(part):
             while word and word.start() < wanted:
-                word = _WORDS.search(part, wanted)
+                word = WORDS.search(part, wanted)
             at, stop = wanted, word.start() if word else len(part)
             while at < stop and (part[at].isspace() or part[at] == "'" or part[at - 1].isspace() or (part[at - 1].encode()[-1], part[at].encode()[0]) in self.beside_a):
                 at += 1

@@ -9,7 +9,8 @@ back these two. So the ids are those of merging by rank itself, as the public li
 
 Defined cases: null and empty texts have no ids; a space and U+2581 are the same symbol, so decoding gives a space for either;
 characters outside the vocabulary become their UTF-8 bytes' pieces; a null or empty id list decodes to the empty text; bytes that are
-not valid UTF-8 decode to U+FFFD. Texts of any length are encoded whole: parts of over LONG characters are relaxed one at a time.
+not valid UTF-8 decode to U+FFFD. Texts of any length are encoded whole: parts of over LONG characters are relaxed one at a time. Repeated rows
+are encoded alike, an empty table gives an empty result, and columns named token_ids or decoded are replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -266,19 +267,19 @@ class PieceModel:
     def _chunks(self, text: str):
         """The text in chunks of about BLOCK characters, cut where no piece spans the cut."""
         table, beside, _ = self.tables()
-        look = 2 * BLOCK
-        while len(text) > BLOCK:
-            codes = table[np.frombuffer(text[:look].encode("utf-32-le"), np.uint32)]
+        done, look = 0, 2 * BLOCK
+        while len(text) - done > BLOCK:
+            codes = table[np.frombuffer(text[done : done + look].encode("utf-32-le"), np.uint32)]
             cuts = np.flatnonzero(~beside[codes[:-1], codes[1:]]) + 1
             late = cuts[cuts >= BLOCK]
-            if not len(cuts) and look < len(text):
+            if not len(cuts) and look < len(text) - done:
                 look *= 2  # a part longer than a chunk stays whole
                 continue
-            at = int(late[0] if len(late) else cuts[-1] if len(cuts) else len(text))
-            yield text[:at]
-            text, look = text[at:], 2 * BLOCK
-        if text:
-            yield text
+            at = done + int(late[0]) if len(late) else done + int(cuts[-1]) if len(cuts) else len(text)
+            yield text[done:at]
+            done, look = at, 2 * BLOCK
+        if done < len(text):
+            yield text[done:]
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         table, beside, _ = self.tables()

@@ -47,3 +47,15 @@ def test_held_out_accuracy(spark, sf):
     big = sf.replace("sf0.001", "sf0.01")
     out = op7_lang_id(spark, big).join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
+
+
+def test_held_out_rows_are_never_learned_from(spark, sf):
+    """Wrong labels of held-out rows change nothing; wrong labels of the others do."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    rows = lambda t: {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in identify(t).collect()}
+    plain = rows(docs)
+    assert {k for k, r in plain.items() if r[0]} == {r.doc_id for r in docs.where(held).collect()}
+    wrong = F.when(F.col("doc_id") % 2 == 0, "xx").otherwise("yy")
+    assert rows(docs.withColumn("lang", F.when(held, wrong).otherwise(F.col("lang")))) == plain
+    assert {r[1] for r in rows(docs.withColumn("lang", F.when(held, F.col("lang")).otherwise(wrong))).values()} <= {"xx", "yy", "und"}

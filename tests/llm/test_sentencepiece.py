@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -57,4 +58,7 @@ def test_cases(spark):
 
 
 def test_query(spark, sf):
-    assert op4_sentencepiece(spark, sf).where("NOT round_trip").count() == 0
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = spark.createDataFrame([(i, LIBRARY.encode(t or "")) for i, t in texts.items()], "doc_id long, ids array<int>").selectExpr("doc_id", "size(ids) AS n", "xxhash64(ids) AS h")
+    rows = op4_sentencepiece(spark, sf).join(want, "doc_id").collect()
+    assert len(rows) == len(texts) and all(r.round_trip and (r.n_tokens, r.ids_xxh64) == (r.n, r.h) and r.decoded_crc32 == zlib.crc32((texts[r.doc_id] or "").replace("▁", " ").encode()) for r in rows)
