@@ -49,17 +49,13 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
-def overlay(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, shared, outside): of polygons (id, ring) whose boxes meet, the area that they share, if any, and what is left of ``a``.
-
-    No polygon is cut. Whether a place is inside one is the sum, over the sides above it, of +1 for sides that run one way and
-    -1 for the others; so the shared area is the sum over pairs of sides, with the product of their signs, of the area under both.
+def _meeting(left: DataFrame, right: DataFrame, sides: Column, by: tuple[str, ...] = ()) -> tuple[DataFrame, tuple[float, float]]:
+    """Pairs (a, b, a_whole, sides and rings of both) of polygons (id, ring) whose boxes meet, and the least x and y of the left ones.
 
     Boxes meet in square buckets as wide as boxes are on average, or a 256th of the widest; a pair counts in the first bucket that it shares.
     """
     ends = {f"{v}{k}": f(F.col(f"ring.{v}")) for v in "xy" for k, f in ((0, F.array_min), (1, F.array_max))}
-    sides = F.filter(_sides(F.col("ring")), lambda s: s["p"]["x"] != s["q"]["x"])
-    boxed = [t.select(F.col("id").alias(k), area(F.col("ring")).alias(f"{k}_whole"), sides.alias(f"{k}_sides"), *[e.alias(f"{k}{n}") for n, e in ends.items()]) for t, k in ((left, "a"), (right, "b"))]
+    boxed = [t.select(*by, F.col("id").alias(k), area(F.col("ring")).alias(f"{k}_whole"), sides.alias(f"{k}_sides"), F.col("ring").alias(f"{k}_ring"), *[e.alias(f"{k}{n}") for n, e in ends.items()]) for t, k in ((left, "a"), (right, "b"))]
     wide = [F.greatest(F.col(f"{k}x1") - F.col(f"{k}x0"), F.col(f"{k}y1") - F.col(f"{k}y0")) for k in "ab"]
     facts = [t.agg(F.avg(w), F.max(w), F.min(f"{k}x0"), F.min(f"{k}y0")).first() for t, w, k in zip(boxed, wide, "ab", strict=True)]
     size = max([f[0] or 0.0 for f in facts] + [(f[1] or 0.0) / 256 for f in facts] + [1e-9])
@@ -68,8 +64,23 @@ def overlay(left: DataFrame, right: DataFrame) -> DataFrame:
     for t, k in zip(boxed, "ab", strict=True):
         steps = [F.sequence(F.floor(F.col(f"{k}{v}0") / size), F.floor(F.col(f"{k}{v}1") / size)) for v in "xy"]
         filed.append(t.select("*", F.explode(steps[0]).alias("u")).select("*", F.explode(steps[1]).alias("v")))
-    met = filed[0].join(filed[1], ["u", "v"]).where("ax0 <= bx1 AND bx0 <= ax1 AND ay0 <= by1 AND by0 <= ay1")
+    met = filed[0].join(filed[1], [*by, "u", "v"]).where("ax0 <= bx1 AND bx0 <= ax1 AND ay0 <= by1 AND by0 <= ay1")
     once = met.where((F.col("u") == F.floor(F.greatest("ax0", "bx0") / size)) & (F.col("v") == F.floor(F.greatest("ay0", "by0") / size)))
+    return once.select(*by, "a", "b", "a_whole", "a_sides", "b_sides", "a_ring", "b_ring"), (float(ox), float(oy))
+
+
+def meeting(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, a, b, a_ring, b_ring) of polygons (by, id, ring) with equal columns ``by`` whose boxes meet."""
+    return _meeting(left, right, F.lit(None), by)[0].select(*by, "a", "b", "a_ring", "b_ring")
+
+
+def overlay(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, shared, outside): of polygons (id, ring) whose boxes meet, the area that they share, if any, and what is left of ``a``.
+
+    No polygon is cut. Whether a place is inside one is the sum, over the sides above it, of +1 for sides that run one way and
+    -1 for the others; so the shared area is the sum over pairs of sides, with the product of their signs, of the area under both.
+    """
+    once, (ox, oy) = _meeting(left, right, F.filter(_sides(F.col("ring")), lambda s: s["p"]["x"] != s["q"]["x"]))
     pairs = once.select("a", "b", "a_whole", "b_sides", F.explode("a_sides").alias("s")).select("a", "b", "a_whole", "s", F.explode("b_sides").alias("t"))
     pairs = pairs.selectExpr("a", "b", "a_whole", *[f"{k}.{e}.{v} - {o!r}D AS {k}{e}{v}" for k in "st" for e in "pq" for v, o in (("x", float(ox)), ("y", float(oy)))])
     pairs = pairs.selectExpr("*", "greatest(least(spx, sqx), least(tpx, tqx)) AS low", "least(greatest(spx, sqx), greatest(tpx, tqx)) AS high").where("low < high")

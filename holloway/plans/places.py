@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import legend
-from ..operators import outlines, report, vector
+from ..operators import outlines, overlays, report, vector
 from ..sources.grid import Grid
 from .rings import outlined, quads_sql
 from .tables import CELL, DEM_SQL, SITES_SQL, WIDTH, XMIN, YMAX, dem, read, sites
@@ -69,6 +69,34 @@ def polygon_overlay(spark, sf_dir):
     return found.select("a", "b", F.round("shared", 2).alias("shared"), F.round("outside", 2).alias("outside"))
 
 
+@query(f"WITH {RING_SQL} SELECT a, b, round(shared, 2) AS shared FROM q WHERE shared > 0.01")
+def overlay_outlines(spark, sf_dir):
+    """The ground that each trench shares with each pit as outlines, and its area."""
+    rings = overlays.ring_areas(overlays.overlay_rings(trenches(spark, sf_dir), pits(spark, sf_dir)))
+    return rings.groupBy("key").agg(F.sum("area").alias("area")).where("area > 0.01").select("key.a", "key.b", F.round("area", 2).alias("shared"))
+
+
+@query(f"WITH {RING_SQL} SELECT a, b, round(5400 - shared, 2) AS outside FROM q WHERE shared > 0.01")
+def difference_outlines(spark, sf_dir):
+    """What each pit leaves of each trench that it meets, as outlines, and its area."""
+    rings = overlays.ring_areas(overlays.overlay_rings(trenches(spark, sf_dir), pits(spark, sf_dir), "difference"))
+    return rings.groupBy("key").agg(F.sum("area").alias("area")).where("area < 5400 - 0.01").select("key.a", "key.b", F.round("area", 2).alias("outside"))
+
+
+@query("SELECT p_partkey AS id, 1::BIGINT AS rings, 36::BIGINT AS points, round(5400 + 330 * 30 + 4 * 8 * 450 * sin(pi() / 16), 3) AS area FROM part")
+def trench_buffers(spark, sf_dir):
+    """The ground within 30 m of each trench."""
+    rings = overlays.ring_areas(overlays.buffered(trenches(spark, sf_dir).select("id", "ring"), 30.0))
+    return rings.groupBy(F.col("key").alias("id")).agg(F.count(F.lit(1)).alias("rings"), F.sum("points").alias("points"), F.round(F.sum("area"), 3).alias("area"))
+
+
+@query()
+def united_pits(spark, sf_dir):
+    """The outlines of all pits of a nation together; tested against counted cells."""
+    nation = read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "s_nationkey AS key")
+    return overlays.united(pits(spark, sf_dir).join(nation, "id"))
+
+
 @query()
 def class_regions(spark, sf_dir):
     """Connected areas of equal class; tested against a flood fill (SQL takes minutes for the whole raster)."""

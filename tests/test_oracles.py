@@ -38,7 +38,7 @@ def test_query_equals_its_sql(spark, sf, duck, name):
 COLUMNS = {
     "contours": None, "kriging": "id variance z", "mst_edges": "a b d2", "centrality_unweighted": "betweenness closeness id", "centrality_weighted": "betweenness closeness id",
     "isochrones": "c closed length level line part pieces r x1 x2 y1 y2", "cost_network": "dist_m from_id from_nm kind model time_ab time_ba time_sym to_id to_nm",
-    "region_rings": "at region ring x y", "contour_paths": "at closed level line size x y",
+    "united_pits": "at key ring x y", "region_rings": "at region ring x y", "contour_paths": "at closed level line size x y",
     "cost_network_nodes": "betweenness closeness comp_size component degree id", "trench_select": "id rank score x y", "class_regions": "area_ha cells class region",
 }
 
