@@ -9,28 +9,31 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, join_keyed
 from .components import components
 
 #: Links and sites of a graph that is sent whole to the tasks (some 100 MB there), and rows of a block of searches over larger ones.
 SENT, SEARCH_ROWS = 500_000, 50_000_000
 #: Up to this number of links a spanning tree is found on the driver.
 FEW_LINKS = 100_000
+#: Points of a bucket, in numbers of wanted neighbours, from which its surroundings are searched by a tree; points of its leaves, its deepest level, and nodes that are sent to all tasks.
+CROWD, LEAF, DEEPEST, SENT_NODES = 200, 64, 30, 50_000
 #: Distances that differ by no more than this are equal.
 EQUAL = 1e-12
 _AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
-def _bucket(size: float, x: str = "x", y: str = "y") -> tuple[Column, Column]:
+def _bucket(size: float | Column, x: str = "x", y: str = "y") -> tuple[Column, Column]:
     return F.floor(F.col(x) / size).alias("bx"), F.floor(F.col(y) / size).alias("by")
 
 
-def _around(t: DataFrame, size: float, x: str, y: str) -> DataFrame:
+def _around(t: DataFrame, size: float | Column, x: str, y: str) -> DataFrame:
     """``t`` once for each of the 3 x 3 buckets round its place."""
     cells = F.array(*[F.struct((F.floor(F.col(x) / size) + i).alias("bx"), (F.floor(F.col(y) / size) + j).alias("by")) for i, j in _AROUND])
     return t.select("*", F.inline(cells))
@@ -40,7 +43,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, same: bool = False, m
     """(a, b, d2): the k points (id, x, y) nearest to each query (id, x, y), by squared distance and then id.
 
     ``same``: both are one set, and no site is its own neighbour. ``most``: no partners farther than this.
-    A query is settled when its kth neighbour is within one bucket; the rest go on with buckets twice as wide.
+    A query is settled when its kth neighbour is within one bucket; the rest go on with buckets twice as wide. Queries beside a crowded
+    bucket go down a tree of buckets in place of this, so dense clusters neither meet whole nor slow down the rest.
     """
     box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
     far = queries.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -48,10 +52,15 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, same: bool = False, m
         return queries.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("d2")).limit(0)
     span = float(max(max(box[1], far[1]) - min(box[0], far[0]), max(box[3], far[3]) - min(box[2], far[2]), 1e-9))
     size = max(span * math.sqrt((k + 1) / box[4]) / 2, span / 1e6)
-    todo, parts = queries.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), []
+    todo, parts, crowded = queries.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), [], []
     here = points.select(F.col("id").alias("b"), F.col("x").alias("px"), F.col("y").alias("py"))
     while True:
         last = size >= min(span, most)
+        full = cut(here.select(*_bucket(size, "px", "py")).groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD * (k + 1)).drop("n"))
+        if not full.isEmpty():
+            hard = cut(_around(todo, size, "ax", "ay").join(full, ["bx", "by"], "left_semi").select("a", "ax", "ay").distinct())
+            crowded.append(hard)
+            todo = cut(todo.join(hard.select("a"), "a", "left_anti"))
         near = _around(todo, size, "ax", "ay").join(here.select("*", *_bucket(size, "px", "py")), ["bx", "by"])
         d2 = (F.col("ax") - F.col("px")) * (F.col("ax") - F.col("px")) + (F.col("ay") - F.col("py")) * (F.col("ay") - F.col("py"))
         near = near.where("a <> b") if same else near
@@ -66,10 +75,58 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, same: bool = False, m
         if todo.isEmpty():
             break
         size *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.select("a", "b", "d2")
+    if crowded:
+        corner = (float(min(box[0], far[0])), float(min(box[2], far[2])))
+        parts.append(_down_the_tree(reduce(DataFrame.unionAll, crowded), here, k, same, most, corner, span))
+    return reduce(DataFrame.unionAll, [p.select("a", "b", "d2") for p in parts])
+
+
+def _tree(points: DataFrame, corner: tuple[float, float], span: float) -> tuple[list[tuple[DataFrame, int]], DataFrame]:
+    """Nodes (u, v, n, leaf) of each level of a quadtree of points (b, px, py), with how many there are, and the points with the level, u and v of their leaf. A node of over LEAF points is parted."""
+    levels, filed, left = [], [], points
+    for level in range(DEEPEST + 1):
+        size = span / (1 << level)
+        here = left.select("b", "px", "py", F.floor((F.col("px") - corner[0]) / size).alias("u"), F.floor((F.col("py") - corner[1]) / size).alias("v"))
+        one = (F.min("px") == F.max("px")) & (F.min("py") == F.max("py"))  # nothing to part
+        nodes = cut(here.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), one.alias("one")).select("u", "v", "n", ((F.col("n") <= LEAF) | F.col("one") | F.lit(level == DEEPEST)).alias("leaf")))
+        levels.append((nodes, nodes.count()))
+        placed = cut(join_keyed(here.withColumn("at", F.struct("u", "v")), nodes.select(F.struct("u", "v").alias("at"), "leaf", "n"), "at", "n").drop("at", "n"))
+        filed.append(placed.where("leaf").select("b", "px", "py", F.lit(level).alias("level"), "u", "v"))
+        left = placed.where("NOT leaf").select("b", "px", "py")
+        if left.isEmpty():
+            break
+    return levels, reduce(DataFrame.unionAll, filed)
+
+
+def _down_the_tree(queries: DataFrame, points: DataFrame, k: int, same: bool, most: float, corner: tuple[float, float], span: float) -> DataFrame:
+    """(a, b, d2): as nearest(), level by level: a query keeps the nodes that may hold one of its k nearest, by the distances within which their numbers of points are sure to lie."""
+    levels, filed = _tree(points, corner, span)
+    wanted = k + 1 if same else k  # the site itself is among the points
+
+    def bounds(t: DataFrame, level: int) -> DataFrame:
+        size = span / (1 << level)
+        x0, y0 = F.lit(corner[0]) + F.col("u") * size, F.lit(corner[1]) + F.col("v") * size
+        off = lambda p, lo: F.greatest(lo - F.col(p), F.col(p) - lo - size, F.lit(0.0))
+        far = lambda p, lo: F.greatest(F.abs(F.col(p) - lo), F.abs(F.col(p) - lo - size))
+        return t.withColumns({"least": off("ax", x0) * off("ax", x0) + off("ay", y0) * off("ay", y0), "farthest": far("ax", x0) * far("ax", x0) + far("ay", y0) * far("ay", y0), "level": F.lit(level)})
+
+    columns = ["a", "ax", "ay", "u", "v", "n", "leaf", "least", "farthest", "level"]
+    front = bounds(queries.crossJoin(F.broadcast(levels[0][0])), 0).select(*columns)  # a few nodes: the square that all lies in
+    done = None
+    for level in range(len(levels)):
+        sure = F.sum("n").over(Window.partitionBy("a").orderBy("farthest", "level", "u", "v"))
+        bound = F.min(F.when(F.col("sure") >= wanted, F.col("farthest"))).over(Window.partitionBy("a"))
+        front = cut(front.withColumn("sure", sure).withColumn("bound", bound).where((F.col("least") <= F.coalesce("bound", F.col("least"))) & (F.col("least") <= most * most if most < math.inf else F.lit(True))).select(*columns))
+        if level + 1 == len(levels):
+            break
+        nodes, count = levels[level + 1]
+        below = nodes.select(F.floor(F.col("u") / 2).alias("u"), F.floor(F.col("v") / 2).alias("v"), F.col("u").alias("cu"), F.col("v").alias("cv"), F.col("n").alias("cn"), F.col("leaf").alias("cleaf"))
+        down = front.where("NOT leaf").select("a", "ax", "ay", "u", "v").join(F.broadcast(below) if count <= SENT_NODES else below, ["u", "v"])
+        front = front.where("leaf").unionAll(bounds(down.select("a", "ax", "ay", F.col("cu").alias("u"), F.col("cv").alias("v"), F.col("cn").alias("n"), F.col("cleaf").alias("leaf")), level + 1).select(*columns))
+    near = front.join(filed, ["level", "u", "v"])
+    d2 = (F.col("ax") - F.col("px")) * (F.col("ax") - F.col("px")) + (F.col("ay") - F.col("py")) * (F.col("ay") - F.col("py"))
+    near = (near.where("a <> b") if same else near).select("a", "b", d2.alias("d2")).where(F.col("d2") <= most * most if most < math.inf else F.lit(True))
+    return cut(near.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))).where(F.col("n") <= k))
 
 
 def undirected(pairs: DataFrame) -> DataFrame:
@@ -92,16 +149,17 @@ def within(sites: DataFrame, reach: float) -> DataFrame:
 
 
 def _unblocked(links: DataFrame, sites: DataFrame, blocked: Column) -> DataFrame:
-    """Links that no third site blocks; sites are looked for in the buckets round a link's middle."""
-    longest = links.agg(F.max("d2")).first()[0]
-    if longest is None:
+    """Links that no third site blocks; sites are looked for in the buckets round a link's middle. Each doubling of length has buckets of its own, so one long link does not widen those of the others."""
+    classes = [r[0] for r in links.where("d2 > 0").select(F.ceil(F.log2(F.sqrt("d2"))).alias("class")).distinct().collect()]  # one a doubling
+    if not classes:
         return links
-    size = max(math.sqrt(longest), 1e-9)
+    size = F.pow(F.lit(2.0), F.col("class"))
     a, b, c = (sites.select(F.col("id").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y")) for k in "abc")
     ends = links.join(a, "a").join(b, "b").withColumns({"mx": (F.col("ax") + F.col("bx")) / 2, "my": (F.col("ay") + F.col("by")) / 2})
     ends = ends.withColumnsRenamed({"bx": "b_x", "by": "b_y"})
-    third = c.select("*", *_bucket(size, "cx", "cy"))
-    bad = _around(ends, size, "mx", "my").join(third, ["bx", "by"]).where((F.col("c") != F.col("a")) & (F.col("c") != F.col("b")) & blocked).select("a", "b").distinct()
+    third = c.withColumn("class", F.explode(F.array(*[F.lit(x) for x in classes]))).select("*", *_bucket(size, "cx", "cy"))
+    ends = ends.withColumn("class", F.ceil(F.log2(F.sqrt("d2"))))
+    bad = _around(ends, size, "mx", "my").join(third, ["class", "bx", "by"]).where((F.col("c") != F.col("a")) & (F.col("c") != F.col("b")) & blocked).select("a", "b").distinct()
     return links.join(bad, ["a", "b"], "left_anti")
 
 
@@ -111,12 +169,17 @@ def _square(p: str, q: str) -> Column:
 
 def gabriel(links: DataFrame, sites: DataFrame) -> DataFrame:
     """Links whose diametral circle has no other site strictly inside."""
-    return _unblocked(links, sites, F.expr("(cx - ax) * (cx - b_x) + (cy - ay) * (cy - b_y) < 0"))
+    # A site inside is nearer to the middle than both ends: one of the three sites nearest to it is enough to look at.
+    a, b, c = (sites.select(F.col("id").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y")) for k in "abc")
+    ends = cut(links.join(a, "a").join(b, "b").select(F.struct("a", "b").alias("id"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"), "a", "b", "ax", "ay", F.col("bx").alias("b_x"), F.col("by").alias("b_y")))
+    near = nearest(ends.select("id", "x", "y"), sites.select("id", "x", "y"), 3).select(F.col("a").alias("id"), F.col("b").alias("c"))
+    bad = near.join(ends, "id").join(c, "c").where("c <> a AND c <> b AND (cx - ax) * (cx - b_x) + (cy - ay) * (cy - b_y) < 0").select("a", "b").distinct()
+    return links.join(bad, ["a", "b"], "left_anti")
 
 
 def relative_neighbours(links: DataFrame, sites: DataFrame) -> DataFrame:
     """Links without a site that is nearer to both ends than these are to each other."""
-    return _unblocked(links, sites, (_square("c", "a") < F.col("d2")) & (_square("c", "b_") < F.col("d2")))
+    return _unblocked(gabriel(links, sites), sites, (_square("c", "a") < F.col("d2")) & (_square("c", "b_") < F.col("d2")))
 
 
 def degree(links: DataFrame) -> DataFrame:
