@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import legend
+from ..functions import geodesy, legend
 from ..operators import outlines, overlays, report, vector
 from ..sources.grid import Grid
 from .rings import outlined, quads_sql
@@ -90,6 +90,20 @@ def trench_buffers(spark, sf_dir):
     return rings.groupBy(F.col("key").alias("id")).agg(F.count(F.lit(1)).alias("rings"), F.sum("points").alias("points"), F.round(F.sum("area"), 3).alias("area"))
 
 
+_AREA_SQL = "(1 - ee) * (sin(radians({0})) / (1 - ee * sin(radians({0})) ** 2) + ln((1 + sqrt(ee) * sin(radians({0}))) / (1 - sqrt(ee) * sin(radians({0})))) / (2 * sqrt(ee)))"
+_ARC_SQL = "6378137.0 / (1 + n) * ((1 + n ** 2 / 4 + n ** 4 / 64) * radians({0}) - 1.5 * (n - n ** 3 / 8) * sin(2 * radians({0})) + 15.0 / 16 * (n ** 2 - n ** 4 / 4) * sin(4 * radians({0})) - 35.0 / 48 * n ** 3 * sin(6 * radians({0})) + 315.0 / 512 * n ** 4 * sin(8 * radians({0})))"
+
+
+@query(f"WITH f AS (SELECT 1 / 298.257223563 AS f), k AS (SELECT f * (2 - f) AS ee, f / (2 - f) AS n FROM f), p AS (SELECT p_partkey AS id, 126 + p_partkey % 300 / 100.0::DOUBLE AS x, 33 + p_size / 10.0::DOUBLE AS y, (1 + p_size % 5) / 100.0::DOUBLE AS w, 0.02::DOUBLE AS h FROM part) "
+       f"SELECT id, round(6378137.0 ** 2 / 2 * radians(w) * ({_AREA_SQL.format('(y + h)')} - {_AREA_SQL.format('y')}), 3) AS area_m2, round({_ARC_SQL.format('(y + h)')} - {_ARC_SQL.format('y')}, 3) AS height_m FROM p, k")
+def lonlat_measures(spark, sf_dir):
+    """Areas and heights of plots in degrees, on the ellipsoid."""
+    t = read(spark, sf_dir, "part").selectExpr("p_partkey AS id", "126 + p_partkey % 300 / 100.0D AS x", "33 + p_size / 10.0D AS y", "(1 + p_size % 5) / 100.0D AS w", "0.02D AS h")
+    corner = lambda i, j: F.struct((F.col("x") + i * F.col("w")).alias("x"), (F.col("y") + j * F.col("h")).alias("y"))
+    ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))
+    return t.select("id", F.round(geodesy.area(ring), 3).alias("area_m2"), F.round(geodesy.length(F.col("x"), F.col("y"), F.col("x"), F.col("y") + F.col("h")), 3).alias("height_m"))
+
+
 @query()
 def united_pits(spark, sf_dir):
     """The outlines of all pits of a nation together; tested against counted cells."""
