@@ -20,8 +20,8 @@ from .components import components
 
 #: Links and sites of a graph that is sent whole to the tasks (some 100 MB there), and rows of a block of searches over larger ones.
 SENT, SEARCH_ROWS = 500_000, 50_000_000
-#: Up to this number of links a spanning tree is found on the driver.
-FEW_LINKS = 100_000
+#: Up to this number of links a spanning tree is found on the driver: a short cut for small graphs, off by default.
+FEW_LINKS = 0
 #: Points of a bucket, in numbers of wanted neighbours, from which its surroundings are searched by a tree; points of its leaves, its deepest level, and nodes that are sent to all tasks.
 CROWD, LEAF, DEEPEST, SENT_NODES = 200, 64, 30, 50_000
 #: Distances that differ by no more than this are equal.
