@@ -41,8 +41,9 @@ def slope_position(tpi: Column, slope: Column, low: float | Column = -1.0, high:
 
 
 def compass8(bearing: Column) -> Column:
-    """N, NE, ... by the nearest of eight directions."""
-    return F.element_at(F.array(*[F.lit(c) for c in COMPASS]), (F.floor((F.pmod(bearing, F.lit(360.0)) + 22.5) / 45.0) % 8 + 1).cast("int"))
+    """N, NE, ... by the nearest of eight directions; null without a bearing."""
+    # element_at alone gives the last element at a null place of an array without nulls.
+    return F.when(bearing.isNotNull(), F.element_at(F.array(*[F.lit(c) for c in COMPASS]), (F.floor((F.pmod(bearing, F.lit(360.0)) + 22.5) / 45.0) % 8 + 1).cast("int")))
 
 
 def direction8(aspect: Column) -> Column:
