@@ -38,8 +38,9 @@ COSTS = {
 
 def _cost(model: str, mode: str, params: dict):
     def run(spark, sf_dir):
-        steps = raster.edges(dem(spark, sf_dir).withColumn("z", F.col("z") / 20), CELL)
-        return steps.select("r", "c", "dr", "dc", F.round(movement.step_cost(model, F.col("horizontal"), F.col("climb"), mode, **params), 8).alias("cost"))
+        # Climbs are scaled after they are taken, and costs rounded by way of whole numbers, as in the SQL: else some of millions round the other way.
+        cost = movement.step_cost(model, F.col("horizontal"), F.col("climb") / 20, mode, **params)
+        return raster.edges(dem(spark, sf_dir), CELL).select("r", "c", "dr", "dc", (F.round(cost * 1e8) / 1e8).alias("cost"))
 
     return run
 

@@ -25,3 +25,10 @@ def test_box_in_the_middle_of_the_area(spark, tmp_path, name):
     place = "SELECT p, s FROM range(991 * 983) a(p), range(1, 51) b(s) WHERE 2 * (p * 37 % 991) + 5 + s % 23 = 920 AND 2 * (p * 53 % 983) + 5 + s % 17 = 820 LIMIT 2"
     rows = same_as_sql(spark, tmp_path, name, part=f"SELECT p AS p_partkey, 'n' AS p_name, 'b' AS p_brand, CAST(s AS INT) AS p_size FROM ({place})")
     assert "N" in rows[0]
+
+
+def test_costs_round_as_their_sql(spark, tmp_path):
+    # Pairs whose wheeled cost lies by a half of the last digit, some found among 100 million.
+    pairs = [(266158.56, 432613.51), (111670.97, 197805.71), (299418.13, 469502.71), (335288.47, 416480.62), (335990.29, 505933.18), (238180.02, 429440.25), (480438.64, 654970.79), (305601.44, 350282.67)]
+    rows = ", ".join(f"({1000 * i + j}, {v}::DOUBLE)" for i, pair in enumerate(pairs) for j, v in enumerate(pair))
+    same_as_sql(spark, tmp_path, "cost_wheeled", orders=f"SELECT k::BIGINT AS o_orderkey, v AS o_totalprice FROM (VALUES {rows}) t(k, v)")
