@@ -108,10 +108,20 @@ def _neighbours(targets: DataFrame, points: DataFrame, k: int) -> DataFrame:
     return near.join(points.select(F.col("id").alias("b"), F.col("x").alias("px"), F.col("y").alias("py"), "z"), "b")
 
 
-def inverse_distance(targets: DataFrame, points: DataFrame, k: int = 12, power: float = 2.0) -> DataFrame:
-    """(id, z) from the k nearest points, weighted by distance to minus ``power``; a point in the place itself decides."""
+def _all_pairs(targets: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, d2, z) of every target with every point."""
+    dx, dy = F.col("ax") - F.col("px"), F.col("ay") - F.col("py")
+    a = targets.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    return a.crossJoin(points.select(F.col("x").alias("px"), F.col("y").alias("py"), "z")).select("a", (dx * dx + dy * dy).alias("d2"), "z")
+
+
+def inverse_distance(targets: DataFrame, points: DataFrame, k: int | None = 12, power: float = 2.0) -> DataFrame:
+    """(id, z) from the k nearest points, weighted by distance to minus ``power``; a point in the place itself decides.
+
+    Without ``k`` all points count for every target: these pairs are neither ranked nor shuffled, only their sums are.
+    """
     w = F.pow("d2", F.lit(-power / 2))
-    near = _neighbours(targets, points, k)
+    near = _neighbours(targets, points, k) if k is not None else _all_pairs(targets, points)
     hit = F.avg(F.when(F.col("d2") == 0, F.col("z")))
     away = F.when(F.col("d2") > 0, w)
     return near.groupBy(F.col("a").alias("id")).agg(F.coalesce(hit, F.sum(away * F.col("z")) / F.sum(away)).alias("z"))

@@ -32,3 +32,18 @@ def test_costs_round_as_their_sql(spark, tmp_path):
     pairs = [(266158.56, 432613.51), (111670.97, 197805.71), (299418.13, 469502.71), (335288.47, 416480.62), (335990.29, 505933.18), (238180.02, 429440.25), (480438.64, 654970.79), (305601.44, 350282.67)]
     rows = ", ".join(f"({1000 * i + j}, {v}::DOUBLE)" for i, pair in enumerate(pairs) for j, v in enumerate(pair))
     same_as_sql(spark, tmp_path, "cost_wheeled", orders=f"SELECT k::BIGINT AS o_orderkey, v AS o_totalprice FROM (VALUES {rows}) t(k, v)")
+
+
+def test_all_samples_count_for_a_drawn_surface(spark, sf):
+    got = [r.z for r in catalog.QUERIES["drawn_surface"](spark, sf).orderBy("r", "c").collect()]
+    con = duckdb.connect()
+    for t in ("supplier", "customer", "part"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    head = catalog.ORACLES["drawn_surface"].split("SELECT r, c, round(")[0]  # every sample for every cell, averaged here
+    pairs = con.sql(f"{head} SELECT r, c, z, d2 FROM k").fetchall()
+    places = con.sql(f"{head} SELECT count(*) FROM p").fetchall()[0][0]
+    assert len(pairs) == 400 * places and places > 12
+    for n, (r, c) in enumerate((r, c) for r in range(20) for c in range(20)):
+        own = [(z, d2) for a, b, z, d2 in pairs if (a, b) == (r, c)]
+        want = [z for z, d2 in own if d2 == 0] or [sum(z / d2 for z, d2 in own) / sum(1 / d2 for _, d2 in own)]
+        assert got[n] == pytest.approx(sum(want) / len(want), abs=1e-4)
