@@ -1,9 +1,11 @@
 """Rows that only large tables have, on small ones made for them."""
 
 import duckdb
+import numpy as np
 import pytest
 
-from holloway import catalog
+from holloway import catalog, lineage
+from holloway.operators import graph
 
 
 def same_as_sql(spark, folder, name, **tables):
@@ -47,3 +49,21 @@ def test_all_samples_count_for_a_drawn_surface(spark, sf):
         own = [(z, d2) for a, b, z, d2 in pairs if (a, b) == (r, c)]
         want = [z for z, d2 in own if d2 == 0] or [sum(z / d2 for z, d2 in own) / sum(1 / d2 for _, d2 in own)]
         assert got[n] == pytest.approx(sum(want) / len(want), abs=1e-4)
+
+
+@pytest.mark.parametrize("filled", [4])
+def test_open_links_keep_forests_parts_and_gabriel_links(spark, monkeypatch, filled):
+    monkeypatch.setattr(graph, "FILLED", filled)
+    rng = np.random.default_rng(4)
+    grid = [(x, y) for x in range(18) for y in range(16) if rng.random() < 0.95]  # equal distances everywhere
+    places = grid + [(float(x), float(y)) for x, y in rng.normal(60, 12, (60, 2))] + [grid[0], grid[7], (120, 3)]
+    ids = rng.permutation(len(places))
+    s = spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in zip(ids, places, strict=True)], "id long, x double, y double")
+    every, few = lineage.cut(graph.within(s, 9)), lineage.cut(graph.open_links(s, 9))
+    pairs = lambda t: sorted(tuple(r) for r in t.select("a", "b", "d2").collect())
+    assert set(pairs(few)) < set(pairs(every)) and few.count() < every.count() / 4
+    for f in (lambda t: graph.gabriel(t, s), lambda t: graph.relative_neighbours(t, s), graph.spanning_tree):
+        assert pairs(f(few)) == pairs(f(every))
+    assert sorted(map(tuple, graph.labelled(few, s).collect())) == sorted(map(tuple, graph.labelled(every, s).collect()))
+    assert sorted(map(tuple, graph.degree_within(s, 9).collect())) == sorted(map(tuple, graph.degree(every).collect()))
+    assert graph.open_links(s.limit(0), 9).count() == 0 and graph.open_links(s.limit(1), 9).count() == 0
