@@ -28,7 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word similarity of 0.8 or more."""
+    """One document of each group of near copies: candidates by SimHash, and by MinHash for those farther apart in bits; five-word similarity of 0.8 or more."""
     return near_copies.keep_one(docs)
 
 

@@ -1,6 +1,7 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of ``NUM / DEN`` (0.8) or more.
 
-Candidates come from MinHash: BANDS bands of ROWS smallest hashes each, so a pair at exactly 0.8 is missed with a chance of
+Candidates come from SimHash and MinHash. SimHash proposes what ``simhash.links`` joins: fingerprints of 64 bits within DISTANCE bits of each other, found by multi-index
+hashing; equal fingerprints meet one of their sets. MinHash adds what is similar but farther apart in bits: BANDS bands of ROWS smallest hashes each, so a pair at exactly 0.8 is missed with a chance of
 (1 - 0.8 ** ROWS) ** BANDS = 3e-6, a closer one with less. A candidate is linked only when the similarity of both whole
 sets, compared as 64-bit hashes, reaches the threshold. Texts of one set are merged first.
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
+from . import simhash
 from .common import cut, join_keyed, join_salted, keep_rows, row_key, stored
 from .decontaminate import hashes
 
@@ -62,11 +64,11 @@ def bands(of: np.ndarray) -> np.ndarray:
 
 
 def _sketches(words: int):
-    @F.pandas_udf("struct<sid: long, size: long, bands: array<long>>")
+    @F.pandas_udf("struct<sid: long, size: long, bands: array<long>, fp: long>")
     def run(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, words) for t in texts]
         return pd.DataFrame({"sid": [np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64) for s in sets], "size": [len(s) for s in sets],
-                             "bands": [bands(s).view(np.int64) for s in sets]})
+                             "bands": [bands(s).view(np.int64) for s in sets], "fp": np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)})
 
     return run
 
@@ -85,6 +87,18 @@ def _pairs(both: DataFrame) -> DataFrame:
     return both.where((F.col("s") != F.col("t")) & fits).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
 
 
+def _proposed(prints: DataFrame, distance: int = simhash.DISTANCE) -> DataFrame:
+    """Candidate pairs (s, s_size, t, t_size) of sets (sid, size, fp) by their SimHash fingerprints: they span all that fingerprints within ``distance`` bits join."""
+    middle = cut(prints.groupBy("fp").agg(F.min(F.struct("sid", "size")).alias("m"), F.count(F.lit(1)).alias("n")))
+    pairs = [join_keyed(prints, middle, "fp", "n").select(F.col("sid").alias("s"), F.col("size").alias("s_size"), F.col("m.sid").alias("t"), F.col("m.size").alias("t_size"))]
+    linked = cut(simhash.links(middle.select("fp"), distance))
+    for side, k in (("a", "s"), ("b", "t")):
+        own = cut(linked.groupBy(side).agg(F.count(F.lit(1)).alias("n")).join(middle.drop("n").withColumnRenamed("fp", side), side).select(side, "n", F.col("m").alias(k)))
+        linked = join_keyed(linked, own, side, "n").drop("n")
+    pairs.append(linked.select(F.col("s.sid").alias("s"), F.col("s.size").alias("s_size"), F.col("t.sid").alias("t"), F.col("t.size").alias("t_size")))
+    return cut(pairs[0].unionAll(pairs[1]).where("s <> t"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets (sid, size, hashes) are similar enough."""
     pairs = cut(pairs)
@@ -155,11 +169,11 @@ def _between(members: DataFrame, texts: DataFrame) -> DataFrame:
     return filed.repartition("t").sortWithinPartitions("t", "size").mapInArrow(_partners, "a long, b long").distinct()
 
 
-def _links(filed: DataFrame, hub_size: DataFrame, texts) -> DataFrame:
-    """Confirmed links that span every component; ``filed`` has rows (key, sid, size, hub) of bands with several sets."""
+def _links(filed: DataFrame, hub_size: DataFrame, texts, proposed: DataFrame) -> DataFrame:
+    """Confirmed links that span every component; ``filed`` has rows (key, sid, size, hub) of bands with several sets, ``proposed`` those of _proposed()."""
     sizes = cut(filed.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).join(hub_size, "hub"))  # a large group has one hub in all its bands
     stars = join_keyed(filed, sizes, "hub", "n").select(F.col("sid").alias("s"), F.col("size").alias("s_size"), F.col("hub").alias("t"), F.col("hub_size").alias("t_size"))
-    first = _confirmed(_pairs(stars), texts)
+    first = _confirmed(_pairs(proposed.unionAll(stars)), texts)
     rooted = cut(filed.join(components(first), F.col("sid") == F.col("node"), "left").select("key", "sid", "size", F.coalesce("root", "sid").alias("root")))
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     members = cut(rooted.join(several, "key", "left_semi").select("sid", "size", "root").distinct())
@@ -171,7 +185,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[D
     """(sid, one) for each set, one being its first row, and (node, root) of the linked sets."""
     order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), _sketches(words)(F.col(text_col)).alias("s")).select("id", "key", "s.*")
+    rows = stored(rows)
     sets = stored(rows.groupBy("sid").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.min(order).alias("one")))
+    proposed = _proposed(cut(rows.select("sid", "size", "fp").distinct()))
     filed = sets.select(F.explode("bands").alias("key"), "sid", "size")
     crowds = cut(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = cut(join_keyed(filed, crowds, "key", "n"))
@@ -180,10 +196,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[D
     weighed = join_keyed(met, known, "sid", "bands")
     hubs = cut(weighed.groupBy("key").agg(F.max(F.struct("met", "sid")).alias("hub"), F.first("n").alias("n")).select("key", F.col("hub.sid").alias("hub"), "n"))
     met = cut(join_keyed(met.drop("n"), hubs, "key", "n").drop("n"))
-    needed = met.select("sid").distinct().join(sets, "sid").select("sid", "size", F.col("one.key").alias("__key"))
+    needed = met.select("sid").unionAll(proposed.select(F.explode(F.array("s", "t")).alias("sid"))).distinct().join(sets, "sid").select("sid", "size", F.col("one.key").alias("__key"))
     whole = docs.select(row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("text")).join(needed, "__key").dropDuplicates(["sid"])
     texts = stored(whole.select("sid", "size", _sets(words)(F.col("text")).alias("hashes")))
-    links = _links(met, texts.select(F.col("sid").alias("hub"), F.col("size").alias("hub_size")), texts)
+    links = _links(met, texts.select(F.col("sid").alias("hub"), F.col("size").alias("hub_size")), texts, proposed)
     return sets.select("sid", "one"), components(links)
 
 

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from holloway.llm import near_copies
 from holloway.llm.near_copies import keep_one
 
 from .cases import documents, empty
@@ -62,3 +63,18 @@ def test_cases(spark):
     kept = keep_one(documents(spark))
     assert kept.columns == documents(spark).columns and 0 < kept.count() <= documents(spark).count()
     assert keep_one(empty(spark)).count() == 0
+
+
+def test_simhash_proposes_candidates(spark, monkeypatch):
+    """What fingerprints within four bits join is proposed and confirmed even if no band does so."""
+    base = " ".join(f"word{i}" for i in range(3000))
+    texts = [base, base.replace("word1500 ", "other "), base.replace("word2999", "more"), " ".join(f"else{i}" for i in range(3000))]
+    bits = lambda i, j: (near_copies.simhash.fingerprint(texts[i]) ^ near_copies.simhash.fingerprint(texts[j])).bit_count()
+    assert bits(0, 1) <= 4 and bits(0, 2) <= 4 < bits(0, 3)
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    proposed = []
+    own = near_copies._proposed
+    monkeypatch.setattr(near_copies, "_proposed", lambda *a: proposed.append(own(*a)) or proposed[-1])
+    monkeypatch.setattr(near_copies, "_pairs", lambda both, pairs=near_copies._pairs: pairs(proposed[-1]))  # no pair of the bands
+    monkeypatch.setattr(near_copies, "_between", lambda members, sets: spark.createDataFrame([], "a long, b long"))
+    assert sorted(r.doc_id for r in near_copies.keep_one(t).collect()) == [0, 3]
