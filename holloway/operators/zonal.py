@@ -14,12 +14,20 @@ def zone_cells(zones: DataFrame, zone: str = "zone") -> DataFrame:
     return rows.select(zone, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
 
 
+def valued(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (zone, r, c) with the columns of ``cells`` at their places.
+
+    Spark reckons the size of zones before they are spread over their cells and would broadcast them whole, so the join is told to sort and merge.
+    """
+    return members.join(cells.hint("merge"), ["r", "c"])
+
+
 def zonal_stats(cells: DataFrame, members: DataFrame, zone: str = "zone") -> DataFrame:
     """Cells in each zone, cells with data and their share, mean, population deviation, least and most.
 
     ``members`` (zone, r, c) is joined on (r, c); each task reduces its cells to one row a zone before the shuffle.
     """
-    inside = members.join(cells, ["r", "c"])
+    inside = valued(cells, members)
     return inside.groupBy(zone).agg(F.count("*").alias("pix_in"), F.count("z").alias("pix_val"), (100.0 * F.count("z") / F.count("*")).alias("cov_pct"),
                                     F.avg("z").alias("mean"), F.stddev_pop("z").alias("std"), F.min("z").alias("min"), F.max("z").alias("max"))
 
