@@ -163,7 +163,7 @@ def zonal_class_pivot(spark, sf_dir):
 @query(f"WITH {DEM_SQL}, {ZONES_SQL}, i AS (SELECT brand, (z > 200)::INT AS v FROM zones JOIN dem ON r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1) SELECT brand, count(*) AS cells, CAST(sum(v) AS BIGINT) AS visible, round(100.0 * sum(v) / count(*), 6) AS pct FROM i GROUP BY ROLLUP (brand)")
 def aoi_visible_rollup(spark, sf_dir):
     """Visible cells of each area and of all, in one pass."""
-    inside = zonal.zone_cells(zones(spark, sf_dir).withColumn("zone", F.col("brand"))).join(dem(spark, sf_dir), ["r", "c"])
+    inside = zonal.valued(dem(spark, sf_dir), zonal.zone_cells(zones(spark, sf_dir).withColumn("zone", F.col("brand"))))
     v = (F.col("z") > 200).cast("int")
     return inside.rollup(F.col("zone").alias("brand")).agg(F.count("*").alias("cells"), F.sum(v).alias("visible"), F.round(100.0 * F.sum(v) / F.count("*"), 6).alias("pct"))
 

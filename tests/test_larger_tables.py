@@ -9,7 +9,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["zonal_stats", "zonal_class_pivot"])
+@pytest.mark.parametrize("name", ["zonal_stats", "zonal_class_pivot", "aoi_visible_rollup"])
 def test_cells_of_zones_are_not_broadcast(spark, sf, name):
     found = plan(catalog.QUERIES[name](spark, sf))
     assert "SortMergeJoin" in found and "Broadcast" not in found
