@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import stored
 from ..sources.grid import Grid
 from .components import components
-from .raster import neighbourhood
+
+#: Cells along a side of the blocks in which areas are found first.
+REGION_BLOCK = 256
 
 
 def rectangle(x: Column, y: Column, length: float, width: float, bearing: Column) -> Column:
@@ -199,15 +204,52 @@ def attribute_raster(polygons: DataFrame, grid: Grid, value: str, order: str, to
     return rasterized(marked, grid, "id", touched).groupBy("r", "c").agg(F.max("id").alias("m")).select("r", "c", F.col("m.v").alias(value))
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of nodes 0 to n - 1 the least one that each reaches by the links a to b."""
+    root = np.arange(n)
+    while len(a):
+        ra, rb = root[a], root[b]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def _label_block(width: int, corners: bool):
+    """Kernel: the cells (r, c, class) of one block, with the first cell of the area that each lies in as far as the block goes."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        r, c = t["r"].to_numpy(np.int64), t["c"].to_numpy(np.int64)
+        kind, (h, w) = pd.factorize(t["class"])[0], (np.ptp(r) + 1, np.ptp(c) + 1)
+        at = (r - r.min()) * w + c - c.min()
+        grid = np.full(h * w, -1)
+        grid[at] = kind
+        place, grid = np.arange(h * w).reshape(h, w), grid.reshape(h, w)
+        ways = [(np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:])] + ([(np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])] if corners else [])
+        same = [(grid[p] == grid[q]) & (grid[p] >= 0) for p, q in ways]
+        root = _joined(h * w, np.concatenate([place[p][m] for (p, _), m in zip(ways, same, strict=True)]), np.concatenate([place[q][m] for (_, q), m in zip(ways, same, strict=True)]))[at]
+        return t[["r", "c", "class"]].assign(region=(root // w + r.min()) * width + root % w + c.min())
+
+    return run
+
+
 def labelled_regions(cells: DataFrame, width: int, corners: bool = True) -> DataFrame:
-    """(r, c, class, region) of the cells that have a class: connected areas of one class, named by their first cell; with ``corners`` cells that touch at one hang together."""
-    near = neighbourhood(cells.withColumn("z", F.col("class")))
-    steps = {"e": 1, "s": width} | ({"sw": width - 1, "se": width + 1} if corners else {})
-    here = F.col("r") * width + F.col("c")
-    links = near.select("r", "c", "class", F.explode(F.array(*[F.when(F.col(k) == F.col("class"), here + d) for k, d in steps.items()])).alias("b"), here.alias("a")).where("b IS NOT NULL").select("a", "b")
+    """(r, c, class, region) of the cells that have a class: connected areas of one class, named by their first cell; with ``corners`` cells that touch at one hang together.
+
+    Areas are found in blocks of REGION_BLOCK cells a side first; only cells along the blocks' borders link the parts of an area.
+    """
+    size = REGION_BLOCK
+    kinds = {k: cells.schema[k].dataType.simpleString() for k in ("r", "c", "class")}
+    blocks = cells.where("class IS NOT NULL").select("r", "c", "class", F.floor(F.col("r") / size).alias("br"), F.floor(F.col("c") / size).alias("bc")).groupBy("br", "bc")
+    parts = stored(blocks.applyInPandas(_label_block(width, corners), ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", region long"))
+    edge = parts.where(" OR ".join(f"pmod({k}, {size}) IN (0, {size - 1})" for k in "rc"))
+    moves = [(0, 1), (1, 0)] + ([(1, -1), (1, 1)] if corners else [])
+    beside = edge.select("class", F.col("region").alias("a"), F.inline(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i, j in moves])))
+    links = beside.join(edge.withColumnRenamed("region", "b"), ["r", "c", "class"]).where("a <> b").select("a", "b")
     roots = components(links)
-    named = cells.where("class IS NOT NULL").select("r", "c", here.alias("id"), "class").join(roots, F.col("id") == F.col("node"), "left")
-    return named.select("r", "c", "class", F.coalesce("root", "id").alias("region"))
+    return parts.join(roots, F.col("region") == F.col("node"), "left").select("r", "c", "class", F.coalesce("root", "region").alias("region"))
 
 
 def regions(cells: DataFrame, width: int, corners: bool = True) -> DataFrame:

@@ -1,8 +1,11 @@
 """Steps that have to stay within their limits on large tables, seen on small ones."""
 
+import numpy as np
 import pytest
 
 from holloway import catalog
+from holloway.operators import vector
+from holloway.operators.components import components
 
 
 def plan(df):
@@ -13,3 +16,24 @@ def plan(df):
 def test_cells_of_zones_are_not_broadcast(spark, sf, name):
     found = plan(catalog.QUERIES[name](spark, sf))
     assert "SortMergeJoin" in found and "Broadcast" not in found
+
+
+@pytest.mark.parametrize("corners", [True, False])
+def test_only_cells_along_block_borders_link_areas(spark, monkeypatch, corners):
+    rng, seen = np.random.default_rng(8), []
+    kind = {(r, c): int(k) for (r, c), k in np.ndenumerate(rng.integers(0, 3, (21, 18)))}
+    cells = spark.createDataFrame([(r, c, k or None) for (r, c), k in kind.items()], "r long, c long, class int")
+    monkeypatch.setattr(vector, "REGION_BLOCK", 5, raising=False)
+    monkeypatch.setattr(vector, "components", lambda links: seen.append(links.count()) or components(links))
+    got = {(x.r, x.c): x.region for x in vector.labelled_regions(cells, 18, corners).collect()}
+    want = {}
+    for start in sorted(k for k in kind if kind[k]):
+        todo = [] if start in want else [start]
+        while todo:
+            r, c = here = todo.pop()
+            if here not in want:
+                want[here] = start[0] * 18 + start[1]
+                near = [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (corners or not i * j)]
+                todo += [n for n in near if kind.get(n) == kind[here]]
+    ways = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if corners else [])
+    assert got == want and seen[0] < sum(kind.get((r + i, c + j)) == k > 0 for (r, c), k in kind.items() for i, j in ways) / 2
