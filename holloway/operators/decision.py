@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,14 +36,24 @@ def clean_pairs(pairs: DataFrame, keys: list[str], by: str | None = None) -> Dat
 
 
 def pair_weights(pairs: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """(by, criterion, weight, lambda_max, consistency): the weights of each judge's pair ratios (by, a, b, ratio); a task holds one judge's matrix."""
+    """(by, criterion, weight, lambda_max, consistency): the weights of each judge's pair ratios (by, a, b, ratio); a task solves a batch of judges at once."""
     kind = pairs.schema[by].dataType.simpleString()
+    rank = F.create_map(*[F.lit(x) for kv in enumerate(keys) for x in reversed(kv)])
+    listed = F.array_sort(F.collect_list(F.struct(rank[F.col("a")].alias("i"), rank[F.col("b")].alias("j"), "ratio")))  # one row a pair of criteria
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        w, top, ratio = weights(matrix(keys, {(r.a, r.b): r.ratio for r in part.itertuples()}))
-        return pd.DataFrame({by: part[by].iloc[0], "criterion": keys, "weight": w, "lambda_max": top, "consistency": ratio})
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        i, j = np.triu_indices(len(keys), 1)
+        for t in batches:
+            if len(t):
+                m = np.ones((len(t), len(keys), len(keys)))
+                m[:, i, j] = np.stack(t["ratios"])
+                m[:, j, i] = 1 / m[:, i, j]
+                w, top, ratio = stacked_weights(m)
+                each = lambda v: np.repeat(v, len(keys))
+                yield pd.DataFrame({by: each(t[by]), "criterion": np.tile(keys, len(t)), "weight": w.ravel(), "lambda_max": each(top), "consistency": each(ratio)})
 
-    return clean_pairs(pairs, keys, by).groupBy(by).applyInPandas(solve, f"{by} {kind}, criterion string, weight double, lambda_max double, consistency double")
+    rows = clean_pairs(pairs, keys, by).groupBy(by).agg(F.transform(listed, lambda x: x["ratio"]).alias("ratios"))
+    return rows.mapInPandas(solve, f"{by} {kind}, criterion string, weight double, lambda_max double, consistency double")
 
 
 def hierarchy_weights(outer: DataFrame, inner: DataFrame, by: str) -> DataFrame:
@@ -63,15 +74,20 @@ def matrix(keys: list[str], ratios: dict[tuple[str, str], float]) -> np.ndarray:
 
 def weights(m: np.ndarray) -> tuple[np.ndarray, float, float]:
     """Weights (principal eigenvector), largest eigenvalue and consistency ratio; the ratio is nan beyond 15 criteria."""
-    n = len(m)
-    if n == 0:
+    if len(m) == 0:
         return np.empty(0), 0.0, 0.0
+    w, top, ratio = stacked_weights(m[None])
+    return w[0], float(top[0]), float(ratio[0])
+
+
+def stacked_weights(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As weights(), of many matrices of one size."""
+    n, at = m.shape[1], np.arange(len(m))
     values, vectors = np.linalg.eig(m)
-    k = int(np.argmax(values.real))
-    w = np.abs(vectors[:, k].real)
-    top = float(values[k].real)
-    ratio = 0.0 if n <= 2 else math.nan if n > len(RANDOM_INDEX) else (top - n) / (n - 1) / RANDOM_INDEX[n - 1]
-    return w / w.sum(), top, ratio
+    k = values.real.argmax(axis=1)
+    w, top = np.abs(vectors[at, :, k].real), values.real[at, k]
+    ratio = np.zeros(len(m)) if n <= 2 else np.full(len(m), math.nan) if n > len(RANDOM_INDEX) else (top - n) / (n - 1) / RANDOM_INDEX[n - 1]
+    return w / w.sum(axis=1, keepdims=True), top, ratio
 
 
 def hierarchy(groups: dict[str, list[str]], group_ratios: dict, local_ratios: dict) -> dict[str, float]:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holloway import catalog
-from holloway.operators import graph, vector
+from holloway.operators import decision, graph, vector
 from holloway.operators.components import components
 from holloway.plans import views
 
@@ -69,3 +69,16 @@ def test_views_from_one_place_are_taken_once(spark, sf, tmp_path, monkeypatch):
     own.unionByName(own.withColumn("s_suppkey", F.col("s_suppkey") + 149 * 97)).write.parquet(f"{tmp_path}/supplier.parquet")
     two = {r.zone: r.cells for r in whole(spark, str(tmp_path)).collect()}
     assert one and two == {k: 2 * n for k, n in one.items()} and taken[0] == taken[1]
+
+
+def test_judges_are_solved_in_batches(spark, monkeypatch):
+    pairs = spark.createDataFrame([(j, "a", "b", 1.0 + j % 5) for j in range(40)] + [(j, "c", "b", 0.5 + j % 3) for j in range(0, 40, 2)], "judge long, a string, b string, ratio double")
+    got = decision.pair_weights(pairs, ["a", "b", "c"], "judge")
+    assert "FlatMapGroupsInPandas" not in plan(got)  # not one call a judge
+    rows = {(r.judge, r.criterion): r for r in got.collect()}
+    assert len(rows) == 120
+    for j in range(40):
+        w, top, ratio = decision.weights(decision.matrix(["a", "b", "c"], {("a", "b"): 1.0 + j % 5} | ({("c", "b"): 0.5 + j % 3} if j % 2 == 0 else {})))
+        for k, c in enumerate("abc"):
+            r = rows[j, c]
+            assert (r.weight, r.lambda_max, r.consistency) == pytest.approx((w[k], top, ratio), abs=1e-12)
