@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import stored
 from .chains import ranked
 from .raster import marching_squares
 
@@ -49,7 +50,7 @@ def sides(areas: DataFrame, corners: bool = True) -> DataFrame:
 
 def outlines(areas: DataFrame, corners: bool = True) -> DataFrame:
     """(region, ring, at, x, y, turn, dx, dy) of cells (r, c, region): the ends of all sides of each ring in order, and the way that each side goes. Points where ``turn`` is false lie on a straight line."""
-    found = sides(areas, corners).withColumn("block", F.struct(F.floor(F.col("r") / BLOCK).alias("r"), F.floor(F.col("c") / BLOCK).alias("c")))
+    found = stored(sides(areas, corners)).withColumn("block", F.struct(F.floor(F.col("r") / BLOCK).alias("r"), F.floor(F.col("c") / BLOCK).alias("c")))
     order = ranked(found.select("node", "next", "block")).select("node", F.col("chain").alias("ring"), "at")
     step = lambda *by_side: F.element_at(F.array(*map(F.lit, by_side)), F.col("side") + 1)
     return found.join(order, "node").select("region", "ring", "at", "x", "y", "turn", step(1, 0, -1, 0).alias("dx"), step(0, 1, 0, -1).alias("dy"))
