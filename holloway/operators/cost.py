@@ -2,14 +2,14 @@
 
 A raster is cut into tiles; a row of the tile table holds one tile with a rim of one cell, packed. Each round searches only the tiles that
 were told of a lower cost, and sends the border cells that got cheaper to the tiles that have them in their rims, until none did.
-A task holds one tile. ``job`` tells searches apart that run side by side, each in cells of its own.
+A task holds one tile; narrow rasters have high ones, as a front goes on by one tile a round. A search that needs no cost over some limit
+(``Movement.most``, or what its targets cost) does not go beyond it. ``job`` tells searches apart that run side by side, each in cells of its own.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ from ..lineage import cut
 
 #: Bytes of messages that may be broadcast, and rounds between cuts of the tile table.
 BROADCAST, KEPT_ROUNDS = 32 << 20, 8
+#: Tiles' usual width, the cells of a tile that fitted() makes (about 400 MB in a task that searches it), and rows between changes that are still searched together.
+WIDTH, CELLS, APART = 512, 1 << 21, 32
 _MOVES = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
 TILE = "job long, tr long, tc long, r0 long, c0 long, h int, w int, z binary, f binary, g binary"
 MESSAGE = "array<struct<tr: long, tc: long, r: long, c: long, cost: double>>"
@@ -28,19 +30,36 @@ MESSAGE = "array<struct<tr: long, tc: long, r: long, c: long, cost: double>>"
 
 @dataclass(frozen=True)
 class Movement:
-    """How a step costs: cell size, model, ``time`` (seconds) or ``energy`` (joules), from the starts or to them, and the tiles' width."""
+    """How a step costs: cell size, model, ``time`` (seconds) or ``energy`` (joules), from the starts or to them, the tiles' width, their
+    height if it is another, and the limit beyond which costs are of no interest."""
 
     cell: float
     model: str = "tobler"
     mode: str = "time"
     reverse: bool = False
-    tile: int = 512
+    tile: int = WIDTH
     params: dict = field(default_factory=dict)
+    down: int = 0
+    most: float = math.inf
+
+    @property
+    def rows(self) -> int:
+        return self.down or self.tile
+
+    def tiles(self, r: Column, c: Column) -> dict[str, Column]:
+        """The tile of a cell."""
+        return {"tr": F.floor(r / self.rows), "tc": F.floor(c / self.tile)}
 
     def steps(self, length: float, climb: np.ndarray) -> np.ndarray:
         return step_costs(self.model, length, -climb if self.reverse else climb, self.mode, **self.params)
 
 
+def fitted(cells: DataFrame, move: Movement) -> Movement:
+    """``move`` with tiles of up to CELLS cells: the narrower the raster, the higher."""
+    low, high = cells.agg(F.min("c"), F.max("c")).first()
+    return move if low is None else replace(move, down=max(move.tile, CELLS // min(move.tile, int(high) - int(low) + 1)))
+
+
 def step_costs(model: str, h: float, dz: np.ndarray, mode: str = "time", **p) -> np.ndarray:
     """``functions.movement.step_cost`` for an array of climbs over one length."""
     s = dz / h
@@ -77,49 +96,63 @@ class _Tile:
     def __init__(self, row, move: Movement):
         self.row, self.move, self.shape = row, move, (int(row["h"]), int(row["w"]))
         self.r0, self.c0 = int(row["r0"]), int(row["c0"])
-        self.z, self.f = (np.frombuffer(row[k], np.float64).reshape(self.shape) for k in "zf")
+        self.z = np.frombuffer(row["z"], np.float64).reshape(self.shape)
+        self.f = np.frombuffer(row["f"], np.float64).reshape(self.shape) if row["f"] else None
         self.g = np.frombuffer(row["g"], np.float64).copy()
 
     def own(self) -> np.ndarray:
         """Which cells are this tile's own and not its rim's."""
-        t = self.move.tile
         r, c = (np.arange(n) + o for n, o in zip(self.shape, (self.r0, self.c0), strict=True))
-        return ((r // t == self.row["tr"])[:, None] & (c // t == self.row["tc"])[None, :]).ravel()
+        return ((r // self.move.rows == self.row["tr"])[:, None] & (c // self.move.tile == self.row["tc"])[None, :]).ravel()
+
+    def edge(self) -> np.ndarray:
+        """Which cells may lie in another tile's rim."""
+        r, c = (np.arange(n) + o for n, o in zip(self.shape, (self.r0, self.c0), strict=True))
+        return (np.isin(r % self.move.rows, (0, self.move.rows - 1))[:, None] | np.isin(c % self.move.tile, (0, self.move.tile - 1))[None, :]).ravel()
 
-    def steps(self) -> list[tuple[int, list[float]]]:
-        """(distance in the flat array, costs from each cell) of the eight moves; infinity where there is no way."""
+    def steps(self) -> list[tuple[int, int, np.ndarray]]:
+        """(rows, columns, costs to each cell) of the eight moves; infinity where there is no way."""
         h, w = self.shape
         out = []
         for i, j in _MOVES:
             a = (slice(max(0, -i), h - max(0, i)), slice(max(0, -j), w - max(0, j)))
             b = (slice(max(0, i), h + min(0, i)), slice(max(0, j), w + min(0, j)))
             cost = np.full(self.shape, np.inf)
-            cost[a] = self.move.steps(self.move.cell * math.hypot(i, j), self.z[b] - self.z[a]) * (self.f[a] + self.f[b]) / 2
+            cost[b] = self.move.steps(self.move.cell * math.hypot(i, j), self.z[b] - self.z[a])
+            if self.f is not None:
+                cost[b] = cost[b] * (self.f[a] + self.f[b]) / 2
             cost[np.isnan(cost)] = np.inf
-            out.append((i * w + j, cost.ravel().tolist()))
+            out.append((i, j, cost))
         return out
 
     def search(self, known: list[tuple[int, float]]) -> np.ndarray:
-        """Lower the costs from what is known of some cells on; returns which cells got cheaper."""
-        before, solid = self.g.copy(), ~np.isnan(self.z).ravel()
-        g = self.g.tolist()
-        heap = []
+        """Lower the costs from what is known of some cells on; returns which cells got cheaper. Costs over the limit stay unknown.
+
+        All cells of the rows round the last changes are lowered at once, until none changes.
+        """
+        (h, w), solid, before, most = self.shape, ~np.isnan(self.z).ravel(), self.g, self.move.most
+        g = np.full((h + 2, w + 2), np.inf)
+        inner = g[1:-1, 1:-1]
+        inner[:] = before.reshape(self.shape)
+        rows = set()
         for p, cost in known:
-            if solid[p] and cost < g[p]:
-                g[p] = cost
-                heap.append((cost, p))
-        heapq.heapify(heap)
-        steps = self.steps() if heap else []
-        while heap:
-            d, p = heapq.heappop(heap)
-            if d > g[p]:
-                continue
-            for q, cost in steps:
-                new = d + cost[p]
-                if new < g[p + q] if cost[p] < math.inf else False:
-                    g[p + q] = new
-                    heapq.heappush(heap, (new, p + q))
-        self.g = np.array(g)
+            if solid[p] and cost < inner[divmod(p, w)] and cost <= most:
+                inner[divmod(p, w)] = cost
+                rows.add(p // w)
+        changed, steps = np.array(sorted(rows), np.int64), self.steps() if rows else []
+        while len(changed):
+            found = []
+            for run in np.split(changed, np.flatnonzero(np.diff(changed) > APART) + 1):
+                lo, hi = max(0, run[0] - 1), min(h, run[-1] + 2)
+                new = inner[lo:hi].copy()
+                for i, j, cost in steps:
+                    np.minimum(new, g[lo + 1 - i:hi + 1 - i, 1 - j:w + 1 - j] + cost[lo:hi], out=new)
+                if most < math.inf:
+                    new[new > most] = np.inf
+                found.append(lo + np.flatnonzero((new < inner[lo:hi]).any(axis=1)))
+                inner[lo:hi] = new
+            changed = np.concatenate(found)
+        self.g = inner.ravel()
         return self.g < before
 
     def place(self, r: int, c: int) -> int:
@@ -134,18 +167,23 @@ def _pack(move: Movement):
         r, c = part["r"].to_numpy(), part["c"].to_numpy()
         r0, c0 = int(r.min()), int(c.min())
         z = np.full((int(r.max()) - r0 + 1, int(c.max()) - c0 + 1), np.nan)
-        f, g = np.ones(z.shape), np.full(z.shape, np.inf)
-        z[r - r0, c - c0], f[r - r0, c - c0] = part["z"], part["friction"]
+        g = np.full(z.shape, np.inf)
+        z[r - r0, c - c0] = part["z"]
+        rate = b""
+        if (part["friction"] != 1).any():
+            f = np.ones(z.shape)
+            f[r - r0, c - c0] = part["friction"]
+            rate = f.tobytes()
         first = part.iloc[0]
-        return pd.DataFrame([{"job": first["job"], "tr": first["tr"], "tc": first["tc"], "r0": r0, "c0": c0, "h": z.shape[0], "w": z.shape[1], "z": z.tobytes(), "f": f.tobytes(), "g": g.tobytes()}])
+        return pd.DataFrame([{"job": first["job"], "tr": first["tr"], "tc": first["tc"], "r0": r0, "c0": c0, "h": z.shape[0], "w": z.shape[1], "z": z.tobytes(), "f": rate, "g": g.tobytes()}])
 
     return run
 
 
-def _near_tiles(tile: int) -> list[Column]:
+def _near_tiles(move: Movement) -> list[Column]:
     """The tiles that have a cell (r, c), in their rims too."""
-    side = lambda k: F.array_distinct(F.array(*[F.floor((F.col(k) + i) / tile) for i in (-1, 0, 1)]))
-    return [F.explode(side("r")).alias("tr"), F.explode(side("c")).alias("tc")]
+    side = lambda k, size: F.array_distinct(F.array(*[F.floor((F.col(k) + i) / size) for i in (-1, 0, 1)]))
+    return [F.explode(side("r", move.rows)).alias("tr"), F.explode(side("c", move.tile)).alias("tc")]
 
 
 def tiles_of(cells: DataFrame, move: Movement) -> DataFrame:
@@ -153,7 +191,7 @@ def tiles_of(cells: DataFrame, move: Movement) -> DataFrame:
     job = F.col("job") if "job" in cells.columns else F.lit(0)
     rate = F.col("friction") if "friction" in cells.columns else F.lit(1.0)
     rows = cells.select(job.cast("long").alias("job"), *[F.col(k).cast("long").alias(k) for k in "rc"], F.col("z").cast("double").alias("z"), rate.cast("double").alias("friction"))
-    down, across = _near_tiles(move.tile)
+    down, across = _near_tiles(move)
     return cut(rows.select("*", down).select("*", across).groupBy("job", "tr", "tc").applyInPandas(_pack(move), TILE))
 
 
@@ -164,19 +202,23 @@ def _searched(move: Movement):
         known = [(m["r"], m["c"], m["cost"]) for m in row["told"] if 0 <= m["r"] - t.r0 < t.shape[0] and 0 <= m["c"] - t.c0 < t.shape[1]]
         cheaper = t.search([(t.place(r, c), cost) for r, c, cost in known]) & t.own()
         out = []
-        for p in np.flatnonzero(cheaper):
+        for p in np.flatnonzero(cheaper & t.edge()):
             r, c = t.r0 + int(p) // t.shape[1], t.c0 + int(p) % t.shape[1]
-            near = {((r + i) // move.tile, (c + j) // move.tile) for i, j in _MOVES} - {(row["tr"], row["tc"])}
+            near = {((r + i) // move.rows, (c + j) // move.tile) for i, j in _MOVES} - {(row["tr"], row["tc"])}
             out += [{"tr": a, "tc": b, "r": r, "c": c, "cost": float(t.g[p])} for a, b in near]
         return pd.DataFrame([{**t.packed(), "out": out}])
 
     return run
 
 
-def spread(tiles: DataFrame, starts: DataFrame, move: Movement) -> DataFrame:
-    """``tiles`` with the least costs from the starts (r, c, and job if there are several searches)."""
+def spread(tiles: DataFrame, starts: DataFrame, move: Movement, targets: DataFrame | None = None) -> DataFrame:
+    """``tiles`` with the least costs from the starts (r, c, and job if there are several searches).
+
+    With ``targets`` (r, c; one search only) costs are right at these and wherever they are lower: once all are reached, nothing is sent on that costs more than the dearest.
+    """
     at = starts.select((F.col("job") if "job" in starts.columns else F.lit(0)).cast("long").alias("job"), *[F.col(k).cast("long").alias(k) for k in "rc"]).distinct()
-    told = cut(at.select("job", F.floor(F.col("r") / move.tile).alias("tr"), F.floor(F.col("c") / move.tile).alias("tc"), "r", "c", F.lit(0.0).alias("cost")))
+    told = cut(at.withColumns(move.tiles(F.col("r"), F.col("c"))).select("job", "tr", "tc", "r", "c", F.lit(0.0).alias("cost")))
+    goals = None if targets is None else cut(targets.select(F.lit(0).cast("long").alias("job"), *[F.col(k).cast("long").alias(k) for k in "rc"]).distinct())
     keys, names = ["job", "tr", "tc"], [f.split()[0] for f in TILE.split(", ")]
     n = 0
     while (size := told.count()):
@@ -187,7 +229,11 @@ def spread(tiles: DataFrame, starts: DataFrame, move: Movement) -> DataFrame:
         tiles = tiles.join(F.broadcast(here) if size * 48 < BROADCAST else here, keys, "left_anti").unionByName(done.select(*names))
         n += 1
         tiles = cut(tiles) if n % KEPT_ROUNDS == 0 else tiles
-        told = cut(done.select("job", F.inline("out")))
+        told = done.select("job", F.inline("out"))
+        if goals is not None:
+            dearest = costs_at(tiles, goals, move).agg(F.max("cost")).first()[0]
+            told = told if dearest is None else told.where(F.col("cost") <= dearest)
+        told = cut(told)
     return tiles
 
 
@@ -202,21 +248,22 @@ def costs(tiles: DataFrame, move: Movement) -> DataFrame:
 
 
 def costs_at(tiles: DataFrame, places: DataFrame, move: Movement) -> DataFrame:
-    """(job, r, c, cost) at some places (job, r, c) only; those without a tile are left out."""
+    """(job, r, c, cost) at some places (job, r, c) only; those without data are left out."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         t = _Tile(part.iloc[0], move)
         at = [(m["r"], m["c"]) for m in part.iloc[0]["asked"]]
         inside = [(r, c) for r, c in at if 0 <= r - t.r0 < t.shape[0] and 0 <= c - t.c0 < t.shape[1]]
-        return pd.DataFrame([(part.iloc[0]["job"], r, c, t.g[t.place(r, c)]) for r, c in inside], columns=["job", "r", "c", "cost"])
+        return pd.DataFrame([(part.iloc[0]["job"], r, c, t.g[t.place(r, c)]) for r, c in inside if not math.isnan(t.z[r - t.r0, c - t.c0])], columns=["job", "r", "c", "cost"])
 
-    asked = places.withColumns({"tr": F.floor(F.col("r") / move.tile), "tc": F.floor(F.col("c") / move.tile)}).groupBy("job", "tr", "tc").agg(F.collect_list(F.struct("r", "c")).alias("asked"))
+    asked = places.withColumns(move.tiles(F.col("r"), F.col("c"))).groupBy("job", "tr", "tc").agg(F.collect_list(F.struct("r", "c")).alias("asked"))
     return tiles.join(asked, ["job", "tr", "tc"]).groupBy("job", "tr", "tc").applyInPandas(run, "job long, r long, c long, cost double")
 
 
-def accumulated_cost(cells: DataFrame, starts: DataFrame, cell: float, model: str = "tobler", mode: str = "time", reverse: bool = False, tile: int = 512, **params) -> DataFrame:
-    """(r, c, cost): the least cost from the starts (r, c) to each cell with data, infinity if there is no way;
-    ``reverse``: from each cell to the starts. ``cells`` may have a friction column."""
-    move = Movement(cell, model, mode, reverse, tile, params)
+def accumulated_cost(cells: DataFrame, starts: DataFrame, cell: float, model: str = "tobler", mode: str = "time", reverse: bool = False, tile: int = 0, most: float = math.inf, **params) -> DataFrame:
+    """(r, c, cost): the least cost from the starts (r, c) to each cell with data, infinity if there is no way or it costs more than ``most``;
+    ``reverse``: from each cell to the starts. ``cells`` may have a friction column. Without ``tile`` tiles are fitted to the raster."""
+    move = Movement(cell, model, mode, reverse, tile or WIDTH, params, most=most)
+    move = move if tile else fitted(cells, move)
     return costs(spread(tiles_of(cells, move), starts, move), move).select("r", "c", "cost")
 
 
@@ -224,8 +271,8 @@ def _traced(move: Movement):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         row = part.iloc[0]
         t = _Tile(row, move)
-        back = [(q, cost) for q, cost in t.steps()]
-        g, own, out = t.g.tolist(), t.own(), []
+        back = [(i * t.shape[1] + j, cost.ravel()) for i, j, cost in t.steps()]
+        g, own, out = t.g, t.own(), []
         for m in row["told"]:
             if not (0 <= m["r"] - t.r0 < t.shape[0] and 0 <= m["c"] - t.c0 < t.shape[1]):
                 continue
@@ -234,7 +281,7 @@ def _traced(move: Movement):
                 out.append((row["job"], m["path"], t.r0 + p // t.shape[1], t.c0 + p % t.shape[1], g[p], False))
                 if not g[p]:
                     break
-                p = min((g[p - q] + cost[p - q], p - q) for q, cost in back if 0 <= p - q < len(g) and g[p - q] < g[p])[1]
+                p = min((g[p - q] + cost[p], p - q) for q, cost in back if 0 <= p - q < len(g) and g[p - q] < g[p])[1]
             else:
                 if g[p] < math.inf:
                     out.append((row["job"], m["path"], t.r0 + p // t.shape[1], t.c0 + p % t.shape[1], g[p], True))
@@ -253,7 +300,7 @@ def paths(tiles: DataFrame, targets: DataFrame, move: Movement) -> DataFrame:
     told = cut(told)
     keys, out = ["job", "tr", "tc"], None
     while (size := told.count()):
-        at = told.select("*", F.floor(F.col("r") / move.tile).alias("tr"), F.floor(F.col("c") / move.tile).alias("tc"))
+        at = told.withColumns(move.tiles(F.col("r"), F.col("c")))
         grouped = at.groupBy(*keys).agg(F.collect_list(F.struct("path", "r", "c")).alias("told"))
         grouped = F.broadcast(grouped) if size * 48 < BROADCAST else grouped
         done = cut(tiles.join(grouped, keys).groupBy(*keys).applyInPandas(_traced(move), "job long, path long, r long, c long, cost double, left boolean"))
@@ -270,3 +317,14 @@ def corridor(there: DataFrame, back: DataFrame, over_pct: float = 5.0) -> DataFr
     both = cut(there.join(back.withColumnRenamed("cost", "rest"), ["r", "c"]).withColumn("total", F.col("cost") + F.col("rest")).where(F.col("total") < math.inf))
     best = both.agg(F.min("total").alias("best"))
     return both.crossJoin(F.broadcast(best)).where(F.col("total") <= F.col("best") * (1 + over_pct / 100) + 1e-9).select("r", "c", "cost", "total")
+
+
+def corridor_between(cells: DataFrame, start: DataFrame, goal: DataFrame, cell: float, over_pct: float = 5.0, model: str = "tobler", mode: str = "time", **params) -> DataFrame:
+    """corridor() from a start to a goal (r, c): both searches end at the most that a cell of it can cost, so the rest of the raster is not searched."""
+    move = fitted(cells, Movement(cell, model, mode, params=params))
+    tiles = tiles_of(cells, move)
+    goals = goal.select(F.lit(0).cast("long").alias("job"), *[F.col(k).cast("long").alias(k) for k in "rc"]).distinct()
+    best = costs_at(spread(tiles, start, move, goal), goals, move).agg(F.min("cost")).first()[0]
+    move = replace(move, most=math.inf if best is None else best * (1 + over_pct / 100) + 1e-6)
+    there, back = (costs(spread(tiles, at, m), m).where(F.col("cost") < math.inf).select("r", "c", "cost") for at, m in ((start, move), (goal, replace(move, reverse=True))))
+    return corridor(there, back, over_pct)
