@@ -199,8 +199,8 @@ def rasterized(polygons: DataFrame, grid: Grid, key: str = "id", touched: bool =
 
 
 def attribute_raster(polygons: DataFrame, grid: Grid, value: str, order: str, touched: bool = True) -> DataFrame:
-    """(r, c, value): of overlapping polygons the one that comes last in ``order`` decides."""
-    marked = polygons.select(F.struct(F.col(order).alias("o"), F.col(value).alias("v")).alias("id"), "ring")
+    """(r, c, value): of overlapping polygons the one that comes last in ``order`` decides; of those with one ring only that one is rasterized."""
+    marked = polygons.groupBy("ring").agg(F.max(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("id"))
     return rasterized(marked, grid, "id", touched).groupBy("r", "c").agg(F.max("id").alias("m")).select("r", "c", F.col("m.v").alias(value))
 
 
