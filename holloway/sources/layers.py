@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classes import compass8
+from ..lineage import dealt
 
 
 def in_box(t: DataFrame, xmin: float, xmax: float, ymin: float, ymax: float) -> DataFrame:
@@ -66,14 +67,17 @@ def beside(lines: DataFrame, points: DataFrame, reach: float) -> DataFrame:
 
     Lines are cut into pieces, and pieces meet points in squares, so no line is compared with all points.
     """
-    size = max(reach * 4, 1e-9)
+    size = max(reach * 2, 1e-9)
     n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / size)).cast("int")
     pieces = lines.where("x1 <> x2 OR y1 <> y2").withColumn("n", n).select("*", F.explode(F.sequence(F.lit(0), "n")).alias("k"))
     mid = pieces.withColumns({"mx": F.col("x1") + (F.col("x2") - F.col("x1")) * F.col("k") / F.col("n"), "my": F.col("y1") + (F.col("y2") - F.col("y1")) * F.col("k") / F.col("n")})
     near = F.array(*[F.struct((F.floor(F.col("mx") / size) + i).alias("bx"), (F.floor(F.col("my") / size) + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     filed = mid.select("id", "x1", "y1", "x2", "y2", F.inline(near)).distinct()
+    # Squares whose middle is farther from the line than its reach and half their diagonal hold none of its points.
+    middle = f"abs(((bx + 0.5) * {size!r}D - x1) * (y2 - y1) - ((by + 0.5) * {size!r}D - y1) * (x2 - x1))"
+    filed = filed.where(f"{middle} <= {reach + 0.7072 * size!r}D * hypot(x2 - x1, y2 - y1) + 1e-6")
     at = points.select(F.col("id").alias("site"), "x", "y", F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by"))
-    both = filed.join(at, ["bx", "by"]).selectExpr("id", "site", "sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS l", "((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS t", "x - x1 AS px", "y - y1 AS py", "x2 - x1 AS dx", "y2 - y1 AS dy")
+    both = dealt(filed, "bx", "by").join(dealt(at, "bx", "by"), ["bx", "by"]).selectExpr("id", "site", "sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS l", "((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS t", "x - x1 AS px", "y - y1 AS py", "x2 - x1 AS dx", "y2 - y1 AS dy")
     off = both.where("t BETWEEN 0 AND 1").selectExpr("id", "site", "t * l AS at_m", "sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy)) AS off_m")
     return off.where(F.col("off_m") <= reach)
 
