@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from holloway import catalog
-from holloway.operators import decision, graph, vector
+from holloway.operators import decision, graph, overlays, vector
 from holloway.operators.components import components
 from holloway.plans import records, views
+from holloway.sources import layers
 from holloway.sources.grid import Grid
 from tests.test_places_of_scale import same_as_sql
 
@@ -101,3 +102,39 @@ def test_suitability_is_reckoned_at_sites_only(spark, tmp_path, monkeypatch):
     rows = same_as_sql(spark, tmp_path, "suitability_check", orders="SELECT k::BIGINT AS o_orderkey, 50000 + k * 7919 % 350000::DOUBLE AS o_totalprice FROM range(14900) t(k)",
                        supplier="SELECT k::BIGINT AS s_suppkey FROM range(1, 40) t(k)", customer="SELECT 41 + 149 * 97 * (k % 4)::BIGINT AS c_custkey FROM range(12) t(k)")
     assert rows[0] and 0 < seen[0] < 9 * 41
+
+
+def test_joins_of_many_pairs_have_tasks_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    at = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 60, (300, 2)))]
+    sites = spark.createDataFrame(at, "id long, x double, y double")
+    pairs = graph.within(sites, 7)
+    assert "REPARTITION_BY_NUM" in plan(pairs)
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted((a, b, (x - u) ** 2 + (y - v) ** 2) for a, x, y in at for b, u, v in at if a < b and (x - u) ** 2 + (y - v) ** 2 <= 49)
+    ends = [(k, *map(float, rng.integers(0, 60, 4))) for k in range(40)]
+    near = layers.beside(spark.createDataFrame(ends, "id long, x1 double, y1 double, x2 double, y2 double"), sites, 3.0)
+    assert "REPARTITION_BY_NUM" in plan(near)
+    want = set()
+    for k, x1, y1, x2, y2 in ends:
+        for s, x, y in at:
+            l2 = (x2 - x1) ** 2 + (y2 - y1) ** 2
+            t = ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / l2 if l2 else -1
+            if 0 <= t <= 1 and ((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2) ** 0.5 <= 3:
+                want.add((k, s))
+    assert sorted((r.id, r.site) for r in near.collect()) == sorted(want) and want
+
+
+def test_buffers_of_convex_rings_need_no_union(spark, monkeypatch):
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    rows = [(1, ring((0, 0), (9, 0), (9, 5), (0, 5))), (2, ring((0, 0), (0, 4), (6, 2))), (3, ring((0, 0), (9, 0), (9, 8), (4, 2), (0, 8)))]
+    t = spark.createDataFrame(rows, "id long, ring array<struct<x:double,y:double>>")
+    seen, real = [], overlays.united
+    monkeypatch.setattr(overlays, "united", lambda p, *a: seen.append({r.key for r in p.collect()}) or real(p, *a))
+    got = {r.key: r for r in overlays.ring_areas(overlays.buffered(t, 2.0)).collect()}
+    assert seen == [{3}] and set(got) == {1, 2, 3}
+    fan = 16 * np.sin(np.pi / 16) * 4  # 32 triangles round all corners together
+    assert got[1].area == pytest.approx(45 + 2 * 28 + fan) and got[1].points == 36
+    assert got[2].points == 27
+    points = sorted((round(r.x, 9), round(r.y, 9)) for r in overlays.buffered(t.where("id = 2"), 2.0).collect())
+    parts = overlays._pieces(t.where("id = 2"), 2.0)
+    assert points == sorted((round(r.x, 9), round(r.y, 9)) for r in real(parts).collect())
