@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.movement import JOULES_PER_KCAL, SECONDS_PER_MINUTE, step_cost
 from ..lineage import cut
-from .cost import Movement, costs_at, spread, tiles_of
+from .cost import Movement, _Tile, costs_at, spread, tiles_of
 from .graph import nearest, spanning_tree, undirected, within
 from .surfaces import in_sight, sight_lines
 
 #: Width of the squares, in cells, by which cells and boxes meet.
 SQUARE = 64
+#: Cells along a side of the boxes that are searched whole in a task, and boxes of one square that share a copy of its cells.
+NEAR, TOGETHER = 256, 64
 
 
 def straight_cost(pairs: DataFrame, cells: DataFrame, cell: float, step: float, model: str = "tobler", least: int = 1, **params) -> DataFrame:
@@ -35,28 +39,73 @@ def ring_visibility(observers: DataFrame, cells: DataFrame, cell: float, radius:
     return in_sight(sight_lines(ring, cells, cell, cell, 10, 10), height, target)
 
 
+BOX = ["r", "c", "r0", "r1", "c0", "c1"]
+
+
+def _inside(boxes: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, r, c, z) of the cells in each box (keys, r0, r1, c0, c1); they meet on squares."""
+    span = lambda k: F.explode(F.sequence(F.floor(F.col(f"{k}0") / SQUARE), F.floor(F.col(f"{k}1") / SQUARE)))
+    filed = boxes.select(*keys, "r0", "r1", "c0", "c1", span("r").alias("qr")).select("*", span("c").alias("qc"))
+    squares = cells.select("r", "c", "z", F.floor(F.col("r") / SQUARE).alias("qr"), F.floor(F.col("c") / SQUARE).alias("qc"))
+    return filed.join(squares, ["qr", "qc"]).where("r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1").select(*keys, "r", "c", "z")
+
+
+def _box_searches(moves: list[Movement]):
+    """Kernel: the costs both ways between the place of each box (BOX, goals) of a group and its goals, over the cells (r, c, z) round them all."""
+
+    def run(jobs: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(jobs["r0"].min()), int(jobs["c0"].min())
+        z = np.full((int(jobs["r1"].max()) - r0 + 1, int(jobs["c1"].max()) - c0 + 1), np.nan)
+        z[cells["r"].to_numpy() - r0, cells["c"].to_numpy() - c0] = cells["z"]
+        out = []
+        for job in jobs.itertuples():
+            own = z[job.r0 - r0:job.r1 - r0 + 1, job.c0 - c0:job.c1 - c0 + 1]
+            row = {"r0": job.r0, "c0": job.c0, "h": own.shape[0], "w": own.shape[1], "z": own.tobytes(), "f": b"", "g": np.full(own.shape, np.inf).tobytes()}
+            ways = [_Tile(row, move) for move in moves]
+            for t in ways:
+                t.search([(t.place(job.r, job.c), 0.0)])
+            out += [(*(getattr(job, k) for k in BOX), g["r"], g["c"], *(float(t.g[t.place(g["r"], g["c"])]) for t in ways)) for g in job.goals]
+        return pd.DataFrame(out, columns=[*BOX, "rb", "cb", "forth", "back"])
+
+    return run
+
+
+def _near_costs(pairs: DataFrame, boxes: DataFrame, cells: DataFrame, moves: list[Movement]) -> DataFrame:
+    """(a, b, forth, back) of the pairs whose boxes (job, BOX) have at most NEAR cells a side: sites with one place and box share a search, and boxes of one square share its cells."""
+    own = pairs.join(boxes.withColumnRenamed("job", "a"), "a").select("a", "b", "rb", "cb", *BOX)
+    jobs = own.groupBy(*BOX).agg(F.collect_set(F.struct(F.col("rb").alias("r"), F.col("cb").alias("c"))).alias("goals"))
+    jobs = cut(jobs.withColumns({"sr": F.floor(F.col("r") / SQUARE), "sc": F.floor(F.col("c") / SQUARE)}))
+    parts = jobs.groupBy("sr", "sc").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("n"))
+    keys = ["sr", "sc", "part"]
+    jobs = cut(jobs.join(parts, ["sr", "sc"]).withColumn("part", F.pmod(F.xxhash64(*BOX), F.col("n"))).drop("n"))
+    own_keys = ["gr", "gc", "gpart"]  # names of their own, as both sides come from one table
+    groups = jobs.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, own_keys, strict=True)]).agg(*[f(k).alias(k) for k, f in (("r0", F.min), ("r1", F.max), ("c0", F.min), ("c1", F.max))])
+    found = jobs.groupBy(*keys).cogroup(_inside(groups, cells, own_keys).groupBy(*own_keys)).applyInPandas(_box_searches(moves), ", ".join(f"{k} long" for k in (*BOX, "rb", "cb")) + ", forth double, back double")
+    return own.join(cut(found), [*BOX, "rb", "cb"]).select("a", "b", "forth", "back")
+
+
 def pair_costs(pairs: DataFrame, cells: DataFrame, cell: float, margin: int, model: str = "tobler", mode: str = "time", tile: int = 512, **params) -> DataFrame:
     """(a, b, forth, back): the least costs both ways between the ends of each pair (a, b, ra, ca, rb, cb), on ways that stay inside the box round ``a``
     and all its partners and ``margin`` cells; infinity if there is no way.
 
-    Cells reach the sites by an equi-join on squares. Each first site is one search of its own for all its partners, in tiles of its box, and sites run side by side.
+    Boxes of up to NEAR cells a side are searched in one task each, once for all sites of one place and box. A larger one is a search of its own, in tiles of the box.
     """
     pairs = cut(pairs.select(*[F.col(k).cast("long").alias(k) for k in ("a", "b", "ra", "ca", "rb", "cb")]))
-    ends = [f(g(f"{k}a", f"{k}b")).alias(f"{k}{n}") for k in "rc" for n, f, g in ((0, F.min, F.least), (1, F.max, F.greatest))]
+    ends = [(f(g(f"{k}a", f"{k}b")) + side * margin).alias(f"{k}{n}") for k in "rc" for n, f, g, side in ((0, F.min, F.least, -1), (1, F.max, F.greatest, 1))]
     boxes = cut(pairs.groupBy(F.col("a").alias("job")).agg(F.first("ra").alias("r"), F.first("ca").alias("c"), *ends))
-    low, high = (lambda k: F.col(f"{k}0") - margin), (lambda k: F.col(f"{k}1") + margin)
-    span = lambda k: F.explode(F.sequence(F.floor(low(k) / SQUARE), F.floor(high(k) / SQUARE)))
-    filed = boxes.drop("r", "c").select("*", span("r").alias("sr")).select("*", span("c").alias("sc"))
-    squares = cells.select("r", "c", "z", F.floor(F.col("r") / SQUARE).alias("sr"), F.floor(F.col("c") / SQUARE).alias("sc"))
-    inside = filed.join(squares, ["sr", "sc"]).where(F.col("r").between(low("r"), high("r")) & F.col("c").between(low("c"), high("c"))).select("job", "r", "c", "z")
-    tiles, out = None, pairs
-    for name, reverse in (("forth", False), ("back", True)):
-        move = Movement(cell, model, mode, reverse, tile, params)
-        tiles = tiles_of(inside, move) if tiles is None else tiles
-        done = spread(tiles, boxes.select("job", "r", "c"), move)
-        found = costs_at(done, pairs.select(F.col("a").alias("job"), F.col("rb").alias("r"), F.col("cb").alias("c")).distinct(), move)
+    cells = cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "z")
+    moves = [Movement(cell, model, mode, reverse, tile, params) for reverse in (False, True)]
+    small = (F.col("r1") - F.col("r0") < NEAR) & (F.col("c1") - F.col("c0") < NEAR)
+    near, far = _near_costs(pairs, boxes.where(small), cells, moves), cut(boxes.where(~small))
+    if far.isEmpty():
+        return near
+    out = pairs.join(far.select(F.col("job").alias("a")), "a", "left_semi")
+    tiles = tiles_of(_inside(far, cells, ["job"]), moves[0])
+    asked = out.select(F.col("a").alias("job"), F.col("rb").alias("r"), F.col("cb").alias("c")).distinct()
+    for name, move in zip(("forth", "back"), moves, strict=True):
+        found = costs_at(spread(tiles, far.select("job", "r", "c"), move), asked, move)
         out = cut(out.join(found.select(F.col("job").alias("a"), F.col("r").alias("rb"), F.col("c").alias("cb"), F.col("cost").alias(name)), ["a", "rb", "cb"], "left"))
-    return out.select("a", "b", *[F.coalesce(k, F.lit(math.inf)).alias(k) for k in ("forth", "back")])
+    return near.unionByName(out.select("a", "b", *[F.coalesce(k, F.lit(math.inf)).alias(k) for k in ("forth", "back")]))
 
 
 def symmetric(costs: DataFrame, how: str = "avg") -> DataFrame:

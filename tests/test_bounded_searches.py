@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from holloway.operators import cost
+from holloway.operators import cost, routes
 
 
 def raster(spark, h, w, seed=3):
@@ -77,3 +77,17 @@ def test_a_corridor_searches_only_its_surroundings(spark):
     there, back = (cost.accumulated_cost(cells, at, 10.0, reverse=reverse, tile=8) for at, reverse in ((start, False), (goal, True)))
     want = sorted(map(tuple, cost.corridor(there, back, 20.0).collect()))
     assert sorted(map(tuple, cost.corridor_between(cells, start, goal, 10.0, 20.0).collect())) == want and len(want) > 9
+
+
+def test_sites_of_one_place_and_box_share_a_search(spark, monkeypatch):
+    z, cells = raster(spark, 24, 20)
+    ends = [(1, 2, 5, 5, 9, 12), (1, 3, 5, 5, 4, 4), (4, 5, 5, 5, 9, 12), (4, 6, 5, 5, 4, 4), (7, 8, 20, 3, 2, 19), (9, 2, 8, 2, 9, 12)]
+    pairs = spark.createDataFrame(ends, "a long, b long, ra long, ca long, rb long, cb long")
+    monkeypatch.setattr(routes, "NEAR", 1)  # every box is a search of its own
+    want = sorted(map(tuple, routes.pair_costs(pairs, cells, 10.0, 2).collect()))
+    seen, real = [], routes._inside
+    monkeypatch.setattr(routes, "NEAR", 256)
+    monkeypatch.setattr(routes, "tiles_of", None)  # must not be needed
+    monkeypatch.setattr(routes, "_inside", lambda b, *a: seen.append(b.count()) or real(b, *a))
+    assert sorted(map(tuple, routes.pair_costs(pairs, cells, 10.0, 2).collect())) == want and len(want) == 6
+    assert seen == [1] and any(w[2] < math.inf for w in want)
