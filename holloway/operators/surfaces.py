@@ -105,7 +105,7 @@ def in_sight(lines: DataFrame, observer: float = 1.6, target: float = 0.0) -> Da
 
 def _neighbours(targets: DataFrame, points: DataFrame, k: int) -> DataFrame:
     near = nearest(targets, points, k)
-    return near.join(points.select(F.col("id").alias("b"), F.col("x").alias("px"), F.col("y").alias("py"), "z"), "b")
+    return near.join(points.select(F.col("id").alias("b"), F.col("x").alias("px"), F.col("y").alias("py"), "z").hint("merge"), "b")
 
 
 def _all_pairs(targets: DataFrame, points: DataFrame) -> DataFrame:

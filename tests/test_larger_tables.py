@@ -138,3 +138,22 @@ def test_buffers_of_convex_rings_need_no_union(spark, monkeypatch):
     points = sorted((round(r.x, 9), round(r.y, 9)) for r in overlays.buffered(t.where("id = 2"), 2.0).collect())
     parts = overlays._pieces(t.where("id = 2"), 2.0)
     assert points == sorted((round(r.x, 9), round(r.y, 9)) for r in real(parts).collect())
+
+
+def test_searches_for_nearest_broadcast_no_points(spark, tmp_path, monkeypatch):
+    """Points come from a small file, as their tables do; queries far from all points are not searched."""
+    rng = np.random.default_rng(12)
+    spark.createDataFrame([(k, int(x), int(y)) for k, (x, y) in enumerate(rng.integers(0, 90, (400, 2)))], "id long, x long, y long").coalesce(1).write.parquet(f"{tmp_path}/p")
+    points = spark.read.parquet(f"{tmp_path}/p")
+    queries = points.selectExpr("id", "x", "y * 40 AS y")
+    seen, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda t: seen.append((t.columns, plan(t))) or real(t))
+    monkeypatch.setattr(graph, "DEALT", 100, raising=False)
+    got = sorted(tuple(r) for r in graph.nearest(queries, points, 2, most=9.0).collect())
+    joins = [p for columns, p in seen if columns == ["a", "b", "d2", "n"]]
+    assert joins and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p and "REPARTITION_BY_NUM" in p for p in joins)
+    at, want = [tuple(r) for r in points.collect()], []
+    for a, x, y in [tuple(r) for r in queries.collect()]:
+        near = sorted(((u - x) ** 2 + (v - y) ** 2, b) for b, u, v in at if (u - x) ** 2 + (v - y) ** 2 <= 81)[:2]
+        want += [(a, b, d2) for d2, b in near]
+    assert got == sorted(want) and want
