@@ -157,3 +157,38 @@ def test_searches_for_nearest_broadcast_no_points(spark, tmp_path, monkeypatch):
         near = sorted(((u - x) ** 2 + (v - y) ** 2, b) for b, u, v in at if (u - x) ** 2 + (v - y) ** 2 <= 81)[:2]
         want += [(a, b, d2) for d2, b in near]
     assert got == sorted(want) and want
+
+
+def test_overlays_make_no_row_of_each_pair_of_sides(spark, monkeypatch):
+    """Polygons of a bucket are dealt into parts on both sides, of few polygons and few corners; each pair counts once."""
+    rng = np.random.default_rng(31)
+
+    def table(count):
+        rows = []
+        for k in range(count):
+            n, (x, y) = rng.integers(3, 12), rng.uniform(0, 12, 2)
+            turns = (np.arange(n) + rng.uniform(0, 0.9, n)) * 2 * np.pi / n
+            rows.append((k, [{"x": float(x + r * np.cos(t)), "y": float(y + r * np.sin(t))} for t, r in zip(turns.tolist(), rng.uniform(1, 5, len(turns)).tolist(), strict=True)][:: 1 if k % 2 else -1]))
+        return spark.createDataFrame(rows, "id long, ring array<struct<x:double,y:double>>"), dict(rows)
+
+    (left, p), (right, q) = table(23), table(17)
+    monkeypatch.setattr(vector, "TOGETHER", 4, raising=False)
+    monkeypatch.setattr(vector, "CORNERS", 30, raising=False)
+    found = vector.overlay(left, right)
+    assert "Generate explode(a_sides" not in plan(found) and "FlatMapCoGroupsInArrow" in plan(found)
+    got = {(r.a, r.b): (r.shared, r.outside) for r in found.collect()}
+    assert len(got) == found.count()
+
+    def inside(ring, x, y):
+        odd = np.zeros(x.shape, bool)
+        for s, t in zip(ring, ring[1:] + ring[:1], strict=True):
+            if s["y"] != t["y"]:
+                odd ^= ((s["y"] > y) != (t["y"] > y)) & (x < (t["x"] - s["x"]) * (y - s["y"]) / (t["y"] - s["y"]) + s["x"])
+        return odd
+
+    x, y = np.meshgrid(np.arange(-6, 18, 0.05) + 0.025, np.arange(-6, 18, 0.05) + 0.025)
+    there = [{k: inside(ring, x, y) for k, ring in rings.items()} for rings in (p, q)]
+    for a, m in there[0].items():
+        for b, n in there[1].items():
+            shared, outside = got.get((a, b), (0.0, m.sum() * 0.0025))
+            assert abs(shared - (m & n).sum() * 0.0025) < 0.35 and abs(outside - (m & ~n).sum() * 0.0025) < 0.35
