@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,10 +61,10 @@ def _conolly(h: Column, dz: Column, base_kmh: float = 5.0, ref_deg: float = 1.0,
     return h / max(min_mps, base_kmh / 3.6) * _at_least(1, F.abs(dz) / h / ref)
 
 
-def _wheeled(h: Column, dz: Column, base_kmh: float = 4.0, critical_deg: float = 12.0, max_deg: float = 45.0, min_mps: float = 0.05) -> Column:
+def _wheeled(h: Column, dz: Column, base_kmh: float = 4.0, critical_deg: float = 12.0, max_deg: float = 45.0, min_mps: float = 0.05, square: Callable[[Column], Column] = lambda x: x * x) -> Column:
     s, top = F.abs(dz) / h, max(1.0, min(89.0, max_deg))
     critical = max(1e-9, math.tan(math.radians(max(1.0, critical_deg))))
-    speed = _at_least(min_mps, max(min_mps, base_kmh / 3.6) / (1.0 + F.pow(s / critical, F.lit(2.0))))
+    speed = _at_least(min_mps, max(min_mps, base_kmh / 3.6) / (1.0 + square(s / critical)))
     return F.when(F.degrees(F.atan(s)) > top + 1e-9, F.lit(math.inf)).otherwise(h / speed)
 
 
