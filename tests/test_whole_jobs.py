@@ -1,8 +1,53 @@
 """Whole jobs on small tables: what the review of larger ones found."""
 
+import random
+
+import pytest
+
+from holloway import catalog
+from holloway.operators import overlays
+from tests.test_larger_tables import plan
+from tests.test_overlays import SHAPES, table
 from tests.test_places_of_scale import same_as_sql
 
 
 def test_wheeled_costs_square_as_their_sql(spark, tmp_path):
     # The square of this step's slope lies so near the middle of two numbers that the C library's pow takes the other one: one of 60 million steps.
     same_as_sql(spark, tmp_path, "cost_wheeled", orders="SELECT k::BIGINT AS o_orderkey, v AS o_totalprice FROM (VALUES (0, 362728.99), (1, 1000.0), (100, 490000.0), (101, 212185.09)) t(k, v)")
+
+
+@pytest.mark.parametrize("name", ["overlay_outlines", "difference_outlines"])
+def test_pairs_are_outlined_where_they_meet(spark, sf, name):
+    """No pair of sides, part or point of an outline is a row of a shuffle."""
+    found = plan(catalog.QUERIES[name](spark, sf))
+    assert "FlatMapCoGroupsInArrow" in found and "Window" not in found and "HashAggregate" not in found.split("FlatMapCoGroupsInArrow")[0]
+
+
+@pytest.mark.parametrize("kind", overlays.KINDS)
+def test_measures_equal_the_rings(spark, monkeypatch, kind):
+    left, right = table(spark, list(enumerate(SHAPES))), table(spark, list(enumerate(SHAPES[::-1])))
+    want = {}
+    for r in overlays.ring_areas(overlays.overlay_rings(left, right, kind)).collect():
+        area, rings, points = want.get(tuple(r.key), (0.0, 0, 0))
+        want[tuple(r.key)] = (area + r.area, rings + 1, points + r.points)
+    for together, at_once in ((400, 1 << 18), (2, 7)):
+        monkeypatch.setattr(overlays, "TOGETHER", together)
+        monkeypatch.setattr(overlays, "AT_ONCE", at_once)
+        got = {(r.a, r.b): (r.area, r.rings, r.points) for r in overlays.overlay_measures(left, right, kind).collect()}
+        assert got == want and want
+
+
+def test_unions_cut_polygons_with_those_round_them(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, "ab"[k % 2], [(x + i, y + j) for i, j in ((0, 0), (9, 0), (9, 8), (4.5, 2), (0, 8))]) for k in range(60) for x, y in [(rng.uniform(0, 40), rng.uniform(0, 30))]]
+    rows += [(100, "b", rows[1][2]), (101, "a", [(200, 0), (204, 0), (204, 4)])]
+    found = table(spark, rows, "key string, ")
+    rings = lambda: sorted((r.key, round(r.area, 6), r.points) for r in overlays.ring_areas(overlays.united(found)).collect())
+    monkeypatch.setattr(overlays, "WIDEST", 0)
+    want = rings()
+    monkeypatch.setattr(overlays, "WIDEST", 8)
+    monkeypatch.setattr(overlays, "_cuts", None)  # no pair of sides is a row
+    assert rings() == want
+    monkeypatch.setattr(overlays, "TOGETHER", 3)
+    monkeypatch.setattr(overlays, "AT_ONCE", 50)
+    assert rings() == want
