@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from holloway import catalog
-from holloway.operators import overlays
+from holloway.operators import chains, overlays
 from tests.test_larger_tables import plan
 from tests.test_overlays import SHAPES, table
 from tests.test_places_of_scale import same_as_sql
@@ -51,3 +52,30 @@ def test_unions_cut_polygons_with_those_round_them(spark, monkeypatch):
     monkeypatch.setattr(overlays, "TOGETHER", 3)
     monkeypatch.setattr(overlays, "AT_ONCE", 50)
     assert rings() == want
+
+
+@pytest.mark.parametrize("held,wider", [(500_000, 16), (12, 4), (0, 4)])
+def test_chains_in_wider_blocks(spark, monkeypatch, held, wider):
+    """Lines and rings over a raster of blocks: put together in one task, in wider blocks, or in rounds, they are ranked alike."""
+    rng = np.random.default_rng(4)
+    place, after = {}, {}
+    ways = [[(i, 3) for i in range(30)], [(29 - i, 9 + i % 3) for i in range(30)], [(12, 12), (12, 13), (13, 13), (13, 12)]]
+    ways += [[(a, i) for i in range(a, b)] + [(i, b) for i in range(a, b)] + [(b, i) for i in range(b, a, -1)] + [(i, a) for i in range(b, a, -1)] for a, b in ((0, 29), (7, 20), (14, 16))]
+    ids = iter(rng.permutation(2000))
+    for k, way in enumerate(ways):
+        nodes = [int(next(ids)) for _ in way]
+        place |= dict(zip(nodes, way, strict=True))
+        after |= dict(zip(nodes, nodes[1:] + [nodes[0] if k > 1 else None], strict=True))
+    t = spark.createDataFrame([(n, m, (place[n][0] // 3, place[n][1] // 3)) for n, m in after.items()], "node long, next long, block struct<r:long,c:long>")
+    rows = lambda: sorted(tuple(r) for r in chains.ranked(t).select("node", "chain", "at", "size", "closed").collect())
+    rounds, real = [], chains._doubled
+    monkeypatch.setattr(chains, "_doubled", lambda s: rounds.append(1) or real(s))
+    monkeypatch.setattr(chains, "_put_together", lambda *a: None)
+    want = rows()
+    assert rounds and len(want) == len(after)
+    monkeypatch.undo()
+    monkeypatch.setattr(chains, "HELD", held)
+    monkeypatch.setattr(chains, "WIDER", wider)
+    rounds.clear()
+    monkeypatch.setattr(chains, "_doubled", lambda s: rounds.append(1) or real(s))
+    assert rows() == want and bool(rounds) == (not held)
