@@ -14,7 +14,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..lineage import TASKS, dealt, stored
 from ..sources.grid import Grid
-from .components import components
+from .components import components, joined
 
 #: Cells along a side of the blocks in which areas are found first.
 REGION_BLOCK = 256
@@ -315,19 +315,6 @@ def attribute_raster(polygons: DataFrame, grid: Grid, value: str, order: str, to
     return rasterized(marked, grid, "id", touched).groupBy("r", "c").agg(F.max("id").alias("m")).select("r", "c", F.col("m.v").alias(value))
 
 
-def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of nodes 0 to n - 1 the least one that each reaches by the links a to b."""
-    root = np.arange(n)
-    while len(a):
-        ra, rb = root[a], root[b]
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while not np.array_equal(root, up := root[root]):
-            root = up
-        apart = root[a] != root[b]
-        a, b = a[apart], b[apart]
-    return root
-
-
 def _label_block(width: int, corners: bool):
     """Kernel: the cells (r, c, class) of one block, with the first cell of the area that each lies in as far as the block goes."""
 
@@ -340,7 +327,7 @@ def _label_block(width: int, corners: bool):
         place, grid = np.arange(h * w).reshape(h, w), grid.reshape(h, w)
         ways = [(np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1], np.s_[1:])] + ([(np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])] if corners else [])
         same = [(grid[p] == grid[q]) & (grid[p] >= 0) for p, q in ways]
-        root = _joined(h * w, np.concatenate([place[p][m] for (p, _), m in zip(ways, same, strict=True)]), np.concatenate([place[q][m] for (_, q), m in zip(ways, same, strict=True)]))[at]
+        root = joined(h * w, np.concatenate([place[p][m] for (p, _), m in zip(ways, same, strict=True)]), np.concatenate([place[q][m] for (_, q), m in zip(ways, same, strict=True)]))[at]
         return t[["r", "c", "class"]].assign(region=(root // w + r.min()) * width + root % w + c.min())
 
     return run
