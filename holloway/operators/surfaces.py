@@ -16,8 +16,8 @@ from .profile import EARTH
 from .quantile import quantile
 
 
-#: Systems that are solved at once.
-STACKED = 1024
+#: Systems that are solved at once, and observers at one place whose views are made at once.
+STACKED, SHARED = 1024, 64
 
 
 def bend(curvature: bool = True, refraction: bool = True, k: float = 0.13) -> float:
@@ -26,14 +26,16 @@ def bend(curvature: bool = True, refraction: bool = True, k: float = 0.13) -> fl
 
 
 def _sweep(reach: int, cell: float, target_height: float, cc: float):
-    """Kernel: what one observer sees of the cells round it. Rays are walked side by side, one step of all at a time."""
+    """Kernel: what observers (obs) at one place and height see of the cells round it. Rays are walked side by side, one step of all at a time."""
     i, j = (a.ravel() for a in np.mgrid[-reach : reach + 1, -reach : reach + 1])
     round_ = (i * i + j * j > 0) & (i * i + j * j <= reach * reach)
     i, j = i[round_], j[round_]
     m, away = np.maximum(np.abs(i), np.abs(j)), np.sqrt((i * i + j * j).astype(float)) * cell
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        obs, r0, c0, h = (part[k].iloc[0] for k in ("obs", "r0", "c0", "h"))
+    def run(part: pd.DataFrame, who: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(who):
+            return pd.DataFrame({k: [] for k in ("obs", "r", "c", "distance", "visible")})
+        r0, c0, h = (part[k].iloc[0] for k in ("r0", "c0", "h"))
         z = np.full((2 * reach + 1, 2 * reach + 1), np.nan)
         z[part["r"] - r0 + reach, part["c"] - c0 + reach] = part["z"]
         z0 = z[reach, reach]
@@ -47,7 +49,8 @@ def _sweep(reach: int, cell: float, target_height: float, cc: float):
             own[at[last]] = angle[last]
             before[at] = np.where(last, before[at], np.fmax(before[at], angle))
         ok = ~np.isnan(own)
-        return pd.DataFrame({"obs": obs, "r": r0 + i[ok], "c": c0 + j[ok], "distance": away[ok], "visible": own[ok] >= before[ok]})
+        obs, seen = who["obs"].to_numpy(), (r0 + i[ok], c0 + j[ok], away[ok], own[ok] >= before[ok])
+        return pd.DataFrame({"obs": np.repeat(obs, len(seen[0])), **{k: np.tile(v, len(obs)) for k, v in zip(("r", "c", "distance", "visible"), seen, strict=True)}})
 
     return run
 
@@ -56,16 +59,21 @@ def viewsheds(cells: DataFrame, observers: DataFrame, reach: int, cell: float, t
     """(obs, r, c, distance, visible) of the cells with data within ``reach`` cells of each observer (obs, r, c, h).
 
     A cell is seen when no cell on the ray to it stands at a steeper angle; elevations are lowered by the bent earth's curvature. Cells meet observers by
-    an equi-join on squares as wide as the reach; a task holds one observer's surroundings.
+    an equi-join on squares as wide as the reach. Observers at one place and height share its surroundings and view, some SHARED at a time; a task holds one place's.
     """
-    o = observers.select("obs", F.col("h").cast("double").alias("h"), F.col("r").cast("long").alias("r0"), F.col("c").cast("long").alias("c0"))
+    o = cut(observers.select("obs", F.col("h").cast("double").alias("h"), F.col("r").cast("long").alias("r0"), F.col("c").cast("long").alias("c0")).distinct())
+    place = ["r0", "c0", "h"]
+    most = o.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    o = o.withColumn("part", F.pmod(F.xxhash64("obs"), F.lit(-(-most // SHARED))).cast("int"))
+    who, o = o, o.select(*[F.col(k).alias(k) for k in (*place, "part")]).distinct()
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     filed = o.select("*", F.explode(F.transform(around, lambda i: F.floor(F.col("r0") / reach) + i)).alias("sr")).select("*", F.explode(F.transform(around, lambda i: F.floor(F.col("c0") / reach) + i)).alias("sc"))
     base = cells.where("z IS NOT NULL").select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("z").cast("double").alias("z"), F.floor(F.col("r") / reach).alias("sr"), F.floor(F.col("c") / reach).alias("sc"))
     dr, dc = F.col("r") - F.col("r0"), F.col("c") - F.col("c0")
     near = filed.join(base, ["sr", "sc"]).where(dr * dr + dc * dc <= reach * reach)
     kind = observers.schema["obs"].dataType.simpleString()
-    seen = near.groupBy("obs", "r0", "c0", "h").applyInPandas(_sweep(reach, cell, target_height, cc), f"obs {kind}, r long, c long, distance double, visible boolean")
+    by = [*place, "part"]
+    seen = near.select(*by, "r", "c", "z").groupBy(*by).cogroup(who.groupBy(*by)).applyInPandas(_sweep(reach, cell, target_height, cc), f"obs {kind}, r long, c long, distance double, visible boolean")
     return seen
 
 

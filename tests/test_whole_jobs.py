@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from holloway import catalog
-from holloway.operators import chains, graph, overlays
+from holloway.operators import chains, graph, overlays, surfaces
 from tests.test_larger_tables import plan
 from tests.test_overlays import SHAPES, table
 from tests.test_places_of_scale import same_as_sql
@@ -112,3 +112,18 @@ def test_forests_and_parts_of_dealt_links(spark, monkeypatch, held):
     assert sorted(map(tuple, graph.spanning_tree(t).collect())) == sorted(want)
     assert sorted(map(tuple, components_of.components(t.select("a", "b")).collect())) == sorted((v, find(v)) for v in root)
     assert bool(rounds) == (not held)
+
+
+@pytest.mark.parametrize("shared", [64, 2])
+def test_observers_at_one_place_share_a_view(spark, monkeypatch, shared):
+    rng = np.random.default_rng(2)
+    cells = spark.createDataFrame([(int(r), int(c), float(z)) for (r, c), z in np.ndenumerate(rng.random((12, 12)) * 40) if (r, c) != (5, 7)], "r long, c long, z double")
+    places = [(4, 4, 1.6), (9, 2, 1.6), (4, 4, 5.0), (5, 7, 1.6), (40, 40, 1.6)]
+    where = {k: places[k % 5] for k in range(23)}
+    o = spark.createDataFrame([(k, *p) for k, p in where.items()] + [(0, *where[0])], "obs int, r int, c int, h double")
+    found = lambda t: sorted(tuple(r) for r in surfaces.viewsheds(cells, t, 4, 30.0).collect())
+    one = {p: [r[1:] for r in found(o.where(f"obs = {k}"))] for k, p in list(where.items())[:5]}
+    monkeypatch.setattr(surfaces, "SHARED", shared, raising=False)
+    seen = surfaces.viewsheds(cells, o, 4, 30.0)
+    assert sorted(map(tuple, seen.collect())) == sorted((k, *r) for k, p in where.items() for r in one[p]) and one[4, 4, 1.6] != one[4, 4, 5.0]
+    assert "FlatMapCoGroupsInPandas" in plan(seen)  # surroundings meet places, not observers
